@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import packing, sharding
+from uttermark.llm import minhash, packing, sharding
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -42,8 +42,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components_of(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_sharding": op2_sharding}
+    return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op8_minhash": op8_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
