@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import minhash, packing, sharding
+from uttermark.llm import langid, minhash, packing, quality, rules, sharding
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -46,8 +46,43 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_of(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def _remainder(mod: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    net = quality.fit(docs.where(_remainder(5) != 0).join(labels, "doc_id"))
+    held_out = (_remainder(5) == 0).alias("held_out")
+    scored = quality.score(docs, net) if net else docs.select("doc_id", F.lit(0.5).alias("score"))
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    ratio = rules.log_ratio(docs, docs.join(trusted, "doc_id", "left_semi"))
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
+    return rules.judge(docs, ratio).select(cols)
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(_remainder(5) != 0))
+    held_out = (_remainder(5) == 0).alias("held_out")
+    return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op8_minhash": op8_minhash}
+    return {
+        "op1_packing": op1_packing,
+        "op2_sharding": op2_sharding,
+        "op4_quality": op4_quality,
+        "op6_rules": op6_rules,
+        "op8_minhash": op8_minhash,
+        "op10_langid": op10_langid,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
