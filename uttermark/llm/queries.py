@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import langid, minhash, packing, quality, rules, sharding
+from uttermark.llm import decontam, langid, lm, minhash, packing, quality, rules, sharding
 
 TOKENIZER = "byte_bpe_50k.json"
+VOCABULARY = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +51,11 @@ def _remainder(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "common", "item_shingles", "containment")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -67,6 +73,13 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, ratio).select(cols)
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = lm.score(docs, public_tokenizers.path(VOCABULARY), _remainder(7) != 2)
+    held_out = (_remainder(7) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(_remainder(5) != 0))
@@ -78,9 +91,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_sharding": op2_sharding,
+        "op3_decontamination": op3_decontamination,
         "op4_quality": op4_quality,
         "op6_rules": op6_rules,
         "op8_minhash": op8_minhash,
+        "op9_lm": op9_lm,
         "op10_langid": op10_langid,
     }
 
