@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import decontam, langid, lm, minhash, packing, quality, rules, sharding
+from uttermark.llm import decontam, langid, lm, minhash, packing, quality, rules, sharding, suffix
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = "piece_bpe_32k.model"
@@ -65,6 +65,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(_read(spark, sf_dir, "documents"), width=50)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -93,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_decontamination": op3_decontamination,
         "op4_quality": op4_quality,
+        "op5_suffix": op5_suffix,
         "op6_rules": op6_rules,
         "op8_minhash": op8_minhash,
         "op9_lm": op9_lm,
