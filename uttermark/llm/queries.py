@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import decontam, langid, lm, minhash, packing, quality, rules, sharding, suffix
+from uttermark.llm import decontam, langid, licences, lm, minhash, packing, quality, rules, sharding, suffix
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = "piece_bpe_32k.model"
@@ -84,6 +84,11 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, ratio).select(cols)
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs))
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = lm.score(docs, public_tokenizers.path(VOCABULARY), _remainder(7) != 2)
@@ -106,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_suffix": op5_suffix,
         "op6_rules": op6_rules,
+        "op7_licences": op7_licences,
         "op8_minhash": op8_minhash,
         "op9_lm": op9_lm,
         "op10_langid": op10_langid,

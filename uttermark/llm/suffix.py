@@ -272,7 +272,7 @@ def _last_digits(width: int):
     return run
 
 
-def _cut(width: int, names: list[str]):
+def _cut(width: int, names: list[str], as_text: bool):
     """(id, text, keys, ranges, other columns) to the text's bytes left and the removed runs."""
     side = width - GRAM
 
@@ -314,7 +314,11 @@ def _cut(width: int, names: list[str]):
                     rows_kept.append(buf[off[i] : off[i + 1]][~g].tobytes() if len(s) else buf[off[i] : off[i + 1]].tobytes())
             n = pa.array(np.diff(X.buffers(rb.column(1))[1]))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (starts, ends)]
-            yield pa.RecordBatch.from_arrays([rb.column(0), n, *lists, pa.array(rows_kept, pa.binary()), *rb.columns[4:]], names=names)
+            if as_text:
+                left = pa.array([x.decode("utf-8", "ignore") for x in rows_kept], pa.string())
+            else:
+                left = pa.array(rows_kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([rb.column(0), n, *lists, left, *rb.columns[4:]], names=names)
 
     return run
 
@@ -324,11 +328,11 @@ def _spans(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Remove every byte covered by a string of ``width`` bytes that also starts in a row with a smaller id.
 
-    Returns the id, ``n_bytes``, ``starts`` and ``ends`` of the removed runs, ``kept`` (the bytes left) and
-    the columns in ``keep``. Strings are judged on the input and never cross rows; a null text is empty.
+    Returns the id, ``n_bytes``, ``starts`` and ``ends`` of the removed runs, ``kept`` and the columns
+    in ``keep``. ``kept`` holds the bytes left, or with ``as_text`` the characters of which all bytes are left. Strings are judged on the input and never cross rows; a null text is empty.
     Rows of one id do not remove each other's strings. Rows with a null id stay whole and remove nothing.
     Other columns are ignored. An empty table gives no rows. ``width`` is from 24 to 4000.
     """
@@ -361,9 +365,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             T.StructField("n_bytes", long),
             T.StructField("starts", T.ArrayType(long)),
             T.StructField("ends", T.ArrayType(long)),
-            T.StructField("kept", T.BinaryType()),
+            T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
             *(docs.schema[c] for c in extra),
         ]
     )
-    return joined.mapInArrow(_cut(width, out.names), out)
+    return joined.mapInArrow(_cut(width, out.names, as_text), out)
 
