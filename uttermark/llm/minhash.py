@@ -7,9 +7,9 @@
 4. The similarity of a candidate pair is estimated from its packed signatures: with a share m of
    equal two-bit values, (m - 1/4) / (1 - 1/4). Pairs far below the threshold are left.
 5. The remaining pairs are confirmed on their full sets. Confirmed links are contracted to
-   components. Buckets that still hold more than one component meet further centres; at last,
-   small buckets compare all members of different components, and larger ones are split by each
-   further band first.
+   components. Buckets that still hold more than one component meet further centres, in every
+   round one of their first component and one of the others, until a round finds no link. At last, the
+   members outside a bucket's first component are compared with all its members by signature.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from uttermark.llm.work import folder, written
 BANDS, ROWS, LOW_BITS = 28, 4, 2
 MINIMA = BANDS * ROWS
 WORDS = 4
-SMALL = 48
 
 
 def _multipliers() -> np.ndarray:
@@ -187,7 +186,7 @@ def components_of(
     several = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     buckets = written(keyed.join(several.select("bucket", "low"), "bucket"), f"{path}/buckets")
     members = buckets.select("node").distinct()
-    inside = written(nodes.join(members, "node", "left_semi").select("node", "n", *sig).distinct(), f"{path}/inside")
+    inside = written(nodes.join(members, "node", "left_semi").select("node", "n", *sig).dropDuplicates(["node"]), f"{path}/inside")
     wanted = docs.join(inside.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     sets_schema = T.StructType([T.StructField("id", kind), T.StructField("set", T.BinaryType())])
     sets = written(wanted.mapInArrow(_sets(shingle), sets_schema), f"{path}/sets")
@@ -231,9 +230,13 @@ def components_of(
         open_rows = unresolved(open_rows, str(r))
         if open_rows.isEmpty():
             break
-        centre = open_rows.where("label = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node"))["node"].alias("centre"))
-        pairs = open_rows.where("label <> main").join(centre, "bucket").select(*ordered("node", "centre")).distinct()
-        new = confirm(pairs, str(r))
+        # two centres: one of the bucket's first component and one of all others
+        inner = F.col("label") == F.col("main")
+        pick = F.struct(F.xxhash64("node", F.lit(r)), "node", "label")
+        centres = open_rows.groupBy("bucket").agg(F.min(F.when(inner, pick)).alias("x"), F.min(F.when(~inner, pick)).alias("y"))
+        met = open_rows.join(centres, "bucket").select("node", "label", F.explode(F.array("x", "y")).alias("c"))
+        met = met.where(F.col("label") != F.col("c.label")).select("node", F.col("c.node").alias("centre"))
+        new = confirm(met.select(*ordered("node", "centre")).distinct(), str(r))
         if new.isEmpty():
             break
         links = links.unionByName(new)
@@ -241,28 +244,14 @@ def components_of(
 
     open_rows = unresolved(open_rows, "last")
     if not open_rows.isEmpty():
-        small = open_rows.where(F.col("size") <= SMALL).select("bucket", "node", "label")
-        large = open_rows.where(F.col("size") > SMALL).select("bucket", "node", "label")
-        further = nodes.select("node", "bands").join(large.select("node").distinct(), "node", "left_semi")
-        finer = large.join(further, "node").select(
-            "node", "label", F.explode("bands").alias("band"), F.col("bucket").alias("outer")
-        )
-        finer = finer.where("band <> outer").select(
-            F.xxhash64(F.least("band", "outer"), F.greatest("band", "outer")).alias("bucket"), "node", "label"
-        ).distinct()
-        kept = finer.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
-        kept = kept.where("lo <> hi")
-        finer = written(finer.join(kept, "bucket"), f"{path}/finer")
-        few = finer.where(F.col("size") <= SMALL).select("bucket", "node", "label").unionByName(small)
-        one, two = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = one.join(two, "bucket").where("a < b and la <> lb").select("a", "b")
-        # buckets still too large: a centre of every component in them
-        many = finer.where(F.col("size") > SMALL)
-        heads = many.groupBy("bucket", "label").agg(F.min("node").alias("head"))
-        main = heads.groupBy("bucket").agg(F.min("head").alias("low"), F.max("head").alias("high"))
-        wide = many.join(main, "bucket").select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head")
-        pairs = pairs.unionByName(wide.select(*ordered("node", "head"))).distinct()
-        new = confirm(pairs, "last")
+        # what is left of every bucket meets all of it; no pair leaves the join unless its signatures are near
+        whole = open_rows.join(inside, "node").select("bucket", "label", "main", F.struct("node", "n", *sig).alias("x"))
+        left = whole.where("label <> main")
+        right = whole.select("bucket", F.col("label").alias("label_y"), F.col("x").alias("y"))
+        differ = (F.col("label") != F.col("label_y")) & (F.col("x.node") != F.col("y.node"))
+        sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+        near = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & differ & sizes & (estimate("x", "y") >= low + 0.15))
+        new = confirm(near.select(*ordered("x.node", "y.node")).distinct(), "last")
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links, f"{path}/c-last")
