@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uttermark.llm import text as X
+from uttermark.llm.work import drawn
 
 DIMS = 1 << 12
 SAMPLE_ROWS = 4000  #: most rows that a fit sees
+SAMPLE_BYTES = 32_768  #: a longer text is not drawn
 PER_LANGUAGE = 3
 UNKNOWN = "und"
 
@@ -76,15 +79,20 @@ def _kmeans(v: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) ->
     return centre, (v @ centre.T).argmax(1)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, per_language: int = PER_LANGUAGE, seed: int = 7) -> Centroids | None:
-    """Centroids from at most ``sample_rows`` rows with text and language, drawn by a hash of the text,
-    the same number for each language where there are enough. None if there is none."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    rows = rows.where(F.octet_length("text") <= 32_768)
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, per_language: int = PER_LANGUAGE, seed: int = 7) -> Centroids | None:
+    """Centroids from at most ``sample_rows`` rows with id, text and language, drawn by a hash of the id, the
+    same number for each language where there are enough. None if there is none.
+
+    Only the drawn ids, a bounded number, are sent to the tasks that read the texts.
+    """
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null")
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(1000).collect())
-    sample = []
-    for lang in langs:
-        sample += rows.where(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(sample_rows // len(langs)).collect()
+    if not langs:
+        return None
+    sample = reduce(DataFrame.unionByName, (drawn(rows.where(F.col("lang") == x), "id", max(1, sample_rows // len(langs))) for x in langs))
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample.distinct()), ["id", "lang"])
+    sample = sorted(texts.collect(), key=lambda r: (r["lang"], r["id"], r["text"]))[:sample_rows]
     sample = [r for r in sample if has_letter(r["text"])]
     if not sample:
         return None

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uttermark.llm import text as X
+from uttermark.llm.work import drawn
 
 WIDTH, FILTERS = 6, 16
 CHUNK, STRIDE = 512, 448
@@ -136,20 +137,23 @@ def scores(net: Network, tables: list[np.ndarray], buf: np.ndarray, off: np.ndar
     return sigmoid((feats @ net.out).astype(np.float64) + net.shift)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """Fit on at most ``sample_rows`` labelled rows, half of each class where there are enough, drawn by
-    a hash of the text. Rows with a null text or label are left out. None without both classes."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> Network | None:
+    """Fit on the texts of at most ``sample_rows`` labels, half of each class where there are enough, drawn by
+    a hash of the id. Null labels, and labels without a text, are left out. None without both classes.
+
+    Only the drawn labels, a bounded number, are sent to the tasks that read the texts.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    seen = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
         return None
-    short = rows.where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = []
-    for label in (0, 1):
-        sample += short.where(F.col("label") == label).orderBy(F.xxhash64("text"), "text").limit(sample_rows // 2).collect()
-    texts = [r["text"].encode() for r in sample]
-    labels = np.array([r["label"] for r in sample], np.float32)
-    return train(texts, labels, seen[1] / (seen[0] + seen[1]))
+    sample = drawn(known.where("label = 0"), "id", sample_rows // 2).unionByName(drawn(known.where("label = 1"), "id", sample_rows // 2))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    found = sorted(texts.join(F.broadcast(sample), "id").select("id", "label", "text").collect(), key=lambda r: (r["id"], r["label"]))[:sample_rows]
+    y = np.array([r["label"] for r in found], np.float32)
+    if len(set(y.tolist())) < 2:
+        return None
+    return train([r["text"].encode() for r in found], y, seen[1] / (seen[0] + seen[1]))
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -59,7 +59,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    net = quality.fit(docs.where(_remainder(5) != 0).join(labels, "doc_id"))
+    net = quality.fit(docs, labels.where(_remainder(5) != 0))
     held_out = (_remainder(5) == 0).alias("held_out")
     scored = quality.score(docs, net) if net else docs.select("doc_id", F.lit(0.5).alias("score"))
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

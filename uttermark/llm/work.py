@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,3 +22,8 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to ``path`` and read it again, which cuts its lineage."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drawn(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows of a narrow table, by a hash of ``key``; the same rows whatever the partitions."""
+    return rows.orderBy(F.xxhash64(key), key).limit(n)
