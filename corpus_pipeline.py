@@ -19,7 +19,7 @@ REPEAT_BYTES = 100  #: shortest repeated string that is removed; any passage of
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose quality score is at least ``KEEP_SCORE``; all, if nothing is labelled in both ways."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    net = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    net = quality.fit(docs, labels)
     if net is None:
         return docs.select(COLUMNS)
     scored = quality.score(docs.withColumn("body", F.col("text")), net, text_col="body", keep=["text", "lang", "source", "n_chars"])
