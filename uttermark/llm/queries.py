@@ -79,7 +79,7 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    ratio = rules.log_ratio(docs, docs.join(trusted, "doc_id", "left_semi"))
+    ratio = rules.log_ratio(docs, rules.trusted_texts(docs, trusted))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
     return rules.judge(docs, ratio).select(cols)
 
