@@ -118,5 +118,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_SHINGLES = """select distinct {id}, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+    when len(w) > 0 then ['only ' || array_to_string(w, ' ')] else [] end) s from (select {id}, {words} w from {table})"""
+
+SQL = {
+    "op3_decontamination": f"""with d as ({_SHINGLES.format(id="doc_id", words=_WORDS.format(t="text"), table="documents")}),
+    b as ({_SHINGLES.format(id="item_id", words=_WORDS.format(t="text"), table="benchmark")}),
+    n as (select item_id, count(*) item_shingles from b group by item_id)
+    select doc_id, item_id, count(*) common, any_value(item_shingles) item_shingles, count(*) / any_value(item_shingles) containment
+    from d join b using (s) join n using (item_id) group by doc_id, item_id having 100 * count(*) >= 80 * any_value(item_shingles)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

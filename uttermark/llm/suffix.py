@@ -146,9 +146,10 @@ def _first_digits(width: int):
 
 def _second_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows of some anchors to (id, key, kind): resolved ones, and those whose strings must be sorted."""
-    table = pa.Table.from_batches(list(batches))
-    if not len(table):
+    found = list(batches)
+    if not found:
         return
+    table = pa.Table.from_batches(found)
     anchor, key, kind = (table[c].to_numpy() for c in ("anchor", "key", "kind"))
     ids = table["id"].combine_chunks()
     code = _codes(ids)
@@ -234,10 +235,11 @@ def _last_digits(width: int):
     side, w = width - GRAM, width - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        n = len(table)
-        if not n:
+        found = list(batches)
+        if not found:
             return
+        table = pa.Table.from_batches(found)
+        n = len(table)
         anchor, key, left = (table[c].to_numpy() for c in ("anchor", "key", "left"))
         ids = table["id"].combine_chunks()
         code = _codes(ids)
