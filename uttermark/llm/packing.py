@@ -101,7 +101,7 @@ class SegmentTokenizer:
     SIGNS = ".,;:!?%&$*#|()\"-"
     WHOLE = 0  #: the index of words that must not be cut from their text
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -172,7 +172,7 @@ class SegmentTokenizer:
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in ``buf`` end to end, and the texts' offsets into them."""
-        if self.known > self.remembered:
+        if max(self.known, len(self.parts)) > self.remembered:
             self.clear()
         rows = len(off) - 1
         h, row, s, e = hashed_words(buf, off, SAME)

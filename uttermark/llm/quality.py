@@ -157,14 +157,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Probability of label 1 of every whole text, as ``score``, beside the id and the columns in ``keep``.
+    """Probability of label 1 of every whole text, as ``score``, beside the id and the columns in ``keep``
+    (the text may be one of them).
 
     A null or empty text is scored like any other, as one place of padding. Repeated rows and null ids
     are scored row by row. Columns that aren't named are ignored. An empty table gives no rows.
     """
     cols = [id_col, *(keep or [])]
     schema = T.StructType([docs.schema[c] for c in cols] + [T.StructField("score", T.DoubleType())])
-    at = len(cols)
+    body = F.col(text_col).cast("string")
+    at = cols.index(text_col) if text_col in cols else len(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.pairs()
@@ -172,6 +174,6 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             data, off = X.buffers(rb.column(at))
             found = [scores(net, tables, data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in X.slices(off, SLICE_BYTES)]
             found = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*rb.columns[:at], pa.array(found)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*rb.columns[: len(cols)], pa.array(found)], names=schema.names)
 
-    return docs.select(*cols, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*cols, *([] if text_col in cols else [body.alias("__text")])).mapInArrow(run, schema)
