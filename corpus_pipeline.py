@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     net = quality.fit(docs, labels)
     if net is None:
         return docs.select(COLUMNS)
-    scored = quality.score(docs.withColumn("body", F.col("text")), net, text_col="body", keep=["text", "lang", "source", "n_chars"])
+    scored = quality.score(docs, net, keep=["text", "lang", "source", "n_chars"])
     return scored.where(F.col("score") >= KEEP_SCORE).select(COLUMNS)
 
 
