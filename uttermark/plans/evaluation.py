@@ -663,6 +663,122 @@ def _(s, d):
     return S.mix_track(t, "embedding", "track", "seed", "snr_db").select("vec_id", F.aggregate("noisy", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
+# --- validation, sources and streams ----------------------------------------------------------------------------
+
+
+def damaged(s: SparkSession, d: str) -> DataFrame:
+    """Rows of which some break a rule."""
+    return eval_rows(s, d).selectExpr(
+        "slurp_id", "case when slurp_id%11=0 and cond=1 then 'both' else pathway end pathway", "model_family", "asr_model", "llm_model", "predicted_intent", "gold_intent",
+        "degradation", "case when slurp_id%13=0 and cond=0 then 10 when slurp_id%17=0 and cond=5 then null else snr_db end snr_db",
+        "case when slurp_id%19=0 and cond=2 then -wer-1 else wer end wer", "tsa", "pf", "case when slurp_id%23=0 then 1-ees else ees end ees", "ees_strict",
+    )
+
+
+_DAMAGED = """, dm as (select case when slurp_id%11=0 and cond=1 then 'both' else pathway end pathway, slurp_id, degradation, asr_model,
+    case when slurp_id%13=0 and cond=0 then 10 when slurp_id%17=0 and cond=5 then null else snr_db end snr_db, case when slurp_id%19=0 and cond=2 then -wer-1 else wer end wer,
+    tsa, pf, case when slurp_id%23=0 then 1-ees else ees end ees, ees_strict from ev),
+vi as (select 'bad_enum' rule, 'pathway' field, slurp_id from dm where pathway not in ('cascade','omni')
+    union all select 'clean_row_has_snr', 'snr_db', slurp_id from dm where degradation='clean' and snr_db is not null
+    union all select 'degraded_row_has_no_snr', 'snr_db', slurp_id from dm where degradation<>'clean' and snr_db is null
+    union all select 'null_not_allowed', 'asr_model', slurp_id from dm where asr_model is null and pathway<>'omni'
+    union all select 'null_not_allowed', 'wer', slurp_id from dm where wer is null and pathway<>'omni'
+    union all select 'value_out_of_range', 'wer', slurp_id from dm where wer<0
+    union all select 'ees_formula', 'ees', slurp_id from dm where ees<>case when pf is null then tsa else cast(tsa=1 and pf>=0.5 as int) end)"""
+
+
+@query("v1_schema_report", "select rule, field, count(*) n, count(distinct slurp_id) keys, min(slurp_id) as \"first\" from vi group by all", CELLS + _DAMAGED)
+def _(s, d):
+    from uttermark.operators.validate import schema_report, validate_rows
+
+    return schema_report(validate_rows(damaged(s, d))).where("rule <> 'missing_field'")
+
+
+@query("p4_clear_prediction_fields", "select slurp_id, asr_model, degradation, snr_db, wer, cast(null as varchar) llm_model, cast(null as int) tsa, cast(null as int) ees from ev where cond<2")
+def _(s, d):
+    return R.clear_prediction_fields(eval_rows(s, d).where("cond < 2")).select("slurp_id", "asr_model", "degradation", "snr_db", F.round("wer", 6).alias("wer"), "llm_model", "tsa", "ees")
+
+
+SQL["p4_clear_prediction_fields"] = SQL["p4_clear_prediction_fields"].replace("snr_db, wer,", "snr_db, round(wer,6) wer,")
+
+
+@query("p5_stamp_no_transcription", "select slurp_id, cond, case when asr_model is not null and item=0 then 'NO_TRANSCRIPTION' else predicted_intent end predicted_intent, case when asr_model is not null and item=0 then 0 else tsa end tsa from ev where llm_model='org/llm-0' or pathway='omni'")
+def _(s, d):
+    rows = eval_rows(s, d).where("llm_model = 'org/llm-0' or pathway = 'omni'").withColumns({"transcription": F.when(F.col("item") == 0, F.lit(" ")).otherwise("text"), "notes": F.lit(None).cast("string")})
+    return R.stamp_no_transcription(rows).select("slurp_id", "cond", "predicted_intent", "tsa")
+
+
+@query("p6_no_transcription_violations", "select slurp_id, cond, llm_model from ev where asr_model is not null and item=0 and predicted_intent<>'NO_TRANSCRIPTION'")
+def _(s, d):
+    rows = eval_rows(s, d).withColumn("transcription", F.when(F.col("item") == 0, F.lit("")).otherwise("text"))
+    return R.no_transcription_violations(rows).select("slurp_id", "cond", "llm_model")
+
+
+@query("p8_drop_hallucinations", "select slurp_id, cond, asr, llm from er where not coalesce(wer>=1, false)")
+def _(s, d):
+    return R.drop_hallucinations(cells(s, d).withColumn("full_hallucination", F.col("wer") >= 1)).select("slurp_id", "cond", "asr", "llm")
+
+
+@query("p10_critical_substitution_rows", "select distinct slurp_id, asr, llm, cond from ch where type='substitute' and pos='critical' and item>0", CHUNKS)
+def _(s, d):
+    rows = with_chunks(s, d).withColumn("phonetic_distance", F.when(F.col("item") > 0, F.lit(0.5)))
+    return R.critical_substitution_rows(rows).select("slurp_id", "asr", "llm", "cond")
+
+
+@query("j1_join_gold", "select tid, cond, sentence, len(ref) n_tokens from tx", TEXT)
+def _(s, d):
+    t = text_rows(s, d)
+    gold = t.where("cond = 0").select("tid", "sentence", F.size("ref").cast("long").alias("n_tokens"))
+    return t.select("tid", "cond").join(gold, "tid", "left")
+
+
+@query("j2_override_labels", "select slurp_id, case when slurp_id%7=0 then 'corrected' else gold_intent end label, slurp_id%7=0 overridden from (select distinct slurp_id, gold_intent from ev)")
+def _(s, d):
+    gold = eval_rows(s, d).select("slurp_id", "gold_intent").distinct()
+    fixed = gold.where("slurp_id % 7 = 0").select("slurp_id", F.lit("corrected").alias("fixed"))
+    label = X.normalize_gold_intent(F.col("gold_intent"), F.lit("any"), LABELS)
+    return gold.join(fixed, "slurp_id", "left").select("slurp_id", F.coalesce("fixed", label).alias("label"), F.col("fixed").isNotNull().alias("overridden"))
+
+
+@query("j13_point_with_interval", f"select {CELL}, {r('avg(ees)')} retention, {r('avg(ees)-0.1')} lo, {r('avg(ees)+0.1')} hi from pd group by all")
+def _(s, d):
+    points = C.paired_stats(cells(s, d)).where("n_paired > 0").select("asr", "degradation", "snr_db", "llm", "retention")
+    bands = points.select("asr", "degradation", "snr_db", "llm", (F.col("retention") - 0.1).alias("lo"), (F.col("retention") + 0.1).alias("hi"), F.lit(True).alias("has_interval"))
+    return J.point_with_interval(points, bands)
+
+
+@query("f2_normalize_hyp", "select conv_id, turn, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[''’ʼ]', '', 'g')), '[!-/:-@\\[-`{-~]', ' ', 'g'), '\\s+', ' ', 'g')) norm from conversations", "")
+def _(s, d):
+    return read(s, d, "conversations").select("conv_id", "turn", X.normalize_hyp(F.col("text")).alias("norm"))
+
+
+@query("f14_normalize_value", "select p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) || ' 7 20' norm from part", "")
+def _(s, d):
+    return read(s, d, "part").select("p_partkey", P.normalize_value(F.concat("p_name", F.lit("  Seven, twenty!"))).alias("norm"))
+
+
+@query("f13_canonical_map", "select p_partkey, p_name || '|' || p_type entries, true same from part", "")
+def _(s, d):
+    a, b = F.create_map(F.lit("x"), "p_name", F.lit("y"), "p_type"), F.create_map(F.lit("y"), "p_type", F.lit("x"), "p_name")
+    values = F.array_join(F.transform(J.canonical_map(a), lambda e: e["value"]), "|")
+    return read(s, d, "part").select("p_partkey", values.alias("entries"), (J.canonical_map(a) == J.canonical_map(b)).alias("same"))
+
+
+@query("f20_is_numeric", "select p_partkey, p_size::varchar word, true is_numeric from part union all select p_partkey, p_name, false from part", "")
+def _(s, d):
+    from uttermark.functions.errors import is_numeric
+
+    part = read(s, d, "part")
+    both = part.select("p_partkey", F.col("p_size").cast("string").alias("word")).unionByName(part.select("p_partkey", F.col("p_name").alias("word")))
+    return both.withColumn("is_numeric", is_numeric(F.col("word")))
+
+
+@query("w5_slot_suffix", "select p_partkey, case p_partkey%3 when 0 then 'a,b,a_2' when 1 then 'a,a_2,a_3' else 'a,b,b_2' end names from part", "")
+def _(s, d):
+    types = F.split(F.when(F.col("p_partkey") % 3 == 0, "a,b,a").when(F.col("p_partkey") % 3 == 1, "a,a,a").otherwise("a,b,b"), ",")
+    return read(s, d, "part").select("p_partkey", F.array_join(X.slot_suffix(types), ",").alias("names"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -85,7 +85,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """209 evaluation rows for each part: models, conditions, error rates and outcomes by integer arithmetic."""
-    return spark.sql(f"with {EVAL} select * from ev", part=read(spark, sf_dir, "part"))
+    part = read(spark, sf_dir, "part").select("p_partkey")
+    # few bytes become 209 rows each, so the parts are spread over all cores first
+    part = part.repartition(max(spark.sparkContext.defaultParallelism, 2), "p_partkey")
+    return spark.sql(f"with {EVAL} select * from ev", part=part)
 
 
 def second_pass(rows: DataFrame) -> DataFrame:
