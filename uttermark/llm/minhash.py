@@ -1,6 +1,6 @@
 """Near-duplicate components by b-bit MinHash, confirmed on full shingle sets.
 
-1. Each text becomes its set of word shingles (64-bit hashes), the minima of 112 hash functions,
+1. Each text becomes its set of word shingles (64-bit hashes), the minima of 256 hash functions,
    28 band keys of four minima, and a signature of the two low bits of each minimum.
 2. Texts with equal sets form a class; the smallest id stands for it from here on.
 3. Classes that share a band key are candidates. In every bucket all members meet one centre.
@@ -27,8 +27,8 @@ from uttermark.llm.graph import components
 from uttermark.llm.work import folder, written
 
 BANDS, ROWS, LOW_BITS = 28, 4, 2
-MINIMA = BANDS * ROWS
-WORDS = 4
+MINIMA = 256  #: the first BANDS * ROWS give the band keys, all of them the signature
+WORDS = MINIMA * LOW_BITS // 64
 
 
 def _multipliers() -> np.ndarray:
@@ -92,7 +92,7 @@ def _sketch(shingle: int):
                         one, two = np.add.reduceat(X.mix(flat), at), np.add.reduceat(X.mix(flat ^ np.uint64(0x2545F4914F6CDD1D)), at)
                         key = X.mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :].repeat(len(full), 0)
                         for r in range(ROWS):
-                            key = X.mix(key * np.uint64(0x9FB21C651E98DF25) + m[:, r::ROWS])
+                            key = X.mix(key * np.uint64(0x9FB21C651E98DF25) + m[:, r : BANDS * ROWS : ROWS])
                         low = m & np.uint64((1 << LOW_BITS) - 1)
                         each = MINIMA // WORDS
                         for w in range(WORDS):
@@ -250,7 +250,7 @@ def components_of(
         right = whole.select("bucket", F.col("label").alias("label_y"), F.col("x").alias("y"))
         differ = (F.col("label") != F.col("label_y")) & (F.col("x.node") != F.col("y.node"))
         sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-        near = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & differ & sizes & (estimate("x", "y") >= low + 0.15))
+        near = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & differ & sizes & (estimate("x", "y") >= low + 0.25))
         new = confirm(near.select(*ordered("x.node", "y.node")).distinct(), "last")
         if not new.isEmpty():
             links = links.unionByName(new)
