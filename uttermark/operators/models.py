@@ -111,3 +111,78 @@ def interval(sums: DataFrame, cell: list[str], value, name: str = "") -> DataFra
     """Median and 2.5 and 97.5 percent points over replicates of an expression of the sums."""
     at = lambda p: F.percentile(value, p)
     return sums.groupBy(*cell).agg(at(0.025).alias(f"{name}lo"), at(0.5).alias(f"{name}median"), at(0.975).alias(f"{name}hi"))
+
+
+MEDIATION = "acme double, ade double, total double, n double, refused string"
+_NODES, _WEIGHTS = np.polynomial.hermite_e.hermegauss(31)
+
+
+def mediate(treated: np.ndarray, x: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float, float] | str:
+    """Effect of the treatment through the mediator x (ACME), past it (ADE), and both, or why there is none.
+
+    The mediator is linear in the treatment; the outcome (k of n successes) is logistic in both. Outcomes are averaged
+    over the mediator's residual distribution by Gauss-Hermite quadrature, so the result has no draws in it.
+    """
+    if min(n[treated == 1].sum(), n[treated == 0].sum()) == 0:
+        return "one arm is empty"
+    if k.sum() <= 0 or k.sum() >= n.sum():
+        return "the outcome does not vary"
+    mean = [np.average(x[treated == t], weights=n[treated == t]) for t in (0, 1)]
+    spread = np.sqrt(np.average((x - np.where(treated == 1, mean[1], mean[0])) ** 2, weights=n) * n.sum() / max(n.sum() - 2, 1))
+    if spread < 1e-12 and abs(mean[1] - mean[0]) < 1e-12:
+        return "the mediator does not vary"
+    d, beta = np.stack([np.ones_like(x), treated, x], 1), np.zeros(3)
+    for _ in range(100):
+        p = 0.5 * (1 + np.tanh(d @ beta / 2))
+        h = (d * (n * p * (1 - p))[:, None]).T @ d
+        if not np.isfinite(h).all() or abs(np.linalg.det(h)) < 1e-12 or np.abs(beta).max() > 50:
+            return "the outcome model is not identified"
+        step = np.linalg.solve(h, d.T @ (k - n * p))
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    else:
+        return "the outcome model did not converge"
+
+    def outcome(t: int, m: int) -> float:
+        z = beta[0] + beta[1] * t + beta[2] * (mean[m] + spread * _NODES)
+        return float((_WEIGHTS * 0.5 * (1 + np.tanh(z / 2))).sum() / _WEIGHTS.sum())
+
+    acme = (outcome(1, 1) - outcome(1, 0) + outcome(0, 1) - outcome(0, 0)) / 2
+    ade = (outcome(1, 1) - outcome(0, 1) + outcome(1, 0) - outcome(0, 0)) / 2
+    return acme, ade, acme + ade
+
+
+def _contrast(keys: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = mediate(*(pdf[c].to_numpy(float) for c in ("treated", "x", "n", "k")))
+        row = [*(pdf[c].iloc[0] for c in keys), *((None, None, None) if isinstance(got, str) else got), pdf["n"].sum(), got if isinstance(got, str) else None]
+        return pd.DataFrame([row], columns=[*keys, "acme", "ade", "total", "n", "refused"])
+
+    return run
+
+
+def _arms(sums: DataFrame) -> DataFrame:
+    """The clean arm beside every degradation's arm; both are histograms of the mediator."""
+    arm = sums.where(~is_clean())
+    clean = sums.where(is_clean()).drop("degradation").crossJoin(F.broadcast(arm.select("degradation").distinct()))
+    return arm.withColumn("treated", F.lit(1.0)).unionByName(clean.withColumn("treated", F.lit(0.0)).select(*arm.columns, "treated"))
+
+
+def mediation_table(rows: DataFrame, outcome: str = "ees") -> DataFrame:
+    """ACME, ADE and total of every degradation against clean audio, with the error rate as mediator."""
+    known = rows.where(F.col("wer").isNotNull() & F.col(outcome).isNotNull())
+    sums = known.groupBy("degradation", cap_wer().alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(outcome).cast("double")).alias("k"))
+    return _arms(sums).groupBy("degradation").applyInPandas(_contrast(["degradation"]), f"degradation string, {MEDIATION}")
+
+
+def mediation_bootstrap(rows: DataFrame, outcome: str = "ees", replicates: int = 100, seed: int = 42) -> DataFrame:
+    """Percent points of the effects over replicates that draw utterances, each with all of its rows; replicates
+    that refuse are counted. Rows collapse to weighted histograms before anything is fitted."""
+    known = rows.where(F.col("wer").isNotNull() & F.col(outcome).isNotNull())
+    known = known.select("slurp_id", "degradation", F.round(cap_wer(), 3).alias("x"), F.lit(1.0).alias("n"), F.col(outcome).cast("double").alias("k"))
+    sums = replicate_sums(known, ["degradation", "x"], ["n", "k"], replicates, seed).where("n > 0")
+    keys = ["degradation", "replicate"]
+    each = _arms(sums).groupBy(*keys).applyInPandas(_contrast(keys), f"degradation string, replicate int, {MEDIATION}")
+    points = [F.percentile(c, p).alias(f"{c}_{n}") for c in ("acme", "ade", "total") for n, p in (("lo", 0.025), ("hi", 0.975))]
+    return each.groupBy("degradation").agg(*points, F.count("refused").alias("n_refused"))

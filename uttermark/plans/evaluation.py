@@ -663,6 +663,68 @@ def _(s, d):
     return S.mix_track(t, "embedding", "track", "seed", "snr_db").select("vec_id", F.aggregate("noisy", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
+# --- clustered models and mediation -----------------------------------------------------------------------------
+
+
+def _model(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Success of cascade rows on degraded audio, by error rate, noise level, router and degradation."""
+    rows = cells(s, d).where("degradation <> 'clean'")
+    frame, _ = R.build_frame(rows, "ees")
+    flags = {f"is_{x}": (F.col("degradation") == x).cast("int") for x in LEVELS[2:]} | {f"llm_{i}": (F.col("llm") == f"llm-{i}").cast("int") for i in (1, 2)}
+    return frame.withColumns(flags), ["wer", "snr_20", "snr_10", *flags]
+
+
+FIT = "term string, coef double, se double, z double, p double"
+
+
+@query("m5_rank_report")
+def _(s, d):
+    from uttermark.operators import gee
+
+    frame, terms = _model(s, d)
+    cols = [F.lit(1.0), *(F.col(t).cast("double") for t in terms)]
+    sums = frame.agg(*(F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols))).first()
+    n = len(cols)
+    rank, columns, least = gee.rank_report(gee.np.array(list(sums), float).reshape(n, n))
+    return s.createDataFrame([(rank, columns, least)], "rank int, columns int, smallest double")
+
+
+@query("m6_gee_fit")
+def _(s, d):
+    from uttermark.operators import gee
+
+    frame, terms = _model(s, d)
+    return s.createDataFrame(gee.fit(frame, "ees", terms).table(), FIT)
+
+
+@query("m9_run_models")
+def _(s, d):
+    """Contrast of the noise levels and joint test of the degradations, for two outcomes; a refusal is a row too."""
+    from uttermark.operators import gee
+
+    frame, terms = _model(s, d)
+    out = []
+    for outcome in ("tsa", "ees"):
+        try:
+            got = gee.fit(frame, outcome, terms)
+            out.append((outcome, "snr_20 - snr_10", *got.contrast("snr_20", "snr_10"), None))
+            chi, df, p = got.joint([t for t in terms if t.startswith("is_")])
+            out.append((outcome, f"degradations, df {df}", chi, None, p, None))
+        except gee.Refused as e:
+            out.append((outcome, "fit", None, None, None, str(e)))
+    return s.createDataFrame(out, "outcome string, test string, value double, se double, p double, refused string")
+
+
+@query("m12_mediation_table")
+def _(s, d):
+    return M.mediation_table(cells(s, d).where("llm = 'llm-0'"))
+
+
+@query("m11_mediation_bootstrap")
+def _(s, d):
+    return M.mediation_bootstrap(cells(s, d).where("llm = 'llm-0'"), replicates=50)
+
+
 # --- validation, sources and streams ----------------------------------------------------------------------------
 
 
