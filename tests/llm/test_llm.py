@@ -340,6 +340,36 @@ def test_components_equal_brute_force(spark, docs, empty, n):
     assert minhash.components_of(empty).count() == 0
 
 
+def test_closing_comparison_keeps_links_of_low_estimate(spark):
+    """A pair at exactly 0.8 with an unlucky signature, whose every bucket starts with texts linked to nothing."""
+
+    def share(texts):
+        with np.errstate(over="ignore"):
+            sets = [minhash.shingle_sets(*X.buffers(pa.array([t])), 1)[0] for t in texts]
+            low = minhash.X.mix(minhash._minima(sets)) & np.uint64(3)
+        return ((low[0] == low[1]).mean() - 0.25) / 0.75
+
+    for seed in range(400):
+        core = [f"c{seed}x{i}" for i in range(400)]
+        two = [" ".join(core + [f"{side}{seed}x{i}" for i in range(50)]) for side in "yz"]
+        if share(two) < 0.74:
+            break
+    assert 0.65 < share(two) < 0.74
+    rng = np.random.default_rng(5)
+    others = [" ".join([core[j] for j in rng.permutation(400)[:340]] + [f"o{k}x{i}" for i in range(60)]) for k in range(50)]
+    data = [*enumerate(others), (100, two[0]), (101, two[1])]
+    got = minhash.components_of(spark.createDataFrame(data, "doc_id long, text string"), shingle=1, rounds=0)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {**{i: i for i in range(50)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_closing_bound_loses_no_more_than_the_bands(percent):
+    s = percent / 100
+    p, equal = 0.25 + 0.75 * s, round((0.25 + 0.75 * minhash.closing_bound(percent)) * minhash.MINIMA)
+    short = sum(math.comb(minhash.MINIMA, i) * p**i * (1 - p) ** (minhash.MINIMA - i) for i in range(equal))
+    assert short <= (1 - max(s, 0.8) ** minhash.ROWS) ** minhash.BANDS
+
+
 def test_components_of_a_chain(spark, tmp_path):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(edges, f"file://{tmp_path}").collect()}

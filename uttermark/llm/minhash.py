@@ -9,12 +9,15 @@
 5. The remaining pairs are confirmed on their full sets. Confirmed links are contracted to
    components. Buckets that still hold more than one component meet further centres, in every
    round one of their first component and one of the others, until a round finds no link. At last, the
-   members outside a bucket's first component are compared with all its members by signature.
+   members outside a bucket's first component are compared with all its members by signature; a pair
+   goes on to its sets unless its estimate is so low that a true link has it no more often than the
+   bands miss one (``closing_bound``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,19 @@ MINIMA = 256  #: the first BANDS * ROWS give the band keys, all of them the sign
 WORDS = MINIMA * LOW_BITS // 64
 
 
+def closing_bound(percent: int) -> float:
+    """The estimate that a pair at the threshold falls short of no more often than the bands miss it
+    (at thresholds below 0.8: than they miss one at 0.8). The count of equal values is binomial."""
+    s = percent / 100
+    p = s + (1 - s) / 2**LOW_BITS
+    chance = (1 - max(s, 0.8) ** ROWS) ** BANDS
+    equal, short = 0, (1 - p) ** MINIMA
+    while equal < MINIMA and short <= chance:
+        equal += 1
+        short += comb(MINIMA, equal) * p**equal * (1 - p) ** (MINIMA - equal)
+    return (equal / MINIMA - 1 / 2**LOW_BITS) / (1 - 1 / 2**LOW_BITS)
+
+
 def _multipliers() -> np.ndarray:
     return X.mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -194,7 +210,7 @@ def components_of(
     pair_schema = T.StructType(
         [T.StructField("a", kind), T.StructField("b", kind)] + [T.StructField(c, T.LongType()) for c in ("common", "na", "nb")]
     )
-    low = percent / 100 - 0.3
+    low, closest = percent / 100 - 0.3, closing_bound(percent) - 1e-9
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
@@ -250,7 +266,7 @@ def components_of(
         right = whole.select("bucket", F.col("label").alias("label_y"), F.col("x").alias("y"))
         differ = (F.col("label") != F.col("label_y")) & (F.col("x.node") != F.col("y.node"))
         sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-        near = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & differ & sizes & (estimate("x", "y") >= low + 0.25))
+        near = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & differ & sizes & (estimate("x", "y") >= closest))
         new = confirm(near.select(*ordered("x.node", "y.node")).distinct(), "last")
         if not new.isEmpty():
             links = links.unionByName(new)
