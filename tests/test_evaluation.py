@@ -172,3 +172,23 @@ def test_query_equals_sql(spark, name):
     assert sorted(at) == cols
     want = Counter(str([norm(r[at[c]]) for c in cols]) for r in rel.fetchall())
     assert Counter(str([norm(r[c]) for c in cols]) for r in df.collect()) == want
+
+
+def test_alignment_and_hallucination_read_all_words_of_all_turns(spark, tmp_path):
+    turns = [(1, 0, "user", " ".join(f"w{i}" for i in range(30))), (1, 1, "assistant", " ".join(f"v{i}" for i in range(20))), (2, 0, "assistant", "")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want, keys = Counter(), set()
+    for conv, turn, _, text in turns[:2]:
+        ref, tid = text.split(), conv * 1000 + turn
+        for cond in range(4):
+            hyp = []
+            for j, w in enumerate(ref, 1):
+                k = (tid * 31 + j * 17 + cond * 7) % 12
+                hyp += [w] if cond == 0 else [] if k < cond else [w[::-1]] if k == 5 else [w, "uh"] if k == 8 else [w]
+            keys.add((tid, cond))
+            want.update((text, " ".join(hyp), *c) for c in E.align(ref, hyp))
+    got = evaluation.QUERIES["f21_align_words"](spark, str(tmp_path)).collect()
+    assert Counter(tuple(r[c] for c in ("ref", "hyp", "type", "ref_start", "ref_end", "hyp_start", "hyp_end")) for r in got) == want
+    assert max(r["ref_end"] for r in got) > 12
+    got = evaluation.QUERIES["f28_full_hallucination"](spark, str(tmp_path)).collect()
+    assert {(r["tid"], r["cond"]) for r in got} == keys and not any(r["full_hallucination"] for r in got)

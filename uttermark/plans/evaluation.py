@@ -552,7 +552,7 @@ def _(s, d):
 def _(s, d):
     from uttermark.functions.errors import full_hallucination
 
-    t = text_rows(s, d)
+    t = text_rows(s, d, whole=True)
     wer = X.wer(F.col("sentence"), F.col("transcription"))
     return t.select("tid", "cond", full_hallucination(wer, F.col("ref"), F.col("hyp")).alias("full_hallucination"))
 
@@ -561,7 +561,7 @@ def _(s, d):
 def _(s, d):
     from uttermark.functions.errors import aligned
 
-    t = text_rows(s, d).select("ref", "hyp").distinct()
+    t = text_rows(s, d, whole=True).select("ref", "hyp").distinct()
     c = F.explode("chunks").alias("c")
     return aligned(t).select(F.array_join("ref", " ").alias("ref"), F.array_join("hyp", " ").alias("hyp"), c).select("ref", "hyp", "c.*")
 

@@ -101,10 +101,14 @@ def second_pass(rows: DataFrame) -> DataFrame:
     )
 
 
-def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference and hypothesis word lists of user turns: words dropped, reversed or followed by a filler."""
+def text_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Reference and hypothesis word lists of turns: words dropped, reversed or followed by a filler.
+
+    ``whole``: all words of all turns. Otherwise the first 12 words of user turns, as in ``TEXT``.
+    """
+    ref, turns = (_WORDS, "true") if whole else (f"slice({_WORDS}, 1, 12)", "role='user'")
     return spark.sql(
-        f"""with tc as (select conv_id*1000+turn tid, slice({_WORDS}, 1, 12) ref from {{conv}} where role='user'),
+        f"""with tc as (select conv_id*1000+turn tid, {ref} ref from {{conv}} where {turns}),
         tk as (select tid, cond, ref, case when cond=0 then ref else flatten(transform(ref, (w, i) ->
             case when (tid*31+(i+1)*17+cond*7)%12<cond then cast(array() as array<string>) when (tid*31+(i+1)*17+cond*7)%12=5 then array(reverse(w))
                  when (tid*31+(i+1)*17+cond*7)%12=8 then array(w,'uh') else array(w) end)) end hyp
