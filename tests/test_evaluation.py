@@ -192,3 +192,19 @@ def test_alignment_and_hallucination_read_all_words_of_all_turns(spark, tmp_path
     assert max(r["ref_end"] for r in got) > 12
     got = evaluation.QUERIES["f28_full_hallucination"](spark, str(tmp_path)).collect()
     assert {(r["tid"], r["cond"]) for r in got} == keys and not any(r["full_hallucination"] for r in got)
+
+
+def test_bootstraps_draw_as_often_as_the_reference_from_exact_rates(spark, monkeypatch):
+    drawn, whole = {}, M.replicate_sums
+
+    def count(rows, cell, values, replicates, seed=42, cluster="slurp_id"):
+        drawn.setdefault(name, []).append((replicates, rows))
+        return whole(rows, cell, values, 2, seed, cluster)
+
+    monkeypatch.setattr(M, "replicate_sums", count)
+    for name in ("m2_bootstrap_cells", "m3_pathway_bootstrap", "m4_condition_bootstrap", "m11_mediation_bootstrap"):
+        got = evaluation.QUERIES[name](spark, SF)
+    assert [[n for n, _ in drawn[k]] for k in sorted(drawn)] == [[200] * 3, [2000], [2000], [2000]]
+    assert {r["llm"] for r in got.select("llm").distinct().collect()} == {"llm-0", "llm-1", "llm-2"}
+    rates = [r["x"] for r in drawn["m11_mediation_bootstrap"][0][1].select("x").distinct().collect()]
+    assert any(abs(x - round(x, 3)) > 1e-9 for x in rates)

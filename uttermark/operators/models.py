@@ -180,7 +180,7 @@ def mediation_bootstrap(rows: DataFrame, outcome: str = "ees", replicates: int =
     """Percent points of the effects over replicates that draw utterances, each with all of its rows; replicates
     that refuse are counted. Rows collapse to weighted histograms before anything is fitted."""
     known = rows.where(F.col("wer").isNotNull() & F.col(outcome).isNotNull())
-    known = known.select("slurp_id", "degradation", F.round(cap_wer(), 3).alias("x"), F.lit(1.0).alias("n"), F.col(outcome).cast("double").alias("k"))
+    known = known.select("slurp_id", "degradation", cap_wer().alias("x"), F.lit(1.0).alias("n"), F.col(outcome).cast("double").alias("k"))
     sums = replicate_sums(known, ["degradation", "x"], ["n", "k"], replicates, seed).where("n > 0")
     keys = ["degradation", "replicate"]
     each = _arms(sums).groupBy(*keys).applyInPandas(_contrast(keys), f"degradation string, replicate int, {MEDIATION}")

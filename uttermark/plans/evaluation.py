@@ -482,21 +482,21 @@ def _(s, d):
 def _(s, d):
     p = J.pathway_pairs(cells(s, d), "asr-0").withColumns({"one": F.lit(1.0), "gain": F.col("yo") - F.col("yc")})
     cell = ["omni_llm", "cascade_llm", "degradation", "snr_db"]
-    return M.interval(M.replicate_sums(p, cell, ["one", "gain"], 500), cell, F.col("gain") / F.col("one"), "gain_")
+    return M.interval(M.replicate_sums(p, cell, ["one", "gain"], 2000), cell, F.col("gain") / F.col("one"), "gain_")
 
 
 @query("m4_condition_bootstrap")
 def _(s, d):
     rows = cells(s, d).withColumn("one", F.lit(1.0))
     cell = ["model_family", "pathway", "degradation", "snr_db"]
-    return M.interval(M.replicate_sums(rows, cell, ["one", "ees"], 200), cell, F.col("ees") / F.col("one"), "ees_")
+    return M.interval(M.replicate_sums(rows, cell, ["one", "ees"], 2000), cell, F.col("ees") / F.col("one"), "ees_")
 
 
 @query("m2_bootstrap_cells")
 def _(s, d):
     p = J.paired_rows(cells(s, d)).withColumns({"one": F.lit(1.0), "w": cap_wer()})
     cell = ["asr", "degradation", "snr_db", "llm"]
-    return M.interval(M.replicate_sums(p, cell, ["one", "ees", "w"], 500), cell, F.col("ees") / F.col("one") - (1 - F.col("w") / F.col("one")), "gain_paired_")
+    return M.interval(M.replicate_sums(p, cell, ["one", "ees", "w"], 2000), cell, F.col("ees") / F.col("one") - (1 - F.col("w") / F.col("one")), "gain_paired_")
 
 
 # --- text, parameters, signals ---------------------------------------------------------------------------------
@@ -722,7 +722,9 @@ def _(s, d):
 
 @query("m11_mediation_bootstrap")
 def _(s, d):
-    return M.mediation_bootstrap(cells(s, d).where("llm = 'llm-0'"), replicates=50)
+    rows = cells(s, d)
+    each = [M.mediation_bootstrap(rows.where(F.col("llm") == x), replicates=200).withColumn("llm", F.lit(x)) for x in ("llm-0", "llm-1", "llm-2")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 # --- validation, sources and streams ----------------------------------------------------------------------------
