@@ -62,6 +62,19 @@ def test_words_and_hashes(texts):
     assert len(set(h.tolist())) == len({w for _, w in want})
 
 
+def test_hashes_of_built_strings_differ():
+    """Strings whose polynomials modulo 2**64 are equal for every base, and spans of all lengths and places."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    many = [a, b, a[:1024] + b[1024:], *("x" * n for n in range(1, 60)), *("x" * n + "y" + "x" * (40 - n) for n in range(40))]
+    buf, off = X.buffers(pa.array(many))
+    with np.errstate(over="ignore"):
+        h = X.span_hashes(buf, off[:-1], off[1:])
+        alone = [int(X.span_hashes(*(lambda x: (x, np.array([0]), np.array([len(x)])))(np.frombuffer(t.encode(), np.uint8)))[0]) for t in many]
+    assert h.tolist() == alone and len(set(alone)) == len(many)
+
+
 # --- packing ----------------------------------------------------------------------------------------------------
 
 
@@ -79,17 +92,33 @@ def test_differencing_balances():
     assert sums.max() - sums.min() <= 3
 
 
-def test_segments_give_the_tokenizers_ids():
+def test_a_surplus_gives_windows_that_fit():
+    sizes = np.random.default_rng(1).integers(300, 700, 200)
+    for surplus in (0, 3, 40):
+        sums = np.bincount(packing.divide(sizes, 1024, surplus), weights=sizes)
+        assert sums.max() <= 1024 and len(sums) <= len(np.bincount(packing.divide(sizes, 1024))) + 3
+
+
+def test_ids_are_the_tokenizers_ids(spark):
+    """Odd texts, and every text of a table; both ways of the tokenizer must occur."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    tok = packing.SegmentTokenizer(TOKENIZER)
-    texts = [x or "" for x in TEXTS] + ["don't we're <|endoftext|> ok<|endoftext|>b", "　a  b", "a\x1cb c", "\n\na", "x. \"y\", (z)", "12.5 x²y"]
-    buf, off = X.buffers(pa.array(texts))
-    for _ in range(2):  # new, then remembered
-        with np.errstate(over="ignore"):
-            ids, at = tok.encode(buf, off)
-        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    tok = packing.TextTokenizer(TOKENIZER)
+    assert tok.plain
+    odd = ["don't we're <|endoftext|> ok<|endoftext|>b", "　a  b", "a\x1cb c", "\n\na", "x. \"y\", (z)", "12.5 x²y", "a\u0085b\u200b c\ufeff", "ａ１ ⅷ ½ \U00010400\U0001f600", "he'S it'll ''s", " ", "\n", "x " * 70_000]
+    tables = [r["text"] or "" for d in ("sf0.001", "sf0.01") for r in spark.read.parquet(f"/root/testdata/{d}/documents.parquet").collect()]
+    for x in [*(x or "" for x in TEXTS), *odd, *tables]:
+        assert tok.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    tok.plain = False
+    assert tok.ids(PASSAGE).tolist() == t.encode(PASSAGE, add_special_tokens=False).ids
+
+
+@given(st.text(max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_any_characters(text):
+    tok = packing._tokenizer(TOKENIZER)
+    assert tok.ids(text).tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_pack_round_trip(docs, empty):
@@ -340,8 +369,8 @@ def test_components_equal_brute_force(spark, docs, empty, n):
     assert minhash.components_of(empty).count() == 0
 
 
-def test_closing_comparison_keeps_links_of_low_estimate(spark):
-    """A pair at exactly 0.8 with an unlucky signature, whose every bucket starts with texts linked to nothing."""
+def links_near_the_threshold(spark, **options):
+    """A pair at exactly 0.8 with an unlucky signature, among texts linked to nothing."""
 
     def share(texts):
         with np.errstate(over="ignore"):
@@ -358,14 +387,45 @@ def test_closing_comparison_keeps_links_of_low_estimate(spark):
     rng = np.random.default_rng(5)
     others = [" ".join([core[j] for j in rng.permutation(400)[:340]] + [f"o{k}x{i}" for i in range(60)]) for k in range(50)]
     data = [*enumerate(others), (100, two[0]), (101, two[1])]
-    got = minhash.components_of(spark.createDataFrame(data, "doc_id long, text string"), shingle=1, rounds=0)
-    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {**{i: i for i in range(50)}, 100: 100, 101: 100}
+    got = minhash.components_of(spark.createDataFrame(data, "doc_id long, text string"), shingle=1, **options)
+    return {r["doc_id"]: r["component_id"] for r in got.collect()} == {**{i: i for i in range(50)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 8, "block_shingles": 4000}])
+def test_links_of_low_estimate_are_found(spark, options):
+    assert links_near_the_threshold(spark, **options)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 16, "block_shingles": 3000}])
+def test_recall_in_a_hot_group(spark, options):
+    """Hundreds of near copies of one text, many of their links at 0.80 to 0.82, whole or dealt into small blocks."""
+    rng = np.random.default_rng(11)
+    base = [f"t{i}" for i in range(120)]
+    data = []
+    for i in range(260):
+        w = list(base)
+        for k in rng.permutation(120)[: int(rng.integers(2, 10))]:
+            w[k] = f"z{rng.integers(0, 4000)}"
+        data.append((i, " ".join(w)))
+    want = components_slowly(data, 2)
+    sets = {d: shingles(t, 2) for d, t in data}
+    near = sum(80 <= 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 82 for a in sets for b in sets if a < b)
+    assert near > 100 and len(set(want.values())) > 20
+    got = minhash.components_of(spark.createDataFrame(data, "doc_id long, text string").repartition(4), shingle=2, **options).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_ids_with_several_texts_are_one_document(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    data = [(5, one), (7, one), (7, two), (9, two + " end"), (7, None), (11, three), (3, None)]
+    got = minhash.components_of(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (7, 5), (9, 5), (11, 11), (3, 3)} and len(got) == len(data)
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90])
-def test_closing_bound_loses_no_more_than_the_bands(percent):
+def test_candidate_bound_loses_no_more_than_the_bands(percent):
     s = percent / 100
-    p, equal = 0.25 + 0.75 * s, round((0.25 + 0.75 * minhash.closing_bound(percent)) * minhash.MINIMA)
+    p, equal = 0.25 + 0.75 * s, round((0.25 + 0.75 * minhash.candidate_bound(percent)) * minhash.MINIMA)
     short = sum(math.comb(minhash.MINIMA, i) * p**i * (1 - p) ** (minhash.MINIMA - i) for i in range(equal))
     assert short <= (1 - max(s, 0.8) ** minhash.ROWS) ** minhash.BANDS
 
@@ -459,7 +519,19 @@ def test_op1_and_op2_digests(spark):
     for r in queries.op2_sharding(spark, SF).collect():
         raw = texts[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 8, zlib.crc32(raw), "rows")
-    assert {r["doc_id"] for r in queries.op1_packing(spark, SF).collect()} == set(texts)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    pieces = defaultdict(list)
+    for r in queries.op1_packing(spark, SF).collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    assert set(pieces) == set(texts)
+    for d, found in pieces.items():
+        ids, at = [*t.encode(texts[d], add_special_tokens=False).ids, 0], 0
+        for start, length, crc, total in sorted(found):
+            assert (start, total, crc) == (at, len(ids), zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes()))
+            at += length
+        assert at == len(ids)
 
 
 def test_op3_equals_sql(spark):

@@ -2,21 +2,22 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes), the minima of 256 hash functions,
    28 band keys of four minima, and a signature of the two low bits of each minimum.
-2. Texts with equal sets form a class; the smallest id stands for it from here on.
-3. Classes that share a band key are candidates. In every bucket all members meet one centre.
-4. The similarity of a candidate pair is estimated from its packed signatures: with a share m of
-   equal two-bit values, (m - 1/4) / (1 - 1/4). Pairs far below the threshold are left.
-5. The remaining pairs are confirmed on their full sets. Confirmed links are contracted to
-   components. Buckets that still hold more than one component meet further centres, in every
-   round one of their first component and one of the others, until a round finds no link. At last, the
-   members outside a bucket's first component are compared with all its members by signature; a pair
-   goes on to its sets unless its estimate is so low that a true link has it no more often than the
-   bands miss one (``closing_bound``).
+2. Texts with equal sets form a class; from here on, one node stands for it.
+3. Nodes that share a band key are candidates. Inside each bucket their packed signatures are compared by
+   bit counts: with a share m of equal two-bit values, the similarity is about (m - 1/4) / (1 - 1/4). A pair
+   stays a candidate unless its estimate is so low that a true link has it no more often than the bands
+   miss one (``candidate_bound``). Connected candidates form a family; every link lies within one.
+4. Each node's text goes to its family once, and the family's members are compared on their full sets.
+
+Steps 3 and 4 compare groups of nodes, and neither emits pairs: a search from node to node, over the
+nodes not reached yet, gives only the links of a spanning forest. A group beyond a fixed size is dealt into
+blocks, each with a copy of one centre; the few members that the blocks leave outside the group's
+largest component then meet all blocks as a query set. So memory has a bound and nothing is skipped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -27,14 +28,16 @@ from pyspark.sql import types as T
 
 from uttermark.llm import text as X
 from uttermark.llm.graph import components
-from uttermark.llm.work import folder, written
+from uttermark.llm.work import folder, small, written
 
 BANDS, ROWS, LOW_BITS = 28, 4, 2
 MINIMA = 256  #: the first BANDS * ROWS give the band keys, all of them the signature
 WORDS = MINIMA * LOW_BITS // 64
+BLOCK_ROWS = 4096  #: most signatures compared in one block
+BLOCK_SHINGLES = 2_000_000  #: most shingles of the sets compared in one block, but for a text that has more
 
 
-def closing_bound(percent: int) -> float:
+def candidate_bound(percent: int) -> float:
     """The estimate that a pair at the threshold falls short of no more often than the bands miss it
     (at thresholds below 0.8: than they miss one at 0.8). The count of equal values is binomial."""
     s = percent / 100
@@ -86,8 +89,16 @@ def _minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_keys(sets: list[np.ndarray]) -> list[bytes]:
+    """128-bit keys of non-empty sets."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]])
+    flat = np.concatenate(sets)
+    one, two = np.add.reduceat(X.mix(flat), at), np.add.reduceat(X.mix(flat ^ np.uint64(0x2545F4914F6CDD1D)), at)
+    return [x.tobytes() for x in np.stack([one, two], 1)]
+
+
 def _sketch(shingle: int):
-    names = ["id", "n", "set_key", "bands", *(f"s{i}" for i in range(WORDS))]
+    names = ["id", "n", "set_key", "bands", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -99,68 +110,222 @@ def _sketch(shingle: int):
                     full = np.flatnonzero(n)
                     keys: list[bytes | None] = [None] * len(sets)
                     bands: list[np.ndarray | None] = [None] * len(sets)
-                    packed = np.zeros((len(sets), WORDS), np.uint64)
+                    sig: list[bytes | None] = [None] * len(sets)
                     if len(full):
                         filled = [sets[i] for i in full]
                         m = X.mix(_minima(filled))
-                        at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                        flat = np.concatenate(filled)
-                        one, two = np.add.reduceat(X.mix(flat), at), np.add.reduceat(X.mix(flat ^ np.uint64(0x2545F4914F6CDD1D)), at)
                         key = X.mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :].repeat(len(full), 0)
                         for r in range(ROWS):
                             key = X.mix(key * np.uint64(0x9FB21C651E98DF25) + m[:, r : BANDS * ROWS : ROWS])
                         low = m & np.uint64((1 << LOW_BITS) - 1)
                         each = MINIMA // WORDS
-                        for w in range(WORDS):
-                            shifts = np.arange(each, dtype=np.uint64) * np.uint64(LOW_BITS)
-                            packed[full, w] = np.bitwise_or.reduce(low[:, w * each : (w + 1) * each] << shifts, axis=1)
-                        pair = np.stack([one, two], 1)
-                        for k, i in enumerate(full.tolist()):
-                            keys[i], bands[i] = pair[k].tobytes(), key[k].view(np.int64)
-                    cols = [rb.column(0).slice(a, b - a), pa.array(n), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                    cols += [pa.array(packed[:, w].view(np.int64)) for w in range(WORDS)]
+                        shifts = np.arange(each, dtype=np.uint64) * np.uint64(LOW_BITS)
+                        packed = np.stack([np.bitwise_or.reduce(low[:, w * each : (w + 1) * each] << shifts, axis=1) for w in range(WORDS)], 1)
+                        for k, (i, own) in enumerate(zip(full.tolist(), set_keys(filled), strict=True)):
+                            keys[i], bands[i], sig[i] = own, key[k].view(np.int64), packed[k].tobytes()
+                    cols = [rb.column(0).slice(a, b - a), pa.array(n), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def _sets(shingle: int):
+def estimates(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarity of packed signatures, from bit counts."""
+    x = sig ^ other
+    x = (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    chance = 1 / 2**LOW_BITS
+    return (1 - np.bitwise_count(x).sum(-1, dtype=np.int64) / MINIMA - chance) / (1 - chance)
+
+
+class Members:
+    """Nodes of one block: which of them are near, by signature and, with ``sets``, by full sets."""
+
+    def __init__(self, n: np.ndarray, sig: np.ndarray, percent: int, bound: float, sets: list[np.ndarray] | None = None):
+        self.n, self.sig, self.percent, self.bound, self.flat = n, sig, percent, bound, None
+        if sets is not None:
+            flat = np.concatenate(sets)
+            values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+            several = count > 1  # a shingle of one set is in no intersection
+            keep = several[place]
+            self.flat = (np.cumsum(several) - 1)[place[keep]]
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[keep]
+            self.at = np.searchsorted(owner, np.arange(len(sets) + 1))
+            self.mark = np.zeros(int(several.sum()) + 1, bool)
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` are linked with member ``i``."""
+        n = self.n[others]
+        hit = (np.minimum(n, self.n[i]) * 100 >= np.maximum(n, self.n[i]) * self.percent) & (estimates(self.sig[others], self.sig[i]) >= self.bound)
+        if self.flat is None or not hit.any():
+            return hit
+        some = np.flatnonzero(hit)
+        begin, size = self.at[others[some]], self.at[others[some] + 1] - self.at[others[some]]
+        mine = self.flat[self.at[i] : self.at[i + 1]]
+        self.mark[mine] = True
+        end = np.cumsum(size)
+        shared = self.mark[self.flat[np.arange(end[-1]) + np.repeat(begin - (end - size), size)]]
+        self.mark[mine] = False
+        total = np.concatenate([[0], np.cumsum(shared)])
+        common = total[end] - total[end - size]
+        hit[some] = common * 100 >= (n[some] + self.n[i] - common) * self.percent
+        return hit
+
+
+def forest(members: Members) -> list[tuple[int, int]]:
+    """Links of a spanning forest over all members: each member reached looks for those not reached yet."""
+    out: list[tuple[int, int]] = []
+    left = np.arange(len(members.n))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = members.near(i, left)
+            if hit.any():
+                found = left[hit].tolist()
+                out += [(i, j) for j in found]
+                queue += found
+                left = left[~hit]
+    return out
+
+
+def crossings(members: Members, query: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links of the queried members with members of other labels; one link for any two labels is enough."""
+    out: list[tuple[int, int]] = []
+    label = label.copy()
+    for i in np.flatnonzero(query).tolist():
+        others = np.flatnonzero(label != label[i])
+        if len(others):
+            for j in others[members.near(i, others)].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block (group, i, j); blocks come one after the other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        key = np.stack([rb.column(c).to_numpy() for c in ("group", "i", "j")])
+        edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [rb.num_rows]])
+        for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+            this = tuple(key[:, a].tolist())
+            if held and this != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(rb.slice(a, b - a))
+            last = this
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linked(percent: int, bound: float, shingle: int | None):
+    """Rows (group, i, j, query, label, node, n, sig[, set_key, text]) of whole blocks to links (a, b). A block of the
+    first pass has no labels; all its rows are compared."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array(np.concatenate(x)) for x in (a, b)]
+            a.clear()
+            b.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b"])
+
         with np.errstate(over="ignore"):
-            for rb in batches:
-                data, off = X.buffers(rb.column(1))
-                for a, b in X.slices(off):
-                    sets = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], shingle)
-                    cols = [rb.column(0).slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["id", "set"])
+            for table in _blocks(batches):
+                if table.num_rows < 2:
+                    continue
+                sets = None
+                if shingle is not None:
+                    table, sets = _with_sets(table, shingle)
+                node, n = table["node"].to_numpy(), table["n"].to_numpy()
+                sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64).reshape(-1, WORDS)
+                if len(node) < 2:
+                    continue
+                members = Members(n, sig, percent, bound, sets)
+                if table["label"].null_count:
+                    found = forest(members)
+                else:
+                    found = crossings(members, table["query"].to_numpy(), table["label"].to_numpy())
+                if found:
+                    pairs = node[np.array(found)]
+                    a.append(pairs[:, 0])
+                    b.append(pairs[:, 1])
+                    held += len(found)
+                if held > 50_000:
+                    yield out()
+                    held = 0
+        if a:
+            yield out()
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size of the intersection of two sets, for each row (a, b, set_a, set_b)."""
-    for rb in batches:
-        common = []
-        for x, y in zip(rb.column(2), rb.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            common.append(int((y[at] == x).sum()) if len(y) else 0)
-        sizes = [pa.array([len(x.as_buffer()) // 8 for x in rb.column(i)], pa.int64()) for i in (2, 3)]
-        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(common, pa.int64()), *sizes], names=["a", "b", "common", "na", "nb"])
-
-
-def estimate(left: str = "a", right: str = "b") -> Column:
-    """Collision-corrected similarity of two packed signatures, from bit counts."""
-    even = F.lit(0x5555555555555555)
-    differ = F.lit(0)
-    for i in range(WORDS):
-        x = F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even)
-        differ = differ + F.bit_count(x)
-    chance = 1 / 2**LOW_BITS
-    return (1 - differ / MINIMA - chance) / (1 - chance)
+def _with_sets(table: pa.Table, shingle: int) -> tuple[pa.Table, list[np.ndarray]]:
+    """One row for each node and role, with the set of its text; where an id has several texts, the node's own is taken."""
+    data, off = X.buffers(table["text"])
+    sets: list[np.ndarray] = []
+    for a, b in X.slices(off):
+        sets += shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], shingle)
+    filled = [i for i, x in enumerate(sets) if len(x)]
+    own = dict(zip(filled, set_keys([sets[i] for i in filled]), strict=True)) if filled else {}
+    take: list[int] = []
+    seen = set()
+    for i, (node, key, query) in enumerate(zip(table["node"].to_pylist(), table["set_key"].to_pylist(), table["query"].to_pylist(), strict=True)):
+        if own.get(i) == key and (node, query) not in seen:
+            seen.add((node, query))
+            take.append(i)
+    return table.select(["node", "n", "sig", "query", "label"]).take(pa.array(take, pa.int64())), [sets[i] for i in take]
+
+
+def links(members: DataFrame, weight: str, limit: int, attach: Callable[[DataFrame, str], DataFrame], compare, path: str) -> DataFrame:
+    """Links (``a``, ``b``) that connect all that is linked within the groups of ``members`` (``group``, ``node``, ``weight``).
+
+    ``attach`` adds to rows with a node what ``compare`` needs. Groups of a weight up to ``limit`` are one block.
+    """
+    node_type = members.schema["node"].dataType
+    schema = T.StructType([T.StructField("a", node_type), T.StructField("b", node_type)])
+
+    def compared(blocks: DataFrame, name: str) -> DataFrame:
+        rows = attach(blocks.select("group", "i", "j", "query", "label", "node"), f"{path}/{name}-rows")
+        rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+        return written(rows.mapInArrow(compare, schema).distinct(), f"{path}/{name}")
+
+    def part(parts: str | Column) -> Column:
+        return F.pmod(F.xxhash64("node"), parts)
+
+    def every(parts: str | Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(parts) - 1 if isinstance(parts, str) else parts - 1)
+
+    blocks_for = lambda w: F.greatest(F.ceil(w / F.lit(limit)), F.lit(1)).cast("long")
+    sizes = members.groupBy("group").agg(blocks_for(F.sum(weight)).alias("parts"), F.min("node").alias("low"))
+    sizes = written(sizes, f"{path}/sizes")
+    large = sizes.where("parts > 1")
+    zero = F.lit(0).cast("long")
+    plain = lambda i: [i.alias("i"), zero.alias("j"), F.lit(False).alias("query"), F.lit(None).cast(node_type).alias("label"), F.col("node")]
+    if large.isEmpty():
+        return compared(members.select("group", *plain(zero)), "all")
+    dealt = members.join(sizes, "group")
+    at = F.when(F.col("node") == F.col("low"), every("parts")).otherwise(F.array(part(F.col("parts"))))
+    dealt = dealt.withColumn("at", F.explode(at)).select("group", *plain(F.col("at")))
+    first = compared(dealt, "all")
+    # what a large group's blocks leave outside its largest component is a query set against all of the group
+    labels = components(first, f"{path}/c")
+    inside = members.join(large, "group").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    inside = written(inside.select("group", "node", "label", "parts", weight), f"{path}/large")
+    each = inside.groupBy("group", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum(weight).alias("w"))
+    main = each.groupBy("group").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), (F.sum("w") - F.max_by("w", F.struct("rows", "label"))).alias("w"), F.count(F.lit(1)).alias("labels"))
+    main = main.where("labels > 1").select("group", "main", blocks_for(F.col("w")).alias("queries"))
+    inside = inside.join(main, "group")
+    query = inside.where("label <> main").select("group", part(F.col("queries")).alias("i"), F.explode(every("parts")).alias("j"), F.lit(True).alias("query"), "label", "node")
+    other = inside.select("group", F.explode(every("queries")).alias("i"), part(F.col("parts")).alias("j"), F.lit(False).alias("query"), "label", "node")
+    return first.unionByName(compared(query.unionByName(other), "rest"))
 
 
 def components_of(
@@ -169,7 +334,8 @@ def components_of(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = 4,
+    block_rows: int = BLOCK_ROWS,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """The near-duplicate component of every row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -183,103 +349,48 @@ def components_of(
     spark, path = docs.sparkSession, folder(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("id", kind),
-            T.StructField("n", T.LongType()),
-            T.StructField("set_key", T.BinaryType()),
-            T.StructField("bands", T.ArrayType(T.LongType())),
-            *(T.StructField(f"s{i}", T.LongType()) for i in range(WORDS)),
-        ]
-    )
+    fields = {"id": kind, "n": T.LongType(), "set_key": T.BinaryType(), "bands": T.ArrayType(T.LongType()), "sig": T.BinaryType()}
+    schema = T.StructType([T.StructField(k, v) for k, v in fields.items()])
     sketches = written(docs.mapInArrow(_sketch(shingle), schema), f"{path}/sketches")
     full = sketches.where("n > 0 and id is not null")
-    sig = [f"s{i}" for i in range(WORDS)]
-    classes = full.groupBy("set_key").agg(F.min("id").alias("node"))
-    nodes = full.join(classes, "set_key").where("id = node")
-    # one row for each class and band, where at least two classes share the key
-    keyed = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    several = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    buckets = written(keyed.join(several.select("bucket", "low"), "bucket"), f"{path}/buckets")
-    members = buckets.select("node").distinct()
-    inside = written(nodes.join(members, "node", "left_semi").select("node", "n", *sig).dropDuplicates(["node"]), f"{path}/inside")
-    wanted = docs.join(inside.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    sets_schema = T.StructType([T.StructField("id", kind), T.StructField("set", T.BinaryType())])
-    sets = written(wanted.mapInArrow(_sets(shingle), sets_schema), f"{path}/sets")
-
-    pair_schema = T.StructType(
-        [T.StructField("a", kind), T.StructField("b", kind)] + [T.StructField(c, T.LongType()) for c in ("common", "na", "nb")]
-    )
-    low, closest = percent / 100 - 0.3, closing_bound(percent) - 1e-9
-
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        left = inside.select(F.col("node").alias("a"), F.struct("n", *sig).alias("x"))
-        right = inside.select(F.col("node").alias("b"), F.struct("n", *sig).alias("y"))
-        near = pairs.join(left, "a").join(right, "b")
-        near = near.where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-        near = near.where(estimate("x", "y") >= low).select("a", "b").distinct()
-        near = near.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        near = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        found = near.select("a", "b", "set_a", "set_b").mapInArrow(_shared, pair_schema)
-        found = found.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
-        return written(found.select("a", "b"), f"{path}/links-{name}")
-
-    def ordered(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    links = confirm(buckets.where("node <> low").select(*ordered("node", "low")).distinct(), "0")
-    labels = components(links, f"{path}/c0")
-    open_rows = buckets.select("bucket", "node")
-
-    def unresolved(rows: DataFrame, name: str) -> DataFrame:
-        """Rows with their present component, of buckets that hold more than one."""
-        now = rows.select("bucket", "node").join(labels, "node", "left")
-        now = now.select("bucket", "node", F.coalesce("component", "node").alias("label"))
-        mixed = now.groupBy("bucket").agg(
-            F.min("label").alias("main"), F.max("label").alias("other"), F.count(F.lit(1)).alias("size")
-        )
-        mixed = mixed.where("main <> other and size > 2").drop("other")
-        return written(now.join(mixed, "bucket"), f"{path}/open-{name}")
-
-    for r in range(1, rounds + 1):
-        open_rows = unresolved(open_rows, str(r))
-        if open_rows.isEmpty():
-            break
-        # two centres: one of the bucket's first component and one of all others
-        inner = F.col("label") == F.col("main")
-        pick = F.struct(F.xxhash64("node", F.lit(r)), "node", "label")
-        centres = open_rows.groupBy("bucket").agg(F.min(F.when(inner, pick)).alias("x"), F.min(F.when(~inner, pick)).alias("y"))
-        met = open_rows.join(centres, "bucket").select("node", "label", F.explode(F.array("x", "y")).alias("c"))
-        met = met.where(F.col("label") != F.col("c.label")).select("node", F.col("c.node").alias("centre"))
-        new = confirm(met.select(*ordered("node", "centre")).distinct(), str(r))
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        labels = components(links, f"{path}/c{r}")
-
-    open_rows = unresolved(open_rows, "last")
-    if not open_rows.isEmpty():
-        # what is left of every bucket meets all of it; no pair leaves the join unless its signatures are near
-        whole = open_rows.join(inside, "node").select("bucket", "label", "main", F.struct("node", "n", *sig).alias("x"))
-        left = whole.where("label <> main")
-        right = whole.select("bucket", F.col("label").alias("label_y"), F.col("x").alias("y"))
-        differ = (F.col("label") != F.col("label_y")) & (F.col("x.node") != F.col("y.node"))
-        sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-        near = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & differ & sizes & (estimate("x", "y") >= closest))
-        new = confirm(near.select(*ordered("x.node", "y.node")).distinct(), "last")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links, f"{path}/c-last")
-
-    joined = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = sketches.select("id", "n", "set_key").join(joined, "set_key", "left")
-    if not _unique(sketches):
-        same = out.where("id is not null").groupBy("id").agg(F.min(F.coalesce("component", "id")).alias("a"), F.max(F.coalesce("component", "id")).alias("b"))
-        merged = components(same.select("a", "b").unionByName(links), f"{path}/c-ids").select(F.col("node").alias("component"), F.col("component").alias("root"))
-        out = out.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component"))
-    own = F.when(F.col("id").isNull(), F.lit(None).cast(kind)).otherwise(F.coalesce("component", "id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    alike = [F.first(c).alias(c) for c in ("n", "bands", "sig")]
+    nodes = full.groupBy("set_key").agg(F.min("id").alias("least"), *alike)
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), f"{path}/nodes")  # numbers hold once written
+    bound = candidate_bound(percent) - 1e-9
+
+    # signatures, inside the buckets that several nodes share
+    keyed = nodes.select("node", F.explode("bands").alias("group"))
+    shared = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    buckets = written(keyed.join(shared, "group"), f"{path}/buckets").withColumn("one", F.lit(1))
+    signed = nodes.select("node", "n", "sig")
+    candidates = links(buckets, "one", block_rows, lambda x, _: x.join(signed, "node"), _linked(percent, bound, None), f"{path}/a")
+    families = components(candidates, f"{path}/families").withColumnRenamed("component", "group")
+
+    # full sets, inside the families
+    members = written(families.join(nodes.drop("bands"), "node"), f"{path}/members")
+    narrow = members.select("group", "node", "n")
+
+    def with_text(blocks: DataFrame, name: str) -> DataFrame:
+        rows = small(written(blocks.join(members.select("node", "n", "sig", "set_key", "least"), "node"), name))
+        cols = ["group", "i", "j", "query", "label", "node", "n", "sig", "set_key", "text"]
+        return docs.join(rows, F.col("id") == F.col("least")).select(cols)
+
+    found = links(narrow, "n", block_shingles, with_text, _linked(percent, bound, shingle), f"{path}/b")
+    rows = sketches.select("id", "n", "set_key")
+    unique = _unique(sketches)
+    if not unique:  # the texts of one id are one document
+        of = rows.where("n > 0 and id is not null").join(nodes.select("set_key", "node"), "set_key")
+        same = of.groupBy("id").agg(F.min("node").alias("a"))
+        found = found.unionByName(of.join(same, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    labels = components(found, f"{path}/c")
+    placed = nodes.select("set_key", "node", "least").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    roots = placed.where("component is not null").groupBy("root").agg(F.min("least").alias("smallest"))
+    placed = placed.join(roots, "root", "left").select("set_key", F.coalesce("smallest", "least").alias("component"))
+    out = rows.join(placed, "set_key", "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
+    if not unique:
+        least = out.where("id is not null").groupBy(F.col("id").alias("of")).agg(F.min("component").alias("least"))
+        out = out.join(least, F.col("id") == F.col("of"), "left").withColumn("component", F.col("least"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
 
 

@@ -8,11 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 500_000  #: most narrow rows that are sent to all executors
+
 
 def folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """A new folder name below ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, else an
+    error, since executors would not share it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='uttermark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{uuid.uuid4().hex}"
@@ -27,3 +32,8 @@ def written(df: DataFrame, path: str) -> DataFrame:
 def drawn(rows: DataFrame, key: str, n: int) -> DataFrame:
     """At most ``n`` rows of a narrow table, by a hash of ``key``; the same rows whatever the partitions."""
     return rows.orderBy(F.xxhash64(key), key).limit(n)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count shows at most ``rows`` rows, else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
