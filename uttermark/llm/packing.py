@@ -24,9 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from uttermark.llm.text import SAME, buffers, hashed_words, mix, slices
-
-_TOKENIZERS: dict[str, SegmentTokenizer] = {}
+_TOKENIZERS: dict[str, TextTokenizer] = {}
 
 
 def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -68,40 +66,45 @@ def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
-def divide(sizes: np.ndarray, capacity: int) -> np.ndarray:
+def divide(sizes: np.ndarray, capacity: int, surplus: int = 0) -> np.ndarray:
     """Window of each piece, none above ``capacity``.
 
-    The window count starts from the least possible and rises by growing steps while some window
-    exceeds the capacity; then counts between the last failure and the success are tried.
+    The window count starts ``surplus`` above the least possible and rises by growing steps while some window
+    exceeds the capacity. Then smaller counts are tried, down to one above the last that failed.
     """
-    low = max(1, -(-int(sizes.sum()) // capacity)) - 1
-    best, high, step = None, low + 1, 1
-    while best is None or high - low > 1:
-        k = high if best is None else (low + high) // 2
+
+    def fitting(k: int) -> np.ndarray | None:
         window = karmarkar_karp(sizes, k)
-        if np.bincount(window, weights=sizes, minlength=k).max() <= capacity:
-            best, high = window, k
+        return window if np.bincount(window, weights=sizes, minlength=k).max() <= capacity else None
+
+    least = max(1, -(-int(sizes.sum()) // capacity))
+    low, high, step = least - 1, least + surplus, 1
+    while (best := fitting(high)) is None:
+        low, high, step = high, high + step, 2 * step
+    step = 1
+    while high - low > 1:
+        k = max(low + 1, high - step)
+        window = fitting(k)
+        if window is None:
+            low, step = k, max(1, (high - k) // 2)
         else:
-            low = k
-            if best is None:
-                high, step = k + step, 2 * step
+            best, high, step = window, k, 2 * step
     return best
 
 
-class SegmentTokenizer:
-    """Ids of whole texts from a byte-level tokenizer file, by way of a bounded memory of words.
+class TextTokenizer:
+    """Ids of whole texts from a tokenizer file.
 
-    Where every white-space byte of a text is a space or line break alone between two other
-    characters, it begins a new pre-token, so the text may be cut there and the words' ids put end
-    to end; so it may between letters and signs. Parts of letters alone are one pre-token and
-    are merged by the same vocabulary in tiktoken, which is quicker. All other parts, and all texts
-    with other white space, go through the tokenizer itself. Words are remembered by 64-bit hash.
+    Where the file is a byte-level BPE whose ids are in the order of its merges, tiktoken merges by the same
+    vocabulary in less time. It takes a text if both libraries give the same ids for a probe of each
+    character in it, which shows that both put the character into the same class of pre-tokens, and if the text
+    holds no added token. All other texts go through the tokenizers library itself.
     """
 
-    SIGNS = ".,;:!?%&$*#|()\"-"
-    WHOLE = 0  #: the index of words that must not be cut from their text
+    #: the file's pre-tokens: contractions, letters, digits and signs with the space before them, white space
+    PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
-    def __init__(self, path: str, remembered: int = 350_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,116 +113,43 @@ class SegmentTokenizer:
             spec = json.load(f)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.merge = self._merger(spec)
-        self.remembered = remembered
-        self.clear()
+        self.alike: dict[str, bool] = {}
+        self.plain = self.merge is not None and all(self._alike(chr(i)) for i in range(128))
 
     def _merger(self, spec: dict):
-        """Ids of one pre-token. tiktoken merges by id, which is right where ids are in merge order."""
+        """tiktoken merges by id, which is right where ids are in the order of the merges."""
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model.get("merges", [])]
         ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
-        if pre.get("type") != "ByteLevel" or not ids or min(ids) < 256 or any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
-            return self._whole
+        known = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None
+        if not known or not ids or min(ids) < 256 or any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
+            return None
         import tiktoken
 
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in plain)}
         ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in self.added}
-        return tiktoken.Encoding("file", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("file", pat_str=self.PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 16, np.int64)
-        self.known = 1
-
-    def _part(self, part: str, one: bool) -> tuple[int, ...]:
-        found = self.parts.get(part)
+    def _alike(self, c: str) -> bool:
+        found = self.alike.get(c)
         if found is None:
-            found = self.parts[part] = tuple(self.merge(part) if one else self._whole(part))
+            probe = f"a{c}b {c}1{c} {c}{c}  {c}\n{c}!{c}'s{c} '{c} "
+            found = self.alike[c] = np.array_equal(self._library(probe), self.merge.encode_to_numpy(probe, disallowed_special=()))
         return found
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word, with the space before it if it has one."""
-        core = word.rstrip(self.SIGNS)
-        if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()) or len(core) == 1 and core.isalpha():
-            out = self._part(core, True)
-            return out + self._part(word[len(core) :], False) if len(core) < len(word) else out
-        return tuple(self._whole(word))
-
-    def _learn(self, words: list[bytes], before: list[int], keys: list[int]) -> None:
-        n, found = self.known, []
-        for raw, kind, key in zip(words, before, keys, strict=True):
-            word = raw.decode()
-            if word[0].isspace() or word[-1].isspace():
-                self.index[key] = self.WHOLE
-                continue
-            self.index[key] = n + len(found)
-            found.append(self._part("\n", False) + self._word(word) if kind == 2 else self._word(" " + word if kind else word))
-        flat = np.fromiter((i for x in found for i in x), np.uint32)
-        used = int(self.at[n])
-        while used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(found) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.ids[used : used + len(flat)] = flat
-        self.at[n + 1 : n + len(found) + 1] = used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        self.known = n + len(found)
-
-    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts in ``buf`` end to end, and the texts' offsets into them."""
-        if max(self.known, len(self.parts)) > self.remembered:
-            self.clear()
-        rows = len(off) - 1
-        h, row, s, e = hashed_words(buf, off, SAME)
-        first = np.ones(len(s), bool)
-        first[1:] = row[1:] != row[:-1]
-        gap = s.copy()
-        gap[1:] -= e[:-1]
-        gap[first] = s[first] - off[row[first]]
-        lead = buf[np.maximum(s - 1, 0)]
-        odd = np.where(first, gap != 0, (gap != 1) | (lead != 32) & (lead != 10)) if len(s) else first
-        last = np.ones(len(s), bool)
-        last[:-1] = first[1:]
-        odd[last] |= e[last] != off[row[last] + 1]
-        before = np.where(first, 0, np.where(lead == 32, 1, 2))
-        keys, at, inverse = np.unique(h ^ mix(before.astype(np.uint64)), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        found = list(map(self.index.get, keys))
-        if None in found:
-            new = [i for i, x in enumerate(found) if x is None]
-            where = at[new]
-            words = [buf[a:b].tobytes() for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)]
-            self._learn(words, before[where].tolist(), [keys[i] for i in new])
-            found = list(map(self.index.__getitem__, keys))
-        seg = np.array(found, np.int64)[inverse] if len(s) else np.zeros(0, np.int64)
-        odd |= seg == self.WHOLE
-        whole = np.zeros(rows, bool)
-        whole[row[odd]] = True
-        counts = np.bincount(row, minlength=rows)
-        whole |= (counts == 0) & (np.diff(off) > 0)
-        start, lens = self.at[seg], self.at[seg + 1] - self.at[seg]
-        lens[whole[row]] = 0
-        end = np.cumsum(lens)
-        total = int(end[-1]) if len(end) else 0
-        ids = self.ids[np.arange(total) + np.repeat(start - (end - lens), lens)]
-        to = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts)])]
-        if not whole.any():
-            return ids, to
-        parts = [
-            np.array(self._whole(buf[off[i] : off[i + 1]].tobytes().decode()), np.uint32) if whole[i] else ids[to[i] : to[i + 1]]
-            for i in range(rows)
-        ]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum(list(map(len, parts)))])
+    def ids(self, text: str) -> np.ndarray:
+        if self.plain and not any(x in text for x in self.added) and (text.isascii() or all(map(self._alike, set(text)))):
+            return self.merge.encode_to_numpy(text, disallowed_special=())
+        return self._library(text)
 
 
-def _tokenizer(path: str) -> SegmentTokenizer:
+def _tokenizer(path: str) -> TextTokenizer:
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = SegmentTokenizer(path)
+        _TOKENIZERS[path] = TextTokenizer(path)
     return _TOKENIZERS[path]
 
 
@@ -251,7 +181,7 @@ def pack(
     ``sequence_id`` (task number and count inside the task) and ``offset`` in the sequence.
 
     A null or empty text is the separator alone. Repeated rows and repeated or null ids are
-    packed row by row. Other columns of ``docs`` are ignored, whatever their names. An empty
+    packed row by row. Of pieces of equal length, the one that comes first in its block is merged first. Other columns of ``docs`` are ignored, whatever their names. An empty
     table gives no rows. Input rows must come in the same order when a task is redone, as they
     do from files.
     """
@@ -272,7 +202,7 @@ def pack(
         tok = _tokenizer(tokenizer_path)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
-        made = 0
+        made = surplus = 0
         ids_type = None
         out: list[list] = [[] for _ in range(7)]
         block: list[tuple] = []
@@ -286,12 +216,13 @@ def pack(
                 size += row[2]
 
         def flush_block():
-            nonlocal made, block
+            nonlocal made, block, surplus
             if not block:
                 return
             sizes = np.fromiter((x[2] for x in block), np.int64, len(block))
-            window = divide(sizes, capacity)
+            window = divide(sizes, capacity, surplus)
             fill = [0] * (int(window.max()) + 1)
+            surplus = len(fill) - max(1, -(-int(sizes.sum()) // capacity))  # where the next block's count starts
             for x, w in zip(block, window.tolist(), strict=True):
                 emit([(*x, base + made + w, fill[w])])
                 fill[w] += x[2]
@@ -305,28 +236,24 @@ def pack(
             out, size = [[] for _ in range(7)], 0
             return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
+        stop = np.array([separator], "<u4").tobytes()
         for rb in batches:
             ids_type = rb.column(0).type
-            data, rows = buffers(rb.column(1))
-            for at, end in slices(rows):
-                ids, off = tok.encode(data[rows[at] : rows[end]], rows[at : end + 1] - rows[at])
-                raw = ids.astype("<u4").tobytes()
-                stop = np.array([separator], "<u4").tobytes()
-                for i in range(end - at):
-                    n = int(off[i + 1] - off[i]) + 1
-                    doc, lo = rb.column(0)[at + i].as_py(), int(off[i])
-                    mine = raw[4 * lo : 4 * (lo + n - 1)] + stop
-                    for start, length in cut(n, capacity, piece_tokens):
-                        row = (doc, start, length, mine[4 * start : 4 * (start + length)], n)
-                        if length == capacity:
-                            emit([(*row, base + made, 0)])
-                            made += 1
-                        else:
-                            block.append(row)
-                    if len(block) >= block_pieces:
-                        flush_block()
-                    if size >= 1 << 20:
-                        yield batch()
+            for doc, text in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
+                text = text.as_py()
+                raw = (tok.ids(text).astype("<u4").tobytes() if text else b"") + stop
+                n = len(raw) // 4
+                for start, length in cut(n, capacity, piece_tokens):
+                    row = (doc, start, length, raw[4 * start : 4 * (start + length)], n)
+                    if length == capacity:
+                        emit([(*row, base + made, 0)])
+                        made += 1
+                    else:
+                        block.append(row)
+                if len(block) >= block_pieces:
+                    flush_block()
+                if size >= 1 << 20:
+                    yield batch()
         flush_block()
         if size:
             yield batch()
