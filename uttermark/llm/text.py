@@ -1,9 +1,9 @@
 """Vectorised views of Arrow text columns: word spans, word hashes and n-gram hashes.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D of the UTF-8 text, with A-Z
-lower-cased on request. A word's hash is a polynomial over its bytes modulo 2**64, taken from
-prefix sums so that a whole batch of documents is hashed in a few passes, then mixed with its
-length.
+lower-cased on request. A word's hash is the sum of its eight-byte parts, each mixed with its place
+by a bijection on 64 bits, mixed again with the word's length. A whole batch of documents is hashed
+in a few passes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
+_KEPT = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+_PART = np.uint64(0x9FB21C651E98DF25)
+_place = [np.zeros(0, dtype=np.uint64)]
+
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -44,6 +48,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _places(n: int) -> np.ndarray:
+    """A random word for each place of a part in its span, at least ``n``."""
+    if len(_place[0]) < n:
+        with np.errstate(over="ignore"):
+            _place[0] = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return _place[0]
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -91,11 +103,19 @@ def span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray
     """Hash of each span ``buf[s:e]`` after mapping its bytes through ``table``."""
     if len(s) == 0:
         return np.zeros(0, np.uint64)
-    pw, inv = powers(len(buf) + 1)
-    pref = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((table[buf].astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=pref[1:])
-    h = (pref[e] - pref[s]) * inv[s]
-    return mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    np.take(table, buf, out=padded[: len(buf)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = e - s
+    h = mix((eight[s] & _KEPT[np.minimum(size, 8)]) * _PART + _places(1)[0])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3  # parts after the first
+        first = np.cumsum(more) - more
+        k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        part = eight[np.repeat(s[long], more) + 8 * k] & _KEPT[np.minimum(np.repeat(size[long], more) - 8 * k, 8)]
+        h[long] += np.add.reduceat(mix(part * _PART + _places(int(more.max()) + 1)[k]), first)
+    return mix(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def ngrams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
