@@ -7,12 +7,15 @@ a group that lies in one document is dropped at once:
 - First digit: a gram of ``GRAM`` bytes. Of the grams in a string of ``width`` bytes, the one with the
   smallest hash is its anchor, so equal strings have equal anchors at equal places, and only anchors need
   to be sorted: about two for every ``width - GRAM`` bytes.
-- Second digit: the anchor's surroundings, all bytes that a string with this anchor can reach, as one
-  128-bit key. Where a document with a smaller id has the same surroundings, all strings through the
-  anchor repeat, and nothing further is sorted. Every task first merges its own equal surroundings, so
-  very common passages cost one row for each task.
+- Second digit: the anchor's surroundings, all bytes that a string with this anchor can reach, as a 64-bit
+  key, compared only among equal grams. Where a document with a smaller id has the same surroundings, all
+  strings through the anchor repeat, and nothing further is sorted. Every task first merges its own equal
+  surroundings, so very common passages cost one row for each task. Rows arrive sorted and are taken as they
+  come, so an anchor of any number of rows needs no more memory.
 - Further digits, for anchors whose surroundings differ: the strings through the anchor are sorted by eight
   bytes at a time until their end, and groups with one document are dropped after each pass.
+- An anchor with more than ``HOT_ROWS`` different surroundings would be one large group. Its strings are dealt
+  out one by one instead, by two 64-bit hashes of their bytes, after each task has merged its own equal ones.
 
 A string that starts in a document with a smaller id is removed from all later ones.
 """
@@ -20,17 +23,20 @@ A string that starts in a document with a smaller id is removed from all later o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uttermark.llm import text as X
-from uttermark.llm.work import folder, written
+from uttermark.llm.work import folder, small, written
 
 GRAM = 20
+HOT_ROWS = 4096  #: most different surroundings of an anchor that are sorted together
 SLICE = 1 << 19
 
 
@@ -145,37 +151,75 @@ def _first_digits(width: int):
 
 
 def _second_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some anchors to (id, key, kind): resolved ones, and those whose strings must be sorted."""
-    found = list(batches)
-    if not found:
-        return
-    table = pa.Table.from_batches(found)
-    anchor, key, kind = (table[c].to_numpy() for c in ("anchor", "key", "kind"))
-    ids = table["id"].combine_chunks()
-    code = _codes(ids)
-    local = np.flatnonzero(kind == RESOLVED)
-    at = np.flatnonzero(kind == SHARED)
-    order = at[np.lexsort((code[at], key[at], anchor[at]))]
-    h, k, c = anchor[order], key[order], code[order]
-    if len(order):
-        new_h = np.ones(len(h), bool)
-        new_h[1:] = h[1:] != h[:-1]
-        new_k = new_h.copy()
-        new_k[1:] |= k[1:] != k[:-1]
+    """Rows sorted by anchor, key and id to (id, key, kind, anchor): resolved ones, and the first of each key
+    where an anchor has several. What a batch must know of the one before is its last row, the least id of that
+    row's key, and the first row of that anchor while no second key has been seen."""
+    last: tuple[int, int] | None = None
+    least = None  # an array of one id
+    alone = None  # a row (id, key) of an anchor with one key so far
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        anchor, key, kind = (rb.column(c).to_numpy() for c in ("anchor", "key", "kind"))
+        ids = rb.column(rb.schema.get_field_index("id"))
+        new_h, new_k = np.ones(len(key), bool), np.ones(len(key), bool)
+        new_h[1:] = anchor[1:] != anchor[:-1]
+        new_k[1:] = new_h[1:] | (key[1:] != key[:-1])
+        goes_on = last is not None and last[0] == anchor[0]
+        same_key = goes_on and last[1] == key[0]
+        if same_key:
+            new_k[0] = False
+        # the least id of each row's key, with the one carried over in front
+        first = np.maximum.accumulate(np.where(new_k, np.arange(len(key)) + 1, 0))
+        known = pa.concat_arrays([least if least is not None else ids.slice(0, 1), ids])
+        leasts = known.take(pa.array(first))
         group = np.cumsum(new_h) - 1
         keys = np.bincount(group, weights=new_k)
-        begin = np.flatnonzero(new_h)
-        several = (keys > 1) & (np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin))
-        least = c[np.flatnonzero(new_k)[np.cumsum(new_k) - 1]]
-        resolved = c > least
-        still = new_k & several[group]
-        take = np.concatenate([local, order[resolved], order[still]])
-        kinds = np.concatenate([np.full(len(local) + resolved.sum(), RESOLVED), np.full(still.sum(), OPEN)]).astype(np.int8)
-    else:
-        take, kinds = local, np.full(len(local), RESOLVED, np.int8)
-    for lo in range(0, len(take), 100_000):
-        part = take[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(part)), pa.array(key[part]), pa.array(kinds[lo : lo + 100_000])], names=["id", "key", "kind"])
+        several = keys > 1
+        if goes_on:
+            several[0] = alone is None or keys[0] > 0
+        if pa.types.is_integer(ids.type):  # strings of one document need no comparison; an anchor at an edge may have more
+            code, begin = ids.to_numpy(), np.flatnonzero(new_h)
+            inner = np.minimum.reduceat(code, begin) != np.maximum.reduceat(code, begin)
+            inner[[0, -1]] = True
+            several &= inner
+        resolved = (kind == RESOLVED) | pc.not_equal(ids, leasts).to_numpy(zero_copy_only=False)
+        still = new_k & several[group] & (kind == SHARED)
+        out = [(ids.filter(pa.array(x)), key[x], np.full(x.sum(), k, np.int8), anchor[x]) for x, k in ((resolved, RESOLVED), (still, OPEN))]
+        if goes_on and alone is not None and several[0]:
+            out.append((alone[0], alone[1], np.array([OPEN], np.int8), anchor[:1]))
+        # the anchor that the batch ends with
+        end = np.flatnonzero(new_k & (group == group[-1]))
+        begun_here = not (goes_on and group[-1] == 0)
+        if kind[-1] == RESOLVED or several[-1] and (begun_here or keys[0] > 0 or alone is None):
+            alone = None
+        elif begun_here:
+            alone = (ids.slice(int(end[0]), 1), key[end[:1]])
+        last, least = (int(anchor[-1]), int(key[-1])), leasts.slice(len(key) - 1, 1)
+        parts = [x for x in out if len(x[0])]
+        if parts:
+            cols = [pa.concat_arrays([x[0] for x in parts]), *(pa.array(np.concatenate([x[i] for x in parts])) for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "kind", "anchor"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows, sorted by anchor, that hold all rows of each of their anchors."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for rb in batches:
+        held.append(rb)
+        n += rb.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held)
+            anchor = table["anchor"].to_numpy()
+            other = np.flatnonzero(anchor != anchor[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+            n = len(table) - cut
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def _surroundings(width: int):
@@ -235,10 +279,10 @@ def _last_digits(width: int):
     side, w = width - GRAM, width - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(batches)
-        if not found:
-            return
-        table = pa.Table.from_batches(found)
+        for table in _whole_groups(batches):
+            yield repeated(table)
+
+    def repeated(table: pa.Table) -> pa.RecordBatch:
         n = len(table)
         anchor, key, left = (table[c].to_numpy() for c in ("anchor", "key", "left"))
         ids = table["id"].combine_chunks()
@@ -269,11 +313,52 @@ def _last_digits(width: int):
         _, past = np.nonzero(edge == -1)
         take = hit[r1]
         ranges = (first << 16 | (past - 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), pa.array(key[take]), pa.array(ranges)], names=["id", "key", "range"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(take)), pa.array(key[take]), pa.array(ranges)], names=["id", "key", "range"])
 
     return run
 
 
+def _hot_strings(width: int):
+    """(id, text, keys) to (one, two, id, key, range, settled): every string through the anchors with these keys, by two
+    hashes. Of equal strings in a slice of rows, only the smallest id's is still to be settled."""
+    w = width - GRAM + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for a, b, buf, off in _slices(rb, 1):
+                with np.errstate(over="ignore"):
+                    at, row, _, key = _keyed(buf, off, width)
+                    edge = X.bounds(row, b - a)
+                    mine = []
+                    for i in range(b - a):
+                        wanted = rb.column(2)[a + i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                        mine.append(edge[i] + np.flatnonzero(np.isin(key[edge[i] : edge[i + 1]], wanted)))
+                    take = np.repeat(np.concatenate(mine), w)
+                    back = np.tile(np.arange(w), len(take) // w)
+                    begin = at[take] - back
+                    inside = (begin >= off[row[take]]) & (begin + width <= off[row[take] + 1])
+                    take, back, begin = take[inside], back[inside], begin[inside]
+                    if not len(take):
+                        continue
+                    one = X.span_hashes(buf, begin, begin + width, X.SAME)
+                    two = X.span_hashes(buf, begin, begin + width, _TURNED)
+                ids = rb.column(0).slice(a, b - a)
+                code = _codes(ids)[row[take]]
+                order = np.lexsort((back, key[take], code, two, one))
+                take, back, one, two, code = take[order], back[order], one[order], two[order], code[order]
+                new = np.ones(len(take), bool)
+                new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                least = code[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                cols = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids.take(pa.array(row[take])), pa.array(key[take].view(np.int64))]
+                cols += [pa.array((back << 16 | back).astype(np.int32)), pa.array(code > least)]
+                yield pa.RecordBatch.from_arrays(cols, names=["one", "two", "id", "key", "range", "settled"])
+
+    return run
+
+
+_TURNED = np.array([(x * 167 + 41) % 256 for x in range(256)], np.uint8)  #: another alphabet, for another hash
+
+
 def _cut(width: int, names: list[str], as_text: bool):
     """(id, text, keys, ranges, other columns) to the text's bytes left and the removed runs."""
     side = width - GRAM
@@ -330,11 +415,12 @@ def _spans(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Remove every byte covered by a string of ``width`` bytes that also starts in a row with a smaller id.
 
     Returns the id, ``n_bytes``, ``starts`` and ``ends`` of the removed runs, ``kept`` and the columns
-    in ``keep``. ``kept`` holds the bytes left, or with ``as_text`` the characters of which all bytes are left. Strings are judged on the input and never cross rows; a null text is empty.
+    in ``keep``. ``kept`` holds the bytes left, or with ``as_text`` the characters of which all bytes are left.
+    Strings are judged on the input and never cross rows; a null text is empty. Texts of any length are cut whole.
     Rows of one id do not remove each other's strings. Rows with a null id stay whole and remove nothing.
     Other columns are ignored. An empty table gives no rows. ``width`` is from 24 to 4000.
     """
@@ -351,14 +437,28 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     long, byte, integer = T.LongType(), T.ByteType(), T.IntegerType()
     first = known.mapInArrow(_first_digits(width), schema(("anchor", long), ("key", long), ("id", id_type), ("kind", byte)))
-    second = first.repartition("anchor").mapInArrow(_second_digits, schema(("id", id_type), ("key", long), ("kind", byte)))
-    found = written(second, f"{path}/found")
-    unsettled = found.where(F.col("kind") == OPEN).groupBy("id").agg(F.collect_set("key").alias("keys"))
-    texts = known.join(unsettled, "id").select("id", "text", "keys")
-    around = texts.mapInArrow(_surroundings(width), schema(("anchor", long), ("key", long), ("id", id_type), ("left", integer), ("bytes", T.BinaryType())))
-    last = around.repartition("anchor").mapInArrow(_last_digits(width), schema(("id", id_type), ("key", long), ("range", integer)))
-    settled = found.where(F.col("kind") == RESOLVED).select("id", "key", F.lit(width - GRAM).alias("range"))
-    strings = written(settled.unionByName(last), f"{path}/strings")
+    first = first.repartition("anchor").sortWithinPartitions("anchor", "key", "id")
+    found = written(first.mapInArrow(_second_digits, schema(("id", id_type), ("key", long), ("kind", byte), ("anchor", long))), f"{path}/found")
+    unsettled = found.where(F.col("kind") == OPEN)
+    hot = unsettled.groupBy("anchor").agg(F.countDistinct("key").alias("n")).where(F.col("n") > hot_rows).select("anchor")
+    hot = written(hot, f"{path}/hot")
+    settled = [found.where(F.col("kind") == RESOLVED).select("id", "key", F.lit(width - GRAM).alias("range"))]
+
+    def with_keys(rows: DataFrame) -> DataFrame:
+        return known.join(rows.groupBy("id").agg(F.collect_set("key").alias("keys")), "id").select("id", "text", "keys")
+
+    if not hot.isEmpty():
+        hot = small(hot)
+        kinds = schema(("one", long), ("two", long), ("id", id_type), ("key", long), ("range", integer), ("settled", T.BooleanType()))
+        dealt = written(with_keys(unsettled.join(hot, "anchor", "left_semi")).mapInArrow(_hot_strings(width), kinds), f"{path}/hot-strings")
+        least = dealt.where("not settled").groupBy("one", "two").agg(F.min("id").alias("least"))
+        later = dealt.where("not settled").join(least, ["one", "two"]).where("id <> least")
+        settled += [x.select("id", "key", "range") for x in (dealt.where("settled"), later)]
+        unsettled = unsettled.join(hot, "anchor", "left_anti")
+    around = with_keys(unsettled).mapInArrow(_surroundings(width), schema(("anchor", long), ("key", long), ("id", id_type), ("left", integer), ("bytes", T.BinaryType())))
+    around = around.repartition("anchor").sortWithinPartitions("anchor")
+    settled.append(around.mapInArrow(_last_digits(width), schema(("id", id_type), ("key", long), ("range", integer))))
+    strings = written(reduce(DataFrame.unionByName, settled), f"{path}/strings")
     lists = strings.groupBy("id").agg(F.collect_list(F.struct("key", "range")).alias("l")).select("id", "l.key", "l.range")
     joined = rows.join(lists, "id", "left").select("id", "text", "key", "range", *(f"x_{c}" for c in extra))
     out = T.StructType(
