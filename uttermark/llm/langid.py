@@ -9,23 +9,20 @@ reach is marked as rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uttermark.llm import text as X
-from uttermark.llm.work import drawn
 
 DIMS = 1 << 12
-SAMPLE_ROWS = 4000  #: most rows that a fit sees
-SAMPLE_BYTES = 32_768  #: a longer text is not drawn
+SAMPLE_ROWS = 4000  #: most rows that a fit sees, but for one of each language
 PER_LANGUAGE = 3
 UNKNOWN = "und"
 
@@ -33,7 +30,6 @@ _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -64,7 +60,7 @@ def vectors(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and any(x.isalpha() for x in _LETTER.findall(text[:64]) or (m.group() for m in _LETTER.finditer(text)))
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _kmeans(v: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -79,25 +75,47 @@ def _kmeans(v: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) ->
     return centre, (v @ centre.T).argmax(1)
 
 
+def _sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lang, text) to trigram counts of the texts that have a letter."""
+    for rb in batches:
+        lettered = pa.array([has_letter(x) for x in rb.column(2).to_pylist()], pa.bool_())
+        rb = rb.filter(lettered)
+        data, off = X.buffers(rb.column(2))
+        at, n = [], []
+        for i in range(rb.num_rows):
+            c = counts(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))[0]
+            at.append(np.flatnonzero(c).astype(np.int32))
+            n.append(c[at[-1]])
+        cols = [rb.column(0), rb.column(1).cast(pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "lang", "at", "n"])
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, per_language: int = PER_LANGUAGE, seed: int = 7) -> Centroids | None:
     """Centroids from at most ``sample_rows`` rows with id, text and language, drawn by a hash of the id, the
-    same number for each language where there are enough. None if there is none.
+    same number for each language where there are enough; of more languages than that, one row each. Of rows of one
+    id and language, the first by text is taken. None if no drawn text has a letter.
 
-    Only the drawn ids, a bounded number, are sent to the tasks that read the texts.
+    Only the drawn ids, a bounded number, are sent to the tasks that read the texts, and only trigram counts of the
+    whole texts, of a fixed size, come to the driver, so long texts are learned from like any others.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null")
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(1000).collect())
+    langs = rows.select("lang").distinct().count()
     if not langs:
         return None
-    sample = reduce(DataFrame.unionByName, (drawn(rows.where(F.col("lang") == x), "id", max(1, sample_rows // len(langs))) for x in langs))
+    each = max(1, sample_rows // langs)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash", "id"))  # tasks pass on no more than this number of each language
+    sample = rows.withColumn("hash", F.xxhash64("id")).withColumn("rank", rank).where(F.col("rank") <= each).select("id", "lang").distinct()
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample.distinct()), ["id", "lang"])
-    sample = sorted(texts.collect(), key=lambda r: (r["lang"], r["id"], r["text"]))[:sample_rows]
-    sample = [r for r in sample if has_letter(r["text"])]
+    counted = texts.where("text is not null").join(F.broadcast(sample), ["id", "lang"]).mapInArrow(
+        _sparse_counts, T.StructType([labelled.schema[id_col].__class__("id", labelled.schema[id_col].dataType), T.StructField("lang", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.FloatType()))])
+    )
+    first = counted.groupBy("id", "lang").agg(F.min(F.struct("at", "n")).alias("c")).select("id", "lang", "c.*")
+    sample = sorted(first.collect(), key=lambda r: (r["lang"], r["id"]))
     if not sample:
         return None
-    raw = [r["text"].encode() for r in sample]
-    c = np.concatenate([counts(np.frombuffer(x, np.uint8), np.array([0, len(x)])) for x in raw])
+    c = np.zeros((len(sample), DIMS), np.float32)
+    for i, r in enumerate(sample):
+        c[i, r["at"]] = r["n"]
     idf = (np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 1).astype(np.float32)
     v = vectors(c, idf)
     names = np.array([r["lang"] for r in sample])
@@ -118,8 +136,8 @@ def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", t
     """``lang_pred``, ``score`` (best cosine, 0 to 1) and ``rejected`` of every whole text.
 
     ``und`` with score 0 and rejected stands for a null text, a text without any letter, and for all
-    texts when there is no model. A rejected text keeps its nearest language in ``lang_pred``. Repeated
-    rows and null ids are handled row by row; other columns are ignored.
+    texts when there is no model. A rejected text keeps its nearest language in ``lang_pred``. Of centroids of equal
+    cosine, the first by language is taken. Repeated rows and null ids are handled row by row; other columns are ignored.
     """
     schema = T.StructType(
         [docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]

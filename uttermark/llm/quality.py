@@ -25,7 +25,7 @@ WIDTH, FILTERS = 6, 16
 CHUNK, STRIDE = 512, 448
 SLICE_BYTES = 1 << 18
 SAMPLE_ROWS = 2000  #: most labelled rows that a fit sees
-SAMPLE_BYTES = 32_768  #: a longer labelled text is not drawn for the sample
+SAMPLE_CHUNKS = 64  #: a labelled text of more bytes than so many chunks is learned from so many, evenly spaced from start to end
 
 
 @dataclass
@@ -139,21 +139,26 @@ def scores(net: Network, tables: list[np.ndarray], buf: np.ndarray, off: np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """Fit on the texts of at most ``sample_rows`` labels, half of each class where there are enough, drawn by
-    a hash of the id. Null labels, and labels without a text, are left out. None without both classes.
+    a hash of the id. Null labels, and labels without a text, are left out. None without both classes. Of texts of one
+    id, the first by its bytes is taken. A long text is learned from ``SAMPLE_CHUNKS`` chunks, evenly spaced over all of it.
 
     Only the drawn labels, a bounded number, are sent to the tasks that read the texts.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     seen = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = known.distinct()
     if len(seen) < 2:
         return None
     sample = drawn(known.where("label = 0"), "id", sample_rows // 2).unionByName(drawn(known.where("label = 1"), "id", sample_rows // 2))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    found = sorted(texts.join(F.broadcast(sample), "id").select("id", "label", "text").collect(), key=lambda r: (r["id"], r["label"]))[:sample_rows]
+    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw")).where("raw is not null")
+    spread = [F.substring(F.col("raw"), (i * (F.octet_length("raw") - CHUNK) / F.lit(SAMPLE_CHUNKS - 1)).cast("int") + 1, F.lit(CHUNK)) for i in range(SAMPLE_CHUNKS)]
+    part = F.when(F.octet_length("raw") <= CHUNK * SAMPLE_CHUNKS, F.col("raw")).otherwise(F.concat(*spread))
+    found = raw.join(F.broadcast(sample), "id").select("id", "label", part.alias("raw")).groupBy("id", "label").agg(F.min("raw").alias("raw"))
+    found = sorted(found.collect(), key=lambda r: (r["id"], r["label"]))
     y = np.array([r["label"] for r in found], np.float32)
     if len(set(y.tolist())) < 2:
         return None
-    return train([r["text"].encode() for r in found], y, seen[1] / (seen[0] + seen[1]))
+    return train([bytes(r["raw"]) for r in found], y, seen[1] / (seen[0] + seen[1]))
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
