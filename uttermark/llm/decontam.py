@@ -8,8 +8,11 @@ at least a share t of an item's shingles misses fewer than m of them, so at leas
 among its own: no contaminated document is lost. Every candidate is verified by exact containment of the
 item's whole shingle set.
 
-Items are handled in blocks of a bounded number of shingles, each sent to the tasks that read the
-documents; documents are never shuffled.
+Items and documents are handled alike by Spark jobs. A bit table of a fixed size, of all sketch hashes, goes
+to the tasks that read the documents; documents without a hit there are done with. Of the others, only
+the shingles that hit a second such table, of all item shingles, are shuffled. They are joined to the
+sketches for candidates, and to the items' shingles to be counted. Where benchmarks grow so large that the tables
+fill up, more shingles are shuffled and nothing else changes.
 """
 
 from __future__ import annotations
@@ -20,15 +23,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uttermark.llm import text as X
 from uttermark.llm.minhash import shingle_sets
+from uttermark.llm.work import folder, small, written
 
 SHINGLE, PERCENT = 5, 80
-BLOCK_SHINGLES = 1_000_000  #: most distinct shingles of one block of items
+TABLE_BITS = 24  #: the bit tables have 2**24 places, which is 2 MB
 
 
 def sketch_size(n: int, percent: int) -> int:
@@ -37,54 +41,85 @@ def sketch_size(n: int, percent: int) -> int:
     return min(n, upper - math.ceil(percent * upper / 100) + 1)
 
 
-class Block:
-    """Sketches and whole shingle sets of some items, searchable by hash."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.need = [-(-percent * len(s) // 100) for s in sets]
-        sketch = [s[: sketch_size(len(s), percent)] for s in sets]  # the sets are sorted by hash
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sketch])
-        flat = np.concatenate(sketch) if sketch else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.hash, self.owner = flat[order], owner[order]
-        # a table of 16 leading bits turns most words away without a search
-        self.lead = np.zeros(1 << 20, bool)
-        self.lead[self.hash >> np.uint64(44)] = True
-
-    def search(self, g: np.ndarray, row: np.ndarray, rows: int) -> list[tuple[int, int, int]]:
-        """Row, item and number of common shingles of every verified pair."""
-        maybe = np.flatnonzero(self.lead[g >> np.uint64(44)])
-        lo = np.searchsorted(self.hash, g[maybe], side="left")
-        hi = np.searchsorted(self.hash, g[maybe], side="right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            return []
-        lo, n, at = lo[hit], (hi - lo)[hit], row[maybe[hit]]
-        item = self.owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        pairs = np.unique(np.stack([np.repeat(at, n), item], 1), axis=0)
-        edge = X.bounds(row, rows)
-        found = []
-        for r in np.unique(pairs[:, 0]).tolist():
-            mine = np.unique(g[edge[r] : edge[r + 1]])
-            for i in pairs[pairs[:, 0] == r, 1].tolist():
-                common = int(np.isin(self.sets[i], mine, assume_unique=True).sum())
-                if common >= self.need[i]:
-                    found.append((r, i, common))
-        return found
-
-
-def _blocks(items: list[tuple[object, np.ndarray]]) -> Iterator[list[tuple[object, np.ndarray]]]:
-    part: list[tuple[object, np.ndarray]] = []
-    size = 0
-    for item in items:
-        if part and size + len(item[1]) > BLOCK_SHINGLES:
-            yield part
-            part, size = [], 0
-        part.append(item)
-        size += len(item[1])
-    if part:
-        yield part
+def short_hash(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of runs of fewer words than a shingle, apart from those of whole texts that are as short."""
+    return X.mix(h ^ np.uint64(0x27D4EB2F165667C5 * words & 0xFFFFFFFFFFFFFFFF))
+
+
+def runs(buf: np.ndarray, off: np.ndarray, shingle: int, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every run of ``shingle`` words, and of those shorter ``lengths`` that items have."""
+    h, row, _, _ = X.hashed_words(buf, off)
+    found = [X.ngrams(h, row, shingle)[:2]]
+    for k in lengths:
+        g, at, _ = X.ngrams(h, row, k)
+        found.append((short_hash(g, k), at))
+    g, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    return g[order], at[order]
+
+
+def _items(shingle: int, percent: int):
+    """(item, text key, text) to (item, item_key, words, size, shingle, sketched): the distinct shingles of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for rb in batches:
+                data, off = X.buffers(rb.column(2))
+                for a, b in X.slices(off):
+                    buf, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
+                    h, row, _, _ = X.hashed_words(buf, at)
+                    edge = X.bounds(row, b - a)
+                    sets = shingle_sets(buf, at, shingle)
+                    for i, own in enumerate(sets):
+                        n = int(edge[i + 1] - edge[i])
+                        if 0 < n < shingle:
+                            own = short_hash(X.ngrams(h[edge[i] : edge[i + 1]], np.zeros(n, np.int64), n)[0], n)
+                        if not len(own):
+                            continue
+                        size = len(own)
+                        sketched = np.arange(size) < sketch_size(size, percent)  # sets are sorted by hash
+                        cols = [rb.column(k).take(pa.array(np.full(size, a + i))) for k in (0, 1)]
+                        cols += [pa.array(np.full(size, x, np.int64)) for x in (min(n, shingle), size)]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(own.view(np.int64)), pa.array(sketched)], names=["item", "item_key", "words", "size", "shingle", "sketched"])
+
+    return run
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """A table of 2**TABLE_BITS bits with a bit set for the leading bits of each ``shingle``; at most one row for each word of
+    it comes to the driver."""
+    place = F.shiftrightunsigned("shingle", 64 - TABLE_BITS)
+    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(shingle, {64 - TABLE_BITS}) & 63 as int))")).alias("bits"))
+    table = words.toArrow()
+    out = np.zeros(1 << TABLE_BITS - 6, np.uint64)
+    out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def _hits(shingle: int, lengths: list[int], sketches: np.ndarray, shingles: np.ndarray):
+    """(id, text key, text) to (id, key, shingle): distinct shingles that items may have, of documents that some sketch may meet."""
+    shift = np.uint64(64 - TABLE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = np.unpackbits(sketches).astype(bool), np.unpackbits(shingles).astype(bool)
+        with np.errstate(over="ignore"):
+            for rb in batches:
+                data, off = X.buffers(rb.column(2))
+                for a, b in X.slices(off):
+                    g, row = runs(data[off[a] : off[b]], off[a : b + 1] - off[a], shingle, lengths)
+                    place = g >> shift
+                    met = np.zeros(b - a, bool)
+                    met[row[first[place]]] = True
+                    take = met[row] & second[place]
+                    g, row = g[take], row[take]
+                    order = np.lexsort((g, row))
+                    g, row = g[order], row[order]
+                    new = np.ones(len(g), bool)
+                    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+                    at = pa.array(a + row[new])
+                    yield pa.RecordBatch.from_arrays([rb.column(0).take(at), rb.column(1).take(at), pa.array(g[new].view(np.int64))], names=["id", "key", "shingle"])
+
+    return run
 
 
 def matches(
@@ -99,69 +134,43 @@ def matches(
 ) -> DataFrame:
     """Every (document, item) whose containment reaches ``percent``: ids, ``common``, ``item_shingles``, ``containment``.
 
-    Shingles are runs of ``shingle`` words with A-Z lower-cased; an item of fewer words is one shingle
-    over all its words and matches documents that hold exactly those words and no others. Items without a
-    word match nothing, nor do null or empty texts. Repeated rows give repeated results. Null ids are
-    returned as they are. Other columns are ignored, whatever their names. The items pass through the driver
-    in order; documents do not.
+    Shingles are runs of ``shingle`` words with A-Z lower-cased; an item of fewer words is one shingle over all its
+    words, and every text that holds them in a row matches. Items without a word match nothing, nor do null or empty
+    texts. Texts of any length are searched whole. Rows with the same id and text count as one, on either side; rows of
+    one id with different texts give a result each. Null ids are ids like any other. Other columns are ignored,
+    whatever their names.
     """
-    spark = docs.sparkSession
+    spark, path = docs.sparkSession, folder(docs.sparkSession)
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
-    names = [id_col, item_col, "common", "item_shingles"]
     if id_col == item_col:
         raise ValueError("documents and items need ids of different names")
-    schema = T.StructType(
-        [T.StructField(id_col, id_type), T.StructField(item_col, item_type), T.StructField("common", T.LongType()), T.StructField("item_shingles", T.LongType())]
-    )
-
-    def item_sets() -> Iterator[tuple[object, np.ndarray]]:
-        rows = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-        for r in rows.orderBy("item", "text").toLocalIterator():
-            data = np.frombuffer(r["text"].encode(), np.uint8)
-            with np.errstate(over="ignore"):
-                s = shingle_sets(data, np.array([0, len(data)]), shingle)[0]
-            if len(s):
-                yield r["item"], s
-
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def found_in(part: list[tuple[object, np.ndarray]]) -> DataFrame:
-        ids, sets = [x[0] for x in part], [x[1] for x in part]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Block(sets, percent)
-            with np.errstate(over="ignore"):
-                for rb in batches:
-                    data, off = X.buffers(rb.column(1))
-                    rows, items, common = [], [], []
-                    for a, b in X.slices(off):
-                        buf, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
-                        h, row, _, _ = X.hashed_words(buf, at)
-                        g, grow, _ = X.ngrams(h, row, shingle)
-                        words = np.bincount(row, minlength=b - a)
-                        few = np.flatnonzero((words > 0) & (words < shingle))
-                        if len(few):
-                            parts = [shingle_sets(buf[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]), shingle)[0] for i in few]
-                            g, grow = np.concatenate([g, *parts]), np.concatenate([grow, few])
-                            order = np.argsort(grow, kind="stable")
-                            g, grow = g[order], grow[order]
-                        for r, i, c in block.search(g, grow, b - a):
-                            rows.append(a + r)
-                            items.append(ids[i])
-                            common.append((c, len(sets[i])))
-                    taken = rb.column(0).take(pa.array(rows, pa.int64()))
-                    kind = pa.array([ids[0]] if ids else []).type
-                    cols = [taken, pa.array(items, kind), pa.array([c for c, _ in common], pa.int64()), pa.array([n for _, n in common], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
-
-        return text.mapInArrow(run, schema)
-
-    parts = [found_in(p) for p in _blocks(item_sets())]
-    out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-    return out.withColumn("containment", F.col("common") / F.col("item_shingles"))
+    long = T.LongType()
+
+    def schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+        return T.StructType([T.StructField(n, t) for n, t in fields])
+
+    item_text = F.col(item_text_col).cast("string")
+    items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_text).alias("item_key"), item_text.alias("text")).where("text is not null").distinct()
+    kinds = schema(("item", item_type), ("item_key", long), ("words", long), ("size", long), ("shingle", long), ("sketched", T.BooleanType()))
+    whole = written(items.mapInArrow(_items(shingle, percent), kinds), f"{path}/items")
+    lengths = sorted(r["words"] for r in whole.select("words").distinct().where(F.col("words") < shingle).collect())
+    packed = [np.packbits(bit_table(x.select("shingle"))) for x in (whole.where("sketched"), whole)]
+
+    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    hits = text.mapInArrow(_hits(shingle, lengths, *packed), schema(("id", id_type), ("key", long), ("shingle", long))).distinct()
+    hits = written(hits, f"{path}/hits")
+    pair = ["id", "key", "item", "item_key"]
+    candidates = hits.join(whole.where("sketched"), "shingle").select(*pair).distinct()
+    counted = hits.join(whole, "shingle").select(*pair, "size", "shingle")
+    same = reduce(Column.__and__, (F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in pair))
+    found = counted.alias("d").join(candidates.alias("c"), same, "left_semi")
+    found = found.groupBy(*pair, "size").agg(F.countDistinct("shingle").alias("common"))
+    found = found.where(F.col("common") * 100 >= F.col("size") * percent)
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "common", F.col("size").alias("item_shingles"), (F.col("common") / F.col("size")).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold an item; rows with a null id are kept."""
     bad = matches(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__bad")).distinct()
+    bad = small(written(bad, f"{folder(docs.sparkSession)}/bad"))
     return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")

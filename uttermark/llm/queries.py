@@ -93,7 +93,7 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = lm.score(docs, public_tokenizers.path(VOCABULARY), _remainder(7) != 2)
     held_out = (_remainder(7) == 2).alias("held_out")
-    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "adapted_score")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,15 +119,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _WORDS = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
-_SHINGLES = """select distinct {id}, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
-    when len(w) > 0 then ['only ' || array_to_string(w, ' ')] else [] end) s from (select {id}, {words} w from {table})"""
+_RUNS = "list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))"
 
 SQL = {
-    "op3_decontamination": f"""with d as ({_SHINGLES.format(id="doc_id", words=_WORDS.format(t="text"), table="documents")}),
-    b as ({_SHINGLES.format(id="item_id", words=_WORDS.format(t="text"), table="benchmark")}),
-    n as (select item_id, count(*) item_shingles from b group by item_id)
+    "op3_decontamination": f"""with i as (select item_id, least(5, len(w)) k, w from (select item_id, {_WORDS.format(t="text")} w from benchmark) where len(w) > 0),
+    b as (select distinct item_id, k, unnest({_RUNS}) s from i),
+    n as (select item_id, count(*) item_shingles from b group by item_id),
+    d as (select distinct doc_id, k, unnest({_RUNS}) s from (select doc_id, {_WORDS.format(t="text")} w from documents), (select distinct k from i) where len(w) >= k)
     select doc_id, item_id, count(*) common, any_value(item_shingles) item_shingles, count(*) / any_value(item_shingles) containment
-    from d join b using (s) join n using (item_id) group by doc_id, item_id having 100 * count(*) >= 80 * any_value(item_shingles)""",
+    from d join b using (k, s) join n using (item_id) group by doc_id, item_id having 100 * count(*) >= 80 * any_value(item_shingles)""",
 }
 
 
