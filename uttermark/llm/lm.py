@@ -1,11 +1,12 @@
 """Language-model scores by a subword lattice, beside a smoothed word-unigram score.
 
-The pieces of an existing vocabulary, and every single byte, are the units. Their first weights
-follow from the vocabulary's own scores (ranks, read as a Zipf law); two rounds of expectation
-maximisation over the corpus's word counts make them probabilities, together with one for the end of a
-text. A text is the words in it, each with a word mark before it, then the end. Pieces do not cross
-words, so the probability of a text, summed over all its segmentations, is the product of its words'
-sums, each found by a forward recursion in log space over the word's bytes.
+The pieces of an existing vocabulary, and every single byte, are the units. Their weights are the
+vocabulary's own scores; the given file has ranks for scores, which are read as a Zipf law. The probability of
+the end of a text is learned from the training texts. A text is the words in it, each with a word mark before
+it, then the end. Pieces do not cross words, so the probability of a text, summed over all its
+segmentations, is the product of its words' sums, each found by a forward recursion in log space over the
+word's bytes. A second score uses weights adapted to the corpus: expectation maximisation over its
+word counts, which starts from the vocabulary's weights.
 
 Every distinct word of the corpus is counted and scored once, in a table that grows with the corpus.
 The most frequent words (a fixed number) are sent to the tasks that read the texts; all others are
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from math import exp, inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from uttermark.llm.work import folder, written
 MARK = 0xFF  #: stands for the word mark; no UTF-8 text holds this byte
 HEAD = 1 << 18  #: words sent to every task, by falling count
 FLUSH = 400_000  #: distinct words that a task holds before it hands them on
-LONG = 48  #: longer words are taken one by one
-ROUNDS = 2
+LONG = 48  #: longer words are taken one by one, in segments
+SEGMENT = 1 << 16
+ROUNDS = 1
 _LN10 = float(np.log(10))
 
 
@@ -150,14 +153,62 @@ def lattice(units: Units, words: list[bytes], count: np.ndarray | None = None) -
     return result, used
 
 
+def long_word(units: Units, word: bytes, count: float | None = None) -> tuple[float, np.ndarray | None]:
+    """``lattice`` for one word of any length, in time and memory in proportion to it."""
+    buf = np.frombuffer(bytes([MARK]) + word, np.uint8)
+    n, reach = len(buf), units.longest
+
+    def edges(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and unit of the edges that end in lo+1..hi, by their end."""
+        first = max(0, lo + 1 - reach)
+        part = buf[first:hi]
+        found = [(s, s + l, u) for l in range(1, reach + 1) for s, u in [_edges(units, part, np.full(len(part), len(part)), l)]]
+        s, e, u = (np.concatenate(x) for x in zip(*found, strict=True))
+        mine = np.flatnonzero(e + first > lo)
+        mine = mine[np.argsort(e[mine], kind="stable")]
+        return s[mine] + first, e[mine] + first, u[mine]
+
+    segments = [(lo, min(lo + SEGMENT, n)) for lo in range(0, n, SEGMENT)]
+    alpha = [0.0] * (n + 1)
+    for lo, hi in segments:
+        s, e, u = edges(lo, hi)
+        at = np.searchsorted(e, np.arange(lo + 1, hi + 2)).tolist()
+        s, cost = s.tolist(), units.logp[u].tolist()
+        for k in range(lo + 1, hi + 1):
+            a, b = at[k - lo - 1], at[k - lo]
+            terms = [alpha[i] + c for i, c in zip(s[a:b], cost[a:b], strict=True)]
+            top = max(terms)
+            alpha[k] = top + log(sum(exp(x - top) for x in terms))
+    total = alpha[n]
+    if count is None:
+        return total, None
+    beta = [-inf] * n + [0.0]
+    used = np.zeros(len(units.names))
+    for lo, hi in reversed(segments):
+        s, e, u = edges(lo, hi)
+        cost = units.logp[u]
+        for i, k, c in zip(s[::-1].tolist(), e[::-1].tolist(), cost[::-1].tolist(), strict=True):  # all edges from k are done before those to k
+            x, y = beta[i], beta[k] + c
+            top = max(x, y)
+            beta[i] = top + log1p(exp(-abs(x - y)))
+        p = np.exp(np.array([alpha[i] for i in s.tolist()]) + cost + np.array([beta[k] for k in e.tolist()]) - total)
+        used += np.bincount(u, weights=p * count, minlength=len(used))
+    return total, used
+
+
 def _in_parts(units: Units, words: list[bytes], count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``lattice`` over words of alike length together, so that memory stays in proportion to their bytes."""
     out, used = np.empty(len(words)), np.zeros(len(units.names))
     n = np.array([len(w) for w in words], np.int64)
     order = np.argsort(n, kind="stable")
-    lo = 0
+    short = int(np.searchsorted(n[order], LONG))
+    for i in order[short:].tolist():
+        out[i], u = long_word(units, words[i], None if count is None else float(count[i]))
+        if u is not None:
+            used += u
+    lo, order = 0, order[:short]
     while lo < len(order):
-        longest = max(16, int(n[order[lo]]) * 2) if n[order[lo]] < LONG else int(n[order[lo]])
+        longest = max(16, int(n[order[lo]]) * 2)
         hi = int(np.searchsorted(n[order], longest, side="right"))
         hi = min(hi, lo + max(1, 200_000 // (longest + 1)))
         part = order[lo:hi]
@@ -214,6 +265,12 @@ def _expect(units: Units):
     return run
 
 
+def with_end(units: Units, texts: int, tokens: int) -> Units:
+    """The vocabulary's units beside an end of text, which has its share of the training tokens."""
+    share = (texts + 0.01) / (tokens + 0.02)
+    return Units(units.names, units.logp + np.log1p(-share), float(np.log(share)))
+
+
 def train_units(units: Units, words: DataFrame, texts: int, rounds: int = ROUNDS) -> Units:
     """Units re-weighted by their expected uses in ``words`` (``word``, ``n``) and ``texts`` ends."""
     for _ in range(rounds):
@@ -232,7 +289,8 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
 
     Tokens are the words (A-Z lower-cased) and one end for each text. Returns the id, ``n_tokens``,
     ``n_known`` (tokens seen in training), ``train_tokens``, ``base_score`` (sum of
-    log10((c + 1) / (N + V + 1))) and ``score`` (log10 probability of the text in the lattice model).
+    log10((c + 1) / (N + V + 1))), ``score`` (log10 probability of the text in the lattice model) and
+    ``adapted_score`` (the same with weights adapted to the training texts by ``rounds`` rounds).
     A null or empty text is its end alone. A null ``train`` counts as false. Repeated rows and null ids are
     scored row by row; without training texts all counts are 0. Other columns are ignored.
     """
@@ -244,7 +302,9 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
     texts = rows.where("train").count()
     of = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = of["n"] + texts, of["v"] + (texts > 0)
-    units = train_units(vocabulary(vocabulary_path), words, texts, rounds)
+    given = vocabulary(vocabulary_path)
+    adapted = train_units(given, words, texts, rounds)
+    given = with_end(given, texts, total)
     smooth = np.log10(total + distinct + 1)
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,16 +314,17 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
                 e = np.cumsum([len(w) for w in word])
                 buf = np.frombuffer(b"".join(word), np.uint8)
                 h = X.span_hashes(buf, e - [len(w) for w in word], e, X.SAME)
-                lat = _in_parts(units, word)[0] / _LN10
-                cols = [pa.array(h.view(np.int64)), pa.array(n), pa.array(np.log10(n + 1.0) - smooth), pa.array(lat)]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "base", "lattice"])
+                lat = [pa.array(_in_parts(u, word)[0] / _LN10) for u in (given, adapted)]
+                cols = [pa.array(h.view(np.int64)), pa.array(n), pa.array(np.log10(n + 1.0) - smooth), *lat]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "base", "lattice", "adapted"])
 
-    values = written(words.mapInArrow(value, "h long, n long, base double, lattice double"), f"{path}/values")
+    values = written(words.mapInArrow(value, "h long, n long, base double, lattice double, adapted double"), f"{path}/values")
     head = values.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()  # HEAD rows at most
     head = head.sort_by("h")
     head_h = head["h"].to_numpy()
-    head_n, head_base, head_lattice = (head[c].to_numpy() for c in ("n", "base", "lattice"))
-    end_base, end_lattice, end_known = float(np.log10(texts + 1.0) - smooth), units.end / _LN10, int(texts > 0)
+    head_n, head_base, head_lattice, head_adapted = (head[c].to_numpy() for c in ("n", "base", "lattice", "adapted"))
+    end_base, end_known = float(np.log10(texts + 1.0) - smooth), int(texts > 0)
+    end_lattice, end_adapted = given.end / _LN10, adapted.end / _LN10
 
     schema = T.StructType(
         [
@@ -272,6 +333,7 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
             T.StructField("known", T.LongType()),
             T.StructField("base", T.DoubleType()),
             T.StructField("lattice", T.DoubleType()),
+            T.StructField("adapted", T.DoubleType()),
             T.StructField("rare", T.ArrayType(T.LongType())),
         ]
     )
@@ -286,21 +348,21 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
                 at = np.minimum(np.searchsorted(head_h, key), max(len(head_h) - 1, 0))
                 hit = head_h[at] == key if len(head_h) else np.zeros(len(key), bool)
                 pick = lambda v: np.where(hit, v[at], 0) if len(head_h) else np.zeros(len(key))
-                known, base, lat = pick((head_n > 0).astype(float)), pick(head_base), pick(head_lattice)
+                known, base, lat, ada = (pick(v) for v in ((head_n > 0).astype(float), head_base, head_lattice, head_adapted))
                 n = b - a
                 add = lambda v: np.bincount(row, weights=v[inverse], minlength=n)
                 rare = ~hit[inverse]
                 rare_rows = np.searchsorted(row[rare], np.arange(n + 1))
                 lists = pa.ListArray.from_arrays(pa.array(rare_rows.astype(np.int32)), pa.array(h.view(np.int64)[rare]))
                 cols = [rb.column(0).slice(a, n), pa.array(np.bincount(row, minlength=n) + 1), pa.array(add(known).astype(np.int64) + end_known)]
-                cols += [pa.array(add(base) + end_base), pa.array(add(lat) + end_lattice), lists]
+                cols += [pa.array(add(base) + end_base), pa.array(add(lat) + end_lattice), pa.array(add(ada) + end_adapted), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     scored = rows.select("id", "text").mapInArrow(tokens, schema).withColumn("row", F.monotonically_increasing_id())
     scored = written(scored, f"{path}/scored")
     rare = scored.select("row", F.explode("rare").alias("h")).join(values, "h")
     rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("lattice").alias("rare_lattice")
+        F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("lattice").alias("rare_lattice"), F.sum("adapted").alias("rare_adapted")
     )
     out = scored.drop("rare").join(rare, "row", "left")
     zero = F.lit(0)
@@ -311,4 +373,5 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
         (F.col("lattice") + F.coalesce("rare_lattice", zero)).alias("score"),
+        (F.col("adapted") + F.coalesce("rare_adapted", zero)).alias("adapted_score"),
     )

@@ -70,8 +70,14 @@ def number_rows(rows: DataFrame, name: str = "row_number") -> tuple[DataFrame, i
     within = W.partitionBy(bucket).orderBy(*cols).rowsBetween(W.unboundedPreceding, -1)
     placed = distinct.withColumn(at, F.coalesce(F.sum(count).over(within), F.lit(0)))
     sizes = distinct.groupBy(bucket).agg(F.sum(count).alias("__size"))
-    before = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(bucket, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    # sums of the buckets before, inside groups of buckets and over the groups, so that neither window is long
+    preceding = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    side = max(1, math.isqrt(buckets))
+    sizes = sizes.withColumn("__group", F.floor(F.col(bucket) / F.lit(side)))
+    groups = sizes.groupBy("__group").agg(F.sum("__size").alias("__of"))
+    groups = groups.select("__group", F.coalesce(F.sum("__of").over(preceding(W.orderBy("__group"))), F.lit(0)).alias("__from"))
+    inner = F.coalesce(F.sum("__size").over(preceding(W.partitionBy("__group").orderBy(bucket))), F.lit(0))
+    starts = sizes.withColumn("__inner", inner).join(groups, "__group").select(bucket, (F.col("__from") + F.col("__inner")).alias("__start"))
     placed = placed.join(starts, bucket)
     blocks = placed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / BLOCK))))
     last = F.least(F.lit(BLOCK), F.col(count) - F.col("__block") * BLOCK) - 1
