@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uttermark.llm import decontam, minhash, packing, quality, suffix
-from uttermark.llm.work import folder, written
+from uttermark.llm.work import folder, small, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KEEP_SCORE = 0.3  #: least quality score of a document that stays
-REPEAT_BYTES = 100  #: shortest repeated string that is removed; any passage of over 50 words is longer
+REPEAT_BYTES = 50  #: shortest repeated string that is removed
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate component: five-word shingles, similarity 0.8 or more."""
     found = minhash.components_of(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    found = small(written(found, f"{folder(spark)}/copies"))
     return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
 
 
