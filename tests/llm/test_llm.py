@@ -370,6 +370,16 @@ def test_licences_of_held_out_wordings(spark, docs, empty, licence_model):
     assert licences.fit(docs).classes[-1] == licences.UNKNOWN
 
 
+def test_licences_in_the_sample_are_no_negatives():
+    """Paragraphs that a name confirms are left out of the others; a word common in the corpus ("mit") is no feature."""
+    plain = [f"das haus mit dem dach {i} und im garten" for i in range(60)] + ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "All rights reserved."] * 9
+    m = licences.train([licences.grams_of(x) & licences.candidate_grams() for x in plain])
+    assert "mit" not in m.words()
+    for t, f in HELD_OUT[:5]:
+        assert m.classes[int(m.probabilities(t).argmax())] == f
+    assert m.probabilities("ein tag mit dir")[-1] > 0.5
+
+
 def test_licence_probabilities_equal_brute_force(spark, licence_model):
     """Every paragraph, with features or without, scored in plain Python."""
     m = licence_model

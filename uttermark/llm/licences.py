@@ -103,9 +103,8 @@ OTHER = [
     "A copy of the above list is free of charge for any person.",
 ]
 
-#: never features alone, however rare in a sample: English function words and digits
+#: never features alone, however rare in a sample: function words and digits
 PLAIN = set("the of to a and in is it this that for with by or on as at be are an may you all any not no from have its use see".split()) | set("0123456789")
-TELLING = set("copyright license licence gpl mit apache bsd cc".split())  #: features even where a sample holds many licences
 
 _WORD = re.compile(r"[a-z0-9]+")
 _BREAK = r"(?<=[.!?])[ \t]*\r?\n|\n[ \t\r]*\n\s*"
@@ -160,73 +159,68 @@ def candidate_grams() -> set[str]:
     return {g for t in [x for group in (NAMES, NOTICES) for ts in group.values() for x in ts] for g in grams_of(t)}
 
 
+def confirmed_by(words: set[str]) -> bool:
+    """Whether the words hold all of a name (of two words or more that aren't plain), or enough of a notice."""
+    names = (set(words_of(t)) for ts in NAMES.values() for t in ts)
+    notices = (set(words_of(t)) for ts in NOTICES.values() for t in ts)
+    return any(len(n - PLAIN) > 1 and n <= words for n in names) or any(len(n & words) >= CONFIRMED * len(n) for n in notices)
+
+
 def train(other: Iterable[set[str]], seed: int = 3, steps: int = 300) -> Classifier:
-    """Fit the regression and its temperature. ``other``: n-grams of paragraphs of the corpus, nearly all of the class of everything
-    else; those that a first fit takes for a licence are left out of the second."""
+    """Fit the regression and its temperature. ``other``: n-grams of paragraphs of the corpus, of the class of everything else but
+    for those that a name or notice confirms, which are left out. Words that are common in the others are no features."""
     rng = np.random.default_rng(seed)
-    other = [frozenset(x) for x in other]
+    other = [frozenset(x) for x in other if not confirmed_by({g for g in x if " " not in g})]
     texts = examples(rng)
     count: dict[str, int] = {}
     for own in other:
         for g in own:
             count[g] = count.get(g, 0) + 1
     least = max(2.0, COMMON * len(other))
-    common = {g for g, n in count.items() if n > least and " " not in g and g not in TELLING} | PLAIN
-    pool = {g for g in candidate_grams() if not set(g.split()) <= common}
+    common = {g for g, n in count.items() if n > least and " " not in g} | PLAIN
     # a bigram counts only with a word that is a feature itself
-    grams = sorted(pool)
+    grams = sorted(g for g in candidate_grams() if not set(g.split()) <= common)
     classes = [*sorted({*NAMES, *NOTICES}), UNKNOWN]
     index = {g: i for i, g in enumerate(grams)}
     last = len(classes) - 1
 
-    def fitted(negatives: list[frozenset[str]]) -> Classifier:
-        weighed: dict[tuple[frozenset[str], int], float] = {}
-        rows = [(frozenset(grams_of(t) & index.keys()), classes.index(f)) for f, t in texts]
-        rows += [(frozenset(grams_of(t) & index.keys()), last) for t in OTHER] * 4
-        rows += [(frozenset(x & index.keys()), last) for x in negatives] + [(frozenset(), last)]
-        for r in rows:
-            weighed[r] = weighed.get(r, 0.0) + 1.0
-        keys = sorted(weighed, key=lambda r: (r[1], sorted(r[0])))
-        x = np.zeros((len(keys), len(grams)), np.float32)
-        for i, (own, _) in enumerate(keys):
-            x[i, [index[g] for g in own]] = 1
-        y = np.array([k for _, k in keys])
-        n = np.minimum(np.array([weighed[k] for k in keys]), 20.0)
-        share = np.bincount(y, weights=n, minlength=len(classes))
-        sample = (n / np.maximum(share, 1)[y]).astype(np.float32)
-        sample[y == last] *= len(classes) / 2
-        left_out = rng.random(len(keys)) < 0.15
-        one = np.eye(len(classes), dtype=np.float32)[y]
-        w, b = np.zeros((len(classes), len(grams)), np.float32), np.zeros(len(classes), np.float32)
-        vw, vb = np.zeros_like(w), np.zeros_like(b)
-        xf, of, sf = x[~left_out], one[~left_out], sample[~left_out, None]
-        for _ in range(steps):
-            z = xf @ w.T + b
-            z -= z.max(1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(1, keepdims=True)
-            d = (p - of) * sf
-            vw = 0.9 * vw - 0.4 * (d.T @ xf / len(classes) + 1e-4 * w)
-            vb = 0.9 * vb - 0.4 * d.sum(0) / len(classes)
-            w, b = w + vw, b + vb
-
-        def loss(t: float) -> float:
-            z = (x[left_out] @ w.T + b) / t
-            z -= z.max(1, keepdims=True)
-            return float((sample[left_out] * (np.log(np.exp(z).sum(1)) - z[np.arange(left_out.sum()), y[left_out]])).sum())
-
-        t = min(np.geomspace(0.2, 5, 41), key=loss)
-        return Classifier(classes, grams, w.astype(float) / t, b.astype(float) / t, float(t))
-
-    model = fitted(other)
-
-    def chance(own: frozenset[str]) -> float:
-        z = model.bias + model.weight[:, [index[g] for g in own if g in index]].sum(1)
-        p = np.exp(z - z.max())
-        return float(p[last] / p.sum())
-
-    clean = [x for x in other if chance(x) >= 0.5]
-    return fitted(clean) if len(clean) < len(other) else model
+    weighed: dict[tuple[frozenset[str], int], float] = {}
+    rows = [(frozenset(grams_of(t) & index.keys()), classes.index(f)) for f, t in texts]
+    rows += [(frozenset(grams_of(t) & index.keys()), last) for t in OTHER] * 4
+    rows += [(frozenset(x & index.keys()), last) for x in other] + [(frozenset(), last)]
+    for r in rows:
+        weighed[r] = weighed.get(r, 0.0) + 1.0
+    keys = sorted(weighed, key=lambda r: (r[1], sorted(r[0])))
+    x = np.zeros((len(keys), len(grams)), np.float32)
+    for i, (own, _) in enumerate(keys):
+        x[i, [index[g] for g in own]] = 1
+    y = np.array([k for _, k in keys])
+    n = np.minimum(np.array([weighed[k] for k in keys]), 20.0)
+    share = np.bincount(y, weights=n, minlength=len(classes))
+    sample = (n / np.maximum(share, 1)[y]).astype(np.float32)
+    sample[y == last] *= len(classes) / 2
+    left_out = rng.random(len(keys)) < 0.15
+    one = np.eye(len(classes), dtype=np.float32)[y]
+    w, b = np.zeros((len(classes), len(grams)), np.float32), np.zeros(len(classes), np.float32)
+    vw, vb = np.zeros_like(w), np.zeros_like(b)
+    xf, of, sf = x[~left_out], one[~left_out], sample[~left_out, None]
+    for _ in range(steps):
+        z = xf @ w.T + b
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(1, keepdims=True)
+        d = (p - of) * sf
+        vw = 0.9 * vw - 0.4 * (d.T @ xf / len(classes) + 1e-4 * w)
+        vb = 0.9 * vb - 0.4 * d.sum(0) / len(classes)
+        w, b = w + vw, b + vb
+
+    def loss(t: float) -> float:
+        z = (x[left_out] @ w.T + b) / t
+        z -= z.max(1, keepdims=True)
+        return float((sample[left_out] * (np.log(np.exp(z).sum(1)) - z[np.arange(left_out.sum()), y[left_out]])).sum())
+
+    t = min(np.geomspace(0.2, 5, 41), key=loss)
+    return Classifier(classes, grams, w.astype(float) / t, b.astype(float) / t, float(t))
 
 
 def _words(text: Column) -> Column:
