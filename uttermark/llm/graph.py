@@ -21,7 +21,6 @@ def components(edges: DataFrame, path: str) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
-        hook = written(hook, f"{path}/h{step}")
         upper = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
         jump = written(hook.join(upper, "up").select("node", "top"), f"{path}/j{step}")
         if roots is None:
@@ -29,11 +28,10 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         else:
             moved = jump.select(F.col("node").alias("component"), "top")
             roots = roots.join(moved, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-            roots = written(roots, f"{path}/r{step}")
         a, b = jump.select(F.col("node").alias("a"), F.col("top").alias("ta")), jump.select(F.col("node").alias("b"), F.col("top").alias("tb"))
         left = edges.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
         edges = written(left.distinct(), f"{path}/e{step + 1}")
         step += 1
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return roots
+    return written(roots, f"{path}/roots") if step > 1 else roots

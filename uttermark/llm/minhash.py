@@ -284,7 +284,7 @@ def _with_sets(table: pa.Table, shingle: int) -> tuple[pa.Table, list[np.ndarray
     return table.select(["node", "n", "sig", "query", "label"]).take(pa.array(take, pa.int64())), [sets[i] for i in take]
 
 
-def links(members: DataFrame, weight: str, limit: int, attach: Callable[[DataFrame, str], DataFrame], compare, path: str) -> DataFrame:
+def links(members: DataFrame, weight: str, limit: int, attach: Callable[[DataFrame], DataFrame], compare, path: str) -> DataFrame:
     """Links (``a``, ``b``) that connect all that is linked within the groups of ``members`` (``group``, ``node``, ``weight``).
 
     ``attach`` adds to rows with a node what ``compare`` needs. Groups of a weight up to ``limit`` are one block.
@@ -293,7 +293,7 @@ def links(members: DataFrame, weight: str, limit: int, attach: Callable[[DataFra
     schema = T.StructType([T.StructField("a", node_type), T.StructField("b", node_type)])
 
     def compared(blocks: DataFrame, name: str) -> DataFrame:
-        rows = attach(blocks.select("group", "i", "j", "query", "label", "node"), f"{path}/{name}-rows")
+        rows = attach(blocks.select("group", "i", "j", "query", "label", "node"))
         rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
         return written(rows.mapInArrow(compare, schema).distinct(), f"{path}/{name}")
 
@@ -305,7 +305,6 @@ def links(members: DataFrame, weight: str, limit: int, attach: Callable[[DataFra
 
     blocks_for = lambda w: F.greatest(F.ceil(w / F.lit(limit)), F.lit(1)).cast("long")
     sizes = members.groupBy("group").agg(blocks_for(F.sum(weight)).alias("parts"), F.min("node").alias("low"))
-    sizes = written(sizes, f"{path}/sizes")
     large = sizes.where("parts > 1")
     zero = F.lit(0).cast("long")
     plain = lambda i: [i.alias("i"), zero.alias("j"), F.lit(False).alias("query"), F.lit(None).cast(node_type).alias("label"), F.col("node")]
@@ -363,15 +362,15 @@ def components_of(
     shared = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
     buckets = written(keyed.join(shared, "group"), f"{path}/buckets").withColumn("one", F.lit(1))
     signed = nodes.select("node", "n", "sig")
-    candidates = links(buckets, "one", block_rows, lambda x, _: x.join(signed, "node"), _linked(percent, bound, None), f"{path}/a")
+    candidates = links(buckets, "one", block_rows, lambda x: x.join(signed, "node"), _linked(percent, bound, None), f"{path}/a")
     families = components(candidates, f"{path}/families").withColumnRenamed("component", "group")
 
     # full sets, inside the families
     members = written(families.join(nodes.drop("bands"), "node"), f"{path}/members")
     narrow = members.select("group", "node", "n")
 
-    def with_text(blocks: DataFrame, name: str) -> DataFrame:
-        rows = small(written(blocks.join(members.select("node", "n", "sig", "set_key", "least"), "node"), name))
+    def with_text(blocks: DataFrame) -> DataFrame:
+        rows = small(blocks.join(members.select("node", "n", "sig", "set_key", "least"), "node"))
         cols = ["group", "i", "j", "query", "label", "node", "n", "sig", "set_key", "text"]
         return docs.join(rows, F.col("id") == F.col("least")).select(cols)
 
