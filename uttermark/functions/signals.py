@@ -56,17 +56,22 @@ def _mixed(rows: DataFrame, samples: str, snr_db: str, noise, seed: str, track:
     schema = T.StructType([*rows.schema.fields, T.StructField("noisy", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def numbers(column: pa.Array, i: int) -> np.ndarray:
+            values = column[i].values  # a view of the batch's flat buffer
+            return np.zeros(0) if values is None else values.to_numpy(zero_copy_only=False).astype(float)
+
         for rb in batches:
             out = []
+            seeds, levels = rb.column(at[seed]).to_pylist(), rb.column(at[snr_db]).to_pylist()
             for i in range(rb.num_rows):
-                x = np.asarray(rb.column(at[samples])[i].as_py() or [], float)
-                t = np.asarray(rb.column(track_at)[i].as_py(), float) if track_at is not None else None
+                x = numbers(rb.column(at[samples]), i)
+                t = numbers(rb.column(track_at), i) if track_at is not None else None
                 if not len(x) or t is not None and not len(t):
                     out.append(x)
                     continue
-                e = noise(len(x), int(rb.column(at[seed])[i].as_py()), t)
+                e = noise(len(x), int(seeds[i]), t)
                 power, loud = float(np.mean(x**2)), float(np.mean(e**2))
-                want = power / 10 ** (rb.column(at[snr_db])[i].as_py() / 10)
+                want = power / 10 ** (levels[i] / 10)
                 out.append(x + e * np.sqrt(want / loud) if loud > 0 else x)
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(out, pa.list_(pa.float64()))], names=schema.names)
 

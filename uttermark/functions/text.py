@@ -66,9 +66,10 @@ def token_surfaces(tokens: Column) -> Column:
 
 def word_distance(ref: Column, hyp: Column) -> Column:
     """Edit distance of two word lists: every distinct word of the pair becomes one character."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: _letter(F.array_position(vocabulary, w))), "")
-    return F.levenshtein(coded(ref), coded(hyp))
+    coded = lambda ws, known: F.array_join(F.transform(ws, lambda w: _letter(F.array_position(known, w))), "")
+    # the outer transform binds the vocabulary, which is made once a row, not once a word
+    vocabulary = F.array(F.array_distinct(F.concat(ref, hyp)))
+    return F.transform(vocabulary, lambda known: F.levenshtein(coded(ref, known), coded(hyp, known)))[0]
 
 
 def _letter(i: Column) -> Column:
@@ -139,5 +140,6 @@ def parse_response(c: Column) -> Column:
     """Answer of a model as a struct: fences stripped, else the first braces; null where neither is an object."""
     bare = F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^```(json)?|```$", ""))
     inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    text = F.when(F.try_parse_json(bare).isNotNull(), bare).when((inner != "") & F.try_parse_json(inner).isNotNull(), inner)
+    is_object = lambda c: F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT")
+    text = F.when(is_object(bare), bare).when((inner != "") & is_object(inner), inner)
     return F.from_json(text, RESPONSE)
