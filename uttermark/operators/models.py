@@ -113,25 +113,205 @@ def interval(sums: DataFrame, cell: list[str], value, name: str = "") -> DataFra
     return sums.groupBy(*cell).agg(at(0.025).alias(f"{name}lo"), at(0.5).alias(f"{name}median"), at(0.975).alias(f"{name}hi"))
 
 
+CELL_VALUES = [
+    "rated", "rated_w", "scored", "scored_y", "err", "err_y", "err_w", "perfect", "perfect_y", "paired", "paired_y", "paired_w",
+    "critical", "critical_y", "critical_w", "function", "function_y", "function_w", "degraded", "degraded_y",
+]
+METRICS = [
+    "outcome", "absorption", "retention", "gain_paired", "gain_ceiling", "gain_legacy", "gain_calibrated", "gain_critical", "gain_function",
+    "gain_critical_minus_function", "calibration_a", "calibration_b",
+]
+REPLICATE_BLOCK = 250  #: replicates of one row of partial sums
+
+
+def logistic_many(x: np.ndarray, n: np.ndarray, k: np.ndarray, steps: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """``logistic`` for many replicates at once: ``n`` and ``k`` are (distinct x, replicate). NaN where a replicate is refused: under
+    two rows, a constant outcome or rate, perfect separation, or no convergence."""
+    b = n.shape[1]
+    beta, done = np.zeros((2, b)), np.zeros(b, bool)
+    total, hits = n.sum(0), k.sum(0)
+    at = np.where(n > 0, x[:, None], np.nan)
+    one, zero = np.where(k > 0, x[:, None], np.nan), np.where(n - k > 0, x[:, None], np.nan)
+    with np.errstate(all="ignore"):
+        import warnings
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            flat = np.nanmax(at, 0) - np.nanmin(at, 0) < 1e-12
+            apart = (np.nanmax(zero, 0) < np.nanmin(one, 0)) | (np.nanmax(one, 0) < np.nanmin(zero, 0))
+        bad = (total < 2) | (hits <= 0) | (hits >= total) | flat | apart
+        for _ in range(steps):
+            p = 0.5 * (1 + np.tanh((beta[0] + beta[1] * x[:, None]) / 2))
+            w, r = n * p * (1 - p), k - n * p
+            h00, h01, h11 = w.sum(0), (w * x[:, None]).sum(0), (w * x[:, None] ** 2).sum(0)
+            g0, g1, det = r.sum(0), (r * x[:, None]).sum(0), h00 * h11 - h01**2
+            bad |= ~done & ~(np.abs(det) >= 1e-12)
+            step = np.stack([h11 * g0 - h01 * g1, h00 * g1 - h01 * g0]) / np.where(det == 0, 1, det)
+            step[:, done | bad] = 0
+            beta += step
+            bad |= ~np.isfinite(beta).all(0)
+            done |= np.abs(step).max(0) < tol
+            if (done | bad).all():
+                break
+    return np.where(bad | ~done, np.nan, beta[0]), np.where(bad | ~done, np.nan, beta[1])
+
+
+def replicate_curves(rows: DataFrame, outcome: str, replicates: int, seed: int) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
+    """Clean curves (a, b by replicate) of every recogniser and router. One row for each pair of models comes to the driver."""
+    clean = rows.where(is_clean() & F.col("wer").isNotNull() & F.col(outcome).isNotNull())
+    clean = clean.select("slurp_id", *CURVE, cap_wer().alias("x"), F.lit(1.0).alias("n"), F.col(outcome).cast("double").alias("k"))
+    sums = replicate_sums(clean, [*CURVE, "x"], ["n", "k"], replicates, seed)
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf["x"].unique())
+        at = np.searchsorted(x, pdf["x"].to_numpy())
+        n, k = np.zeros((len(x), replicates)), np.zeros((len(x), replicates))
+        n[at, pdf["replicate"]], k[at, pdf["replicate"]] = pdf["n"], pdf["k"]
+        a, b = logistic_many(x, n, k)
+        return pd.DataFrame({"asr": [pdf["asr"].iloc[0]], "llm": [pdf["llm"].iloc[0]], "a": [a], "b": [b]})
+
+    found = sums.groupBy(*CURVE).applyInPandas(fitted, "asr string, llm string, a array<double>, b array<double>").collect()
+    return {(r["asr"], r["llm"]): (np.array(r["a"], float), np.array(r["b"], float)) for r in found}
+
+
+def bootstrap_cells(rows: DataFrame, outcome: str = "ees", replicates: int = 2000, seed: int = 42, least: int = 10, order: list[str] | None = None) -> DataFrame:
+    """Median and 2.5 and 97.5 percent points of every metric of every cell with ``least`` rows or more.
+
+    Utterances are drawn; all sums of a replicate use the same draw, and so do the clean curves, which are
+    fitted anew in each. Where ``has_critical_error`` and ``has_function_error`` are columns, the paired gains of rows with
+    a critical error and of rows with other errors only, and their difference, are among the metrics. A metric that no
+    replicate has is null.
+    """
+    from uttermark.operators.pairs import with_anchor
+
+    curves = replicate_curves(rows, outcome, replicates, seed)
+    flags = {"has_critical_error", "has_function_error"} <= set(rows.columns)
+    w, y = F.coalesce(cap_wer(), F.lit(0.0)), F.coalesce(F.col(outcome).cast("double"), F.lit(0.0))
+    rated = F.col("wer").isNotNull()
+    scored = rated & F.col(outcome).isNotNull()
+    err, perfect, degraded = scored & (F.col("wer") > 0), scored & (F.col("wer") == 0), scored & ~is_clean()
+    paired = degraded & (F.col("wer") > 0) & F.coalesce(F.col("clean_outcome") == 1, F.lit(False))
+    critical = paired & (F.col("has_critical_error") == 1) if flags else F.lit(False)
+    function = paired & (F.col("has_critical_error") == 0) & (F.col("has_function_error") == 1) if flags else F.lit(False)
+    marks = {"rated": rated, "scored": scored, "err": err, "perfect": perfect, "paired": paired, "critical": critical, "function": function, "degraded": degraded}
+    values = {}
+    for name in CELL_VALUES:
+        base, _, of = name.partition("_")
+        v = marks[base].cast("double")
+        values[name] = v * {"": F.lit(1.0), "w": w, "y": y}[of]
+    d = with_anchor(rows, outcome, order, rated=False)
+    cell = ["asr", "degradation", "snr_db", "llm"]
+    d = d.select("slurp_id", *cell, w.alias("w"), *(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in values.items()))
+    names = [*CELL_VALUES, "predicted"]
+    sums = _cell_sums(d, names, curves, replicates, seed)
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        if pdf.loc[pdf["block"] == 0, "n"].sum() < least:
+            return pd.DataFrame(columns=[*cell, "metric", "lo", "median", "hi"])
+        t = {v: np.zeros(replicates) for v in names}
+        for block, part in pdf.groupby("block"):
+            at = slice(block * REPLICATE_BLOCK, min((block + 1) * REPLICATE_BLOCK, replicates))
+            for v in names:
+                t[v][at] = np.sum([np.asarray(x, float) for x in part[v]], axis=0)
+        got = _cell_metrics(t, curves.get((one["asr"], one["llm"])))
+        out = []
+        for m in METRICS:
+            known = got[m][np.isfinite(got[m])]
+            points = np.percentile(known, [2.5, 50, 97.5]) if len(known) else [None] * 3
+            out.append([*(one[c] for c in cell), m, *points])
+        return pd.DataFrame(out, columns=[*cell, "metric", "lo", "median", "hi"])
+
+    return sums.groupBy(*cell).applyInPandas(summary, "asr string, degradation string, snr_db int, llm string, metric string, lo double, median double, hi double")
+
+
+def _cell_metrics(t: dict[str, np.ndarray], curve: tuple[np.ndarray, np.ndarray] | None) -> dict[str, np.ndarray]:
+    nothing = np.full(len(t["rated"]), np.nan)
+    with np.errstate(all="ignore"):
+        mean = lambda a, of: np.where(t[a] > 0, t[f"{a}_{of}"] / t[a], np.nan)
+        gain = lambda a: mean(a, "y") - (1 - mean(a, "w"))
+        ceiling = mean("perfect", "y")
+        out = {
+            "outcome": mean("scored", "y"), "absorption": mean("err", "y"), "retention": mean("paired", "y"), "gain_paired": gain("paired"),
+            "gain_ceiling": mean("err", "y") - ceiling * (1 - mean("err", "w")), "gain_legacy": mean("err", "y") - (1 - mean("rated", "w")),
+            "gain_calibrated": np.where(t["degraded"] > 0, (t["degraded_y"] - t["predicted"]) / t["degraded"], np.nan),
+            "gain_critical": gain("critical"), "gain_function": gain("function"),
+        }
+    out["gain_critical_minus_function"] = out["gain_critical"] - out["gain_function"]
+    out["calibration_a"], out["calibration_b"] = curve if curve else (nothing, nothing)
+    return out
+
+
+def _cell_sums(rows: DataFrame, names: list[str], curves: dict, replicates: int, seed: int) -> DataFrame:
+    """Weighted sums of the values by cell, as arrays over a block of replicates: a row for each cell and block of each task."""
+    from pyspark.sql import types as T
+
+    cell = ["asr", "degradation", "snr_db", "llm"]
+    arrays = [T.StructField(v, T.ArrayType(T.DoubleType())) for v in names]
+    schema = T.StructType([*(rows.schema[c] for c in cell), T.StructField("block", T.IntegerType()), T.StructField("n", T.LongType()), *arrays])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, list] = {}
+        for rb in batches:
+            pdf = rb.to_pandas()
+            v = pdf[CELL_VALUES].to_numpy(float)
+            codes, keys = pd.factorize(pd.MultiIndex.from_frame(pdf[cell].astype(object).where(pdf[cell].notna(), None)))
+            ids, inverse = np.unique(pdf["slurp_id"].to_numpy(), return_inverse=True)
+            weight = poisson_weights(ids, replicates, seed).astype(float)
+            error, degraded = pdf["w"].to_numpy(float), pdf["degraded"].to_numpy(float)
+            for i, key in enumerate(keys):
+                at = np.flatnonzero(codes == i)
+                own = weight[inverse[at]]
+                k = tuple(None if x != x else x for x in key)
+                part = np.empty((len(names), replicates))
+                part[:-1] = v[at].T @ own
+                a, b = curves.get((k[0], k[3]), (np.full(replicates, np.nan),) * 2)
+                rates, of = np.unique(error[at], return_inverse=True)
+                each = np.zeros((len(rates), replicates))
+                np.add.at(each, of, own * degraded[at][:, None])
+                with np.errstate(over="ignore"):
+                    part[-1] = (each / (1 + np.exp(-(a + b * rates[:, None])))).sum(0)
+                held = total.setdefault(k, [0, 0.0])
+                held[0] += len(at)
+                held[1] = held[1] + part
+        for key, (n, sums) in total.items():
+            starts = range(0, replicates, REPLICATE_BLOCK)
+            cols = [pa.array([key[j]] * len(starts), t) for j, t in enumerate(kinds)]
+            cols += [pa.array(np.arange(len(starts), dtype=np.int32)), pa.array([n] * len(starts), pa.int64())]
+            cols += [pa.array([row[s : s + REPLICATE_BLOCK] for s in starts], pa.list_(pa.float64())) for row in sums]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(rows.schema[c].dataType) for c in cell]
+    return rows.mapInArrow(run, schema)
+
+
 MEDIATION = "acme double, ade double, total double, n double, refused string"
 _NODES, _WEIGHTS = np.polynomial.hermite_e.hermegauss(31)
 
 
-def mediate(treated: np.ndarray, x: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float, float] | str:
+def mediate(treated: np.ndarray, x: np.ndarray, n: np.ndarray, k: np.ndarray, groups: np.ndarray | None = None) -> tuple[float, float, float] | str:
     """Effect of the treatment through the mediator x (ACME), past it (ADE), and both, or why there is none.
 
-    The mediator is linear in the treatment; the outcome (k of n successes) is logistic in both. Outcomes are averaged
-    over the mediator's residual distribution by Gauss-Hermite quadrature, so the result has no draws in it.
+    The mediator is linear and the outcome (k of n successes) logistic in the treatment and in flags of ``groups`` (recogniser
+    and router), the outcome also in the mediator. Outcomes are averaged over the rows' groups and the mediator's residual
+    distribution, by Gauss-Hermite quadrature, so the result has no draws in it.
     """
     if min(n[treated == 1].sum(), n[treated == 0].sum()) == 0:
         return "one arm is empty"
     if k.sum() <= 0 or k.sum() >= n.sum():
         return "the outcome does not vary"
-    mean = [np.average(x[treated == t], weights=n[treated == t]) for t in (0, 1)]
-    spread = np.sqrt(np.average((x - np.where(treated == 1, mean[1], mean[0])) ** 2, weights=n) * n.sum() / max(n.sum() - 2, 1))
-    if spread < 1e-12 and abs(mean[1] - mean[0]) < 1e-12:
+    if x[n > 0].max() - x[n > 0].min() < 1e-12:
         return "the mediator does not vary"
-    d, beta = np.stack([np.ones_like(x), treated, x], 1), np.zeros(3)
+    flags = np.zeros((len(x), 0)) if groups is None else groups[:, [j for j in range(groups.shape[1]) if 0 < (n * groups[:, j]).sum() < n.sum()]]
+    base = np.concatenate([np.ones((len(x), 1)), treated[:, None], flags], 1)
+    gram = (base * n[:, None]).T @ base
+    if np.linalg.matrix_rank(gram) < base.shape[1]:
+        return "the groups and the arms are confounded"
+    mean = np.linalg.solve(gram, (base * n[:, None]).T @ x)
+    spread = np.sqrt((n * (x - base @ mean) ** 2).sum() / max(n.sum() - base.shape[1], 1))
+    d, beta = np.concatenate([base, x[:, None]], 1), np.zeros(base.shape[1] + 1)
     for _ in range(100):
         p = 0.5 * (1 + np.tanh(d @ beta / 2))
         h = (d * (n * p * (1 - p))[:, None]).T @ d
@@ -143,46 +323,73 @@ def mediate(treated: np.ndarray, x: np.ndarray, n: np.ndarray, k: np.ndarray) ->
             break
     else:
         return "the outcome model did not converge"
+    kinds, of = np.unique(flags, axis=0, return_inverse=True) if flags.shape[1] else (np.zeros((1, 0)), np.zeros(len(x), int))
+    share = np.bincount(of.ravel(), weights=n, minlength=len(kinds)) / n.sum()
 
     def outcome(t: int, m: int) -> float:
-        z = beta[0] + beta[1] * t + beta[2] * (mean[m] + spread * _NODES)
-        return float((_WEIGHTS * 0.5 * (1 + np.tanh(z / 2))).sum() / _WEIGHTS.sum())
+        rate = mean[0] + mean[1] * m + kinds @ mean[2:]
+        z = beta[0] + beta[1] * t + kinds @ beta[2:-1]
+        z = z[:, None] + beta[-1] * (rate[:, None] + spread * _NODES)
+        return float(share @ (0.5 * (1 + np.tanh(z / 2)) @ _WEIGHTS) / _WEIGHTS.sum())
 
     acme = (outcome(1, 1) - outcome(1, 0) + outcome(0, 1) - outcome(0, 0)) / 2
     ade = (outcome(1, 1) - outcome(0, 1) + outcome(1, 0) - outcome(0, 0)) / 2
     return acme, ade, acme + ade
 
 
+def _groups(pdf: pd.DataFrame) -> np.ndarray:
+    """Flags of all recognisers and routers but the first of each."""
+    cols = [(pdf[c] == level).to_numpy(float) for c in CURVE if c in pdf for level in sorted(pdf[c].unique())[1:]]
+    return np.stack(cols, 1) if cols else np.zeros((len(pdf), 0))
+
+
 def _contrast(keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = mediate(*(pdf[c].to_numpy(float) for c in ("treated", "x", "n", "k")))
+        got = mediate(*(pdf[c].to_numpy(float) for c in ("treated", "x", "n", "k")), _groups(pdf))
         row = [*(pdf[c].iloc[0] for c in keys), *((None, None, None) if isinstance(got, str) else got), pdf["n"].sum(), got if isinstance(got, str) else None]
         return pd.DataFrame([row], columns=[*keys, "acme", "ade", "total", "n", "refused"])
 
     return run
 
 
-def _arms(sums: DataFrame) -> DataFrame:
-    """The clean arm beside every degradation's arm; both are histograms of the mediator."""
+def _arms(sums: DataFrame, by: list[str]) -> DataFrame:
+    """The clean arm beside every degraded arm (a few dozen); both are histograms of the mediator."""
     arm = sums.where(~is_clean())
-    clean = sums.where(is_clean()).drop("degradation").crossJoin(F.broadcast(arm.select("degradation").distinct()))
+    clean = sums.where(is_clean()).drop(*by).crossJoin(F.broadcast(arm.select(*by).distinct()))
     return arm.withColumn("treated", F.lit(1.0)).unionByName(clean.withColumn("treated", F.lit(0.0)).select(*arm.columns, "treated"))
 
 
-def mediation_table(rows: DataFrame, outcome: str = "ees") -> DataFrame:
-    """ACME, ADE and total of every degradation against clean audio, with the error rate as mediator."""
+def _known(rows: DataFrame, outcome: str, by: list[str]) -> DataFrame:
     known = rows.where(F.col("wer").isNotNull() & F.col(outcome).isNotNull())
-    sums = known.groupBy("degradation", cap_wer().alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(outcome).cast("double")).alias("k"))
-    return _arms(sums).groupBy("degradation").applyInPandas(_contrast(["degradation"]), f"degradation string, {MEDIATION}")
+    return known.select("slurp_id", *by, *CURVE, cap_wer().alias("x"), F.lit(1.0).alias("n"), F.col(outcome).cast("double").alias("k"))
+
+
+def _by(by: list[str]) -> str:
+    return ", ".join(f"{c} {'int' if c == 'snr_db' else 'string'}" for c in by)
 
 
-def mediation_bootstrap(rows: DataFrame, outcome: str = "ees", replicates: int = 100, seed: int = 42) -> DataFrame:
+def mediation_table(rows: DataFrame, outcome: str = "ees", by: list[str] | None = None, bands: DataFrame | None = None) -> DataFrame:
+    """ACME, ADE and total of every degradation (or degradation and noise level: ``by``) against clean audio, with the error rate
+    as mediator, over all routers. With ``bands`` (``mediation_bootstrap``) also ``share``, the part mediated, where the
+    total's interval excludes 0; ``share_refused`` says why else."""
+    by = by or ["degradation"]
+    sums = _known(rows, outcome, by).groupBy(*by, *CURVE, "x").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    out = _arms(sums, by).groupBy(*by).applyInPandas(_contrast(by), f"{_by(by)}, {MEDIATION}")
+    if bands is None:
+        return out
+    other = bands.withColumnsRenamed({c: f"__{c}" for c in by})
+    joined = out.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").drop(*(f"__{c}" for c in by))
+    covers = F.coalesce((F.col("total_lo") <= 0) & (F.col("total_hi") >= 0), F.lit(True))
+    why = F.when(F.col("refused").isNotNull(), F.col("refused")).when(covers, "the interval of the total effect covers 0")
+    return joined.withColumns({"share": F.when(why.isNull() & (F.col("total") != 0), F.col("acme") / F.col("total")), "share_refused": why})
+
+
+def mediation_bootstrap(rows: DataFrame, outcome: str = "ees", replicates: int = 200, seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """Percent points of the effects over replicates that draw utterances, each with all of its rows; replicates
-    that refuse are counted. Rows collapse to weighted histograms before anything is fitted."""
-    known = rows.where(F.col("wer").isNotNull() & F.col(outcome).isNotNull())
-    known = known.select("slurp_id", "degradation", cap_wer().alias("x"), F.lit(1.0).alias("n"), F.col(outcome).cast("double").alias("k"))
-    sums = replicate_sums(known, ["degradation", "x"], ["n", "k"], replicates, seed).where("n > 0")
-    keys = ["degradation", "replicate"]
-    each = _arms(sums).groupBy(*keys).applyInPandas(_contrast(keys), f"degradation string, replicate int, {MEDIATION}")
-    points = [F.percentile(c, p).alias(f"{c}_{n}") for c in ("acme", "ade", "total") for n, p in (("lo", 0.025), ("hi", 0.975))]
-    return each.groupBy("degradation").agg(*points, F.count("refused").alias("n_refused"))
+    that refuse are counted. Rows collapse to weighted histograms of exact rates before anything is fitted."""
+    by = by or ["degradation"]
+    sums = replicate_sums(_known(rows, outcome, by), [*by, *CURVE, "x"], ["n", "k"], replicates, seed).where("n > 0")
+    keys = [*by, "replicate"]
+    each = _arms(sums, by).groupBy(*keys).applyInPandas(_contrast(keys), f"{_by(by)}, replicate int, {MEDIATION}")
+    points = [F.percentile(c, p).alias(f"{c}_{n}") for c in ("acme", "ade", "total") for n, p in (("lo", 0.025), ("median", 0.5), ("hi", 0.975))]
+    return each.groupBy(*by).agg(*points, F.count("refused").alias("n_refused"), F.count(F.lit(1)).alias("n_replicates"))
