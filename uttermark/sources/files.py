@@ -13,12 +13,14 @@ CORRUPT = "_corrupt"
 
 
 def read_rows(spark: SparkSession, paths: list[str] | str, partitions: int | None = None) -> DataFrame:
-    """Evaluation rows from JSON Lines files, plain or gzipped, with ``file``; unreadable lines are kept in ``_corrupt``.
+    """Evaluation rows from JSON Lines files, plain or gzipped; unreadable lines are kept in ``_corrupt``. ``file``, ``block``
+    (where the part of the file begins) and ``line`` (rising within it) order the rows as they stand in the files.
 
     A gzipped file is read by one task, so ``partitions`` spreads its rows afterwards.
     """
     rows = spark.read.schema(evaluation_schema(CORRUPT)).option("columnNameOfCorruptRecord", CORRUPT).json(paths)
-    rows = rows.withColumn("file", F.col("_metadata.file_path"))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = rows.withColumn("line", F.monotonically_increasing_id())
     return rows.repartition(partitions) if partitions else rows
 
 
@@ -30,8 +32,15 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-# Patterns of result file names, the first that fits counts.
-KINDS = [("pilot", r"pilot"), ("baseline", r"baseline"), ("omni", r"^omni_.*_sweep_scored\.jsonl"), ("sweep", r"_scored\.jsonl")]
+# Patterns of whole names of result files.
+KINDS = [
+    ("omni", r"^omni_(qwen|gemma)_sweep_scored\.jsonl$"),
+    ("sweep", r"^cascade_whisper_(qwen9b|qwen27b|gemma31b)_[a-z]+(_snr\d+)?_scored\.jsonl$"),
+    ("sweep", r"^parakeet_[a-z]+(_snr\d+)?_(qwen9b|qwen27b|gemma31b)_scored\.jsonl$"),
+    ("pilot", r"^h2a_pilot_.*_scored\.jsonl$"),
+    ("pilot", r"^omni_pilot_.*_scored\.jsonl$"),
+    ("baseline", r"^baseline_.*_scored\.jsonl$"),
+]
 
 
 def file_kind(path: Column) -> Column:
@@ -73,12 +82,13 @@ def write_table(table: DataFrame, path: str) -> bool:
     return True
 
 
-def split_failures(rows: DataFrame, failed: Column, path: str, sidecar: str) -> None:
-    """Write usable rows to ``path`` and failed ones to ``sidecar``; a null mark counts as usable."""
+def split_failures(rows: DataFrame, failed: Column, path: str, sidecar: str, run: str = "0") -> None:
+    """Write usable rows to ``path`` and failed ones to ``sidecar``, each into a folder of this ``run``, which a repeated
+    run replaces; a null mark counts as usable."""
     bad = F.coalesce(failed, F.lit(False))
     kept = rows.persist()
     try:
-        kept.where(~bad).write.mode("append").parquet(path)
-        kept.where(bad).write.mode("append").parquet(sidecar)
+        kept.where(~bad).write.mode("overwrite").parquet(f"{path}/run={run}")
+        kept.where(bad).write.mode("overwrite").parquet(f"{sidecar}/run={run}")
     finally:
         kept.unpersist()

@@ -12,6 +12,9 @@ from uttermark.keys import RESUME
 from uttermark.operators.pairs import skip_done
 
 
+KEY_PARTS = 64
+
+
 def score(rows: DataFrame) -> DataFrame:
     """Parameter recall and success of rows with intents and parameters; row-local, for batch and stream."""
     pf, n, matched = P.param_recall(F.col("gold_parameters"), F.col("predicted_parameters"))
@@ -21,19 +24,33 @@ def score(rows: DataFrame) -> DataFrame:
 
 def incremental_scoring(spark: SparkSession, schema: StructType, source: str, sink: str, failures: str, checkpoint: str) -> StreamingQuery:
     """Score the files that have come since the last run and stop. Rows without an answer go to ``failures`` and
-    may come again; a key that already has a result in ``sink`` is skipped, so a repeated batch adds nothing."""
-    arrived = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+    may come again; a key that already has a result in ``sink`` is skipped.
+
+    Each batch writes into folders of its own, which it replaces when it is repeated. The keys of finished rows stand
+    apart from the results (``sink`` + ``_keys``), dealt by a hash, and a batch reads those with its own hashes only.
+    """
+    arrived = spark.readStream.schema(schema).json(source)
+    keys = f"{sink.rstrip('/')}_keys"
+    dealt = F.pmod(F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in RESUME)), F.lit(KEY_PARTS)).cast("int")
 
-    def take(batch: DataFrame, _: int) -> None:
-        failed = F.col("predicted_intent").isNull()
-        batch.where(failed).write.mode("append").parquet(failures)
-        usable = score(batch.where(~failed)).dropDuplicates(RESUME)
+    def take(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         try:
-            done = spark.read.parquet(sink)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = usable.limit(0)
-        skip_done(usable, done, RESUME).write.mode("append").parquet(sink)
+            failed = F.col("predicted_intent").isNull()
+            batch.where(failed).write.mode("overwrite").parquet(f"{failures}/batch={number}")
+            usable = score(batch.where(~failed)).dropDuplicates(RESUME).withColumn("part", dealt)
+            try:
+                done = spark.read.parquet(keys)
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                done = usable.withColumn("batch", F.lit(-1)).limit(0)
+            parts = [r["part"] for r in usable.select("part").distinct().collect()]  # KEY_PARTS at most
+            new = skip_done(usable, done.where(F.col("part").isin(parts) & (F.col("batch") != number)), RESUME)
+            new.drop("part").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            written = spark.read.schema(usable.drop("part").schema).parquet(f"{sink}/batch={number}")
+            written.select(*RESUME, dealt.alias("part")).write.mode("overwrite").partitionBy("part").parquet(f"{keys}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return arrived.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
