@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from uttermark.operators import validate as V
 from uttermark.operators.validate import schema_report, unparseable_lines, validate_rows
 from uttermark.schema import evaluation_schema
 from uttermark.sources import files
@@ -33,7 +34,9 @@ def test_read_rows_keeps_bad_lines_and_types(spark, tmp_path):
     good = rows.where("_corrupt is null")
     assert sorted(r["slurp_id"] for r in good.collect()) == [1, 2, 3]
     assert [r["n"] for r in unparseable_lines(rows).collect()] == [1]
-    assert validate_rows(good.drop("_corrupt", "file")).where(F.size("violations") > 0).isEmpty()
+    assert validate_rows(good.drop("_corrupt", "file", "block", "line")).where(F.size("violations") > 0).isEmpty()
+    order = [r["slurp_id"] for r in good.where("file like '%a_scored%'").orderBy("file", "block", "line").collect()]
+    assert order == [1, 2]
 
 
 @pytest.mark.parametrize(
@@ -43,7 +46,13 @@ def test_read_rows_keeps_bad_lines_and_types(spark, tmp_path):
         ({"snr_db": None}, "degraded_row_has_no_snr"),
         ({"degradation": "clean"}, "clean_row_has_snr"),
         ({"wer": -1.0}, "value_out_of_range"),
-        ({"asr_model": None}, "null_not_allowed"),
+        ({"asr_model": None}, "cascade_asr_model_null"),
+        ({"transcription": None}, "cascade_transcript_field_null"),
+        ({"cer": None}, "cascade_metric_null"),
+        ({"llm_model": None}, "null_not_allowed"),
+        ({"pathway": "omni", "error_categories": [("insert", None, "function", "", "x", None)]}, "omni_error_categories_not_empty"),
+        ({"pf": None}, "pf_null_mismatch"),
+        ({"ees": 0, "ees_strict": 0, "pf": 0.0, "pf_n_matched": 0}, "tch_category_missing"),
         ({"pathway": "omni"}, "omni_field_not_null"),
         ({"pf_n_matched": 2}, "pf_counters_impossible"),
         ({"pf": 0.5}, "pf_not_recall"),
@@ -71,12 +80,53 @@ def test_missing_field(spark):
 
 
 def test_file_kinds(spark):
-    names = ["d/cascade_whisper_q_noise_scored.jsonl", "d/omni_q_sweep_scored.jsonl", "d/pilot_1.jsonl", "d/baseline_x.jsonl"]
-    df = spark.createDataFrame([(n,) for n in names], "file string")
-    assert [r["k"] for r in df.select(files.file_kind(F.col("file")).alias("k")).collect()] == ["sweep", "omni", "pilot", "baseline"]
+    kinds = {
+        "cascade_whisper_qwen9b_noise_snr10_scored.jsonl": "sweep", "parakeet_clean_gemma31b_scored.jsonl": "sweep", "omni_qwen_sweep_scored.jsonl": "omni",
+        "omni_pilot_qwen_scored.jsonl": "pilot", "h2a_pilot_x_scored.jsonl": "pilot", "baseline_x_scored.jsonl": "baseline",
+    }
+    df = spark.createDataFrame([(f"d/{n}",) for n in kinds], "file string")
+    assert [r["k"] for r in df.select(files.file_kind(F.col("file")).alias("k")).collect()] == list(kinds.values())
     assert files.select_result_set(df, ["omni"]).count() == 1
-    with pytest.raises(Exception, match="unclassified"):
-        files.select_result_set(spark.createDataFrame([("d/x.txt",)], "file string"), ["omni"]).collect()
+    for name in ("x.txt", "omni_qwen3_sweep_scored.jsonl", "stray_scored.jsonl", "omni_qwen_sweep_scored.jsonl.bak", "xomni_gemma_sweep_scored.jsonl"):
+        with pytest.raises(Exception, match="unclassified"):
+            files.select_result_set(spark.createDataFrame([(f"d/{name}",)], "file string"), ["omni"]).collect()
+
+
+def test_lines_of_json(spark):
+    """Presence, types and shapes, which typed rows cannot show."""
+    bad = {
+        "ok": ROW, "wrong": {**ROW, "wer": "x"}, "bool": {**ROW, "tsa": True}, "gone": {k: v for k, v in ROW.items() if k != "notes"}, "null": {**ROW, "scenario": None},
+        "chunk": {**ROW, "error_categories": [{"type": "insert"}]}, "number": {**ROW, "error_categories": [3]}, "list": [1], "int": {**ROW, "wer": 1}, "new": {**ROW, "other": 1},
+    }
+    data = [(k, json.dumps(v)) for k, v in bad.items()] + [("broken", "{x"), ("blank", "  ")]
+    lines = spark.createDataFrame(data, "nr string, value string")
+    got = {r["nr"]: {(v["rule"], v["field"]) for v in r["violations"]} for r in V.validate_lines(lines).collect()}
+    assert got["ok"] == got["int"] == got["new"] == set() and "blank" not in got
+    assert got["wrong"] == {("wrong_type", "wer"), ("cascade_metric_null", "wer")} and got["bool"] == {("wrong_type", "tsa")}
+    assert got["gone"] == {("missing_field", "notes")} and got["null"] == {("null_not_allowed", "scenario")}
+    assert got["chunk"] == got["number"] == {("error_chunk_keys", "error_categories")}
+    assert got["list"] == {("not_an_object", "value")} and got["broken"] == {("unparseable_line", "value")}
+    assert [(r["field"], r["n"]) for r in V.extra_fields(lines).collect()] == [("other", 1)]
+    report = {(r["rule"], r["field"]): r for r in schema_report(V.validate_lines(lines), "nr", examples=1).collect()}
+    one = report["error_chunk_keys", "error_categories"]
+    assert (one["n"], one["keys"], one["first"], one["examples"], one["source"]) == (2, 2, "chunk", ["chunk"], "row") and one["message"]
+
+
+def test_own_rules_observed_and_duplicates(spark, tmp_path):
+    schema = evaluation_schema()
+    row = {**ROW, "tsa": 0, "ees": 0, "ees_strict": 0, "snr_db": None}
+    df = spark.createDataFrame([tuple(row[n] for n in schema.names)], schema)
+    every = {v["rule"] for v in validate_rows(df).first()["violations"]}
+    assert {v["rule"] for v in validate_rows(df, own_only=True).first()["violations"]} == every - {"tsh_category_missing"}
+    assert "bad_enum" in {v["rule"] for v in validate_rows(df, intents=["x"]).first()["violations"]}
+    seen = {(r["what"], r["value"]): r["n"] for r in V.observed(df).collect()}
+    assert seen["pathway", "cascade"] == 1 and seen["notes_null", "rows"] == 1 and ("pf_null", "rows") not in seen
+    again = df.withColumns({"file": F.lit("f"), "line": F.lit(1)}).unionByName(df.withColumns({"file": F.lit("f"), "line": F.lit(2)}))
+    found = V.duplicate_violations(again).first()
+    assert (found["line"], found["first_line"], found["violations"][0]["rule"]) == (2, 1, "duplicate_resume_key")
+    put(tmp_path / "there.jsonl", [ROW])
+    missing = V.unreadable_files(spark, [str(tmp_path / "there.jsonl"), str(tmp_path / "gone.jsonl")]).collect()
+    assert [(r["file"].rsplit("/", 1)[1], r["violations"][0]["rule"]) for r in missing] == [("gone.jsonl", "unreadable_file")]
 
 
 def test_writers(spark, tmp_path):
@@ -87,6 +137,7 @@ def test_writers(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/y").count() == 2
     assert not files.write_table(df.limit(0), f"{tmp_path}/t") and files.write_table(df, f"{tmp_path}/t")
     files.split_failures(df, F.col("bad"), f"{tmp_path}/ok", f"{tmp_path}/failed")
+    files.split_failures(df, F.col("bad"), f"{tmp_path}/ok", f"{tmp_path}/failed")  # a repeated run replaces its rows
     assert [r["slurp_id"] for r in spark.read.parquet(f"{tmp_path}/ok").collect()] == [2]
     assert [r["slurp_id"] for r in spark.read.parquet(f"{tmp_path}/failed").collect()] == [1]
 

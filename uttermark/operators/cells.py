@@ -41,11 +41,15 @@ def cell_stats(rows: DataFrame, outcome: str = "ees", keys: list[str] | None = N
     The median is over all rows with an error rate, not only scored ones; rates are capped at 1.
     """
     _check(outcome)
+    return _cell_gains(rows.groupBy(*(keys or CELL)).agg(*_cell_aggregates(outcome)))
+
+
+def _cell_aggregates(outcome: str) -> list[Column]:
     w, y = cap_wer(), F.col(outcome).cast("double")
     scored = F.col("wer").isNotNull() & y.isNotNull()
     err, perfect = scored & (F.col("wer") > 0), scored & (F.col("wer") == 0)
     count = lambda c: F.count(F.when(c, 1))
-    out = rows.groupBy(*(keys or CELL)).agg(
+    return [
         F.count(F.lit(1)).alias("n"),
         count(scored).alias("n_scored"),
         count(err).alias("n_err"),
@@ -57,7 +61,10 @@ def cell_stats(rows: DataFrame, outcome: str = "ees", keys: list[str] | None = N
         F.avg(_where(scored, y)).alias("mean_outcome"),
         F.avg(_where(perfect, y)).alias("ceiling"),
         F.avg(_where(err, y)).alias("absorption"),
-    )
+    ]
+
+
+def _cell_gains(out: DataFrame) -> DataFrame:
     out = out.withColumns({"naive_legacy": 1 - F.col("mean_wer_all"), "naive_ceiling": F.col("ceiling") * (1 - F.col("mean_wer_err"))})
     return out.withColumns({"gain_legacy": F.col("absorption") - F.col("naive_legacy"), "gain_ceiling": F.col("absorption") - F.col("naive_ceiling")})
 
@@ -74,25 +81,32 @@ def _paired(outcome: str) -> Column:
     return (~is_clean()) & (F.col("wer") > 0) & y.isNotNull()
 
 
-def paired_stats(rows: DataFrame, outcome: str = "ees") -> DataFrame:
+def paired_stats(rows: DataFrame, outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
     """Retention and gain per degraded cell, over items that succeeded on clean audio and whose transcript has an error."""
     _check(outcome)
-    d = with_anchor(rows, outcome).where(~is_clean())
+    d = with_anchor(rows, outcome, order).where(~is_clean())
+    return _paired_gains(d.groupBy(*CELL).agg(*_paired_aggregates(outcome)))
+
+
+def _paired_aggregates(outcome: str) -> list[Column]:
     tested = _paired(outcome)
     kept = tested & (F.col("clean_outcome") == 1)
-    out = d.groupBy(*CELL).agg(
+    return [
         F.count(F.when(kept, 1)).alias("n_paired"),
-        F.count(F.when(tested & ~F.col("has_anchor"), 1)).alias("n_dropped_no_anchor"),
+        F.count(F.when(tested & ~F.coalesce("has_anchor", F.lit(False)), 1)).alias("n_dropped_no_anchor"),
         F.avg(_where(kept, cap_wer())).alias("mean_wer_paired"),
         F.avg(_where(kept, F.col(outcome).cast("double"))).alias("retention"),
-    )
+    ]
+
+
+def _paired_gains(out: DataFrame) -> DataFrame:
     out = out.withColumn("naive_paired", 1 - F.col("mean_wer_paired"))
     return out.withColumns({"gain_paired": F.col("retention") - F.col("naive_paired"), "underpowered": F.col("n_paired") < UNDERPOWERED})
 
 
-def paired_incremental(rows: DataFrame, outcome: str = "ees") -> DataFrame:
+def paired_incremental(rows: DataFrame, outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
     """As ``paired_stats``, charging only the error rate added over the clean row."""
-    d = with_anchor(rows, outcome)
+    d = with_anchor(rows, outcome, order)
     kept = _paired(outcome) & (F.col("clean_outcome") == 1)
     added = F.greatest(cap_wer() - F.coalesce(cap_wer("clean_wer"), F.lit(0.0)), F.lit(0.0))
     out = d.where(kept).groupBy(*CELL).agg(
@@ -111,22 +125,26 @@ def calibrated_stats(rows: DataFrame, curves: DataFrame, outcome: str = "ees") -
     """Observed minus predicted over the full degraded sample of each cell; the text of a refusal stays beside nulls."""
     d = rows.where(~is_clean() & F.col("wer").isNotNull() & F.col(outcome).isNotNull())
     d = d.join(F.broadcast(curves), CURVE, "left")  # a row for each pair of models
-    usable = F.col("a").isNotNull()
+    out = d.groupBy(*CELL).agg(*_calibrated_aggregates(outcome, F.lit(True)))
+    return out.withColumn("gain_calibrated", F.col("mean_observed") - F.col("mean_predicted"))
+
+
+def _calibrated_aggregates(outcome: str, scored: Column) -> list[Column]:
+    usable = scored & F.col("a").isNotNull()
     y = F.col(outcome).cast("double")
-    out = d.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("n_calibrated"),
+    return [
+        F.count(F.when(scored, 1)).alias("n_calibrated"),
         F.avg(_where(usable, y)).alias("mean_observed"),
-        F.avg(predicted()).alias("mean_predicted"),
+        F.avg(_where(scored, predicted())).alias("mean_predicted"),
         F.avg(_where(usable, (cap_wer() >= HIGH_WER).cast("double"))).alias("share_at_high_wer"),
         F.max(_where(usable, "n_clean_at_high_wer")).alias("n_clean_at_high_wer"),
-        F.max(F.when(~usable, F.coalesce("refused", F.lit("no clean calibration")))).alias("refused"),
-    )
-    return out.withColumn("gain_calibrated", F.col("mean_observed") - F.col("mean_predicted"))
+        F.max(F.when(scored & F.col("a").isNull(), F.coalesce("refused", F.lit("no clean calibration")))).alias("refused"),
+    ]
 
 
-def calibrated_paired(rows: DataFrame, curves: DataFrame, outcome: str = "ees") -> DataFrame:
+def calibrated_paired(rows: DataFrame, curves: DataFrame, outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
     """On the paired subset, each item's own survival: min(P(degraded) / P(clean), 1)."""
-    d = with_anchor(rows, outcome).where(_paired(outcome) & (F.col("clean_outcome") == 1))
+    d = with_anchor(rows, outcome, order).where(_paired(outcome) & (F.col("clean_outcome") == 1))
     d = d.join(F.broadcast(curves), CURVE, "left")
     clean = sigmoid(F.col("a") + F.col("b") * F.coalesce(cap_wer("clean_wer"), F.lit(0.0)))
     ratio = F.when(clean <= 0, F.lit(1.0)).when(clean.isNotNull(), F.least(predicted() / clean, F.lit(1.0)))
@@ -137,30 +155,39 @@ def calibrated_paired(rows: DataFrame, curves: DataFrame, outcome: str = "ees")
     return out.withColumn("gain_calibrated_paired", F.col("retention") - F.col("mean_predicted"))
 
 
-def absorption_table(rows: DataFrame, curves: DataFrame, outcome: str = "ees") -> DataFrame:
-    """Cell, paired and calibrated statistics of every degraded cell with errors."""
-    cells = cell_stats(rows, outcome).where(~is_clean())
-    paired = paired_stats(rows, outcome)
-    calibrated = calibrated_stats(rows, curves, outcome)
+def absorption_table(rows: DataFrame, curves: DataFrame, outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
+    """Cell, paired and calibrated statistics of every degraded cell, in one aggregation after one join.
 
-    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
-        other = b.withColumnsRenamed({k: f"__{k}" for k in CELL})
-        return a.join(other, [a[k].eqNullSafe(other[f"__{k}"]) for k in CELL], "left").drop(*(f"__{k}" for k in CELL))
-
-    return beside(beside(cells, paired), calibrated)
+    A cell without a row that can be paired (or calibrated) has nulls in place of those statistics.
+    """
+    _check(outcome)
+    d = with_anchor(rows, outcome, order, rated=False).where(~is_clean())
+    d = d.join(F.broadcast(curves), CURVE, "left")  # a row for each pair of models
+    scored = F.col("wer").isNotNull() & F.col(outcome).isNotNull()
+    rated = F.count("wer").alias("__rated")
+    out = d.groupBy(*CELL).agg(*_cell_aggregates(outcome), *_paired_aggregates(outcome), *_calibrated_aggregates(outcome, scored), rated)
+    out = _paired_gains(_cell_gains(out)).withColumn("gain_calibrated", F.col("mean_observed") - F.col("mean_predicted"))
+    # as if joined: cells without a rated row have no paired part, cells without a scored one no calibrated part
+    gone = {c: F.when(F.col("__rated") > 0, F.col(c)) for c in ("n_paired", "n_dropped_no_anchor", "underpowered")}
+    return out.withColumns({**gone, "n_calibrated": F.when(F.col("n_calibrated") > 0, F.col("n_calibrated"))}).drop("__rated")
 
 
 def report_cells(rows: DataFrame) -> DataFrame:
-    """Means per cell with the upper of the middle error rates as median."""
+    """Means per cell with the upper of the middle error rates as median.
+
+    The percentiles are exact over counts of distinct rates, so no array of a cell's rows is made. With an even number
+    of rates the interpolated median lies between the middle two, and the upper one is what it lacks to twice itself.
+    """
     w = cap_wer()
-    ordered = F.array_sort(F.collect_list(w))
-    return rows.groupBy(*CELL).agg(
+    out = rows.groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("n"),
         *(F.avg(c).alias(f"mean_{c}") for c in OUTCOMES),
         F.avg(w).alias("mean_wer"),
         F.count(F.when(F.col("wer") > 1, 1)).alias("n_collapse"),
-        F.try_element_at(ordered, (F.floor(F.size(ordered) / F.lit(2)) + 1).cast("int")).alias("median_upper"),
+        F.expr("percentile_disc(0.5) within group (order by case when wer is not null then least(wer, 1.0D) end)").alias("__lower"),
+        F.percentile(w, 0.5).alias("__middle"),
     )
+    return out.withColumn("median_upper", 2 * F.col("__middle") - F.col("__lower")).drop("__lower", "__middle")
 
 
 def dose_response(rows: DataFrame) -> DataFrame:

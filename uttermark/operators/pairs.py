@@ -19,24 +19,29 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list, last: bool = Fa
     return ranked.where("__n = 1").drop("__n")
 
 
-def anchors(rows: DataFrame, outcome: str = "ees", order: str | None = None) -> DataFrame:
-    """One clean row for each item: its outcome and error rate. With ``order``, the first of repeated rows."""
-    clean = rows.where(is_clean())
-    value = F.struct(F.col(order) if order else F.lit(0), F.col(outcome), F.col("wer"))
-    return clean.groupBy(*ITEM).agg(F.min(value).alias("v")).select(*ITEM, F.col(f"v.{outcome}").alias("clean_outcome"), F.col("v.wer").alias("clean_wer"), F.lit(True).alias("has_anchor"))
-
-
-def with_anchor(rows: DataFrame, outcome: str = "ees") -> DataFrame:
-    """Every row beside its item's clean outcome and error rate. Rows without an error rate (omni) are never
-    paired, so they get no anchor and do not pile up on one key."""
-    can = rows.where("wer is not null")
-    joined = can.join(anchors(can, outcome), ITEM, "left")
+SOURCE = ["file", "block", "line"]  #: where a row was read, as ``sources.read_rows`` gives it
+
+
+def anchors(rows: DataFrame, outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
+    """One clean row for each item: its outcome and error rate. Of repeated rows, the first by ``order``, which is
+    the rows' place in their files unless given. Rows without a place are taken by outcome and error rate."""
+    by = order if order is not None else [c for c in SOURCE if c in rows.columns]
+    value = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(by)), F.col(outcome).alias("y"), F.col("wer").alias("w"))
+    clean = rows.where(is_clean()).groupBy(*ITEM).agg(F.min(value).alias("v"))
+    return clean.select(*ITEM, F.col("v.y").alias("clean_outcome"), F.col("v.w").alias("clean_wer"), F.lit(True).alias("has_anchor"))
+
+
+def with_anchor(rows: DataFrame, outcome: str = "ees", order: list[str] | None = None, rated: bool = True) -> DataFrame:
+    """Every row beside its item's clean outcome and error rate. Rows without an error rate (omni) are left out
+    unless ``rated`` is false."""
+    can = rows.where("wer is not null") if rated else rows
+    joined = can.join(anchors(can, outcome, order), ITEM, "left")
     return joined.withColumn("has_anchor", F.coalesce("has_anchor", F.lit(False)))
 
 
-def paired_rows(rows: DataFrame, outcome: str = "ees") -> DataFrame:
+def paired_rows(rows: DataFrame, outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
     """Degraded rows with an error whose clean row succeeded."""
-    d = with_anchor(rows, outcome)
+    d = with_anchor(rows, outcome, order)
     return d.where(~is_clean() & (F.col("wer") > 0) & F.col(outcome).isNotNull() & (F.col("clean_outcome") == 1))
 
 
@@ -51,12 +56,16 @@ def pair_class(clean: Column, degraded: Column, wer: Column) -> Column:
     )
 
 
-def classify_pairs(rows: DataFrame, outcome: str = "ees") -> DataFrame:
-    """Counts and shares of transitions from clean to degraded per cell."""
-    d = with_anchor(rows, outcome).where(~is_clean() & F.col("has_anchor"))
+def classify_pairs(rows: DataFrame, outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
+    """Counts and shares of transitions from clean to degraded per cell, and the cell's retention: the share
+    absorbed of what was absorbed or propagated, null without either."""
+    d = with_anchor(rows, outcome, order, rated=False).where(~is_clean() & F.col("has_anchor"))
     d = d.withColumn("category", pair_class(F.col("clean_outcome"), F.col(outcome), F.col("wer")))
     counts = d.groupBy(*CELL, "category").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("percent", 100 * F.col("n") / F.sum("n").over(W.partitionBy(*CELL)))
+    cell = W.partitionBy(*CELL)
+    absorbed, propagated = (F.sum(F.when(F.col("category") == x, F.col("n")).otherwise(0)).over(cell) for x in ("ABSORBED", "PROPAGATED"))
+    both = absorbed + propagated
+    return counts.withColumns({"percent": 100 * F.col("n") / F.sum("n").over(cell), "retention": F.when(both > 0, absorbed / both)})
 
 
 def mcnemar(b: int, c: int) -> float:
@@ -69,13 +78,13 @@ def mcnemar(b: int, c: int) -> float:
 
 
 def paired_router_test(rows: DataFrame, a: str, b: str, outcome: str = "tsa") -> DataFrame:
-    """Two routers on identical rows: rates, gap and discordant counts (``a_only``, ``b_only``)."""
+    """Two routers on identical rows: rates, gap, discordant counts (``a_only``, ``b_only``) and their exact p-value."""
     keys = ["slurp_id", "asr_model", "degradation", "snr_db"]
     left = rows.where((F.col("llm") == a) & F.col(outcome).isNotNull()).select(*keys, F.col(outcome).alias("ya"))
     right = rows.where((F.col("llm") == b) & F.col(outcome).isNotNull()).select(*keys, F.col(outcome).alias("yb"))
     j = left.join(right, same(left, right, keys))
     count = lambda c: F.count(F.when(c, 1))
-    return j.agg(
+    sums = j.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("ya").alias("rate_a"),
         F.avg("yb").alias("rate_b"),
@@ -83,6 +92,8 @@ def paired_router_test(rows: DataFrame, a: str, b: str, outcome: str = "tsa") ->
         count((F.col("ya") == 1) & (F.col("yb") == 0)).alias("a_only"),
         count((F.col("ya") == 0) & (F.col("yb") == 1)).alias("b_only"),
     )
+    one = sums.first()  # one row; the p-value is a function of two counts
+    return sums.sparkSession.createDataFrame([(*one, mcnemar(one["a_only"], one["b_only"]))], [*sums.schema.names, "p"])
 
 
 def canonical_map(c: Column) -> Column:
@@ -122,23 +133,33 @@ def outcome_drift(a: DataFrame, b: DataFrame, outcome: str = "tsa") -> DataFrame
     return out.withColumn("drift", F.abs(F.col("mean_b") - F.col("mean_a")))
 
 
+def drift_summary(a: DataFrame, b: DataFrame, outcome: str = "tsa") -> DataFrame:
+    """Overall means of two passes over their common rows, their difference, and the mean absolute drift of conditions."""
+    cells = outcome_drift(a, b, outcome)
+    n = F.sum("n")
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / n
+    out = cells.agg(n.alias("n"), mean("mean_a").alias("mean_a"), mean("mean_b").alias("mean_b"), F.avg("drift").alias("mean_abs_drift"), F.max("drift").alias("max_drift"))
+    return out.withColumn("drift", F.abs(F.col("mean_b") - F.col("mean_a")))
+
+
 def worst_cells(drift: DataFrame, k: int) -> DataFrame:
     """The k conditions of largest drift; the key breaks ties."""
     return drift.orderBy(F.desc("drift"), "degradation", F.asc_nulls_first("snr_db")).limit(k)
 
 
-def pathway_comparisons(rows: DataFrame) -> DataFrame:
-    """Omni models beside the cascade routers of their family; a cascade router of the omni size class is confirmatory."""
-    models = rows.select("llm", "model_family", "pathway").distinct()
+def pathway_comparisons(rows: DataFrame, large_routers: list[str] | None = None) -> DataFrame:
+    """Omni models beside the cascade routers of their family; comparisons with one of ``large_routers`` are
+    ``confirmatory``, all others descriptive."""
+    models = rows.select("llm", "model_family", F.coalesce("pathway", F.lit("cascade")).alias("pathway")).distinct()
     omni = models.where("pathway = 'omni'").select(F.col("llm").alias("omni_llm"), "model_family")
     cascade = models.where("pathway = 'cascade'").select(F.col("llm").alias("cascade_llm"), "model_family")
-    return omni.join(cascade, "model_family")
+    return omni.join(cascade, "model_family").withColumn("confirmatory", F.col("cascade_llm").isin(large_routers or []))
 
 
 def pathway_pairs(rows: DataFrame, asr: str, outcome: str = "ees") -> DataFrame:
     """Omni against cascade on the clips where the cascade's transcript has an error, per comparison and cell.
     Raises when a clip occurs twice on a side."""
-    comp = pathway_comparisons(rows)
+    comp = pathway_comparisons(rows).drop("confirmatory")
     cascade = rows.where((F.col("pathway") == "cascade") & (F.col("asr") == asr) & (F.col("wer") > 0) & F.col(outcome).isNotNull())
     cascade = cascade.groupBy(F.col("llm").alias("cascade_llm"), *CLIP).agg(F.max(outcome).alias("yc"), F.count(F.lit(1)).alias("nc"))
     omni = rows.where((F.col("pathway") == "omni") & F.col(outcome).isNotNull())
@@ -200,6 +221,11 @@ def capacity_gap(rows: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumns({"gap": F.col("ees_b") - F.col("ees_a"), "difficulty": 1 - (F.col("ees_a") + F.col("ees_b")) / 2})
 
 
+def capacity_summary(gaps: DataFrame) -> DataFrame:
+    """Number of cells, mean gap, and Pearson correlation of the gap with the difficulty."""
+    return gaps.agg(F.count("gap").alias("n_cells"), F.avg("gap").alias("mean_gap"), F.corr("gap", "difficulty").alias("r"))
+
+
 def key_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from uttermark.functions.errors import has_critical_substitution
+from uttermark.functions.text import normalize_gold_intent, normalize_predicted_intent, parse_response
 from uttermark.keys import cap_wer, is_clean
 
 PREDICTION_FIELDS = [
@@ -39,15 +40,52 @@ def no_transcription(rows: DataFrame) -> Column:
     return (F.coalesce("pathway", F.lit("cascade")) != "omni") & (F.trim(F.coalesce("transcription", F.lit(""))) == "")
 
 
-NOTE = "empty transcription"
+NOTE = "no_transcription"
 
 
 def stamp_no_transcription(rows: DataFrame) -> DataFrame:
-    """Give blank transcripts the intent ``NO_TRANSCRIPTION`` and a failed score, noted once; doing it twice changes nothing."""
-    blank = no_transcription(rows)
-    noted = F.when(F.coalesce("notes", F.lit("")).contains(NOTE), F.col("notes")).otherwise(F.concat_ws("; ", "notes", F.lit(NOTE)))
-    put = lambda c, v: F.when(blank, v).otherwise(F.col(c))
-    return rows.withColumns({"predicted_intent": put("predicted_intent", F.lit("NO_TRANSCRIPTION")), "tsa": put("tsa", F.lit(0)), "notes": put("notes", noted)})
+    """Give blank transcripts the intent ``NO_TRANSCRIPTION``, no parameters and a failed score, noted once; rows that
+    already have the intent and the score stay as they are, so doing it twice changes nothing."""
+    done = F.coalesce((F.col("predicted_intent") == "NO_TRANSCRIPTION") & (F.col("tsa") == 0), F.lit(False))
+    blank = no_transcription(rows) & ~done
+    notes = F.coalesce("notes", F.lit(""))
+    types = {f.name: f.dataType for f in rows.schema}
+    values = {
+        "predicted_intent_raw": F.lit("NO_TRANSCRIPTION"), "predicted_intent": F.lit("NO_TRANSCRIPTION"), "tsa": F.lit(0),
+        "notes": F.when(notes.contains(NOTE), F.col("notes")).otherwise(F.concat(notes, F.lit(f" | {NOTE}"))),
+    }
+    if "predicted_parameters" in types:
+        values["predicted_parameters"] = F.create_map().cast(types["predicted_parameters"])
+    return rows.withColumns({c: F.when(blank, v).otherwise(F.col(c)) for c, v in values.items() if c in types})
+
+
+def apply_predictions(rows: DataFrame, responses: DataFrame, keys: list[str], known: list[str], response: str = "response") -> tuple[DataFrame, DataFrame]:
+    """Rows with the models' answers in them, and rows whose request failed, which are not scored.
+
+    ``responses`` holds ``keys`` and the answer's text. An answer that is no object, or is an error other than a failed
+    request, becomes ``JSON_PARSE_ERROR`` with a note; an object without an intent, ``MISSING_INTENT``. Rows without an
+    answer are stamped if their transcript is blank and else count as failed. ``tsa`` compares with ``gold_intent``.
+    """
+    other = responses.select(*(F.col(k).alias(f"__{k}") for k in keys), parse_response(F.col(response)).alias("__answer"), F.lit(True).alias("__asked"))
+    kept = rows.drop("predicted_intent_raw", "predicted_intent", "predicted_parameters", "tsa")
+    joined = kept.join(other, [kept[k].eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*(f"__{k}" for k in keys))
+    blank = F.col("__asked").isNull() & no_transcription(rows)
+    failed = ~blank & (F.col("__asked").isNull() | F.coalesce(F.col("__answer.error") == "llm_request_failed", F.lit(False)))
+    usable = F.col("__answer").isNotNull() & F.col("__answer.error").isNull()
+    raw = F.when(usable, F.coalesce("__answer.intent", F.lit("MISSING_INTENT"))).otherwise(F.lit("JSON_PARSE_ERROR"))
+    none = F.create_map().cast("map<string,string>")
+    notes = F.coalesce("notes", F.lit("")) if "notes" in rows.columns else F.lit("")
+    scored = joined.where(~failed).withColumns(
+        {
+            "predicted_intent_raw": F.when(~blank, raw),
+            "predicted_parameters": F.when(usable, F.coalesce("__answer.parameters", none)).otherwise(none),
+            "notes": F.when(usable | blank, notes).otherwise(F.concat(notes, F.lit(" | output is not JSON"))),
+        }
+    )
+    scored = scored.withColumn("predicted_intent", F.when(usable, normalize_predicted_intent(F.col("predicted_intent_raw"), known)).otherwise(F.col("predicted_intent_raw")))
+    right = F.coalesce(F.col("predicted_intent") == F.col("gold_intent"), F.lit(False))
+    scored = scored.withColumn("tsa", F.when(F.col("predicted_intent").isNotNull(), right.cast("int"))).drop("__answer", "__asked")
+    return stamp_no_transcription(scored), joined.where(failed).drop("__answer", "__asked")
 
 
 def no_transcription_violations(rows: DataFrame) -> DataFrame:
@@ -105,6 +143,21 @@ def contrast_frame(rows: DataFrame, degradation: str, snr_db: int | None = None)
     return rows.where(is_clean() | arm).withColumn("treated", (~is_clean()).cast("int"))
 
 
+def join_gold(rows: DataFrame, gold: DataFrame, key: str = "slurp_id") -> DataFrame:
+    """Sentence, tokens and entities beside every row; a row without gold keeps nulls, and ``has_gold`` is false."""
+    side = gold.select(key, *(c for c in ("sentence", "tokens", "entities") if c in gold.columns)).dropDuplicates([key])
+    joined = rows.join(side.withColumn("has_gold", F.lit(True)), key, "left")
+    return joined.withColumn("has_gold", F.coalesce("has_gold", F.lit(False)))
+
+
+def override_labels(gold: DataFrame, corrected: DataFrame, known: list[str], key: str = "slurp_id") -> DataFrame:
+    """Gold rows with ``label`` and ``overridden``: a corrected label wins, else the row's own; both are normalised."""
+    fixed = corrected.select(key, F.col("label").alias("__fixed")).where("__fixed is not null").dropDuplicates([key])
+    joined = gold.join(fixed, key, "left")
+    label = normalize_gold_intent(F.coalesce("__fixed", "gold_intent"), F.col("scenario"), known)
+    return joined.withColumns({"label": label, "overridden": F.col("__fixed").isNotNull()}).drop("__fixed")
+
+
 def router_arm(rows: DataFrame) -> DataFrame:
     """The rows, if they are of one router; an error otherwise, since pooling would multiply transcript counts."""
     n = rows.agg(F.count_distinct("llm_model").alias("n"))

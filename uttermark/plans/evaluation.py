@@ -18,7 +18,7 @@ from uttermark.operators import chunks as K
 from uttermark.operators import models as M
 from uttermark.operators import pairs as J
 from uttermark.operators import rows as R
-from uttermark.plans.fixtures import CELLS, LABELS, SECOND, TEXT, eval_rows, read, second_pass, text_rows
+from uttermark.plans.fixtures import CELLS, LABELS, SECOND, TEXT, eval_rows, read, second_pass, text_gold, text_rows, with_distance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,7 @@ def r(x: str) -> str:
 
 
 CELL = "asr, degradation, snr_db, llm"
+LARGE = ["llm-1", "llm-2"]  #: the routers of the confirmatory comparisons
 D = "degradation<>'clean'"
 
 
@@ -244,9 +245,9 @@ def _(s, d):
     return K.error_subtype_table(with_chunks(s, d), ["degradation"])
 
 
-@query("a16_exploratory_cells", "select degradation, case when type='substitute' then subtype else type end kind, pos as \"position\", count(*) n, count(distinct slurp_id) utterances from ch where slurp_id%50=0 group by all having count(*)<30", CHUNKS)
+@query("a16_exploratory_cells", "select degradation, case when type='substitute' then subtype else type end kind, pos as \"position\", count(*) n, count(distinct slurp_id) utterances from ch group by all having count(*)<30", CHUNKS)
 def _(s, d):
-    return K.exploratory_cells(K.error_subtype_table(with_chunks(s, d).where("slurp_id % 50 = 0"), ["degradation"]))
+    return K.exploratory_cells(K.error_subtype_table(with_chunks(s, d), ["degradation"]))
 
 
 @query(
@@ -281,9 +282,9 @@ def _(s, d):
     return J.pathway_stats(J.pathway_pairs(cells(s, d), "asr-0"))
 
 
-@query("j10_pathway_comparisons", "select distinct o.model_family, o.llm omni_llm, c.llm cascade_llm from (select distinct llm, model_family from er where pathway='omni') o join (select distinct llm, model_family from er where pathway='cascade') c using (model_family)")
+@query("j10_pathway_comparisons", "select distinct o.model_family, o.llm omni_llm, c.llm cascade_llm, c.llm in ('llm-1','llm-2') confirmatory from (select distinct llm, model_family from er where pathway='omni') o join (select distinct llm, model_family from er where pathway='cascade') c using (model_family)")
 def _(s, d):
-    return J.pathway_comparisons(cells(s, d))
+    return J.pathway_comparisons(cells(s, d), LARGE)
 
 
 @query(
@@ -363,9 +364,10 @@ def _(s, d):
 
 @query(
     "j5_classify_pairs",
-    f"""select {CELL}, category, n, {r('100.0*n/sum(n) over (partition by asr, degradation, snr_db, llm)')} "percent" from (select {CELL},
+    f"""select {CELL}, category, n, {r('100.0*n/sum(n) over cell')} "percent",
+    {r("sum(n) filter (category='ABSORBED') over cell/nullif(sum(n) filter (category in ('ABSORBED','PROPAGATED')) over cell, 0)")} retention from (select {CELL},
     case when ees_clean=1 and ees=0 then case when coalesce(wer,0)>0 then 'PROPAGATED' else 'NEW_ERROR' end when ees_clean=1 and ees=1 then case when coalesce(wer,0)>0 then 'ABSORBED' else 'SAME_OK' end
-    when ees_clean=0 and ees=1 then 'RECOVERED' when ees_clean=0 and ees=0 then 'SAME_FAIL' else 'OTHER' end category, count(*) n from ad where {D} and has_anchor and wer is not null group by all)""",
+    when ees_clean=0 and ees=1 then 'RECOVERED' when ees_clean=0 and ees=0 then 'SAME_FAIL' else 'OTHER' end category, count(*) n from ad where {D} and has_anchor group by all) window cell as (partition by asr, degradation, snr_db, llm)""",
 )
 def _(s, d):
     return J.classify_pairs(cells(s, d))
@@ -373,7 +375,7 @@ def _(s, d):
 
 @query(
     "j6_paired_router_test",
-    f"select count(*) n, {r('avg(ya)')} rate_a, {r('avg(yb)')} rate_b, {r('avg(yb)-avg(ya)')} gap, count(*) filter (ya=1 and yb=0) a_only, count(*) filter (ya=0 and yb=1) b_only from (select a.tsa ya, b.tsa yb from er a join er b on a.slurp_id=b.slurp_id and a.asr=b.asr and a.cond=b.cond where a.llm='llm-0' and b.llm='llm-1')",
+    f"select *, {r('least(1.0, 2*list_sum(list_transform(range(0, least(a_only, b_only)+1), lambda i: exp(lgamma(a_only+b_only+1)-lgamma(i+1)-lgamma(a_only+b_only-i+1)-(a_only+b_only)*ln(2)))))')} p from (select count(*) n, {r('avg(ya)')} rate_a, {r('avg(yb)')} rate_b, {r('avg(yb)-avg(ya)')} gap, count(*) filter (ya=1 and yb=0) a_only, count(*) filter (ya=0 and yb=1) b_only from (select a.tsa ya, b.tsa yb from er a join er b on a.slurp_id=b.slurp_id and a.asr=b.asr and a.cond=b.cond where a.llm='llm-0' and b.llm='llm-1'))",
 )
 def _(s, d):
     return J.paired_router_test(cells(s, d), "llm-0", "llm-1")
@@ -405,6 +407,11 @@ def _(s, d):
     return J.outcome_drift(_first_pass(s, d), second_pass(cells(s, d)))
 
 
+@query("j8_drift_summary", f"select cast(sum(n) as bigint) n, {r('sum(mean_a*n)/sum(n)')} mean_a, {r('sum(mean_b*n)/sum(n)')} mean_b, {r('avg(abs(mean_b-mean_a))')} mean_abs_drift, {r('max(abs(mean_b-mean_a))')} max_drift, {r('abs(sum(mean_b*n)/sum(n)-sum(mean_a*n)/sum(n))')} drift from ({_J8})", CELLS + SECOND)
+def _(s, d):
+    return J.drift_summary(_first_pass(s, d), second_pass(cells(s, d)))
+
+
 @query("l2_worst_cells", f"select degradation, snr_db, n, {r('mean_a')} mean_a, {r('mean_b')} mean_b, {r('abs(mean_b-mean_a)')} drift from ({_J8}) order by abs(mean_b-mean_a) desc, degradation, snr_db nulls first limit 5", CELLS + SECOND)
 def _(s, d):
     return J.worst_cells(J.outcome_drift(_first_pass(s, d), second_pass(cells(s, d))), 5)
@@ -428,6 +435,11 @@ def _(s, d):
     return J.capacity_gap(cells(s, d), "llm-0", "llm-1")
 
 
+@query("j14_capacity_summary", f"select count(b-a) n_cells, {r('avg(b-a)')} mean_gap, {r('corr(b-a, 1-(a+b)/2)')} r from (select asr, degradation, snr_db, avg(ees) filter (llm='llm-0') a, avg(ees) filter (llm='llm-1') b from er where llm in ('llm-0','llm-1') group by all)")
+def _(s, d):
+    return J.capacity_summary(J.capacity_gap(cells(s, d), "llm-0", "llm-1"))
+
+
 @query("u2_key_overlap", "select slurp_id, asr_model, cond from er where llm='llm-0' and tsa=1 intersect select slurp_id, asr_model, cond from er where llm='llm-1' and tsa=1")
 def _(s, d):
     rows = cells(s, d).where("tsa = 1")
@@ -494,9 +506,8 @@ def _(s, d):
 
 @query("m2_bootstrap_cells")
 def _(s, d):
-    p = J.paired_rows(cells(s, d)).withColumns({"one": F.lit(1.0), "w": cap_wer()})
-    cell = ["asr", "degradation", "snr_db", "llm"]
-    return M.interval(M.replicate_sums(p, cell, ["one", "ees", "w"], 2000), cell, F.col("ees") / F.col("one") - (1 - F.col("w") / F.col("one")), "gain_paired_")
+    a, b = error_flags(F.col("error_categories"))
+    return M.bootstrap_cells(with_chunks(s, d).withColumns({"has_critical_error": a, "has_function_error": b}))
 
 
 # --- text, parameters, signals ---------------------------------------------------------------------------------
@@ -507,14 +518,7 @@ def _(s, d):
     return read(s, d, "conversations").select("conv_id", "turn", X.normalize_text(F.col("text")).alias("norm"))
 
 
-_CODE = "array_to_string(list_transform({x}, lambda w: chr(33+cast(list_position(v, w) as int))), '')"
-
-
-@query(
-    "f4_wer",
-    f"select tid, cond, {r('case when len(hyp)=0 then 1.0 else levenshtein(' + _CODE.format(x='ref') + ', ' + _CODE.format(x='hyp') + ')/len(ref) end')} wer from (select *, list_distinct(list_concat(ref, hyp)) v from tx)",
-    TEXT,
-)
+@query("f4_wer")
 def _(s, d):
     t = text_rows(s, d)
     return t.select("tid", "cond", X.wer(X.normalize_text(F.col("sentence")), X.normalize_text(F.col("transcription"))).alias("wer"))
@@ -552,7 +556,7 @@ def _(s, d):
 def _(s, d):
     from uttermark.functions.errors import full_hallucination
 
-    t = text_rows(s, d, whole=True)
+    t = text_rows(s, d)
     wer = X.wer(F.col("sentence"), F.col("transcription"))
     return t.select("tid", "cond", full_hallucination(wer, F.col("ref"), F.col("hyp")).alias("full_hallucination"))
 
@@ -561,7 +565,7 @@ def _(s, d):
 def _(s, d):
     from uttermark.functions.errors import aligned
 
-    t = text_rows(s, d, whole=True).select("ref", "hyp").distinct()
+    t = text_rows(s, d).select("ref", "hyp").distinct()
     c = F.explode("chunks").alias("c")
     return aligned(t).select(F.array_join("ref", " ").alias("ref"), F.array_join("hyp", " ").alias("hyp"), c).select("ref", "hyp", "c.*")
 
@@ -620,11 +624,11 @@ def _(s, d):
     return cells(s, d).groupBy(X.normalize_predicted_intent(F.col("predicted_intent"), LABELS + ["unknown"]).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f12_parse_response", "select slurp_id, llm, case when slurp_id%6 in (4,5) then null else predicted_intent end intent from er where cond=0")
+@query("f12_parse_response", "select slurp_id, llm, case when slurp_id%6 in (4,5) then null else predicted_intent end intent from er")
 def _(s, d):
     shape = """case slurp_id%6 when 0 then concat('{"intent":"',predicted_intent,'"}') when 1 then concat('```json\\n{"intent":"',predicted_intent,'"}\\n```')
         when 2 then concat('Sure: {"intent":"',predicted_intent,'"} done') when 3 then concat('```{"intent":"',predicted_intent,'"}```') when 4 then '{"error":"timeout"}' else 'no json {' end"""
-    rows = cells(s, d).where("cond = 0").withColumn("response", F.expr(shape))
+    rows = cells(s, d).withColumn("response", F.expr(shape))
     return rows.select("slurp_id", "llm", X.parse_response(F.col("response"))["intent"].alias("intent"))
 
 
@@ -666,23 +670,25 @@ def _(s, d):
 # --- clustered models and mediation -----------------------------------------------------------------------------
 
 
-def _model(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    """Success of cascade rows on degraded audio, by error rate, noise level, router and degradation."""
-    rows = cells(s, d).where("degradation <> 'clean'")
-    frame, _ = R.build_frame(rows, "ees")
-    flags = {f"is_{x}": (F.col("degradation") == x).cast("int") for x in LEVELS[2:]} | {f"llm_{i}": (F.col("llm") == f"llm-{i}").cast("int") for i in (1, 2)}
-    return frame.withColumns(flags), ["wer", "snr_20", "snr_10", *flags]
+def _designed(s: SparkSession, d: str) -> DataFrame:
+    """Rows with error flags and phonetic distances, as the regression designs need them."""
+    a, b = error_flags(F.col("error_categories"))
+    return with_distance(with_chunks(s, d)).withColumns({"has_critical_error": a, "has_function_error": b})
 
 
 FIT = "term string, coef double, se double, z double, p double"
+REFERENCE = "asr-0"
 
 
 @query("m5_rank_report")
 def _(s, d):
-    from uttermark.operators import gee
+    """Of the second design's columns."""
+    from uttermark.operators import designs, gee
 
-    frame, terms = _model(s, d)
-    cols = [F.lit(1.0), *(F.col(t).cast("double") for t in terms)]
+    design = designs.designs(REFERENCE, LARGE)["h2"]
+    frame, _ = designs.frame_of(_designed(s, d), design)
+    flags, terms, _ = designs.flags_of(frame, design)
+    cols = [F.lit(1.0), *((flags[t] if t in flags else F.col(t)).cast("double") for t in terms)]
     sums = frame.agg(*(F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols))).first()
     n = len(cols)
     rank, columns, least = gee.rank_report(gee.np.array(list(sums), float).reshape(n, n))
@@ -691,40 +697,107 @@ def _(s, d):
 
 @query("m6_gee_fit")
 def _(s, d):
-    from uttermark.operators import gee
+    from uttermark.operators import designs
 
-    frame, terms = _model(s, d)
-    return s.createDataFrame(gee.fit(frame, "ees", terms).table(), FIT)
+    got = designs.run_models(_designed(s, d), REFERENCE, LARGE, ["h2"])[0]
+    return s.createDataFrame(got.table, FIT)
 
 
 @query("m9_run_models")
 def _(s, d):
-    """Contrast of the noise levels and joint test of the degradations, for two outcomes; a refusal is a row too."""
-    from uttermark.operators import gee
+    """Coefficients, contrasts and joint tests of the four designs; a refusal is a row too."""
+    from uttermark.operators import designs
 
-    frame, terms = _model(s, d)
     out = []
-    for outcome in ("tsa", "ees"):
-        try:
-            got = gee.fit(frame, outcome, terms)
-            out.append((outcome, "snr_20 - snr_10", *got.contrast("snr_20", "snr_10"), None))
-            chi, df, p = got.joint([t for t in terms if t.startswith("is_")])
-            out.append((outcome, f"degradations, df {df}", chi, None, p, None))
-        except gee.Refused as e:
-            out.append((outcome, "fit", None, None, None, str(e)))
-    return s.createDataFrame(out, "outcome string, test string, value double, se double, p double, refused string")
+    for m in designs.run_models(_designed(s, d).persist(), REFERENCE, LARGE):
+        out += [(m.model, "term", *row, None) for row in m.table]
+        if m.contrast:
+            out.append((m.model, "contrast", "critical - function", m.contrast[0], m.contrast[1], None, m.contrast[2], None))
+        if m.joint:
+            out.append((m.model, "joint", f"interactions, df {m.joint[1]}", m.joint[0], None, None, m.joint[2], None))
+        if m.refused:
+            out.append((m.model, "refused", None, None, None, None, None, m.refused))
+    return s.createDataFrame(out, "model string, kind string, term string, value double, se double, z double, p double, refused string")
 
 
 @query("m12_mediation_table")
 def _(s, d):
-    return M.mediation_table(cells(s, d).where("llm = 'llm-0'"))
+    """Every degradation and noise level, with the share mediated where the bootstrap's interval allows it."""
+    rows, by = cells(s, d), ["degradation", "snr_db"]
+    return M.mediation_table(rows, by=by, bands=M.mediation_bootstrap(rows, by=by))
 
 
 @query("m11_mediation_bootstrap")
 def _(s, d):
-    rows = cells(s, d)
-    each = [M.mediation_bootstrap(rows.where(F.col("llm") == x), replicates=200).withColumn("llm", F.lit(x)) for x in ("llm-0", "llm-1", "llm-2")]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    return M.mediation_bootstrap(cells(s, d))
+
+
+# --- error chunks of texts ----------------------------------------------------------------------------------------
+
+
+def annotated(s: SparkSession, d: str) -> DataFrame:
+    """Every turn under four conditions with the error chunks of its transcript."""
+    from uttermark.operators.annotate import annotate_errors
+
+    t = text_rows(s, d)
+    wer = X.wer(X.normalize_text(F.col("sentence")), X.normalize_text(F.col("transcription")))
+    rows = t.select(F.col("tid").alias("slurp_id"), "cond", F.concat(F.lit("c"), "cond").alias("degradation"), "transcription", wer.alias("wer"))
+    return annotate_errors(rows, text_gold(t))
+
+
+@query("f22_annotate_errors")
+def _(s, d):
+    c = F.posexplode("error_categories").alias("at", "c")
+    return annotated(s, d).select("slurp_id", "cond", c).select("slurp_id", "cond", "at", "c.*")
+
+
+@query("f24_double_metaphone")
+def _(s, d):
+    from uttermark.functions.phonetic import word_codes
+
+    t = text_rows(s, d)
+    return word_codes(t.select(F.explode("hyp").alias("word")))
+
+
+@query("f25_phonetic_similar")
+def _(s, d):
+    """Substituted first words of all chunks, and whether they sound alike."""
+    from uttermark.functions.phonetic import phonetic_similar, word_codes
+
+    c = annotated(s, d).select(F.explode("error_categories").alias("c")).where("c.type = 'substitute'")
+    pairs = c.select(F.split("c.ref", " ")[0].alias("a"), F.split("c.hyp", " ")[0].alias("b")).distinct()
+    codes = word_codes(pairs.select(F.explode(F.array("a", "b")).alias("word"))).select("word", F.struct("primary", "secondary").alias("code"))
+    left, right = codes.toDF("a", "ca"), codes.toDF("b", "cb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", phonetic_similar(F.col("ca"), F.col("cb")).alias("similar"))
+
+
+@query("f26_metaphone_distance")
+def _(s, d):
+    """Neighbouring words of all turns, and the distance of their codes."""
+    from uttermark.functions.phonetic import code_distance, main_code, word_codes
+
+    ref = text_rows(s, d).where("cond = 0").select("ref").distinct()
+    pairs = ref.select(F.explode(F.expr("transform(slice(ref, 1, size(ref) - 1), (w, i) -> struct(w as a, ref[i + 1] as b))")).alias("p")).select("p.*").distinct()
+    codes = word_codes(pairs.select(F.explode(F.array("a", "b")).alias("word"))).select("word", main_code(F.struct("primary", "secondary")).alias("code"))
+    left, right = codes.toDF("a", "ca"), codes.toDF("b", "cb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", code_distance(F.col("ca"), F.col("cb")).alias("distance"))
+
+
+@query("f27_row_phonetic_distance")
+def _(s, d):
+    return annotated(s, d).select("slurp_id", "cond", "phonetic_distance", "full_hallucination")
+
+
+@query("f23_classify_substitution")
+def _(s, d):
+    """Error subtypes of the texts' chunks by condition and position."""
+    return K.error_subtype_table(annotated(s, d), ["degradation"])
+
+
+@query("f3_token_surfaces", "select conv_id, turn, regexp_replace(lower(text), '[''’ʼ]|[!-/:-@\\[-`{-~]', '', 'g') surface from (select conv_id, turn, trim(text) text from conversations)", "")
+def _(s, d):
+    t = read(s, d, "conversations")
+    return t.select("conv_id", "turn", F.element_at(X.token_surfaces(F.array(F.struct(F.trim("text").alias("surface")))), 1).alias("surface"))
 
 
 # --- validation, sources and streams ----------------------------------------------------------------------------
@@ -745,8 +818,8 @@ _DAMAGED = """, dm as (select case when slurp_id%11=0 and cond=1 then 'both' els
 vi as (select 'bad_enum' rule, 'pathway' field, slurp_id from dm where pathway not in ('cascade','omni')
     union all select 'clean_row_has_snr', 'snr_db', slurp_id from dm where degradation='clean' and snr_db is not null
     union all select 'degraded_row_has_no_snr', 'snr_db', slurp_id from dm where degradation<>'clean' and snr_db is null
-    union all select 'null_not_allowed', 'asr_model', slurp_id from dm where asr_model is null and pathway<>'omni'
-    union all select 'null_not_allowed', 'wer', slurp_id from dm where wer is null and pathway<>'omni'
+    union all select 'cascade_asr_model_null', 'asr_model', slurp_id from dm where asr_model is null and pathway='cascade'
+    union all select 'cascade_metric_null', 'wer', slurp_id from dm where wer is null and pathway='cascade'
     union all select 'value_out_of_range', 'wer', slurp_id from dm where wer<0
     union all select 'ees_formula', 'ees', slurp_id from dm where ees<>case when pf is null then tsa else cast(tsa=1 and pf>=0.5 as int) end)"""
 
@@ -755,21 +828,59 @@ vi as (select 'bad_enum' rule, 'pathway' field, slurp_id from dm where pathway n
 def _(s, d):
     from uttermark.operators.validate import schema_report, validate_rows
 
-    return schema_report(validate_rows(damaged(s, d))).where("rule <> 'missing_field'")
+    report = schema_report(validate_rows(damaged(s, d))).where("rule <> 'missing_field'")
+    return report.select("rule", "field", "n", "keys", "first")
 
 
-@query("p4_clear_prediction_fields", "select slurp_id, asr_model, degradation, snr_db, wer, cast(null as varchar) llm_model, cast(null as int) tsa, cast(null as int) ees from ev where cond<2")
+@query("p4_clear_prediction_fields", "select slurp_id, asr_model, degradation, snr_db, wer, cast(null as varchar) llm_model, cast(null as int) tsa, cast(null as int) ees from ev")
 def _(s, d):
-    return R.clear_prediction_fields(eval_rows(s, d).where("cond < 2")).select("slurp_id", "asr_model", "degradation", "snr_db", F.round("wer", 6).alias("wer"), "llm_model", "tsa", "ees")
+    return R.clear_prediction_fields(eval_rows(s, d)).select("slurp_id", "asr_model", "degradation", "snr_db", F.round("wer", 6).alias("wer"), "llm_model", "tsa", "ees")
 
 
 SQL["p4_clear_prediction_fields"] = SQL["p4_clear_prediction_fields"].replace("snr_db, wer,", "snr_db, round(wer,6) wer,")
 
 
-@query("p5_stamp_no_transcription", "select slurp_id, cond, case when asr_model is not null and item=0 then 'NO_TRANSCRIPTION' else predicted_intent end predicted_intent, case when asr_model is not null and item=0 then 0 else tsa end tsa from ev where llm_model='org/llm-0' or pathway='omni'")
+_BLANK = "asr_model is not null and item=0"
+_STAMPED = f"{_BLANK} and not (predicted_intent='NO_TRANSCRIPTION' and tsa=0)"
+
+
+@query(
+    "p5_stamp_no_transcription",
+    f"select slurp_id, cond, llm_model, pathway, case when {_STAMPED} then 'NO_TRANSCRIPTION' else predicted_intent end predicted_intent, case when {_STAMPED} then 'NO_TRANSCRIPTION' else predicted_intent end predicted_intent_raw, case when {_BLANK} then 0 else tsa end tsa, case when {_STAMPED} then 0 else 1 end n_parameters, case when {_STAMPED} then ' | no_transcription' end notes from ev",
+)
+def _(s, d):
+    rows = eval_rows(s, d).withColumns(
+        {
+            "transcription": F.when(F.col("item") == 0, F.lit(" ")).otherwise("text"), "notes": F.lit(None).cast("string"), "predicted_intent_raw": F.col("predicted_intent"),
+            "predicted_parameters": F.create_map(F.lit("item"), F.col("item").cast("string")),
+        }
+    )
+    out = R.stamp_no_transcription(rows)
+    return out.select("slurp_id", "cond", "llm_model", "pathway", "predicted_intent", "predicted_intent_raw", "tsa", F.size("predicted_parameters").alias("n_parameters"), "notes")
+
+
+_ANSWER = """case slurp_id%7 when 0 then concat('{"intent":"', predicted_intent, '","parameters":{"a":"b"}}') when 1 then '{"parameters":{}}' when 2 then 'no json' when 3 then '{"error":"llm_request_failed","detail":"x"}'
+    when 4 then 'null' when 5 then concat('```json {"intent":"', upper(gold_intent), '"} ```') else '{"error":"other"}' end"""
+_RAW = "case when blank then 'NO_TRANSCRIPTION' when slurp_id%7=0 then predicted_intent when slurp_id%7=1 then 'MISSING_INTENT' when slurp_id%7=5 then upper(gold_intent) else 'JSON_PARSE_ERROR' end"
+_KNOWN = ", ".join(f"'{x}'" for x in LABELS)
+_NORMAL = f"case when raw in ({_KNOWN}, 'JSON_PARSE_ERROR') or blank then raw when lower(raw)='set_alarm' then 'alarm_set' else lower(raw) end"
+
+
+@query(
+    "p7_apply_predictions",
+    f"""select slurp_id, cond, asr_model, llm_model, case when not failed then raw end predicted_intent_raw, case when not failed then {_NORMAL} end predicted_intent,
+    case when not failed then cast(case when blank then 0 else {_NORMAL}=gold_intent end as int) end tsa, case when not failed then cast(not blank and slurp_id%7=0 as int) end n_parameters, failed from
+    (select *, {_RAW} raw, slurp_id%7=3 and not blank failed from (select *, item=0 and asr_model is not null and cond%2=0 blank from ev))""",
+)
 def _(s, d):
-    rows = eval_rows(s, d).where("llm_model = 'org/llm-0' or pathway = 'omni'").withColumns({"transcription": F.when(F.col("item") == 0, F.lit(" ")).otherwise("text"), "notes": F.lit(None).cast("string")})
-    return R.stamp_no_transcription(rows).select("slurp_id", "cond", "predicted_intent", "tsa")
+    keys = ["slurp_id", "cond", "asr_model", "llm_model"]
+    blank = F.expr("item=0 and asr_model is not null and cond%2=0")
+    rows = eval_rows(s, d).withColumns({"transcription": F.when(blank, F.lit("")).otherwise("text"), "notes": F.lit("")})
+    responses = rows.where(~blank).select(*keys, F.expr(_ANSWER).alias("response"))
+    scored, failed = R.apply_predictions(rows, responses, keys, LABELS)
+    cols = [*keys, "predicted_intent_raw", "predicted_intent", "tsa", F.size("predicted_parameters").alias("n_parameters"), F.lit(False).alias("failed")]
+    gone = [F.lit(None).cast(t).alias(c) for c, t in (("predicted_intent_raw", "string"), ("predicted_intent", "string"), ("tsa", "int"), ("n_parameters", "int"))]
+    return scored.select(*cols).unionByName(failed.select(*keys, *gone, F.lit(True).alias("failed")))
 
 
 @query("p6_no_transcription_violations", "select slurp_id, cond, llm_model from ev where asr_model is not null and item=0 and predicted_intent<>'NO_TRANSCRIPTION'")
@@ -785,23 +896,28 @@ def _(s, d):
 
 @query("p10_critical_substitution_rows", "select distinct slurp_id, asr, llm, cond from ch where type='substitute' and pos='critical' and item>0", CHUNKS)
 def _(s, d):
-    rows = with_chunks(s, d).withColumn("phonetic_distance", F.when(F.col("item") > 0, F.lit(0.5)))
+    rows = with_distance(with_chunks(s, d)).withColumn("phonetic_distance", F.when(F.col("item") > 0, F.col("phonetic_distance")))
     return R.critical_substitution_rows(rows).select("slurp_id", "asr", "llm", "cond")
 
 
 @query("j1_join_gold", "select tid, cond, sentence, len(ref) n_tokens from tx", TEXT)
 def _(s, d):
     t = text_rows(s, d)
-    gold = t.where("cond = 0").select("tid", "sentence", F.size("ref").cast("long").alias("n_tokens"))
-    return t.select("tid", "cond").join(gold, "tid", "left")
+    joined = R.join_gold(t.select(F.col("tid").alias("slurp_id"), "cond"), text_gold(t))
+    return joined.select(F.col("slurp_id").alias("tid"), "cond", "sentence", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+_SHORT = "regexp_extract(gold_intent, '^[a-z]+_(.*)$', 1)"
 
 
 @query("j2_override_labels", "select slurp_id, case when slurp_id%7=0 then 'corrected' else gold_intent end label, slurp_id%7=0 overridden from (select distinct slurp_id, gold_intent from ev)")
 def _(s, d):
+    """Half of the gold labels lack their scenario, which is put before them again."""
     gold = eval_rows(s, d).select("slurp_id", "gold_intent").distinct()
-    fixed = gold.where("slurp_id % 7 = 0").select("slurp_id", F.lit("corrected").alias("fixed"))
-    label = X.normalize_gold_intent(F.col("gold_intent"), F.lit("any"), LABELS)
-    return gold.join(fixed, "slurp_id", "left").select("slurp_id", F.coalesce("fixed", label).alias("label"), F.col("fixed").isNotNull().alias("overridden"))
+    gold = gold.withColumn("scenario", F.regexp_extract("gold_intent", "^([a-z]+)_", 1))
+    gold = gold.withColumn("gold_intent", F.when(F.col("slurp_id") % 2 == 0, F.expr(_SHORT)).otherwise(F.col("gold_intent")))
+    fixed = gold.where("slurp_id % 7 = 0").select("slurp_id", F.lit("corrected").alias("label"))
+    return R.override_labels(gold, fixed, LABELS).select("slurp_id", "label", "overridden")
 
 
 @query("j13_point_with_interval", f"select {CELL}, {r('avg(ees)')} retention, {r('avg(ees)-0.1')} lo, {r('avg(ees)+0.1')} hi from pd group by all")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LABELS = [
     "alarm_set", "weather_query", "calendar_set", "play_music", "email_query", "lists_createoradd", "iot_hue_lightoff", "transport_taxi", "news_query",
@@ -41,7 +42,7 @@ r as (select id slurp_id, cond, e, n_ref,
          when h2<thr then cast(0.5 as double) else cast(0.0 as double) end pf from t),
 s as (select *, case when pf is null then tsa else cast(tsa=1 and pf>=0.5 as int) end ees,
     case when pf is null then tsa else cast(tsa=1 and pf>=1.0 as int) end ees_strict from r),
-ev as (select *, {_label("slurp_id")} gold_intent,
+ev as materialized (select *, {_label("slurp_id")} gold_intent,
     case when tsa=1 then {_label("slurp_id")}
          when (slurp_id+cond)%4=0 then {_label("slurp_id+1")}
          when (slurp_id+cond)%4=1 then 'unknown'
@@ -52,7 +53,7 @@ ev as (select *, {_label("slurp_id")} gold_intent,
 CELLS = (
     EVAL.replace("{part}", "part")
     + """,
-er as (select *, case when asr_model is null then '?' else replace(asr_model,'org/','') end asr,
+er as materialized (select *, case when asr_model is null then '?' else replace(asr_model,'org/','') end asr,
     replace(llm_model,'org/','') llm, case when wer is not null then least(wer,1.0) end w from ev),
 anchor as (select slurp_id, asr, llm, wer wer_clean, ees ees_clean, tsa tsa_clean from er where degradation='clean'),
 ad as (select er.*, anchor.wer_clean, anchor.ees_clean, anchor.slurp_id is not null has_anchor
@@ -70,8 +71,8 @@ second as (select slurp_id, asr_model, degradation, snr_db, llm_model, cond,
 
 _WORDS = "filter(split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ')), ' '), x -> x <> '')"
 
-TEXT = """tc as (select conv_id*1000+turn tid, list_slice(list_filter(string_split_regex(regexp_replace(lower(text),'[^a-z0-9]+',' ','g'),' +'),
-    lambda x: x<>''),1,12) ref from conversations where role='user'),
+TEXT = """tc as (select conv_id*1000+turn tid, list_filter(string_split_regex(regexp_replace(lower(text),'[^a-z0-9]+',' ','g'),' +'),
+    lambda x: x<>'') ref from conversations),
 tcond as (select * from (values (0),(1),(2),(3)) as t(cond)),
 tk as (select tid, cond, ref, case when cond=0 then ref else flatten(list_transform(ref, lambda w, j:
     case when (tid*31+j*17+cond*7)%12<cond then [] when (tid*31+j*17+cond*7)%12=5 then [reverse(w)]
@@ -88,7 +89,22 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey")
     # few bytes become 209 rows each, so the parts are spread over all cores first
     part = part.repartition(max(spark.sparkContext.defaultParallelism, 2), "p_partkey")
-    return spark.sql(f"with {EVAL} select * from ev", part=part)
+    return spark.sql(f"with {EVAL.replace(' as materialized (', ' as (')} select * from ev", part=part)
+
+
+def with_distance(rows: DataFrame) -> DataFrame:
+    """Chunked rows with a phonetic distance where a critical substitution is among the chunks."""
+    some = F.exists("error_categories", lambda c: (c["type"] == "substitute") & (c["slot_position"] == "critical"))
+    return rows.withColumn("phonetic_distance", F.when(F.coalesce(some, F.lit(False)), F.col("item") / 7.0))
+
+
+def text_gold(rows: DataFrame) -> DataFrame:
+    """Gold annotations of the turns in ``text_rows``: every fourth word is an entity."""
+    one = rows.where("cond = 0").selectExpr(
+        "tid slurp_id", "sentence", "transform(ref, w -> named_struct('surface', w)) tokens",
+        "transform(filter(sequence(1, size(ref)), j -> (tid+j)%4=0), j -> named_struct('type', case j%4 when 0 then 'person' when 1 then 'date' when 2 then 'time' else 'event_name' end, 'span', array(j-1))) entities",
+    )
+    return one
 
 
 def second_pass(rows: DataFrame) -> DataFrame:
@@ -101,14 +117,10 @@ def second_pass(rows: DataFrame) -> DataFrame:
     )
 
 
-def text_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Reference and hypothesis word lists of turns: words dropped, reversed or followed by a filler.
-
-    ``whole``: all words of all turns. Otherwise the first 12 words of user turns, as in ``TEXT``.
-    """
-    ref, turns = (_WORDS, "true") if whole else (f"slice({_WORDS}, 1, 12)", "role='user'")
+def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference and hypothesis word lists of all turns: words dropped, reversed or followed by a filler."""
     return spark.sql(
-        f"""with tc as (select conv_id*1000+turn tid, {ref} ref from {{conv}} where {turns}),
+        f"""with tc as (select conv_id*1000+turn tid, {_WORDS} ref from {{conv}}),
         tk as (select tid, cond, ref, case when cond=0 then ref else flatten(transform(ref, (w, i) ->
             case when (tid*31+(i+1)*17+cond*7)%12<cond then cast(array() as array<string>) when (tid*31+(i+1)*17+cond*7)%12=5 then array(reverse(w))
                  when (tid*31+(i+1)*17+cond*7)%12=8 then array(w,'uh') else array(w) end)) end hyp
