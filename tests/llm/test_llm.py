@@ -26,7 +26,7 @@ BODY = " ".join(f"w{i % 97}x{i % 41}" for i in range(400))
 TEXTS = [
     None, "", "   ", "a", "one two", "Hello World again", PASSAGE, "before " + PASSAGE + " after", PASSAGE.upper(), BODY, BODY, BODY + " end",
     "ünïcödé wörds 日本語 and ß " * 20, "x" * 5000, " ".join(["same"] * 300), "line one\nline one\nline two\n\nline one", "tab\tand  two  spaces \n ends ",
-    "Licensed under the Apache License, Version 2.0.\nnothing else",
+    "Licensed under the Apache License, Version 2.0.\nnothing else", " ".join(f"long{i * i % 9973}" for i in range(25_000)),
 ]
 #: other columns carry the names of results
 EXTRA = "start long, ids string, score string, shard int, kept boolean, n long, lang string, source string"
@@ -336,6 +336,31 @@ def test_rules(docs, empty):
     assert rules.judge(empty, ratio).count() == 0 and not rules.log_ratio(docs, empty).any()
 
 
+def test_verdict_equals_brute_force(spark):
+    """The log ratio and verdict of op6 over a table, counted word by word in plain Python."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] == 1}
+    known = {}
+
+    def bucket(gram):
+        if gram not in known:
+            h = X.hashed_words(*X.buffers(pa.array([" ".join(gram).translate(AZ)])))[0]
+            h = X.mix(h) if len(gram) == 1 else X.mix(X.ngrams(h, np.zeros(2, int), 2)[0] ^ np.uint64(0xA5A5A5A5))
+            known[gram] = int(h[0] % np.uint64(rules.BUCKETS))
+        return known[gram]
+
+    with np.errstate(over="ignore"):
+        grams = {d: [bucket((w,)) for w in ws] + [bucket(p) for p in zip(ws, ws[1:], strict=False)] for d, ws in ((d, words(t)) for d, t in texts.items())}
+    raw, target = Counter(b for g in grams.values() for b in g), Counter(b for d, g in grams.items() if d in trusted for b in g)
+    p = lambda c, b: math.log((c[b] + 1) / (sum(c.values()) + rules.BUCKETS))
+    ratio = {b: p(target, b) - p(raw, b) for b in raw}
+    for r in queries.op6_rules(spark, SF).collect():
+        own = grams[r["doc_id"]]
+        want = sum(ratio[b] for b in own) / max(len(own), 1)
+        assert math.isclose(r["llr"], want, abs_tol=1e-9)
+        assert r["kept"] == (not r["base_failed"] and want >= rules.THRESHOLD)
+
+
 # --- licences ---------------------------------------------------------------------------------------------------
 
 
@@ -716,6 +741,35 @@ def test_op3_equals_sql(spark):
     assert Counter(map(tuple, df.select(rel.columns).collect())) == Counter(rel.fetchall())
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls anywhere, empty and long texts, repeated rows and ids, other columns with results' names, and empty tables."""
+    import corpus_pipeline as cp
+
+    words_of = lambda seed, n: " ".join(f"{c}{i * seed % 97}" for i, c in zip(range(n), "abcdefgh" * n, strict=False))
+    long, copied = words_of(7, 40_000), words_of(11, 60)
+    texts = [(1, copied), (2, copied + " x"), (2, copied + " x"), (None, copied), (None, None), (3, None), (4, ""), (5, "  "), (6, long), (7, words_of(13, 80) + " " + PASSAGE), (8, words_of(17, 90)), (8, words_of(19, 90)), (9, copied[:200] + words_of(23, 50)), (10, "\u65e5\u672c\u8a9e " * 50)]
+    extra = {"score": "double", "kept": "boolean", "id": "long", "label": "int", "component_id": "string", "starts": "string", "ids": "binary", "__bad": "long", "start": "int"}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{k} {v}" for k, v in extra.items())
+    rows = [(d, t, None, None, None, *[None] * len(extra)) for d, t in texts]
+    spark.createDataFrame([(0, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (8, 0, 1), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = spark.createDataFrame(rows, schema).repartition(3)
+    count = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    got = {name: stage(spark, odd, str(tmp_path)) for name, stage in cp.STAGES}
+    assert all(got[n].columns == cp.COLUMNS for n, _ in cp.STAGES[:-1])
+    whole = Counter(texts)
+    kept = count(got["near_duplicates"])
+    assert kept == whole - Counter({(2, copied + " x"): 2}) and kept[None, copied] == 1
+    cut = count(got["repeated_strings"])
+    assert {d for d, _ in cut} == {None, 1, 3, 4, 5, 6, 7, 8, 9, 10, 2} and cut[2, " x"] == 2 and cut[1, copied] == cut[None, copied] == cut[6, long] == cut[3, None] == 1
+    assert count(got["decontamination"]) == whole - Counter({x: 1 for x in texts if x[0] == 7})
+    assert not count(got["quality"]) - whole
+    packed = got["packing"].collect()
+    assert sum(r["start"] == 0 for r in packed) == len(texts) and sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, odd.where("doc_id = -1"), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 

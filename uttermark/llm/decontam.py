@@ -171,6 +171,6 @@ def matches(
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold an item; rows with a null id are kept."""
-    bad = matches(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__bad")).distinct()
+    bad = matches(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
     bad = small(written(bad, f"{folder(docs.sparkSession)}/bad"))
-    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+    return docs.join(bad, id_col, "left_anti").select(docs.columns)

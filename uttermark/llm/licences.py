@@ -243,8 +243,8 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = SAMPLE_TEXTS, sample_paragraphs: int = SAMPLE_PARAGRAPHS) -> Classifier:
     """Train with at most ``sample_paragraphs`` paragraphs of at most ``sample_texts`` texts, both drawn by a hash. Of a paragraph,
     only n-grams of the names and notices come to the driver, so their size is bounded, too."""
-    ids = drawn(docs.select(F.col(id_col).alias("of")).where("of is not null"), "of", sample_texts).distinct()
-    texts = docs.join(F.broadcast(ids), docs[id_col] == F.col("of"), "left_semi")
+    ids = drawn(docs.select(id_col).where(F.col(id_col).isNotNull()), id_col, sample_texts).distinct()
+    texts = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")
     known = F.lit(sorted(candidate_grams()))
     own = paragraphs(texts, id_col, text_col).select(F.xxhash64("words", "paragraph", "id").alias("key"), F.array_intersect(_grams(F.col("words")), known).alias("grams"))
     return train([set(r["grams"]) for r in sorted(drawn(own, "key", sample_paragraphs).collect(), key=lambda r: (r["key"], sorted(r["grams"])))])
