@@ -1,4 +1,8 @@
-"""Documents to packed training sequences: five stages, each over all that the one before it kept."""
+"""Documents to packed training sequences: five stages, each over all that the one before it kept.
+
+Every stage takes empty tables, null ids and texts, empty and very long texts, repeated rows, and columns beyond
+``COLUMNS`` whatever their names; what becomes of them is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,10 @@ REPEAT_BYTES = 50  #: shortest repeated string that is removed
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose quality score is at least ``KEEP_SCORE``; all, if nothing is labelled in both ways."""
+    """Keep documents whose quality score is at least ``KEEP_SCORE``; all, if nothing is labelled in both ways.
+
+    Rows are scored one by one, so repeated rows stay or go together, and a null text is scored as an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     net = quality.fit(docs, labels)
     if net is None:
@@ -27,7 +34,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate component: five-word shingles, similarity 0.8 or more."""
+    """Keep one document of each near-duplicate component: five-word shingles, similarity 0.8 or more.
+
+    The smallest id stays. Rows of one id are one document and stay or go together. Rows with a null id, and texts
+    without a word, are copies of nothing and stay.
+    """
     found = minhash.components_of(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     found = small(written(found, f"{folder(spark)}/copies"))
     return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
@@ -35,7 +46,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings of ``REPEAT_BYTES`` bytes that also start in a document with a smaller id. A character of
-    which only some bytes are left goes too, and so does a document of which nothing but space is left."""
+    which only some bytes are left goes too, and so does a document of which nothing but space is left.
+
+    Documents of which nothing is cut stay as they are, empty and null texts too; so do rows with a null id, and rows
+    of one id cut nothing from each other.
+    """
     cut = suffix.remove_repeats(docs, width=REPEAT_BYTES, keep=["text", "lang", "source", "n_chars"], as_text=True)
     whole = F.size("starts") == 0
     text = F.when(whole, F.col("text")).otherwise(F.col("kept"))
@@ -45,12 +60,16 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item: five-word shingles, containment 0.8 or more."""
+    """Drop documents that hold a benchmark item: five-word shingles, containment 0.8 or more.
+
+    All rows of such an id go. Rows with a null id stay, and so do empty and null texts.
+    """
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 ids: a row for each piece of a document."""
+    """Sequences of at most 1024 ids: a row for each piece of a document. Each row is packed by itself; a null or empty text is
+    the separator alone."""
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
