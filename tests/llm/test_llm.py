@@ -591,6 +591,21 @@ def test_scores_equal_brute_force(spark):
             assert math.isclose(got[i][name], want / math.log(10), rel_tol=1e-9), (name, i)
 
 
+def test_scores_do_not_depend_on_the_frequent_words(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    values = spark.createDataFrame([(i, i % 7) for i in range(100)], "h long, n long")
+    kept = {(r["h"], r["n"]) for r in lm.frequent(values, 30).collect()}
+    assert kept == {(i, i % 7) for i in range(100) if i % 7 >= 5} and lm.frequent(values, 3).isEmpty()
+    whole = {r["doc_id"]: r for r in lm.score(d, path, F.col("doc_id") % 3 == 0).collect()}
+    monkeypatch.setattr(lm, "HEAD", 40)
+    for r in lm.score(d, path, F.col("doc_id") % 3 == 0).collect():
+        assert (r["n_known"], r["n_tokens"]) == (whole[r["doc_id"]]["n_known"], whole[r["doc_id"]]["n_tokens"])
+        assert all(math.isclose(r[c], whole[r["doc_id"]][c], rel_tol=1e-9) for c in ("base_score", "score", "adapted_score"))
+
+
 def test_scores(docs, empty):
     from pyspark.sql import functions as F
 

@@ -30,7 +30,7 @@ from uttermark.llm import text as X
 from uttermark.llm.work import folder, written
 
 MARK = 0xFF  #: stands for the word mark; no UTF-8 text holds this byte
-HEAD = 1 << 18  #: words sent to every task, by falling count
+HEAD = 1 << 18  #: most words sent to every task, the most frequent ones
 FLUSH = 400_000  #: distinct words that a task holds before it hands them on
 LONG = 48  #: longer words are taken one by one, in segments
 SEGMENT = 1 << 16
@@ -284,6 +284,20 @@ def train_units(units: Units, words: DataFrame, texts: int, rounds: int = ROUNDS
     return units
 
 
+def frequent(values: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows of the largest ``n``, as many whole levels of it as hold at most ``HEAD`` rows; a level is a 32nd of a doubling, so
+    that a few hundred counts decide and no task sorts the table."""
+    level = F.floor(F.log2(F.col("n") + 1) * 32)
+    counts = values.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    least, held = None, 0
+    for r in sorted(counts, key=lambda r: -r["level"]):
+        held += r["rows"]
+        if held > (HEAD if most is None else most):
+            break
+        least = r["level"]
+    return values.where(level >= least) if least is not None else values.limit(0)
+
+
 def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Scores of every whole text, learned from the rows where ``train`` is true.
 
@@ -319,8 +333,7 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
                 yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "base", "lattice", "adapted"])
 
     values = written(words.mapInArrow(value, "h long, n long, base double, lattice double, adapted double"), f"{path}/values")
-    head = values.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()  # HEAD rows at most
-    head = head.sort_by("h")
+    head = frequent(values).toArrow().sort_by("h")  # HEAD rows at most
     head_h = head["h"].to_numpy()
     head_n, head_base, head_lattice, head_adapted = (head[c].to_numpy() for c in ("n", "base", "lattice", "adapted"))
     end_base, end_known = float(np.log10(texts + 1.0) - smooth), int(texts > 0)
