@@ -36,7 +36,7 @@ from uttermark.llm import text as X
 from uttermark.llm.work import folder, small, written
 
 GRAM = 20
-HOT_ROWS = 4096  #: most different surroundings of an anchor that are sorted together
+HOT_ROWS = 65_536  #: most different surroundings of an anchor that are sorted together
 SLICE = 1 << 19
 
 
@@ -198,7 +198,8 @@ def _second_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         last, least = (int(anchor[-1]), int(key[-1])), leasts.slice(len(key) - 1, 1)
         parts = [x for x in out if len(x[0])]
         if parts:
-            cols = [pa.concat_arrays([x[0] for x in parts]), *(pa.array(np.concatenate([x[i] for x in parts])) for i in (1, 2, 3))]
+            cols = [pa.concat_arrays([x[0] for x in parts]), *(pa.array(np.concatenate([x[i] for x in parts])) for i in (1, 2))]
+            cols.append(pa.array(np.concatenate([x[3] for x in parts]), mask=cols[2].to_numpy() == RESOLVED))  # needed of open ones alone
             yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "kind", "anchor"])
 
 
