@@ -264,9 +264,10 @@ def _(s, d):
     return J.pool_pathway_cells(J.pathway_stats(J.pathway_pairs(cells(s, d), "asr-0")))
 
 
-_PP = """, comp as (select distinct o.llm omni_llm, c.llm cascade_llm from er o join er c using (model_family) where o.pathway='omni' and c.pathway='cascade'),
-pp as (select comp.omni_llm, comp.cascade_llm, c.degradation, c.snr_db, c.ees yc, o.ees yo from comp join er c on c.llm=comp.cascade_llm and c.pathway='cascade' and c.asr='asr-0' and c.wer>0 and c.ees is not null
-    join er o on o.llm=comp.omni_llm and o.pathway='omni' and o.ees is not null and o.slurp_id=c.slurp_id and o.degradation=c.degradation and o.snr_db is not distinct from c.snr_db),
+_PP = """, comp as materialized (select o.llm omni_llm, c.llm cascade_llm from (select distinct llm, model_family from er where pathway='omni') o join (select distinct llm, model_family from er where pathway='cascade') c using (model_family)),
+co as materialized (select comp.omni_llm, comp.cascade_llm, slurp_id, degradation, snr_db, coalesce(snr_db, -1) sk, ees yc from er join comp on llm=cascade_llm where pathway='cascade' and asr='asr-0' and wer>0 and ees is not null),
+oo as materialized (select llm omni_llm, slurp_id, degradation, coalesce(snr_db, -1) sk, ees yo from er where pathway='omni' and ees is not null),
+pp as materialized (select omni_llm, cascade_llm, degradation, snr_db, yc, yo from co join oo using (omni_llm, slurp_id, degradation, sk)),
 ps as (select omni_llm, cascade_llm, degradation, snr_db, count(*) n_pairs, avg(yc) cascade_rate, avg(yo) omni_rate from pp group by all)"""
 SQL["a19_pool_pathway_cells"] = (
     f"with {CELLS}{_PP} select omni_llm, cascade_llm, degradation, cast(sum(n_pairs) as bigint) pairs, count(*) n_cells, {r('sum(cascade_rate*n_pairs)/sum(n_pairs)')} cascade_rate, {r('sum(omni_rate*n_pairs)/sum(n_pairs)')} omni_rate, {r('sum(omni_rate*n_pairs)/sum(n_pairs)-sum(cascade_rate*n_pairs)/sum(n_pairs)')} gain_pathway, sum(n_pairs)<30 underpowered, case when degradation='clean' then 'anchor' else 'degradation' end scope from ps group by all"
