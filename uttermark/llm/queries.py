@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import decontam, langid, licences, lm, minhash, packing, quality, rules, sharding, suffix
+from uttermark.llm import decontam, langid, licences, lm, minhash, mixing, packing, quality, rules, sharding, suffix
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = "piece_bpe_32k.model"
@@ -103,6 +103,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs, mixing.cyclic_weights(docs, [1, 2, 3]))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -115,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_lm": op9_lm,
         "op10_langid": op10_langid,
+        "op11_mixing": op11_mixing,
     }
 
 
@@ -122,6 +129,17 @@ _WORDS = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 _RUNS = "list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))"
 
 SQL = {
+    "op11_mixing": r"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size from documents),
+    s as (select source, cast(sum(size) as bigint) source_size, (row_number() over (order by source is null, source) - 1) % 3 + 1 weight from d group by source),
+    c as (select *, 3 * source_size cap, sum(3 * source_size) over o caps, sum(weight) over o weights, sum(source_size) over () total, sum(weight) over () every
+        from s window o as (order by 3.0 * source_size / weight, source rows unbounded preceding)),
+    f as (select *, cast(cap as double) * (every - weights + weight) <= cast(weight as double) * (total - caps + cap) reached from c),
+    t as (select source, source_size, case when reached then cast(cap as double) else
+        cast(weight * (total - coalesce(sum(cap) filter (reached) over (), 0)) as double) / cast(every - coalesce(sum(weight) filter (reached) over (), 0) as double) end target from f),
+    b as (select *, cast(floor(target + 0.5) as bigint) budget, coalesce(sum(size) over (partition by d.source order by md5('17:' || coalesce(cast(doc_id as varchar), '')), doc_id, size
+        rows between unbounded preceding and 1 preceding), 0) before from d join t on d.source is not distinct from t.source)
+    select doc_id, cast(size as bigint) size, source_size, target, cast(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) as bigint) taken, epochs
+    from (select *, coalesce(budget // nullif(source_size, 0), 0) epochs from b)""",
     "op3_decontamination": f"""with i as (select item_id, least(5, len(w)) k, w from (select item_id, {_WORDS.format(t="text")} w from benchmark) where len(w) > 0),
     b as (select distinct item_id, k, unnest({_RUNS}) s from i),
     n as (select item_id, count(*) item_shingles from b group by item_id),
