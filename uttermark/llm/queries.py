@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import decontam, langid, licences, lm, minhash, mixing, packing, quality, rules, sharding, suffix
+from uttermark.llm import align, decontam, langid, licences, lm, minhash, mixing, packing, quality, resample, rules, sharding, suffix
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = "piece_bpe_32k.model"
@@ -109,6 +109,16 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return align.align(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(VOCABULARY))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -122,6 +132,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm": op9_lm,
         "op10_langid": op10_langid,
         "op11_mixing": op11_mixing,
+        "op12_alignment": op12_alignment,
+        "op13_resample": op13_resample,
     }
 
 
