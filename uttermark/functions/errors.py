@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from uttermark.functions import alignment
 from uttermark.functions.params import STOPWORDS
+from uttermark.functions.phonetic import double_metaphone
+
+MOST_CODED = 1_000_000  #: words whose codes a task remembers
 
 # Words that count as numbers.
 NUMBER_WORDS = [
@@ -30,6 +36,7 @@ NAMED = [
 ]
 
 CHUNK = "struct<type:string,error_subtype:string,slot_position:string,ref:string,hyp:string,entity_type:string>"
+RANGES = ["ref_start", "ref_end", "hyp_start", "hyp_end"]
 RAW = "array<struct<type:string,ref_start:int,ref_end:int,hyp_start:int,hyp_end:int>>"
 
 
@@ -49,61 +56,86 @@ def has_critical_substitution(categories: Column) -> Column:
 
 
 def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int, int, int]]:
-    """Chunks of unequal words of a least-cost alignment, neighbouring equal operations merged.
+    """Chunks of one pair of word lists: kind, range in the reference, range in the hypothesis."""
+    one = lambda ws: pa.array([ws], pa.list_(pa.string()))
+    _, kind, ranges = alignment.chunks(one(ref), one(hyp))
+    names = alignment.KINDS.to_pylist()
+    return [(names[k], *r) for k, r in zip(kind.tolist(), ranges.tolist(), strict=True)]
+
+
+def _ranges(ends: np.ndarray, kind: np.ndarray, ranges: np.ndarray, more: dict[str, pa.Array]) -> pa.ListArray:
+    parts = {"type": alignment.KINDS.take(pa.array(kind)), **{n: pa.array(ranges[:, i].astype(np.int32)) for i, n in enumerate(RANGES)}, **more}
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(list(parts.values()), list(parts)))
+
+
+def _first_of(rb: pa.RecordBatch, keys: list[str]) -> tuple[pa.Array, pa.Array]:
+    """Rows that come first with their values of ``keys``, and for every row, which of them is its own."""
+    code = np.zeros(rb.num_rows, np.int64)
+    for k in keys:
+        own = rb.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        code = code * (int(own.max(initial=0)) + 1) + own
+    _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+    return pa.array(first), pa.array(inverse.astype(np.int64))
 
-    Of several least-cost alignments, the one is taken that, read from the end, prefers an equal or
-    substituted word, then a deletion, then an insertion.
-    """
-    n, m = len(ref), len(hyp)
-    code = {w: i for i, w in enumerate(dict.fromkeys(ref + hyp))}
-    r, h = np.array([code[w] for w in ref], np.int64), np.array([code[w] for w in hyp], np.int64)
-    d = np.zeros((n + 1, m + 1), np.int64)
-    d[0], d[:, 0] = np.arange(m + 1), np.arange(n + 1)
-    steps = np.arange(m + 1)
-    for i in range(1, n + 1):
-        best = np.minimum(d[i - 1, :-1] + (h != r[i - 1]), d[i - 1, 1:] + 1)
-        row = np.concatenate([[i], best]) - steps
-        d[i] = np.minimum.accumulate(row) + steps  # insertions
-    ops: list[tuple[str, int, int]] = []
-    i, j = n, m
-    while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
-            i, j = i - 1, j - 1
-            ops.append(("equal" if r[i] == h[j] else "substitute", i, j))
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            ops.append(("delete", i, j))
-        else:
-            j -= 1
-            ops.append(("insert", i, j))
-    out: list[tuple[str, int, int, int, int]] = []
-    for kind, i, j in reversed(ops):
-        end = (i + (kind != "insert"), j + (kind != "delete"))
-        if out and out[-1][0] == kind:
-            out[-1] = (kind, out[-1][1], end[0], out[-1][3], end[1])
-        else:
-            out.append((kind, i, end[0], j, end[1]))
-    return [x for x in out if x[0] != "equal"]
-
-
-def aligned(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Add ``chunks`` (type and index ranges) to rows with two word lists. Distinct pairs should be given."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*pairs.schema.fields, T.StructField("chunks", T._parse_datatype_string(RAW))])
-    at = [pairs.columns.index(ref), pairs.columns.index(hyp)]
-    keys = ["type", "ref_start", "ref_end", "hyp_start", "hyp_end"]
-    kind = pa.list_(pa.struct([pa.field(k, pa.string() if k == "type" else pa.int32()) for k in keys]))
+
+def _added(rows: DataFrame, name: str, kind: str, make: Callable[[pa.RecordBatch], pa.Array], keys: list[str]) -> DataFrame:
+    """``rows`` with a column made of whole Arrow batches, once for each set of ``keys`` in a batch."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            found = [
-                [dict(zip(keys, c, strict=True)) for c in align(a or [], b or [])]
-                for a, b in zip(rb.column(at[0]).to_pylist(), rb.column(at[1]).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(found, kind)], names=schema.names)
+            first, inverse = _first_of(rb, keys) if keys else (None, None)
+            made = make(rb.take(first) if keys else rb)
+            yield pa.RecordBatch.from_arrays([*rb.columns, made.take(inverse) if keys else made], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
 
-    return pairs.mapInArrow(run, schema)
+def aligned(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", keys: list[str] | None = None) -> DataFrame:
+    """Add ``chunks`` (type and index ranges) to rows with two word lists; a null list is empty.
+
+    Rows with equal ``keys`` must have equal lists; within a batch they are aligned once.
+    """
+    return _added(rows, "chunks", RAW, lambda rb: _ranges(*alignment.chunks(rb.column(ref), rb.column(hyp)), {}), keys or [])
+
+
+def aligned_with_sounds(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", keys: list[str] | None = None) -> DataFrame:
+    """As ``aligned``, where both sides have words. Substitutions also say whether their first words sound alike (``similar``), and
+    have the codes of both sides, word by word (``ref_sound``, ``hyp_sound``). A task codes each word once."""
+    known: dict[str, tuple[str, str]] = {}
+
+    def code(word: str) -> tuple[str, str]:
+        if word not in known:
+            if len(known) > MOST_CODED:
+                known.clear()
+            known[word] = double_metaphone(word)
+        return known[word]
+
+    def make(rb: pa.RecordBatch) -> pa.ListArray:
+        sides = [rb.column(ref), rb.column(hyp)]
+        both = pc.and_(*(pc.greater(pc.fill_null(pc.list_value_length(x), 0), 0) for x in sides))
+        sides = [pc.if_else(both, x, pa.scalar([], x.type)) for x in sides]
+        ends, kind, ranges = alignment.chunks(*sides)
+        n = len(kind)
+        alike, sounds = [None] * n, ([None] * n, [None] * n)
+        swapped = np.flatnonzero(kind == alignment.SUBSTITUTE)
+        row = np.searchsorted(ends, swapped, side="right") - 1
+        start = [np.asarray(x.offsets)[row] - x.offsets[0].as_py() for x in sides]
+        flat = [x.flatten().to_pylist() for x in sides]
+        for c, a, b, (r0, r1, h0, h1) in zip(swapped.tolist(), start[0].tolist(), start[1].tolist(), ranges[swapped].tolist(), strict=True):
+            codes = [code(w) for w in flat[0][a + r0 : a + r1]], [code(w) for w in flat[1][b + h0 : b + h1]]
+            alike[c] = bool({x for x in codes[0][0] if x} & {x for x in codes[1][0] if x})
+            for side, found in zip(sounds, codes, strict=True):
+                side[c] = "".join(x or y for x, y in found)
+        more = {"similar": pa.array(alike, pa.bool_())} | {k: pa.array(v, pa.string()) for k, v in zip(("ref_sound", "hyp_sound"), sounds, strict=True)}
+        return _ranges(ends, kind, ranges, more)
+
+    return _added(rows, "chunks", f"{RAW[:-2]},similar:boolean,ref_sound:string,hyp_sound:string>>", make, keys or [])
+
+
+def word_distances(rows: DataFrame, ref: str, hyp: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Add the word edit distance of two word lists of any length; see ``aligned`` for ``keys``."""
+    return _added(rows, name, "int", lambda rb: pa.array(alignment.distances(rb.column(ref), rb.column(hyp)).astype(np.int32)), keys or [])
 
 
 def classify_substitution(ref: Column, hyp: Column, entity: Column, similar: Column) -> Column:

@@ -65,11 +65,13 @@ def token_surfaces(tokens: Column) -> Column:
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two word lists: every distinct word of the pair becomes one character."""
+    """Edit distance of two word lists: every distinct word of the pair becomes one character. For short texts inside larger
+    expressions; ``operators.annotate.word_error_rates`` takes texts of any length. Beyond ``MOST_WORDS`` distinct words an error is raised."""
     coded = lambda ws, known: F.array_join(F.transform(ws, lambda w: _letter(F.array_position(known, w))), "")
     # the outer transform binds the vocabulary, which is made once a row, not once a word
     vocabulary = F.array(F.array_distinct(F.concat(ref, hyp)))
-    return F.transform(vocabulary, lambda known: F.levenshtein(coded(ref, known), coded(hyp, known)))[0]
+    few = lambda known: F.when(F.size(known) > MOST_WORDS, F.raise_error(F.lit(f"more than {MOST_WORDS} distinct words")).cast("int"))
+    return F.transform(vocabulary, lambda known: F.coalesce(few(known), F.levenshtein(coded(ref, known), coded(hyp, known))))[0]
 
 
 def _letter(i: Column) -> Column:

@@ -18,6 +18,7 @@ from uttermark.operators import chunks as K
 from uttermark.operators import models as M
 from uttermark.operators import pairs as J
 from uttermark.operators import rows as R
+from uttermark.operators.annotate import word_error_rates
 from uttermark.plans.fixtures import CELLS, LABELS, SECOND, TEXT, eval_rows, read, second_pass, text_gold, text_rows, with_distance
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,8 +522,8 @@ def _(s, d):
 
 @query("f4_wer")
 def _(s, d):
-    t = text_rows(s, d)
-    return t.select("tid", "cond", X.wer(X.normalize_text(F.col("sentence")), X.normalize_text(F.col("transcription"))).alias("wer"))
+    t = text_rows(s, d).select("tid", "cond", X.normalize_text(F.col("sentence")).alias("r"), X.normalize_text(F.col("transcription")).alias("h"))
+    return word_error_rates(t, "r", "h").select("tid", "cond", "wer")
 
 
 @query("f5_cer", f"select tid, cond, {r('case when length(transcription)=0 then 1.0 else levenshtein(sentence, transcription)/length(sentence) end')} cer from tx", TEXT)
@@ -557,9 +558,8 @@ def _(s, d):
 def _(s, d):
     from uttermark.functions.errors import full_hallucination
 
-    t = text_rows(s, d)
-    wer = X.wer(F.col("sentence"), F.col("transcription"))
-    return t.select("tid", "cond", full_hallucination(wer, F.col("ref"), F.col("hyp")).alias("full_hallucination"))
+    t = word_error_rates(text_rows(s, d), "sentence", "transcription")
+    return t.select("tid", "cond", full_hallucination(F.col("wer"), F.col("ref"), F.col("hyp")).alias("full_hallucination"))
 
 
 @query("f21_align_words")
@@ -741,9 +741,8 @@ def annotated(s: SparkSession, d: str) -> DataFrame:
     from uttermark.operators.annotate import annotate_errors
 
     t = text_rows(s, d)
-    wer = X.wer(X.normalize_text(F.col("sentence")), X.normalize_text(F.col("transcription")))
-    rows = t.select(F.col("tid").alias("slurp_id"), "cond", F.concat(F.lit("c"), "cond").alias("degradation"), "transcription", wer.alias("wer"))
-    return annotate_errors(rows, text_gold(t))
+    rows = t.select(F.col("tid").alias("slurp_id"), "cond", F.concat(F.lit("c"), "cond").alias("degradation"), "transcription", X.normalize_text(F.col("sentence")).alias("r"), X.normalize_text(F.col("transcription")).alias("h"))
+    return annotate_errors(word_error_rates(rows, "r", "h").drop("r", "h"), text_gold(t))
 
 
 @query("f22_annotate_errors")
