@@ -424,13 +424,13 @@ def test_noise_has_the_wanted_power(spark):
 
 
 def test_bootstraps_draw_as_often_as_the_reference_from_exact_rates(spark, monkeypatch):
-    drawn, whole = {}, M.replicate_sums
+    drawn, whole = {}, M.replicate_parts
 
-    def count(rows, cell, values, replicates, seed=42, cluster="slurp_id"):
+    def count(rows, cell, values, replicates, seed, cluster="slurp_id", more=None):
         drawn.setdefault(name, []).append((replicates, rows))
-        return whole(rows, cell, values, 2, seed, cluster)
+        return whole(rows, cell, values, 2, seed, cluster, more)
 
-    monkeypatch.setattr(M, "replicate_sums", count)
+    monkeypatch.setattr(M, "replicate_parts", count)
     for name in ("m3_pathway_bootstrap", "m4_condition_bootstrap", "m11_mediation_bootstrap"):
         evaluation.QUERIES[name](spark, SF)
     assert [[n for n, _ in drawn[k]] for k in sorted(drawn)] == [[200], [2000], [2000]]

@@ -45,6 +45,27 @@ def test_fit_solves_the_estimating_equations(data):
     assert df_ == 1 and chi == pytest.approx(got.beta[1] ** 2 / got.cov[1, 1])
 
 
+def test_fit_is_the_same_in_any_batches(data, spark):
+    """Clusters cut by the ends of batches, down to a row at a time."""
+    size, found = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for batch in ("10000", "5", "1"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found.append(gee.fit(data[0].repartition(3), "y", ["x1", "x2"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for f in found[1:]:
+        assert np.allclose(f.beta, found[0].beta, atol=1e-9) and np.allclose(f.cov, found[0].cov, atol=1e-9)
+        assert (f.n, f.clusters, f.steps) == (found[0].n, 120, found[0].steps) and f.rho == pytest.approx(found[0].rho)
+
+
+def test_one_term(spark):
+    """An intercept alone."""
+    df = spark.createDataFrame([(i // 3, float(i % 2)) for i in range(60)], "slurp_id long, y double")
+    got = gee.fit(df, "y", [])
+    assert got.beta[0] == pytest.approx(0, abs=1e-9) and got.clusters == 20
+
+
 def test_refusals(data, spark):
     df = data[0]
     with pytest.raises(gee.Refused, match="rank"):

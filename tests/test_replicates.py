@@ -1,0 +1,70 @@
+"""Sums over replicates in two levels of adding."""
+
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from uttermark.operators import models as M
+
+
+@pytest.fixture(scope="module")
+def table():
+    rng = np.random.default_rng(5)
+    n = 3000
+    return pd.DataFrame({"slurp_id": rng.integers(0, 80, n), "cell": rng.integers(0, 6, n), "level": [None if i % 4 == 0 else int(i % 3) for i in range(n)], "one": 1.0, "y": rng.random(n).round(3)})
+
+
+def frame(spark, table):
+    data = [(int(r.slurp_id), f"c{r.cell}", None if r.level != r.level else int(r.level), r.one, r.y) for r in table.itertuples()]
+    return spark.createDataFrame(data, "slurp_id long, cell string, level int, one double, y double")
+
+
+def test_many_tasks_give_one_row_for_each_key(spark, table):
+    """40 tasks, each with nearly every cell: after the first level a key has at most ``fan`` rows, after the second one."""
+    df = frame(spark, table).repartition(40)
+    keys = ["cell", "level", "block", "value"]
+    parts = M.replicate_parts(df, ["cell", "level"], ["one", "y"], 600, 42)
+    per_key = Counter(tuple(r) for r in parts.select(*keys).collect())
+    assert max(per_key.values()) > 20
+    done = M.added(parts, keys, fan=4).collect()
+    assert len(done) == len(per_key) == len({tuple(r[k] for k in keys) for r in done})
+    assert {len(r["sums"]) for r in done} == {M.REPLICATE_BLOCK, 600 - 2 * M.REPLICATE_BLOCK}
+    weight = M.poisson_weights(np.arange(80), 600, 42)
+    own = table.assign(level=table["level"].astype(object).where(table["level"].notna(), None))
+    for r in done:
+        mine = own[(own["cell"] == int(r["cell"][1:])) & (own["level"].isna() if r["level"] is None else own["level"] == r["level"])]
+        first = r["block"] * M.REPLICATE_BLOCK
+        want = (mine[r["value"]].to_numpy()[:, None] * weight[mine["slurp_id"].to_numpy(), first : first + len(r["sums"])]).sum(0)
+        assert np.allclose(r["sums"], want)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 26])
+def test_sums_are_the_same_in_any_batches(spark, table, held, monkeypatch):
+    """Handed on after every batch or once; few rows a key (sorted sums) or many (products)."""
+    monkeypatch.setattr(M, "HELD_BYTES", held)
+    df = frame(spark, table)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for batch, parts, cell in (("10000", 1, ["cell"]), ("50", 7, ["cell"]), ("10000", 3, ["cell", "y"]), ("40", 3, ["cell", "y"])):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            rows = M.replicate_sums(df.repartition(parts), cell, ["one"], 260).groupBy("cell", "replicate").agg(F.sum("one").alias("n")).collect()
+            found.append({(r["cell"], r["replicate"]): r["n"] for r in rows})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(found[0]) == 6 * 260 and all(f == found[0] for f in found)
+
+
+def test_weights_come_in_blocks():
+    ids = np.arange(50)
+    whole = M.poisson_weights(ids, 700, 3)
+    assert np.array_equal(np.concatenate([M.poisson_weights(ids, 300, 3), M.poisson_weights(ids, 400, 3, 300)], 1), whole)
+    assert abs(whole.mean() - 1) < 0.02 and abs(whole.var() - 1) < 0.05
+
+
+def test_no_rows(spark, table):
+    df = frame(spark, table).where("cell = 'none'")
+    assert M.replicate_sums(df, ["cell"], ["one"], 20).count() == 0

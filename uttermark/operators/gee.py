@@ -92,45 +92,58 @@ def chi2_tail(x: float, df: int) -> float:
 
 
 def _sums(rows: DataFrame, p: int, beta: np.ndarray, rho: float) -> dict[str, np.ndarray]:
+    """All sums of one step. Each task takes its rows, sorted by cluster, as a stream, with one batch and the sums of one open cluster
+    in memory."""
     size = {"score": p, "info": p * p, "meat": p * p, "xx": p * p, "r2": 1, "rr": 1, "pairs": 1, "n": 1, "clusters": 1, "edge": 1}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(rb.column(0).to_numpy(), rb.column(1).to_numpy(), np.asarray(rb.column(2).flatten()).reshape(-1, p)) for rb in batches if rb.num_rows]
-        if not parts:
-            return
-        cluster, y, x = (np.concatenate(v) for v in zip(*parts, strict=True))
-        _, of = np.unique(cluster, return_inverse=True)
-        k = int(of.max()) + 1
-        mu = 0.5 * (1 + np.tanh(x @ beta / 2))
-        s = np.sqrt(np.maximum(mu * (1 - mu), 1e-300))
-        z, r = x * s[:, None], (y - mu) / s
-        add = lambda v: np.bincount(of, weights=v, minlength=k)
-        m, sr, srr = add(np.ones(len(y))), add(r), add(r * r)
-        sz = np.stack([add(z[:, j]) for j in range(p)], 1)
-        szr = np.stack([add(z[:, j] * r) for j in range(p)], 1)
-        c = rho / (1 + (m - 1) * rho)
-        u = (szr - (c * sr)[:, None] * sz) / (1 - rho)
-        out = {
-            "score": u.sum(0),
-            "info": ((z.T @ z) - (sz * c[:, None]).T @ sz) / (1 - rho),
-            "meat": u.T @ u,
-            "xx": x.T @ x,
-            "r2": srr.sum(),
-            "rr": ((sr * sr - srr) / 2).sum(),
-            "pairs": (m * (m - 1) / 2).sum(),
-            "n": len(y),
-            "clusters": k,
-            "edge": float((np.minimum(mu, 1 - mu) < 1e-10).sum()),
-        }
-        flat = np.concatenate([np.ravel(out[n]) for n in size]).astype(float)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "v"])
+        out = {n: np.zeros((p, p) if n in ("info", "meat", "xx") else k) for n, k in size.items()}
+        open_id, open_sums, met = None, np.zeros(3 + 2 * p), False
+
+        def close(each: np.ndarray) -> None:
+            """Add whole clusters: rows of count, sum of r, of r squared, of z and of z r."""
+            m, sr, srr, sz, szr = each[:, 0], each[:, 1], each[:, 2], each[:, 3 : 3 + p], each[:, 3 + p :]
+            c = rho / (1 + (m - 1) * rho)
+            u = (szr - (c * sr)[:, None] * sz) / (1 - rho)
+            out["score"] += u.sum(0)
+            out["info"] -= ((sz * c[:, None]).T @ sz) / (1 - rho)
+            out["meat"] += (u.T @ u)
+            out["rr"] += ((sr * sr - srr) / 2).sum()
+            out["pairs"] += (m * (m - 1) / 2).sum()
+            out["clusters"] += len(each)
+
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            met = True
+            cluster, y, x = rb.column(0).to_numpy(), rb.column(1).to_numpy(), np.asarray(rb.column(2).flatten()).reshape(-1, p)
+            mu = 0.5 * (1 + np.tanh(x @ beta / 2))
+            s = np.sqrt(np.maximum(mu * (1 - mu), 1e-300))
+            z, r = x * s[:, None], (y - mu) / s
+            first = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
+            each = np.add.reduceat(np.concatenate([np.ones((len(y), 1)), r[:, None], (r * r)[:, None], z, z * r[:, None]], 1), first)
+            if open_id == cluster[0]:
+                each[0] += open_sums
+            elif open_id is not None:
+                close(open_sums[None])
+            close(each[:-1])
+            open_id, open_sums = cluster[-1], each[-1]
+            out["info"] += (z.T @ z) / (1 - rho)
+            out["xx"] += (x.T @ x)
+            out["r2"] += (r * r).sum()
+            out["n"] += len(y)
+            out["edge"] += float((np.minimum(mu, 1 - mu) < 1e-10).sum())
+        if met:
+            close(open_sums[None])
+            flat = np.concatenate([np.ravel(out[n]) for n in size]).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "v"])
 
     found = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(sum(size.values()))
     for row in found:
         flat[row["i"]] = row["v"]
     ends = np.cumsum(list(size.values()))
-    return {n: flat[e - k : e].reshape((p, p) if k == p * p else k) for (n, k), e in zip(size.items(), ends, strict=True)}
+    return {n: flat[e - k : e].reshape((p, p) if n in ("info", "meat", "xx") else k) for (n, k), e in zip(size.items(), ends, strict=True)}
 
 
 def rank_report(xx: np.ndarray) -> tuple[int, int, float]:
@@ -147,7 +160,7 @@ def fit(frame: DataFrame, outcome: str, terms: list[str], cluster: str = "slurp_
     x = F.array(F.lit(1.0), *(F.col(t).cast("double") for t in terms))
     rows = frame.select(F.col(cluster).cast("long").alias("cluster"), F.col(outcome).cast("double").alias("y"), x.alias("x"))
     rows = rows.where(F.col("cluster").isNotNull() & F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-    rows = rows.repartition("cluster").persist(StorageLevel.DISK_ONLY)
+    rows = rows.repartition("cluster").sortWithinPartitions("cluster").persist(StorageLevel.DISK_ONLY)
     try:
         beta, rho = np.zeros(p), 0.0
         for step in range(1, most + 1):

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from uttermark.keys import CURVE, HIGH_WER, cap_wer, is_clean
 
+#: cell, batch, places of the cell's rows in it, their weights by replicate, first replicate -> a sum by replicate
+More = Callable[[tuple, pd.DataFrame, np.ndarray, np.ndarray, int], np.ndarray]
 CURVES = "asr string, llm string, a double, b double, n_clean long, n_clean_at_high_wer long, p_at_zero double, refused string"
 
 
@@ -64,9 +68,10 @@ def clean_calibration(rows: DataFrame, outcome: str = "ees") -> DataFrame:
     return histogram.groupBy(*CURVE).applyInPandas(_curve, CURVES)
 
 
-def poisson_weights(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """Poisson(1) weights (id x replicate) from a hash of seed, replicate and id: the same in every partition."""
-    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
+def poisson_weights(ids: np.ndarray, replicates: int, seed: int, first: int = 0) -> np.ndarray:
+    """Poisson(1) weights (id x replicate, from the replicate ``first`` on) from a hash of seed, replicate and id: the same in every
+    partition."""
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(first + 1, first + replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
     x = x + np.uint64(seed)
     with np.errstate(over="ignore"):
         for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -76,35 +81,117 @@ def poisson_weights(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return np.searchsorted(limits, u)
 
 
-def replicate_sums(rows: DataFrame, cell: list[str], values: list[str], replicates: int, seed: int = 42, cluster: str = "slurp_id") -> DataFrame:
-    """Weighted sums of ``values`` for every cell and replicate; clusters (utterances) are drawn, so all rows of one
-    carry the same weight everywhere. Partitions give partial sums, which are added up by cell and replicate."""
-    from pyspark.sql import types as T
+REPLICATE_BLOCK = 250  #: replicates of one row of sums
+HELD_BYTES = 1 << 26  #: sums that a task holds before it hands them on
+FAN = 64  #: rows of one key that meet in the first level of adding are at most a FANth of the tasks
+
+
+def replicate_parts(rows: DataFrame, cell: list[str], values: list[str], replicates: int, seed: int, cluster: str = "slurp_id", more: dict[str, More] | None = None) -> DataFrame:
+    """Weighted sums of ``values`` by cell from each task: ``cell``, ``block`` (of replicates), ``value`` (its name) and ``sums``, an array
+    over the block's replicates. ``more``: further sums by name, from the cell, its rows of a batch and their weights."""
+    schema = T.StructType([*(rows.schema[c] for c in cell), *T._parse_datatype_string("block int, value string, sums array<double>").fields])
+    kinds = [to_arrow_type(rows.schema[c].dataType) for c in cell]
+    starts = range(0, replicates, REPLICATE_BLOCK)
+    names = [*values, *(more or {})]
 
-    schema = T.StructType([*(rows.schema[c] for c in cell), T.StructField("replicate", T.IntegerType()), *(T.StructField(v, T.DoubleType()) for v in values)])
+    def handed_on(total: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        keys = [(*key, i // len(names), names[i % len(names)]) for key in total for i in range(len(starts) * len(names))]
+        cols = [pa.array([k[j] for k in keys], kind) for j, kind in enumerate([*kinds, pa.int32(), pa.string()])]
+        sums = [part[v, s : s + REPLICATE_BLOCK] for part in total.values() for s in starts for v in range(len(names))]
+        ends = np.cumsum([0, *map(len, sums)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sums)))], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, np.ndarray] = {}
         for rb in batches:
             pdf = rb.to_pandas()
-            v = pdf[values].to_numpy(float)
+            if not len(pdf):
+                continue
             codes, keys = pd.factorize(pd.MultiIndex.from_frame(pdf[cell].astype(object).where(pdf[cell].notna(), None)))
+            order = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[order], np.arange(len(keys) + 1))
+            v = pdf[values].to_numpy(float)[order]
             ids, inverse = np.unique(pdf[cluster].to_numpy(), return_inverse=True)
-            w = poisson_weights(ids, replicates, seed)
-            for i, key in enumerate(keys):
-                at = np.flatnonzero(codes == i)
-                part = v[at].T @ w[inverse[at]]
-                k = tuple(None if x != x else x for x in key)
-                total[k] = total.get(k, 0) + part
-        for key, sums in total.items():
-            fixed = [pa.array([key[j]] * replicates, rb_type) for j, rb_type in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(replicates, dtype=np.int32)), *(pa.array(s) for s in sums)], names=schema.names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            inverse = inverse[order]
+            own_keys = [tuple(None if x != x else x for x in key) for key in keys]
+            for key in own_keys:
+                if key not in total:
+                    total[key] = np.zeros((len(names), replicates))
+            for s in starts:
+                e = min(s + REPLICATE_BLOCK, replicates)
+                weight = poisson_weights(ids, e - s, seed, s).astype(float)[inverse]
+                few = len(keys) > len(v) / 4
+                sums = [np.add.reduceat(v[:, [i]] * weight, ends[:-1]) for i in range(len(values))] if few else None
+                for i, key in enumerate(own_keys):
+                    at = slice(ends[i], ends[i + 1])
+                    part = total[key]
+                    part[: len(values), s:e] += np.stack([x[i] for x in sums]) if few else v[at].T @ weight[at]
+                    for j, f in enumerate((more or {}).values(), len(values)):
+                        part[j, s:e] += f(key, pdf, order[at], weight[at], s)
+            if sum(x.nbytes for x in total.values()) > HELD_BYTES:
+                yield handed_on(total)
+                total = {}
+        if total:
+            yield handed_on(total)
+
+    return rows.mapInArrow(run, schema)
 
-    kinds = [to_arrow_type(rows.schema[c].dataType) for c in cell]
-    part = rows.select(cluster, *cell, *(F.col(v).cast("double").alias(v) for v in values)).mapInArrow(run, schema)
-    return part.groupBy(*cell, "replicate").agg(*(F.sum(v).alias(v) for v in values))
+
+def added(parts: DataFrame, keys: list[str], fan: int = FAN) -> DataFrame:
+    """One row for each of ``keys`` with the sum of ``sums``, arrays of one length for a key. Rows of a key are added in two levels, first
+    those of every ``fan``-th task together; each level is a stream of sorted rows with one open key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        held: tuple | None = None  # the open key as a batch of one row, its values, and its sum
+
+        def closed(done: list[tuple]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(x[2]) for x in done)]).astype(np.int32)
+            cols = pa.Table.from_batches([x[0] for x in done]).combine_chunks().to_batches()[0].columns
+            return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[2] for x in done])))], names=names)
+
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            names = [*keys, "sums"]
+            own, lists = rb.select(keys), rb.column("sums")
+            offset, flat = np.asarray(lists.offsets), lists.values.to_numpy()
+            new = np.zeros(rb.num_rows, bool)
+            new[0] = True
+            for c in own.columns:
+                code = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            first = np.flatnonzero(new)
+            done: list[tuple] = []
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), rb.num_rows], strict=True):
+                total = flat[offset[s] : offset[e]].reshape(e - s, -1).sum(0)
+                row = own.slice(s, 1)
+                key = tuple(row.to_pylist()[0].values())
+                if held and held[1] == key:
+                    held = (held[0], key, held[2] + total)
+                    continue
+                if held:
+                    done.append(held)
+                held = (row, key, total)
+            if done:
+                yield closed(done)
+        if held:
+            yield closed([held])
+
+    out = T.StructType([*(parts.schema[k] for k in keys), parts.schema["sums"]])
+    level = lambda df, by: df.repartition(*by).sortWithinPartitions(*keys).select(*keys, "sums").mapInArrow(run, out)
+    some = level(parts.select(*keys, "sums", (F.spark_partition_id() % fan).alias("__task")), [*keys, "__task"])
+    return level(some, keys)
+
+
+def replicate_sums(rows: DataFrame, cell: list[str], values: list[str], replicates: int, seed: int = 42, cluster: str = "slurp_id") -> DataFrame:
+    """Weighted sums of ``values`` for every cell and replicate; clusters (utterances) are drawn, so all rows of one
+    carry the same weight everywhere. Tasks give arrays over blocks of replicates, which are added up by cell and block."""
+    sums = added(replicate_parts(rows, cell, values, replicates, seed, cluster), [*cell, "block", "value"])
+    own = sums.groupBy(*cell, "block").agg(*(F.first(F.when(F.col("value") == v, F.col("sums")), ignorenulls=True).alias(f"__{i}") for i, v in enumerate(values)))
+    each = own.select(*cell, "block", F.posexplode(F.arrays_zip(*(F.col(f"__{i}") for i in range(len(values))))).alias("at", "v"))
+    replicate = (F.col("block") * REPLICATE_BLOCK + F.col("at")).cast("int").alias("replicate")
+    return each.select(*cell, replicate, *(F.col("v")[f"__{i}"].alias(v) for i, v in enumerate(values)))
 
 
 def interval(sums: DataFrame, cell: list[str], value, name: str = "") -> DataFrame:
@@ -121,7 +208,6 @@ METRICS = [
     "outcome", "absorption", "retention", "gain_paired", "gain_ceiling", "gain_legacy", "gain_calibrated", "gain_critical", "gain_function",
     "gain_critical_minus_function", "calibration_a", "calibration_b",
 ]
-REPLICATE_BLOCK = 250  #: replicates of one row of partial sums
 
 
 def logistic_many(x: np.ndarray, n: np.ndarray, k: np.ndarray, steps: int = 100, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
@@ -160,14 +246,15 @@ def replicate_curves(rows: DataFrame, outcome: str, replicates: int, seed: int)
     """Clean curves (a, b by replicate) of every recogniser and router. One row for each pair of models comes to the driver."""
     clean = rows.where(is_clean() & F.col("wer").isNotNull() & F.col(outcome).isNotNull())
     clean = clean.select("slurp_id", *CURVE, cap_wer().alias("x"), F.lit(1.0).alias("n"), F.col(outcome).cast("double").alias("k"))
-    sums = replicate_sums(clean, [*CURVE, "x"], ["n", "k"], replicates, seed)
+    sums = added(replicate_parts(clean, [*CURVE, "x"], ["n", "k"], replicates, seed), [*CURVE, "x", "block", "value"])
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf["x"].unique())
-        at = np.searchsorted(x, pdf["x"].to_numpy())
-        n, k = np.zeros((len(x), replicates)), np.zeros((len(x), replicates))
-        n[at, pdf["replicate"]], k[at, pdf["replicate"]] = pdf["n"], pdf["k"]
-        a, b = logistic_many(x, n, k)
+        of = {v: np.zeros((len(x), replicates)) for v in ("n", "k")}
+        for r in pdf.itertuples(index=False):
+            first = r.block * REPLICATE_BLOCK
+            of[r.value][np.searchsorted(x, r.x), first : first + len(r.sums)] = r.sums
+        a, b = logistic_many(x, of["n"], of["k"])
         return pd.DataFrame({"asr": [pdf["asr"].iloc[0]], "llm": [pdf["llm"].iloc[0]], "a": [a], "b": [b]})
 
     found = sums.groupBy(*CURVE).applyInPandas(fitted, "asr string, llm string, a array<double>, b array<double>").collect()
@@ -202,18 +289,13 @@ def bootstrap_cells(rows: DataFrame, outcome: str = "ees", replicates: int = 200
     d = with_anchor(rows, outcome, order, rated=False)
     cell = ["asr", "degradation", "snr_db", "llm"]
     d = d.select("slurp_id", *cell, w.alias("w"), *(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in values.items()))
-    names = [*CELL_VALUES, "predicted"]
-    sums = _cell_sums(d, names, curves, replicates, seed)
+    sums = added(_cell_parts(d, curves, replicates, seed), [*cell, "block", "value"])
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
-        if pdf.loc[pdf["block"] == 0, "n"].sum() < least:
+        t = {v: np.concatenate(part.sort_values("block")["sums"].tolist()) for v, part in pdf.groupby("value")}
+        if t["n"][0] < least:
             return pd.DataFrame(columns=[*cell, "metric", "lo", "median", "hi"])
-        t = {v: np.zeros(replicates) for v in names}
-        for block, part in pdf.groupby("block"):
-            at = slice(block * REPLICATE_BLOCK, min((block + 1) * REPLICATE_BLOCK, replicates))
-            for v in names:
-                t[v][at] = np.sum([np.asarray(x, float) for x in part[v]], axis=0)
         got = _cell_metrics(t, curves.get((one["asr"], one["llm"])))
         out = []
         for m in METRICS:
@@ -242,49 +324,21 @@ def _cell_metrics(t: dict[str, np.ndarray], curve: tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _cell_sums(rows: DataFrame, names: list[str], curves: dict, replicates: int, seed: int) -> DataFrame:
-    """Weighted sums of the values by cell, as arrays over a block of replicates: a row for each cell and block of each task."""
-    from pyspark.sql import types as T
+def _cell_parts(rows: DataFrame, curves: dict, replicates: int, seed: int) -> DataFrame:
+    """Sums of ``CELL_VALUES`` by cell and replicate, of what the replicate's curve predicts for degraded rows, and the number of rows."""
+    unknown = np.full(replicates, np.nan)
 
-    cell = ["asr", "degradation", "snr_db", "llm"]
-    arrays = [T.StructField(v, T.ArrayType(T.DoubleType())) for v in names]
-    schema = T.StructType([*(rows.schema[c] for c in cell), T.StructField("block", T.IntegerType()), T.StructField("n", T.LongType()), *arrays])
+    def predicted(key: tuple, pdf: pd.DataFrame, at: np.ndarray, weight: np.ndarray, first: int) -> np.ndarray:
+        a, b = (x[first : first + weight.shape[1]] for x in curves.get((key[0], key[3]), (unknown, unknown)))
+        rates, of = np.unique(pdf["w"].to_numpy(float)[at], return_inverse=True)
+        hot = (of[None, :] == np.arange(len(rates))[:, None]) * pdf["degraded"].to_numpy(float)[at]
+        with np.errstate(over="ignore"):
+            return ((hot @ weight) / (1 + np.exp(-(a + b * rates[:, None])))).sum(0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, list] = {}
-        for rb in batches:
-            pdf = rb.to_pandas()
-            v = pdf[CELL_VALUES].to_numpy(float)
-            codes, keys = pd.factorize(pd.MultiIndex.from_frame(pdf[cell].astype(object).where(pdf[cell].notna(), None)))
-            ids, inverse = np.unique(pdf["slurp_id"].to_numpy(), return_inverse=True)
-            weight = poisson_weights(ids, replicates, seed).astype(float)
-            error, degraded = pdf["w"].to_numpy(float), pdf["degraded"].to_numpy(float)
-            for i, key in enumerate(keys):
-                at = np.flatnonzero(codes == i)
-                own = weight[inverse[at]]
-                k = tuple(None if x != x else x for x in key)
-                part = np.empty((len(names), replicates))
-                part[:-1] = v[at].T @ own
-                a, b = curves.get((k[0], k[3]), (np.full(replicates, np.nan),) * 2)
-                rates, of = np.unique(error[at], return_inverse=True)
-                each = np.zeros((len(rates), replicates))
-                np.add.at(each, of, own * degraded[at][:, None])
-                with np.errstate(over="ignore"):
-                    part[-1] = (each / (1 + np.exp(-(a + b * rates[:, None])))).sum(0)
-                held = total.setdefault(k, [0, 0.0])
-                held[0] += len(at)
-                held[1] = held[1] + part
-        for key, (n, sums) in total.items():
-            starts = range(0, replicates, REPLICATE_BLOCK)
-            cols = [pa.array([key[j]] * len(starts), t) for j, t in enumerate(kinds)]
-            cols += [pa.array(np.arange(len(starts), dtype=np.int32)), pa.array([n] * len(starts), pa.int64())]
-            cols += [pa.array([row[s : s + REPLICATE_BLOCK] for s in starts], pa.list_(pa.float64())) for row in sums]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+    def count(key: tuple, pdf: pd.DataFrame, at: np.ndarray, weight: np.ndarray, first: int) -> np.ndarray:
+        return np.full(weight.shape[1], len(at), float)
 
-    kinds = [to_arrow_type(rows.schema[c].dataType) for c in cell]
-    return rows.mapInArrow(run, schema)
+    return replicate_parts(rows, ["asr", "degradation", "snr_db", "llm"], CELL_VALUES, replicates, seed, more={"predicted": predicted, "n": count})
 
 
 MEDIATION = "acme double, ade double, total double, n double, refused string"
@@ -384,12 +438,31 @@ def mediation_table(rows: DataFrame, outcome: str = "ees", by: list[str] | None
     return joined.withColumns({"share": F.when(why.isNull() & (F.col("total") != 0), F.col("acme") / F.col("total")), "share_refused": why})
 
 
+EFFECTS = 25  #: replicates of an arm that are fitted in one group
+
+
 def mediation_bootstrap(rows: DataFrame, outcome: str = "ees", replicates: int = 200, seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """Percent points of the effects over replicates that draw utterances, each with all of its rows; replicates
-    that refuse are counted. Rows collapse to weighted histograms of exact rates before anything is fitted."""
+    that refuse are counted. Rows collapse to weighted histograms of exact rates before anything is fitted: a row for each arm,
+    recogniser, router and rate, with arrays over the replicates, of which a group fits ``EFFECTS``."""
     by = by or ["degradation"]
-    sums = replicate_sums(_known(rows, outcome, by), [*by, *CURVE, "x"], ["n", "k"], replicates, seed).where("n > 0")
-    keys = [*by, "replicate"]
-    each = _arms(sums, by).groupBy(*keys).applyInPandas(_contrast(keys), f"{_by(by)}, replicate int, {MEDIATION}")
+    cell = [*by, *CURVE, "x"]
+    sums = added(replicate_parts(_known(rows, outcome, by), cell, ["n", "k"], replicates, seed), [*cell, "block", "value"])
+    own = sums.groupBy(*cell, "block").agg(*(F.first(F.when(F.col("value") == v, F.col("sums")), ignorenulls=True).alias(v) for v in ("n", "k")))
+    part = F.explode(F.expr(f"sequence(0, cast(ceil(size(n) / {EFFECTS}) as int) - 1)"))
+    cut = own.select(*cell, "block", "n", "k", part.alias("part"))
+    cut = cut.select(*cell, "block", "part", *(F.slice(c, F.col("part") * EFFECTS + 1, F.lit(EFFECTS)).alias(c) for c in ("n", "k")))
+    keys = [*by, "block", "part"]
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        treated, x, (n, k) = pdf["treated"].to_numpy(float), pdf["x"].to_numpy(float), (np.stack(pdf[c].tolist()) for c in ("n", "k"))
+        out = []
+        for i in range(n.shape[1]):
+            seen = n[:, i] > 0
+            got = mediate(treated[seen], x[seen], n[seen, i], k[seen, i], _groups(pdf[seen])) if seen.any() else "no rows are left"
+            out.append([*(pdf[c].iloc[0] for c in by), *((None, None, None) if isinstance(got, str) else got), got if isinstance(got, str) else None])
+        return pd.DataFrame(out, columns=[*by, "acme", "ade", "total", "refused"])
+
+    each = _arms(cut, by).groupBy(*keys).applyInPandas(fitted, f"{_by(by)}, acme double, ade double, total double, refused string")
     points = [F.percentile(c, p).alias(f"{c}_{n}") for c in ("acme", "ade", "total") for n, p in (("lo", 0.025), ("median", 0.5), ("hi", 0.975))]
     return each.groupBy(*by).agg(*points, F.count("refused").alias("n_refused"), F.count(F.lit(1)).alias("n_replicates"))
