@@ -2,7 +2,7 @@
 
 A pre-tokeniser of the tokenizers library, an untrained split by one pattern, gives each ASCII-lowered text's words with their
 offsets. Every window of one to three consecutive words is a pair of offsets into the words joined by single spaces; the CRC-32
-of its bytes picks one of 10,000 buckets. The texts are split once: each becomes a sparse histogram of its buckets, which is
+of its bytes picks one of 10,000 buckets. The texts are split once: each becomes the sorted list of its buckets, which is
 written. Sums of the histograms, 10,000 numbers, give each bucket's gain, and a second pass over the histograms sums
 the gains of every document. Documents are drawn without replacement in proportion to exp(weight / 1000) by adding Gumbel
 noise made of a hash of the id and taking the highest scores, which are ranked in ranges over all tasks.
@@ -29,7 +29,7 @@ from uttermark.llm.work import folder, written
 BUCKETS = 10_000
 LONGEST = 3  #: words of a window
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  #: what stands between words of a lowered text
-PART = 1 << 20  #: characters that are split at once, more only inside one word
+PART = 1 << 18  #: characters that are split at once, more only inside one word
 _SPLITTER = []
 
 
@@ -77,25 +77,17 @@ def window_buckets(words: list[bytes], carried: int = 0) -> list[int]:
     return found
 
 
-def histogram(parts: Iterator[list[bytes]]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of words, buckets in order and their counts of one text, whose words come in parts."""
-    n, carried, first, dense = 0, [], None, None
+def histogram(parts: Iterator[list[bytes]]) -> tuple[int, np.ndarray]:
+    """Number of words of one text, whose words come in parts, and the buckets of its features in order, repeats kept."""
+    n, carried, found = 0, [], []
     for words in parts:
-        found = window_buckets(carried + words, len(carried))
+        found.append(np.array(window_buckets(carried + words, len(carried)), np.uint16))
         n += len(words)
         carried = (carried + words)[-(LONGEST - 1) :]
-        if first is None:
-            first = found
-        else:
-            dense = np.bincount(first, minlength=BUCKETS) if dense is None else dense
-            dense += np.bincount(found, minlength=BUCKETS)
-    if dense is not None:
-        at = np.flatnonzero(dense)
-        return n, at, dense[at]
-    return n, *np.unique(np.array(first or [], np.int64), return_counts=True)
+    return n, np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint16)
 
 
-_HELD = "n_words long, n_features long, buckets array<short>, counts array<int>"
+_HELD = "n_words long, n_features long, buckets binary"  #: two bytes, little-endian, for each feature
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,28 +99,20 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = [histogram(words_of([p])[0] for p in _parts(texts[0]))]
             else:
                 found = [histogram(iter([w])) for w in words_of(texts)]
-            ends = np.cumsum([0, *(len(f[1]) for f in found)]).astype(np.int32)
-            flat = lambda i, kind: np.concatenate([f[i] for f in found]).astype(kind)  # noqa: E731, B023
-            counts = flat(2, np.int32)
-            features = [int(f[2].sum()) for f in found]
-            lists = (pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (flat(1, np.int16), counts))
-            yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, b - a), pa.array([f[0] for f in found], pa.int64()), pa.array(features, pa.int64()), *lists], names=["id", *_NAMES])
-
-
-_NAMES = [x.split()[0] for x in _HELD.split(", ")]
+            cols = [pa.array([f[0] for f in found], pa.int64()), pa.array([len(f[1]) for f in found], pa.int64()), pa.array([f[1].astype("<u2").tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, b - a), *cols], names=["id", "n_words", "n_features", "buckets"])
 
 
 def histograms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n_words``, ``n_features``, ``buckets`` and ``counts`` of every whole text."""
+    """``id``, ``n_words``, ``n_features`` and ``buckets`` of every whole text."""
     held = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string(_HELD).fields])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_histograms, held)
 
 
-def _lists(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row offsets, buckets and counts of a batch of histograms."""
-    buckets, counts = rb.column("buckets"), rb.column("counts")
-    size = np.asarray(buckets.value_lengths(), np.int64)
-    return np.concatenate([[0], np.cumsum(size)]), buckets.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.int64)
+def _buckets(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features of a batch of histograms, and where each row's begin and end."""
+    size = rb.column("n_features").to_numpy()
+    return np.frombuffer(b"".join(rb.column("buckets").to_pylist()), "<u2"), np.concatenate([[0], np.cumsum(size)])
 
 
 def totals(held: DataFrame) -> np.ndarray:
@@ -137,13 +121,12 @@ def totals(held: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for rb in batches:
-            _, bucket, n = _lists(rb)
-            total += np.bincount(bucket, weights=n, minlength=BUCKETS).astype(np.int64)
+            total += np.bincount(_buckets(rb)[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in held.select("buckets", "counts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in held.select("n_features", "buckets").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -178,8 +161,8 @@ def resample(
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            off, bucket, n = _lists(rb)
-            sums = np.concatenate([[0], np.cumsum(gain[bucket] * n)])
+            bucket, off = _buckets(rb)
+            sums = np.concatenate([[0], np.cumsum(gain[bucket])])
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("id", "n_words", "n_features")), pa.array(sums[off[1:]] - sums[off[:-1]])], names=["id", "n_words", "n_features", "weight"])
 
     schema = T.StructType([held.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "weight"))])
