@@ -341,16 +341,19 @@ def _cell_parts(rows: DataFrame, curves: dict, replicates: int, seed: int) -> Da
     return replicate_parts(rows, ["asr", "degradation", "snr_db", "llm"], CELL_VALUES, replicates, seed, more={"predicted": predicted, "n": count})
 
 
-MEDIATION = "acme double, ade double, total double, n double, refused string"
+EFFECT = ["acme", "ade", "total"]
+MEDIATION = "acme double, ade double, total double, acme_se double, ade_se double, total_se double, n double, refused string"
+Z95 = 1.959963984540054
 _NODES, _WEIGHTS = np.polynomial.hermite_e.hermegauss(31)
 
 
-def mediate(treated: np.ndarray, x: np.ndarray, n: np.ndarray, k: np.ndarray, groups: np.ndarray | None = None) -> tuple[float, float, float] | str:
+def mediate(treated: np.ndarray, x: np.ndarray, n: np.ndarray, k: np.ndarray, groups: np.ndarray | None = None, errors: bool = False) -> tuple[float, ...] | str:
     """Effect of the treatment through the mediator x (ACME), past it (ADE), and both, or why there is none.
 
     The mediator is linear and the outcome (k of n successes) logistic in the treatment and in flags of ``groups`` (recogniser
     and router), the outcome also in the mediator. Outcomes are averaged over the rows' groups and the mediator's residual
-    distribution, by Gauss-Hermite quadrature, so the result has no draws in it.
+    distribution, by Gauss-Hermite quadrature, so the result has no draws in it. With ``errors`` also the standard errors of the three,
+    by the delta method: gradients of the effects over the covariances of both fits, which are independent of each other.
     """
     if min(n[treated == 1].sum(), n[treated == 0].sum()) == 0:
         return "one arm is empty"
@@ -380,15 +383,34 @@ def mediate(treated: np.ndarray, x: np.ndarray, n: np.ndarray, k: np.ndarray, gr
     kinds, of = np.unique(flags, axis=0, return_inverse=True) if flags.shape[1] else (np.zeros((1, 0)), np.zeros(len(x), int))
     share = np.bincount(of.ravel(), weights=n, minlength=len(kinds)) / n.sum()
 
-    def outcome(t: int, m: int) -> float:
-        rate = mean[0] + mean[1] * m + kinds @ mean[2:]
-        z = beta[0] + beta[1] * t + kinds @ beta[2:-1]
-        z = z[:, None] + beta[-1] * (rate[:, None] + spread * _NODES)
-        return float(share @ (0.5 * (1 + np.tanh(z / 2)) @ _WEIGHTS) / _WEIGHTS.sum())
-
-    acme = (outcome(1, 1) - outcome(1, 0) + outcome(0, 1) - outcome(0, 0)) / 2
-    ade = (outcome(1, 1) - outcome(0, 1) + outcome(1, 0) - outcome(0, 0)) / 2
-    return acme, ade, acme + ade
+    def effects(mean: np.ndarray, beta: np.ndarray, spread: float) -> np.ndarray:
+        rate = lambda m: mean[0] + mean[1] * m + kinds @ mean[2:]
+
+        def outcome(t: int, m: int) -> float:
+            z = (beta[0] + beta[1] * t + kinds @ beta[2:-1])[:, None] + beta[-1] * (rate(m)[:, None] + spread * _NODES)
+            return float(share @ (0.5 * (1 + np.tanh(z / 2)) @ _WEIGHTS) / _WEIGHTS.sum())
+
+        acme = (outcome(1, 1) - outcome(1, 0) + outcome(0, 1) - outcome(0, 0)) / 2
+        ade = (outcome(1, 1) - outcome(0, 1) + outcome(1, 0) - outcome(0, 0)) / 2
+        return np.array([acme, ade, acme + ade])
+
+    found = effects(mean, beta, spread)
+    if not errors:
+        return tuple(found.tolist())
+    cov = np.zeros((2 * len(mean) + 2,) * 2)
+    own, other = slice(0, len(mean)), slice(len(mean), 2 * len(mean) + 1)
+    cov[own, own], cov[other, other] = spread**2 * np.linalg.inv(gram), np.linalg.inv(h)
+    cov[-1, -1] = spread**2 / (2 * max(n.sum() - base.shape[1], 1))
+    at = np.concatenate([mean, beta, [spread]])
+    slope = np.zeros((3, len(at)))
+    for i, v in enumerate(at):
+        step = 1e-5 * max(1.0, abs(v))
+        ends = [at.copy(), at.copy()]
+        ends[0][i] -= step
+        ends[1][i] += step
+        low, high = (effects(e[own], e[other], e[-1]) for e in ends)
+        slope[:, i] = (high - low) / (2 * step)
+    return (*found.tolist(), *np.sqrt(np.maximum(np.diag(slope @ cov @ slope.T), 0)).tolist())
 
 
 def _groups(pdf: pd.DataFrame) -> np.ndarray:
@@ -399,9 +421,9 @@ def _groups(pdf: pd.DataFrame) -> np.ndarray:
 
 def _contrast(keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = mediate(*(pdf[c].to_numpy(float) for c in ("treated", "x", "n", "k")), _groups(pdf))
-        row = [*(pdf[c].iloc[0] for c in keys), *((None, None, None) if isinstance(got, str) else got), pdf["n"].sum(), got if isinstance(got, str) else None]
-        return pd.DataFrame([row], columns=[*keys, "acme", "ade", "total", "n", "refused"])
+        got = mediate(*(pdf[c].to_numpy(float) for c in ("treated", "x", "n", "k")), _groups(pdf), errors=True)
+        row = [*(pdf[c].iloc[0] for c in keys), *((None,) * 6 if isinstance(got, str) else got), pdf["n"].sum(), got if isinstance(got, str) else None]
+        return pd.DataFrame([row], columns=[*keys, *EFFECT, *(f"{c}_se" for c in EFFECT), "n", "refused"])
 
     return run
 
@@ -424,18 +446,23 @@ def _by(by: list[str]) -> str:
 
 def mediation_table(rows: DataFrame, outcome: str = "ees", by: list[str] | None = None, bands: DataFrame | None = None) -> DataFrame:
     """ACME, ADE and total of every degradation (or degradation and noise level: ``by``) against clean audio, with the error rate
-    as mediator, over all routers. With ``bands`` (``mediation_bootstrap``) also ``share``, the part mediated, where the
-    total's interval excludes 0; ``share_refused`` says why else."""
+    as mediator, over all routers, each with its standard error and 95 % interval from the fits (``..._fit_lo``, ``..._fit_hi``).
+
+    ``share``, the part mediated, is shown where the total's interval excludes 0, and with ``bands`` (``mediation_bootstrap``) only where
+    theirs does, too: the fits' interval has the uncertainty of the parameters, the other that of the draw of utterances.
+    ``share_refused`` says why else.
+    """
     by = by or ["degradation"]
     sums = _known(rows, outcome, by).groupBy(*by, *CURVE, "x").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     out = _arms(sums, by).groupBy(*by).applyInPandas(_contrast(by), f"{_by(by)}, {MEDIATION}")
-    if bands is None:
-        return out
-    other = bands.withColumnsRenamed({c: f"__{c}" for c in by})
-    joined = out.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").drop(*(f"__{c}" for c in by))
-    covers = F.coalesce((F.col("total_lo") <= 0) & (F.col("total_hi") >= 0), F.lit(True))
-    why = F.when(F.col("refused").isNotNull(), F.col("refused")).when(covers, "the interval of the total effect covers 0")
-    return joined.withColumns({"share": F.when(why.isNull() & (F.col("total") != 0), F.col("acme") / F.col("total")), "share_refused": why})
+    out = out.withColumns({f"{c}_fit_{side}": F.col(c) + z * F.col(f"{c}_se") for c in EFFECT for side, z in (("lo", -Z95), ("hi", Z95))})
+    holds = lambda lo, hi: F.coalesce((F.col(lo) <= 0) & (F.col(hi) >= 0), F.lit(True))
+    why = F.when(F.col("refused").isNotNull(), F.col("refused")).when(holds("total_fit_lo", "total_fit_hi"), "the fits' interval of the total effect covers 0")
+    if bands is not None:
+        other = bands.withColumnsRenamed({c: f"__{c}" for c in by})
+        out = out.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").drop(*(f"__{c}" for c in by))
+        why = why.when(holds("total_lo", "total_hi"), "the bootstrap's interval of the total effect covers 0")
+    return out.withColumns({"share": F.when(why.isNull(), F.col("acme") / F.col("total")), "share_refused": why})
 
 
 EFFECTS = 25  #: replicates of an arm that are fitted in one group
