@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from uttermark.operators import validate as V
 from uttermark.operators.validate import schema_report, unparseable_lines, validate_rows
 from uttermark.schema import evaluation_schema
 from uttermark.sources import files
-from uttermark.streaming.scoring import incremental_scoring
+from uttermark.streaming.scoring import incremental_scoring, state_size, stateful_scoring
 
 ROW = {
     "slurp_id": 1, "audio_file": "a", "scenario": "alarm", "gold_sentence": "set it", "gold_intent": "alarm_set", "gold_parameters": {"time": "seven am"},
@@ -154,3 +155,40 @@ def test_incremental_scoring_scores_once(spark, tmp_path):
     got = {r["slurp_id"]: (r["tsa"], r["pf"], r["ees"]) for r in spark.read.parquet(f"{tmp_path}/sink").collect()}
     assert got == {1: (1, 1.0, 1), 2: (1, 1.0, 1), 3: (1, 0.0, 0)}
     assert spark.read.parquet(f"{tmp_path}/sink").count() == 3 and spark.read.parquet(f"{tmp_path}/failed").count() == 1
+
+
+def _stateful(spark, tmp_path, remember):
+    names = [str(tmp_path / n) for n in ("in", "sink", "failed", "cp")]
+    queries = stateful_scoring(spark, evaluation_schema(), *names, remember=remember)
+    for q in queries:
+        assert q.awaitTermination(90) and q.exception() is None
+    rows = lambda n: [r.asDict() for r in spark.read.parquet(f"{tmp_path}/{n}").collect()]
+    return rows("sink"), rows("failed"), state_size(queries[0])
+
+
+def test_stateful_scoring_over_restarts(spark, tmp_path):
+    """The same key in three batches, each run a restart from the checkpoint: scored once; failures come again until they are answered."""
+    (tmp_path / "in").mkdir()
+    omni = {**ROW, "slurp_id": 5, "pathway": "omni", "asr_model": None, "snr_db": None, "degradation": "clean"}
+    lost = {**ROW, "slurp_id": 2, "predicted_intent": None}
+    put(tmp_path / "in/1.jsonl", [ROW, ROW, lost, omni])
+    sink, failed, state = _stateful(spark, tmp_path, "1 hour")
+    assert sorted(r["slurp_id"] for r in sink) == [1, 5] and [r["slurp_id"] for r in failed] == [2] and state["keys"] == 2
+    put(tmp_path / "in/2.jsonl", [{**ROW, "predicted_intent": "other"}, lost, omni, {**ROW, "snr_db": 0}])
+    sink, failed, state = _stateful(spark, tmp_path, "1 hour")
+    assert sorted((r["slurp_id"], r["snr_db"]) for r in sink if r["snr_db"] is not None) == [(1, 0), (1, 10)] and len(failed) == 2 and state["keys"] == 3
+    put(tmp_path / "in/3.jsonl", [ROW, {**ROW, "slurp_id": 2}, omni])
+    sink, failed, state = _stateful(spark, tmp_path, "1 hour")
+    assert len(sink) == 4 and {(r["slurp_id"], r["tsa"], r["ees"]) for r in sink} == {(1, 1, 1), (2, 1, 1), (5, 1, 1)} and len(failed) == 2
+    assert state["keys"] == 4 and state["bytes"] > 0 and state["late"] == 0
+
+
+def test_state_forgets_keys_after_their_time(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        put(tmp_path / f"in/{i}.jsonl", [{**ROW, "slurp_id": 100 * i + j} for j in range(20)])
+        _, _, state = _stateful(spark, tmp_path, "1 second")
+        time.sleep(2.5)
+    put(tmp_path / "in/again.jsonl", [{**ROW, "slurp_id": 1}])
+    sink, _, state = _stateful(spark, tmp_path, "1 second")
+    assert len(sink) == 81 and state["keys"] < 60  # the first keys are gone, and one of them was scored again

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from uttermark.functions import params as P
 from uttermark.keys import RESUME
@@ -39,8 +39,9 @@ def incremental_scoring(spark: SparkSession, schema: StructType, source: str, si
             failed = F.col("predicted_intent").isNull()
             batch.where(failed).write.mode("overwrite").parquet(f"{failures}/batch={number}")
             usable = score(batch.where(~failed)).dropDuplicates(RESUME).withColumn("part", dealt)
+            known = StructType([*(usable.schema[k] for k in RESUME), StructField("batch", IntegerType()), StructField("part", IntegerType())])
             try:
-                done = spark.read.parquet(keys)
+                done = spark.read.schema(known).parquet(keys)
             except Exception as e:
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
@@ -49,8 +50,53 @@ def incremental_scoring(spark: SparkSession, schema: StructType, source: str, si
             new = skip_done(usable, done.where(F.col("part").isin(parts) & (F.col("batch") != number)), RESUME)
             new.drop("part").write.mode("overwrite").parquet(f"{sink}/batch={number}")
             written = spark.read.schema(usable.drop("part").schema).parquet(f"{sink}/batch={number}")
-            written.select(*RESUME, dealt.alias("part")).write.mode("overwrite").partitionBy("part").parquet(f"{keys}/batch={number}")
+            written.select(*RESUME, dealt.alias("part")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{keys}/batch={number}")
         finally:
             batch.unpersist()
 
     return arrived.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_scoring(spark: SparkSession, schema: StructType, source: str, sink: str, failures: str, checkpoint: str, remember: str = "30 days") -> tuple[StreamingQuery, StreamingQuery]:
+    """Score the files that have come since the last run and stop, with the keys of finished rows in the stream's own state.
+
+    A row with an answer is scored if its key has not been scored within ``remember``; its key is then held in the state store, on
+    disk, and checkpointed, so a restart goes on with it. Rows without an answer go to ``failures`` and hold no key: they may come
+    again. Time is that of the batch in which a row arrives, so no row is late and none is dropped for its age. A key is
+    forgotten when the stream has run for at least ``remember``, and at most twice that, after it came: the state holds the keys of
+    that time and no more, whatever the length of the stream, dealt by key over the shuffle partitions of the first run. A key that
+    comes back later is scored again; ``incremental_scoring`` asks the results themselves and never forgets.
+
+    Both sinks are written exactly once, by the commit logs of their folders. Returns the query of results and that of failures.
+    """
+    arrived = spark.readStream.schema(schema).json(source)
+    failed = F.col("predicted_intent").isNull()
+    answered = score(arrived.where(~failed)).withColumn("scored_at", F.current_timestamp())
+    once = answered.withWatermark("scored_at", remember).dropDuplicatesWithinWatermark(RESUME)
+
+    def start(rows: DataFrame, path: str, name: str) -> StreamingQuery:
+        out = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}")
+        return out.outputMode("append").trigger(availableNow=True).start()
+
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)  # a query takes its settings when it starts
+    try:
+        results = start(once, sink, "results")
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+    return results, start(arrived.where(failed), failures, "failures")
+
+
+def state_size(query: StreamingQuery) -> dict[str, int]:
+    """Keys that the query's state held after its last batch, the bytes of memory they took, and rows that it dropped as late."""
+    found = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    last = found[-1] if found else {"numRowsTotal": 0, "memoryUsedBytes": 0}
+    late = sum(p["numRowsDroppedByWatermark"] for p in found)
+    return {"keys": last["numRowsTotal"], "bytes": last["memoryUsedBytes"], "late": late}
