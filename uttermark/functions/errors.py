@@ -78,15 +78,15 @@ def _first_of(rb: pa.RecordBatch, keys: list[str]) -> tuple[pa.Array, pa.Array]:
     return pa.array(first), pa.array(inverse.astype(np.int64))
 
 
-def _added(rows: DataFrame, name: str, kind: str, make: Callable[[pa.RecordBatch], pa.Array], keys: list[str]) -> DataFrame:
-    """``rows`` with a column made of whole Arrow batches, once for each set of ``keys`` in a batch."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+def _added(rows: DataFrame, made: dict[str, str], make: Callable[[pa.RecordBatch], list[pa.Array]], keys: list[str]) -> DataFrame:
+    """``rows`` with columns (name to type) made of whole Arrow batches, once for each set of ``keys`` in a batch."""
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             first, inverse = _first_of(rb, keys) if keys else (None, None)
-            made = make(rb.take(first) if keys else rb)
-            yield pa.RecordBatch.from_arrays([*rb.columns, made.take(inverse) if keys else made], names=schema.names)
+            found = make(rb.take(first) if keys else rb)
+            yield pa.RecordBatch.from_arrays([*rb.columns, *(x.take(inverse) if keys else x for x in found)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -96,12 +96,13 @@ def aligned(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", keys: list[str]
 
     Rows with equal ``keys`` must have equal lists; within a batch they are aligned once.
     """
-    return _added(rows, "chunks", RAW, lambda rb: _ranges(*alignment.chunks(rb.column(ref), rb.column(hyp)), {}), keys or [])
+    return _added(rows, {"chunks": RAW}, lambda rb: [_ranges(*alignment.chunks(rb.column(ref), rb.column(hyp)), {})], keys or [])
 
 
-def aligned_with_sounds(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", keys: list[str] | None = None) -> DataFrame:
+def aligned_with_sounds(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", keys: list[str] | None = None, distance: tuple[str, str] | None = None) -> DataFrame:
     """As ``aligned``, where both sides have words. Substitutions also say whether their first words sound alike (``similar``), and
-    have the codes of both sides, word by word (``ref_sound``, ``hyp_sound``). A task codes each word once."""
+    have the codes of both sides, word by word (``ref_sound``, ``hyp_sound``). A task codes each word once. With ``distance``, two further
+    word lists, their edit distance is added as ``word_distance`` in the same pass."""
     known: dict[str, tuple[str, str]] = {}
 
     def code(word: str) -> tuple[str, str]:
@@ -111,7 +112,7 @@ def aligned_with_sounds(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", key
             known[word] = double_metaphone(word)
         return known[word]
 
-    def make(rb: pa.RecordBatch) -> pa.ListArray:
+    def make(rb: pa.RecordBatch) -> list[pa.Array]:
         sides = [rb.column(ref), rb.column(hyp)]
         both = pc.and_(*(pc.greater(pc.fill_null(pc.list_value_length(x), 0), 0) for x in sides))
         sides = [pc.if_else(both, x, pa.scalar([], x.type)) for x in sides]
@@ -128,14 +129,18 @@ def aligned_with_sounds(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", key
             for side, found in zip(sounds, codes, strict=True):
                 side[c] = "".join(x or y for x, y in found)
         more = {"similar": pa.array(alike, pa.bool_())} | {k: pa.array(v, pa.string()) for k, v in zip(("ref_sound", "hyp_sound"), sounds, strict=True)}
-        return _ranges(ends, kind, ranges, more)
+        found = [_ranges(ends, kind, ranges, more)]
+        if distance:
+            found.append(pa.array(alignment.distances(*map(rb.column, distance)).astype(np.int32)))
+        return found
 
-    return _added(rows, "chunks", f"{RAW[:-2]},similar:boolean,ref_sound:string,hyp_sound:string>>", make, keys or [])
+    made = {"chunks": f"{RAW[:-2]},similar:boolean,ref_sound:string,hyp_sound:string>>"}
+    return _added(rows, made | ({"word_distance": "int"} if distance else {}), make, keys or [])
 
 
 def word_distances(rows: DataFrame, ref: str, hyp: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """Add the word edit distance of two word lists of any length; see ``aligned`` for ``keys``."""
-    return _added(rows, name, "int", lambda rb: pa.array(alignment.distances(rb.column(ref), rb.column(hyp)).astype(np.int32)), keys or [])
+    return _added(rows, {name: "int"}, lambda rb: [pa.array(alignment.distances(rb.column(ref), rb.column(hyp)).astype(np.int32))], keys or [])
 
 
 def classify_substitution(ref: Column, hyp: Column, entity: Column, similar: Column) -> Column:

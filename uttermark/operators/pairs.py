@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from uttermark.keys import CELL, CLIP, ITEM, UNDERPOWERED, is_clean, same
 
 
-def first_per_key(rows: DataFrame, keys: list[str], order: list, last: bool = False) -> DataFrame:
-    """The first (or last) row of each key in an explicit order, with the number of its repeats."""
-    by = [F.col(c).desc() if last else F.col(c).asc() for c in order]
-    w = W.partitionBy(*keys)
-    ranked = rows.withColumns({"__n": F.row_number().over(w.orderBy(*by)), "repeats": F.count(F.lit(1)).over(w) - 1})
-    return ranked.where("__n = 1").drop("__n")
+def first_per_key(rows: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """The first (or last) row of each key in an explicit order, with the number of its repeats (``repeats``).
+
+    The row is chosen and the repeats are counted by one aggregation, partly in each task already, so a key with very many rows
+    costs one row for each task. A null in ``order`` comes first, as in a sort. Of rows that are equal in ``order``, any may be
+    taken. Null keys are keys like any other; columns of any type are kept.
+    """
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    # a null is before all values; a struct of flag and value says so wherever structs are compared
+    place = F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)) for c in order))
+    pick = F.max_by if last else F.min_by
+    chosen = rows.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(pick(whole, place).alias("__row"), (F.count(F.lit(1)) - 1).alias("__more"))
+    return chosen.select("__row.*", F.col("__more").alias("repeats"))
 
 
 SOURCE = ["file", "block", "line"]  #: where a row was read, as ``sources.read_rows`` gives it

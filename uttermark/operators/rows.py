@@ -69,13 +69,24 @@ def apply_predictions(rows: DataFrame, responses: DataFrame, keys: list[str], kn
     other = responses.select(*(F.col(k).alias(f"__{k}") for k in keys), parse_response(F.col(response)).alias("__answer"), F.lit(True).alias("__asked"))
     kept = rows.drop("predicted_intent_raw", "predicted_intent", "predicted_parameters", "tsa")
     joined = kept.join(other, [kept[k].eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*(f"__{k}" for k in keys))
-    blank = F.col("__asked").isNull() & no_transcription(rows)
-    failed = ~blank & (F.col("__asked").isNull() | F.coalesce(F.col("__answer.error") == "llm_request_failed", F.lit(False)))
+    failed = request_failed(joined)
+    return scored_answers(joined.where(~failed), known), joined.where(failed).drop("__answer", "__asked")
+
+
+def request_failed(joined: DataFrame) -> Column:
+    """Rows with an ``__answer`` (``parse_response``) whose request failed: no answer but to a blank transcript, or the answer says so."""
+    asked = F.coalesce("__asked", F.lit(False))
+    return (~asked & ~no_transcription(joined)) | (asked & F.coalesce(F.col("__answer.error") == "llm_request_failed", F.lit(False)))
+
+
+def scored_answers(joined: DataFrame, known: list[str]) -> DataFrame:
+    """Prediction columns, ``tsa`` and notes of rows with an ``__answer`` or, where it was not ``__asked`` for, a blank transcript."""
+    blank = ~F.coalesce("__asked", F.lit(False))
     usable = F.col("__answer").isNotNull() & F.col("__answer.error").isNull()
     raw = F.when(usable, F.coalesce("__answer.intent", F.lit("MISSING_INTENT"))).otherwise(F.lit("JSON_PARSE_ERROR"))
     none = F.create_map().cast("map<string,string>")
-    notes = F.coalesce("notes", F.lit("")) if "notes" in rows.columns else F.lit("")
-    scored = joined.where(~failed).withColumns(
+    notes = F.coalesce("notes", F.lit("")) if "notes" in joined.columns else F.lit("")
+    scored = joined.withColumns(
         {
             "predicted_intent_raw": F.when(~blank, raw),
             "predicted_parameters": F.when(usable, F.coalesce("__answer.parameters", none)).otherwise(none),
@@ -85,7 +96,7 @@ def apply_predictions(rows: DataFrame, responses: DataFrame, keys: list[str], kn
     scored = scored.withColumn("predicted_intent", F.when(usable, normalize_predicted_intent(F.col("predicted_intent_raw"), known)).otherwise(F.col("predicted_intent_raw")))
     right = F.coalesce(F.col("predicted_intent") == F.col("gold_intent"), F.lit(False))
     scored = scored.withColumn("tsa", F.when(F.col("predicted_intent").isNotNull(), right.cast("int"))).drop("__answer", "__asked")
-    return stamp_no_transcription(scored), joined.where(failed).drop("__answer", "__asked")
+    return stamp_no_transcription(scored)
 
 
 def no_transcription_violations(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,8 @@ from uttermark.operators import models as M
 from uttermark.operators import pairs as J
 from uttermark.operators import rows as R
 from uttermark.operators.annotate import word_error_rates
-from uttermark.plans.fixtures import CELLS, LABELS, SECOND, TEXT, eval_rows, read, second_pass, text_gold, text_rows, with_distance
+from uttermark.operators.chain import score_chain
+from uttermark.plans.fixtures import CELLS, LABELS, SECOND, TEXT, eval_rows, read, second_pass, spoken_rows, text_gold, text_rows, with_distance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,12 +356,20 @@ def _(s, d):
     return C.ablation_table(a, ["v0", "v1", "v2"])
 
 
-@query("j3_anchor_join", "select slurp_id, asr, llm, degradation, snr_db, ees, ees_clean clean_outcome, wer_clean clean_wer, has_anchor from (select *, round(wer_clean,6) from ad where wer is not null)".replace("wer_clean clean_wer", "round(wer_clean,6) clean_wer"))
+#: the clean row of an item by a window: few columns, made once
+ANCHORED = (
+    CELLS
+    + """, an as materialized (select slurp_id, asr, degradation, snr_db, llm, wer, ees, max(case when degradation='clean' then ees end) over item ees_clean,
+    max(case when degradation='clean' then wer end) over item wer_clean, bool_or(degradation='clean') over item has_anchor from er window item as (partition by slurp_id, asr, llm))"""
+)
+
+
+@query("j3_anchor_join", f"select slurp_id, asr, llm, degradation, snr_db, ees, ees_clean clean_outcome, {r('wer_clean')} clean_wer, has_anchor from an where wer is not null", ANCHORED)
 def _(s, d):
     return J.with_anchor(cells(s, d)).select("slurp_id", "asr", "llm", "degradation", "snr_db", "ees", "clean_outcome", "clean_wer", "has_anchor")
 
 
-@query("j4_paired_rows", f"select slurp_id, {CELL}, ees, {r('wer')} wer from pd")
+@query("j4_paired_rows", f"select slurp_id, {CELL}, ees, {r('wer')} wer from an where {D} and wer>0 and ees is not null and ees_clean=1", ANCHORED)
 def _(s, d):
     return J.paired_rows(cells(s, d)).select("slurp_id", "asr", "degradation", "snr_db", "llm", "ees", "wer")
 
@@ -590,10 +600,17 @@ def _(s, d):
     return _params(s, d).select("id", pf.alias("pf"), n.cast("long").alias("pf_n_gold"), m.cast("long").alias("pf_n_matched"))
 
 
-@query("f17_ees", f"select id, cast(n_matched/n_gold>=0.5 as int) ees, cast(n_matched/n_gold>=1.0 as int) ees_strict from mt", _PARAMS)
+_EES = "case when tsa is null then null when n_gold=0 then tsa else cast(tsa=1 and n_matched/n_gold>={} as int) end"
+
+
+@query("f17_ees", f"select id, {_EES.format(0.5)} ees, {_EES.format(1.0)} ees_strict from (select id, case id%4 when 0 then 0 when 1 then null else 1 end tsa, case when id%7=0 then 0 else n_gold end n_gold, n_matched from mt)", _PARAMS)
 def _(s, d):
+    """Right, wrong and unscored intents, with and without gold parameters."""
+    none = F.create_map().cast("map<string,string>")
+    t = _params(s, d).withColumn("gold", F.when(F.col("id") % 7 == 0, none).otherwise(F.col("gold")))
     pf, _, _ = P.param_recall(F.col("gold"), F.col("pred"))
-    t = _params(s, d).select("id", pf.alias("pf"), F.lit(1).alias("tsa"))
+    tsa = F.when(F.col("id") % 4 == 0, 0).when(F.col("id") % 4 == 1, F.lit(None)).otherwise(1)
+    t = t.select("id", pf.alias("pf"), tsa.alias("tsa"))
     return t.select("id", P.ees(F.col("tsa"), F.col("pf")).alias("ees"), P.ees(F.col("tsa"), F.col("pf"), 1.0).alias("ees_strict"))
 
 
@@ -704,23 +721,30 @@ def _(s, d):
     return s.createDataFrame(got.table, FIT)
 
 
-@query("m9_run_models")
-def _(s, d):
+def _models(s: SparkSession, rows: DataFrame) -> DataFrame:
     """Coefficients, contrasts and joint tests of the four designs; a refusal is a row too."""
     from uttermark.operators import designs
 
-    out = []
-    for m in designs.run_models(_designed(s, d).persist(), REFERENCE, LARGE):
-        out += [(m.model, "term", *row, None) for row in m.table]
-        if m.contrast:
-            out.append((m.model, "contrast", "critical - function", m.contrast[0], m.contrast[1], None, m.contrast[2], None))
-        if m.joint:
-            out.append((m.model, "joint", f"interactions, df {m.joint[1]}", m.joint[0], None, None, m.joint[2], None))
-        if m.refused:
-            out.append((m.model, "refused", None, None, None, None, None, m.refused))
+    out, held = [], rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        for m in designs.run_models(held, REFERENCE, LARGE):
+            out += [(m.model, "term", *row, None) for row in m.table]
+            if m.contrast:
+                out.append((m.model, "contrast", "critical - function", m.contrast[0], m.contrast[1], None, m.contrast[2], None))
+            if m.joint:
+                out.append((m.model, "joint", f"interactions, df {m.joint[1]}", m.joint[0], None, None, m.joint[2], None))
+            if m.refused:
+                out.append((m.model, "refused", None, None, None, None, None, m.refused))
+    finally:
+        held.unpersist()
     return s.createDataFrame(out, "model string, kind string, term string, value double, se double, z double, p double, refused string")
 
 
+@query("m9_run_models")
+def _(s, d):
+    return _models(s, _designed(s, d))
+
+
 @query("m12_mediation_table")
 def _(s, d):
     """Every degradation and noise level, with the share mediated where the bootstrap's interval allows it."""
@@ -751,6 +775,30 @@ def _(s, d):
     return annotated(s, d).select("slurp_id", "cond", c).select("slurp_id", "cond", "at", "c.*")
 
 
+def chained(s: SparkSession, d: str) -> DataFrame:
+    """The whole scoring chain over the turns' transcripts and answers."""
+    return score_chain(*spoken_rows(s, d), LABELS, ["s0", "s1", "s2"])
+
+
+@query("chain")
+def _(s, d):
+    return chained(s, d).withColumn("violations", F.transform("violations", lambda v: F.concat_ws(":", v["rule"], v["field"])))
+
+
+@query("chain_slot_position")
+def _(s, d):
+    """Cell statistics by the position of the errors that the chain has found."""
+    return C.stats_by_slot_position(cell_columns(chained(s, d).where("not failed")))
+
+
+@query("chain_models")
+def _(s, d):
+    """The four designs over the chain's own chunks and distances."""
+    a, b = error_flags(F.col("error_categories"))
+    rows = cell_columns(chained(s, d).where("not failed")).withColumns({"has_critical_error": a, "has_function_error": b})
+    return _models(s, rows)
+
+
 @query("f24_double_metaphone")
 def _(s, d):
     from uttermark.functions.phonetic import word_codes
@@ -937,20 +985,36 @@ def _(s, d):
     return read(s, d, "part").select("p_partkey", P.normalize_value(F.concat("p_name", F.lit("  Seven, twenty!"))).alias("norm"))
 
 
-@query("f13_canonical_map", "select p_partkey, p_name || '|' || p_type entries, true same from part", "")
+@query("f13_canonical_map", "select p_partkey, p_name || '|' || p_type entries, p_partkey%3<>0 or p_name=p_type same, p_partkey%3<>1 swapped from part", "")
 def _(s, d):
-    a, b = F.create_map(F.lit("x"), "p_name", F.lit("y"), "p_type"), F.create_map(F.lit("y"), "p_type", F.lit("x"), "p_name")
+    """Maps with their entries in another order, sometimes with another value or a key more."""
+    t = read(s, d, "part").withColumn("k", F.col("p_partkey") % 3)
+    a = F.create_map(F.lit("x"), "p_name", F.lit("y"), "p_type")
+    b = F.create_map(F.lit("y"), "p_type", F.lit("x"), F.when(F.col("k") == 0, F.col("p_type")).otherwise(F.col("p_name")))
+    c = F.when(F.col("k") == 1, F.create_map(F.lit("x"), "p_name", F.lit("z"), "p_type")).otherwise(F.create_map(F.lit("y"), "p_type", F.lit("x"), "p_name"))
     values = F.array_join(F.transform(J.canonical_map(a), lambda e: e["value"]), "|")
-    return read(s, d, "part").select("p_partkey", values.alias("entries"), (J.canonical_map(a) == J.canonical_map(b)).alias("same"))
+    same = lambda x: J.canonical_map(a) == J.canonical_map(x)
+    return t.select("p_partkey", values.alias("entries"), same(b).alias("same"), same(c).alias("swapped"))
+
 
+_NUMBERS = ["seven", "TWENTIETH ", "7", "7.5", "7,5", "7.", "seven7", "7th", "twice", "3.5.1", "", "half"]
+_IS_NUMBER = "regexp_full_match(lower(trim(word)), '[0-9]+([.,][0-9]+)?') or lower(trim(word)) in ('seven', 'twentieth', 'twice')"
 
-@query("f20_is_numeric", "select p_partkey, p_size::varchar word, true is_numeric from part union all select p_partkey, p_name, false from part", "")
+
+@query(
+    "f20_is_numeric",
+    f"select p_partkey, word, {_IS_NUMBER} is_numeric from (select p_partkey, p_size::varchar word from part union all select p_partkey, p_name from part union all select p_partkey, {_NUMBERS}[1+p_partkey%12] from part)",
+    "",
+)
 def _(s, d):
+    """Sizes, names, and words that nearly are numbers."""
     from uttermark.functions.errors import is_numeric
 
     part = read(s, d, "part")
-    both = part.select("p_partkey", F.col("p_size").cast("string").alias("word")).unionByName(part.select("p_partkey", F.col("p_name").alias("word")))
-    return both.withColumn("is_numeric", is_numeric(F.col("word")))
+    odd = F.array(*map(F.lit, _NUMBERS))[(F.col("p_partkey") % len(_NUMBERS)).cast("int")]
+    words = [F.col("p_size").cast("string"), F.col("p_name"), odd]
+    every = part.select("p_partkey", F.explode(F.array(*words)).alias("word"))
+    return every.withColumn("is_numeric", is_numeric(F.col("word")))
 
 
 @query("w5_slot_suffix", "select p_partkey, case p_partkey%3 when 0 then 'a,b,a_2' when 1 then 'a,a_2,a_3' else 'a,b,b_2' end names from part", "")

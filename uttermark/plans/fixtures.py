@@ -117,6 +117,38 @@ def second_pass(rows: DataFrame) -> DataFrame:
     )
 
 
+#: six models and five conditions for each turn: two recognisers with two routers each, and two that hear the audio themselves
+SPOKEN = """cond as (select * from (values (0,'clean',cast(null as int)),(1,'noise',20),(2,'babble',10),(3,'noise',0),(4,'babble',0)) as t(cond,degradation,snr_db)),
+model as (select * from (values ('cascade','org/asr-0','org/llm-1','qwen'),('cascade','org/asr-0','org/llm-2','google'),('cascade','org/asr-1','org/llm-1','qwen'),
+    ('cascade','org/asr-1','org/llm-2','google'),('omni',null,'org/omni-1','qwen'),('omni',null,'org/omni-2','google')) as t(pathway,asr_model,llm_model,model_family)),
+heard as (select tid, ref, cond, asr_model, coalesce(cast(right(asr_model,1) as int),0) a from {ref}, cond, (select distinct asr_model from model)),
+said as (select tid, cond, asr_model, case when asr_model is null then null when (tid+cond*3+a)%97=0 then '' else array_join(flatten(transform(ref, (w, i) ->
+    case when (tid*31+i*17+cond*7+a*5)%14<cond then cast(array() as array<string>) when cond+a>0 and (tid*31+i*17+cond*7+a*5)%14=5 then array(reverse(w))
+         when cond>0 and (tid*31+i*17+cond*7+a*5)%14=8 then array(w,'uh') else array(w) end)),' ') end transcription, ref from heard)"""
+
+
+def spoken_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Transcripts of all turns by two recognisers under five conditions with the answers of models, and the turns' gold annotations.
+    Answers go wrong more often the more a condition takes away; some are no JSON, some requests failed."""
+    # a few large files become many rows each, so the turns are spread over all cores first
+    conv = read(spark, sf_dir, "conversations").repartition(max(spark.sparkContext.defaultParallelism, 2), "conv_id", "turn")
+    ref = spark.sql(f"select conv_id*1000+turn tid, {_WORDS} ref from {{conv}}", conv=conv).where("size(ref) > 0")
+    gold = text_gold(ref.selectExpr("tid", "0 cond", "array_join(ref,' ') sentence", "ref"))
+    gold = gold.selectExpr("*", f"{_label('slurp_id')} intent", "concat('s', slurp_id%3) scenario")
+    luck = "(tid*7919+cond*104729+(length(llm_model)+cast(right(llm_model,1) as int)*3)*1299709+coalesce(cast(right(asr_model,1) as int),7)*611953)%1000003%100"
+    intent = f"case when luck<88-8*cond-if(pathway='omni',4,0) then {_label('tid')} when luck%4=0 then {_label('tid+1')} when luck%4=1 then 'set_alarm' when luck%4=2 then 'unknown' else null end"
+    answer = f"case when luck=99 then 'no json' when luck=98 then to_json(named_struct('error', 'llm_request_failed')) else to_json(named_struct('intent', {intent}, 'parameters', given)) end"
+    rows = spark.sql(
+        f"""with {SPOKEN}, every as (select said.*, cond.degradation, cond.snr_db, model.pathway, model.llm_model, model.model_family from said join cond using (cond)
+            join model on model.asr_model is not distinct from said.asr_model),
+        lucky as (select *, {luck} luck, case when (tid+cond)%7=0 then map() when ({luck})%9=4 then map('a', 'zzz') when ({luck})%5<2+cond then map('a', coalesce(get(ref, cast(3-tid%4 as int)),'x'), 'b', 'zzz') else map('a', array_join(ref,' ')) end given from every)
+        select tid slurp_id, concat('turn-', tid, '.wav') audio_file, pathway, model_family, asr_model, degradation, snr_db, cast(tid as bigint) rng_seed, transcription, llm_model, 'v1' llm_prompt_variant,
+            cast(null as string) notes, case when transcription='' then null else {answer} end response from lucky""",
+        ref=ref,
+    )
+    return rows, gold
+
+
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference and hypothesis word lists of all turns: words dropped, reversed or followed by a filler."""
     return spark.sql(
