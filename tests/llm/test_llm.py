@@ -531,6 +531,32 @@ def test_components_of_a_chain(spark, tmp_path):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
 
 
+def test_components_take_rounds_by_the_logarithm(spark, tmp_path):
+    """A path of 10,000 nodes in order, one of 500 from the end, and a star: a handful of rounds, each component by its smallest node."""
+    n = 10_000
+    path = spark.range(n - 1).selectExpr("id a", "id + 1 b")
+    down = spark.range(500).selectExpr("20500 - id a", "20499 - id b")
+    star = spark.range(1, 3000).selectExpr("30000L a", "30000 + id b")
+    out = graph.components(path.unionByName(down).unionByName(star), f"file://{tmp_path}")
+    got = {r["component"]: r["n"] for r in out.groupBy("component").count().withColumnRenamed("count", "n").collect()}
+    assert got == {0: n, 20000: 501, 30000: 3000}
+    rounds = len([p for p in tmp_path.iterdir() if p.name[0] == "j"])
+    assert 4 <= rounds <= 20
+
+
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
+@settings(max_examples=8, deadline=None)
+def test_components_of_any_graph(spark, tmp_path_factory, pairs):
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.components(edges, f"file://{tmp_path_factory.mktemp('g')}").collect()}
+    want = {x: x for e in pairs if e[0] != e[1] for x in e}
+    for _ in range(13):
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+
+
 # --- language model ---------------------------------------------------------------------------------------------
 
 

@@ -202,10 +202,17 @@ def crossings(members: Members, query: np.ndarray, label: np.ndarray) -> list[tu
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each block (group, i, j); blocks come one after the other."""
-    held: list[pa.RecordBatch] = []
+def _blocks(batches: Iterator[pa.RecordBatch], shingle: int | None) -> Iterator[tuple[pa.Table, list[np.ndarray] | None]]:
+    """The rows of each block (group, i, j); blocks come one after the other. With ``shingle``, texts become sets as they arrive, and
+    only these are held, so a block's memory has the bound of its sets, however long or repetitive its texts are."""
+    held: list[pa.Table] = []
+    sets: list[np.ndarray] = []
+    seen: set = set()
     last = None
+
+    def block() -> tuple[pa.Table, list[np.ndarray] | None]:
+        return pa.concat_tables(held), None if shingle is None else list(sets)
+
     for rb in batches:
         if not rb.num_rows:
             continue
@@ -214,12 +221,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
             this = tuple(key[:, a].tolist())
             if held and this != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(rb.slice(a, b - a))
+                yield block()
+                held.clear()
+                sets.clear()
+                seen.clear()
+            part = pa.Table.from_batches([rb.slice(a, b - a)])
+            if shingle is not None:
+                part, own = _with_sets(part, shingle, seen)
+                sets += own
+            held.append(part)
             last = this
     if held:
-        yield pa.Table.from_batches(held)
+        yield block()
 
 
 def _linked(percent: int, bound: float, shingle: int | None):
@@ -238,16 +251,11 @@ def _linked(percent: int, bound: float, shingle: int | None):
             return pa.RecordBatch.from_arrays(cols, names=["a", "b"])
 
         with np.errstate(over="ignore"):
-            for table in _blocks(batches):
+            for table, sets in _blocks(batches, shingle):
                 if table.num_rows < 2:
                     continue
-                sets = None
-                if shingle is not None:
-                    table, sets = _with_sets(table, shingle)
                 node, n = table["node"].to_numpy(), table["n"].to_numpy()
                 sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64).reshape(-1, WORDS)
-                if len(node) < 2:
-                    continue
                 members = Members(n, sig, percent, bound, sets)
                 if table["label"].null_count:
                     found = forest(members)
@@ -267,8 +275,9 @@ def _linked(percent: int, bound: float, shingle: int | None):
     return run
 
 
-def _with_sets(table: pa.Table, shingle: int) -> tuple[pa.Table, list[np.ndarray]]:
-    """One row for each node and role, with the set of its text; where an id has several texts, the node's own is taken."""
+def _with_sets(table: pa.Table, shingle: int, seen: set) -> tuple[pa.Table, list[np.ndarray]]:
+    """One row for each node and role that was not ``seen``, with the set of its text; where an id has several texts, the node's own
+    is taken. Texts go."""
     data, off = X.buffers(table["text"])
     sets: list[np.ndarray] = []
     for a, b in X.slices(off):
@@ -276,7 +285,6 @@ def _with_sets(table: pa.Table, shingle: int) -> tuple[pa.Table, list[np.ndarray
     filled = [i for i, x in enumerate(sets) if len(x)]
     own = dict(zip(filled, set_keys([sets[i] for i in filled]), strict=True)) if filled else {}
     take: list[int] = []
-    seen = set()
     for i, (node, key, query) in enumerate(zip(table["node"].to_pylist(), table["set_key"].to_pylist(), table["query"].to_pylist(), strict=True)):
         if own.get(i) == key and (node, query) not in seen:
             seen.add((node, query))

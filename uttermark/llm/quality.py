@@ -25,7 +25,7 @@ WIDTH, FILTERS = 6, 16
 CHUNK, STRIDE = 512, 448
 SLICE_BYTES = 1 << 18
 SAMPLE_ROWS = 2000  #: most labelled rows that a fit sees
-SAMPLE_CHUNKS = 64  #: a labelled text of more bytes than so many chunks is learned from so many, evenly spaced from start to end
+GROUP = 512  #: chunks whose responses a fit holds at once
 
 
 @dataclass
@@ -70,10 +70,26 @@ def pool(r: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, row
     """Largest rectified response of each chunk, and the documents' features made of them."""
     at = np.stack([start, end], 1).ravel()
     top = np.maximum(np.maximum.reduceat(r, at, axis=0)[::2], 0)
+    return top, pooled(top, row, rows)
+
+
+def strongest(padded: np.ndarray, start: np.ndarray, end: np.ndarray, tables: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest rectified response of each chunk and its place, by filter, ``GROUP`` chunks at a time."""
+    top, where = [], []
+    for lo in range(0, len(start), GROUP):
+        s, e = start[lo : lo + GROUP], end[lo : lo + GROUP]
+        r = responses(padded[s[0] : e[-1] + WIDTH - 1], tables, bias)
+        place = np.stack([a + r[a:b].argmax(0) for a, b in zip((s - s[0]).tolist(), (e - s[0]).tolist(), strict=True)])
+        top.append(np.maximum(r[place, np.arange(r.shape[1])], 0))
+        where.append(place + s[0])
+    return np.concatenate(top), np.concatenate(where)
+
+
+def pooled(top: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The documents' features: mean and largest of their chunks' responses."""
     begin = np.searchsorted(row, np.arange(rows))
     count = np.diff(np.append(begin, len(row)))[:, None]
-    mean = np.add.reduceat(top, begin, axis=0) / count
-    return top, np.concatenate([mean, np.maximum.reduceat(top, begin, axis=0)], 1)
+    return np.concatenate([np.add.reduceat(top, begin, axis=0) / count, np.maximum.reduceat(top, begin, axis=0)], 1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -103,8 +119,8 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int = 14
             buf = np.frombuffer(b"".join(texts[i] for i in part), np.uint8)
             off = np.concatenate([[0], np.cumsum([len(texts[i]) for i in part])])
             padded, start, end, row = layout(buf, off)
-            r = responses(padded, net.pairs(), net.bias)
-            top, feats = pool(r, start, end, row, len(part))
+            top, where = strongest(padded, start, end, net.pairs(), net.bias)
+            feats = pooled(top, row, len(part))
             p = sigmoid(feats @ net.out + params[3][0])
             g = ((p - labels[part]) * weight[part] / len(part)).astype(np.float32)
             d_out = feats.T @ g
@@ -116,7 +132,6 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int = 14
                 a, b = begin[i], begin[i] + count[i]
                 d_top[a + top[a:b].argmax(0), np.arange(FILTERS)] += d_feats[i, FILTERS:]
             d_top *= top > 0
-            where = np.stack([a + r[a:b].argmax(0) for a, b in zip(start, end, strict=True)])
             d_taps = np.zeros_like(net.taps)
             for j in range(WIDTH):
                 np.add.at(d_taps[j], (padded[where + j], np.arange(FILTERS)[None, :].repeat(len(where), 0)), d_top)
@@ -140,9 +155,10 @@ def scores(net: Network, tables: list[np.ndarray], buf: np.ndarray, off: np.ndar
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """Fit on the texts of at most ``sample_rows`` labels, half of each class where there are enough, drawn by
     a hash of the id. Null labels, and labels without a text, are left out. None without both classes. Of texts of one
-    id, the first by its bytes is taken. A long text is learned from ``SAMPLE_CHUNKS`` chunks, evenly spaced over all of it.
+    id, the first by its bytes is taken. Texts of any length are learned from whole.
 
-    Only the drawn labels, a bounded number, are sent to the tasks that read the texts.
+    Only the drawn labels, a bounded number, are sent to the tasks that read the texts, and their whole texts come to the
+    driver, ``sample_rows`` at most; a step of the fit holds the responses of ``GROUP`` chunks.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     seen = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -151,9 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     sample = drawn(known.where("label = 0"), "id", sample_rows // 2).unionByName(drawn(known.where("label = 1"), "id", sample_rows // 2))
     raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw")).where("raw is not null")
-    spread = [F.substring(F.col("raw"), (i * (F.octet_length("raw") - CHUNK) / F.lit(SAMPLE_CHUNKS - 1)).cast("int") + 1, F.lit(CHUNK)) for i in range(SAMPLE_CHUNKS)]
-    part = F.when(F.octet_length("raw") <= CHUNK * SAMPLE_CHUNKS, F.col("raw")).otherwise(F.concat(*spread))
-    found = raw.join(F.broadcast(sample), "id").select("id", "label", part.alias("raw")).groupBy("id", "label").agg(F.min("raw").alias("raw"))
+    found = raw.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("raw").alias("raw"))
     found = sorted(found.collect(), key=lambda r: (r["id"], r["label"]))
     y = np.array([r["label"] for r in found], np.float32)
     if len(set(y.tolist())) < 2:
