@@ -31,7 +31,7 @@ from uttermark.llm.work import folder, written
 
 MARK = 0xFF  #: stands for the word mark; no UTF-8 text holds this byte
 HEAD = 1 << 18  #: most words sent to every task, the most frequent ones
-FLUSH = 400_000  #: distinct words that a task holds before it hands them on
+FLUSH = 150_000  #: distinct words that a task holds before it hands them on
 LONG = 48  #: longer words are taken one by one, in segments
 SEGMENT = 1 << 16
 ROUNDS = 1
