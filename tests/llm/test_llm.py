@@ -79,6 +79,14 @@ def test_hashes_of_built_strings_differ():
 # --- packing ----------------------------------------------------------------------------------------------------
 
 
+def test_little_padding(spark):
+    """Whole texts of a table, as one task packs them: 98 of 100 places are filled."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    got = packing.pack(docs, TOKENIZER).select("sequence_id", "length").toPandas()
+    assert got["length"].sum() / (1024 * got["sequence_id"].nunique()) > 0.98
+    assert got.groupby("sequence_id")["length"].sum().max() <= 1024
+
+
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_differencing_fills_no_window_beyond_capacity(sizes):

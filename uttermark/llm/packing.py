@@ -169,7 +169,7 @@ def pack(
     tokenizer_path: str,
     capacity: int = 1024,
     separator: int = 0,
-    piece_tokens: int = 1024,
+    piece_tokens: int = 256,
     block_pieces: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
