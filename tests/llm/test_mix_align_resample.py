@@ -254,3 +254,26 @@ def test_histogram_in_parts(text, part):
     assert "".join(parts) == low
     whole, cut = resample.histogram(iter([resample.words_of([low])[0]])), resample.histogram(resample.words_of([p])[0] for p in parts)
     assert whole[0] == cut[0] and np.array_equal(whole[1], cut[1])
+
+
+# --- decontamination: shingles that all items and documents share --------------------------------------------------
+
+
+def test_common_passages_make_no_products(spark):
+    """Items that begin alike, in documents that all have that beginning: only those that hold an item match, by every count."""
+    from uttermark.llm import decontam
+
+    start = " ".join(f"common{i}" for i in range(12))
+    items = [(i, f"{start} " + " ".join(f"i{i}w{j}" for j in range(30))) for i in range(40)]
+    texts = [(d, f"x {start} " + (items[d % 40][1] if d % 5 == 0 else " ".join(f"d{d}w{j}" for j in range(30)))) for d in range(300)] + [(None, items[3][1]), (7, None)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([*items, (None, items[0][1])], "item_id long, text string")
+    runs = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)}
+    want = Counter()
+    for d, t in texts:
+        for i, b in [*items, (None, items[0][1])]:
+            own = runs(b)
+            common = len(own & runs(t))
+            if common * 100 >= 80 * len(own):
+                want[d, i, common, len(own)] += 1
+    got = decontam.matches(docs, bench)
+    assert rows_of(got, "doc_id", "item_id", "common", "item_shingles") == want and len(want) > 60

@@ -10,9 +10,10 @@ item's whole shingle set.
 
 Items and documents are handled alike by Spark jobs. A bit table of a fixed size, of all sketch hashes, goes
 to the tasks that read the documents; documents without a hit there are done with. Of the others, only
-the shingles that hit a second such table, of all item shingles, are shuffled. They are joined to the
-sketches for candidates, and to the items' shingles to be counted. Where benchmarks grow so large that the tables
-fill up, more shingles are shuffled and nothing else changes.
+the shingles that hit a second such table, of all item shingles, are shuffled. For candidates they are joined to as many shingles of
+each item as its sketch has, now the rarest among the documents' hits, so a passage that all items and
+documents share joins nothing; each candidate is then counted by its item's own shingles. Where benchmarks grow so large that
+the tables fill up, more shingles are shuffled and nothing else changes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,12 +161,19 @@ def matches(
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     hits = text.mapInArrow(_hits(shingle, lengths, *packed), schema(("id", id_type), ("key", long), ("shingle", long))).distinct()
     hits = written(hits, f"{path}/hits")
+    # any so many shingles of an item will do for a sketch; the rarest among the documents' hits meet the fewest of them
+    met = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("met"))
+    of = W.partitionBy("item", "item_key")
+    rank = F.row_number().over(of.orderBy(F.coalesce("met", F.lit(0)), "shingle"))
+    ranked = whole.join(met, "shingle", "left").withColumns({"rank": rank, "most": F.sum(F.col("sketched").cast("int")).over(of)})
+    rare = ranked.where((F.col("rank") <= F.col("most")) & F.col("met").isNotNull()).select("item", "item_key", "shingle")
     pair = ["id", "key", "item", "item_key"]
-    candidates = hits.join(whole.where("sketched"), "shingle").select(*pair).distinct()
-    counted = hits.join(whole, "shingle").select(*pair, "size", "shingle")
-    same = reduce(Column.__and__, (F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in pair))
-    found = counted.alias("d").join(candidates.alias("c"), same, "left_semi")
-    found = found.groupBy(*pair, "size").agg(F.countDistinct("shingle").alias("common"))
+    candidates = written(hits.join(rare, "shingle").select(*pair).distinct(), f"{path}/candidates")
+    # each candidate is counted by its item's shingles, so a shingle of many items and many documents makes no product
+    same = lambda x, y, *cols: reduce(Column.__and__, (F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in cols))
+    each = candidates.alias("c").join(whole.alias("w"), same("c", "w", "item", "item_key")).select(*(F.col(f"c.{c}") for c in pair), "w.size", "w.shingle")
+    found = each.alias("e").join(hits.alias("h"), same("e", "h", "id", "key", "shingle")).select(*(F.col(f"e.{c}") for c in pair), "e.size")
+    found = found.groupBy(*pair, "size").agg(F.count(F.lit(1)).alias("common"))
     found = found.where(F.col("common") * 100 >= F.col("size") * percent)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "common", F.col("size").alias("item_shingles"), (F.col("common") / F.col("size")).alias("containment"))
 
