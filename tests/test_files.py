@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from uttermark.operators import rows as R
 from uttermark.operators import validate as V
 from uttermark.operators.validate import schema_report, unparseable_lines, validate_rows
 from uttermark.schema import evaluation_schema
@@ -192,3 +193,22 @@ def test_state_forgets_keys_after_their_time(spark, tmp_path):
     put(tmp_path / "in/again.jsonl", [{**ROW, "slurp_id": 1}])
     sink, _, state = _stateful(spark, tmp_path, "1 second")
     assert len(sink) == 81 and state["keys"] < 60  # the first keys are gone, and one of them was scored again
+
+
+def test_read_gold_and_logs(spark, tmp_path):
+    gold = {"slurp_id": 1, "sentence": "set it", "tokens": [{"surface": "set", "other": 1}, {"surface": "it"}], "entities": [{"type": "time", "span": [1]}], "scenario": "alarm", "intent": "set", "recordings": [{"file": "audio-1-headset.flac"}]}
+    put(tmp_path / "gold.jsonl", [gold, {**gold, "slurp_id": None}, "{broken", {"slurp_id": 2}])
+    rows = {r["slurp_id"]: r for r in files.read_gold(spark, str(tmp_path / "gold.jsonl")).collect()}
+    assert set(rows) == {1, 2} and [t["surface"] for t in rows[1]["tokens"]] == ["set", "it"] and rows[1]["entities"][0]["span"] == [1]
+    assert rows[2]["sentence"] is None and rows[2]["tokens"] is None
+    (tmp_path / "log.csv").write_text('slurp_id,status,reason\n7,removed,"noise, and more"\n8,,\n')
+    log = {r["slurp_id"]: r for r in files.read_logs(spark, str(tmp_path / "log.csv")).collect()}
+    assert log["7"]["reason"] == "noise, and more" and log["8"]["status"] is None
+
+
+def test_scenarios_and_headsets(spark):
+    data = [(1, "alarm", ["a.flac", "b-headset.flac", "c-headset.flac"]), (2, "music", ["a.flac"]), (3, None, []), (4, "alarm", None), (5, "play", [None, "x-headset.flac"])]
+    gold = spark.createDataFrame([(i, s, None if f is None else [(x,) for x in f]) for i, s, f in data], "slurp_id long, scenario string, recordings array<struct<file:string>>")
+    assert [r["slurp_id"] for r in R.filter_scenarios(gold, ["alarm", "play"]).orderBy("slurp_id").collect()] == [1, 4, 5]
+    assert R.filter_scenarios(gold, []).count() == 0
+    assert {r["slurp_id"]: r["recording"] for r in R.pick_headset(gold).collect()} == {1: "b-headset.flac", 5: "x-headset.flac"}

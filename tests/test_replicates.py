@@ -68,3 +68,57 @@ def test_weights_come_in_blocks():
 def test_no_rows(spark, table):
     df = frame(spark, table).where("cell = 'none'")
     assert M.replicate_sums(df, ["cell"], ["one"], 20).count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def points(weight, ids, top, below):
+    """Percent points of a ratio of weighted sums over the replicates that have any."""
+    w = weight[np.searchsorted(weight_ids, ids)]
+    with np.errstate(all="ignore"):
+        ratio = (w * np.asarray(top)[:, None]).sum(0) / (w * np.asarray(below)[:, None]).sum(0)
+    return np.percentile(ratio[np.isfinite(ratio)], [2.5, 50, 97.5])
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    from uttermark.plans import evaluation
+
+    return evaluation.cells(spark, SF).select("slurp_id", "asr", "llm", "pathway", "model_family", "degradation", "snr_db", "wer", "ees").toPandas()
+
+
+def test_condition_bootstrap_equals_brute_force(spark, rows):
+    """m4 whole: every cell's interval from the same 2,000 draws, in numpy."""
+    from uttermark.plans import evaluation
+
+    global weight_ids
+    weight_ids = np.unique(rows["slurp_id"])
+    weight = M.poisson_weights(weight_ids, 2000, 42)
+    got = {(r["model_family"], r["pathway"], r["degradation"], r["snr_db"]): r for r in evaluation.QUERIES["m4_condition_bootstrap"](spark, SF).collect()}
+    cells = rows.groupby(["model_family", "pathway", "degradation", rows["snr_db"].fillna(-1)])
+    assert len(got) == cells.ngroups
+    for (f, p, d, s), part in cells:
+        r = got[f, p, d, None if s < 0 else int(s)]
+        want = points(weight, part["slurp_id"].to_numpy(), part["ees"].to_numpy(float), np.ones(len(part)))
+        assert [r["ees_lo"], r["ees_median"], r["ees_hi"]] == pytest.approx(want.tolist(), abs=2e-6)
+
+
+def test_pathway_bootstrap_equals_brute_force(spark, rows):
+    """m3 whole: the paired gains of every comparison and cell."""
+    from uttermark.plans import evaluation
+
+    global weight_ids
+    weight_ids = np.unique(rows["slurp_id"])
+    weight = M.poisson_weights(weight_ids, 2000, 42)
+    rows = rows.assign(snr=rows["snr_db"].fillna(-1))
+    c = rows[(rows["pathway"] == "cascade") & (rows["asr"] == "asr-0") & (rows["wer"] > 0) & rows["ees"].notna()]
+    o = rows[(rows["pathway"] == "omni") & rows["ees"].notna()]
+    both = o.merge(c, on=["slurp_id", "model_family", "degradation", "snr"], suffixes=("_o", "_c"))
+    got = {(r["omni_llm"], r["cascade_llm"], r["degradation"], r["snr_db"]): r for r in evaluation.QUERIES["m3_pathway_bootstrap"](spark, SF).collect()}
+    cells = both.groupby(["llm_o", "llm_c", "degradation", "snr"])
+    assert len(got) == cells.ngroups > 30
+    for (a, b, d, s), part in cells:
+        r = got[a, b, d, None if s < 0 else int(s)]
+        want = points(weight, part["slurp_id"].to_numpy(), (part["ees_o"] - part["ees_c"]).to_numpy(float), np.ones(len(part)))
+        assert [r["gain_lo"], r["gain_median"], r["gain_hi"]] == pytest.approx(want.tolist(), abs=2e-6)
