@@ -299,6 +299,19 @@ def test_repeats_over_many_batches_and_hot_anchors(spark, rows_in_batch, options
     assert Counter(map(key, named)) == cut_slowly(data, 50)
 
 
+def test_wide_strings_take_bounded_bytes(spark, monkeypatch):
+    """Few surroundings fit where strings are wide or the bound is low; the result is the same."""
+    assert suffix.most_rows(50, suffix.HOT_ROWS) == suffix.HOT_ROWS
+    assert suffix.most_rows(4000, suffix.HOT_ROWS) * 7980 <= suffix.HOT_BYTES
+    shared = " ".join(f"w{i * i % 89}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{i % 7} {shared[: 150 + i % 50]} end{i} {shared} {i}") for i in range(120)], "doc_id long, text string")
+    cols = ("doc_id", "kept", "n_bytes")
+    whole = sorted(tuple(r[c] for c in cols) for r in suffix.remove_repeats(docs, width=60).collect())
+    monkeypatch.setattr(suffix, "HOT_BYTES", 500)
+    assert suffix.most_rows(60, suffix.HOT_ROWS) == 5
+    assert sorted(tuple(r[c] for c in cols) for r in suffix.remove_repeats(docs, width=60).collect()) == whole
+
+
 def test_a_very_long_text_is_cut_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SLICE", 1000)
     buf = np.frombuffer(("".join(f"{i * i % 9973} " for i in range(2000))).encode(), np.uint8)

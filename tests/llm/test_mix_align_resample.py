@@ -277,3 +277,15 @@ def test_common_passages_make_no_products(spark):
                 want[d, i, common, len(own)] += 1
     got = decontam.matches(docs, bench)
     assert rows_of(got, "doc_id", "item_id", "common", "item_shingles") == want and len(want) > 60
+
+
+def test_intermediate_tables_can_be_removed(spark, tmp_path):
+    from uttermark.llm import work
+
+    work.clear(spark)
+    path = work.folder(spark)
+    df = work.written(spark.range(5), f"{path}/a")
+    assert df.count() == 5 and work.folder(spark) != path
+    assert work.clear(spark) == 1 and work.clear(spark) == 0  # the second folder was never written
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(f"{path}/a").count()

@@ -9,12 +9,12 @@ a group that lies in one document is dropped at once:
   to be sorted: about two for every ``width - GRAM`` bytes.
 - Second digit: the anchor's surroundings, all bytes that a string with this anchor can reach, as a 64-bit
   key, compared only among equal grams. Where a document with a smaller id has the same surroundings, all
-  strings through the anchor repeat, and nothing further is sorted. Every task first merges its own equal
-  surroundings, so very common passages cost one row for each task. Rows arrive sorted and are taken as they
+  strings through the anchor repeat, and nothing further is sorted. Equal surroundings in a slice of ``SLICE`` bytes are
+  merged first, so a very common passage costs one row for each slice of texts that has it. Rows arrive sorted and are taken as they
   come, so an anchor of any number of rows needs no more memory.
 - Further digits, for anchors whose surroundings differ: the strings through the anchor are sorted by eight
   bytes at a time until their end, and groups with one document are dropped after each pass.
-- An anchor with more than ``HOT_ROWS`` different surroundings would be one large group. Its strings are dealt
+- An anchor with more than ``HOT_ROWS`` different surroundings, or ``HOT_BYTES`` of them, would be one large group. Its strings are dealt
   out one by one instead, by two 64-bit hashes of their bytes, after each task has merged its own equal ones.
 
 A string that starts in a document with a smaller id is removed from all later ones.
@@ -37,9 +37,15 @@ from uttermark.llm.work import folder, small, written
 
 GRAM = 20
 HOT_ROWS = 65_536  #: most different surroundings of an anchor that are sorted together
+HOT_BYTES = 1 << 26  #: most bytes of these, which counts for wide strings
 SLICE = 1 << 19
 
 
+def most_rows(width: int, rows: int) -> int:
+    """``rows``, or fewer where so many surroundings of strings of ``width`` bytes would be more than ``HOT_BYTES``."""
+    return max(1, min(rows, HOT_BYTES // (2 * width - GRAM)))
+
+
 def _window_min(h: np.ndarray, w: int) -> np.ndarray:
     """Smallest value in every window of ``w`` values."""
     m, span = h.copy(), 1
@@ -203,7 +209,7 @@ def _second_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "kind", "anchor"])
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows, sorted by anchor, that hold all rows of each of their anchors."""
     held: list[pa.RecordBatch] = []
     n = 0
@@ -275,12 +281,12 @@ def radix_groups(start: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.
     return rows, group
 
 
-def _last_digits(width: int):
+def _last_digits(width: int, most: int):
     """All surroundings of some anchors to (id, key, range): which strings through the anchor repeat."""
     side, w = width - GRAM, width - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
+        for table in _whole_groups(batches, most):
             yield repeated(table)
 
     def repeated(table: pa.Table) -> pa.RecordBatch:
@@ -416,7 +422,7 @@ def _spans(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False, hot_rows: int | None = None) -> DataFrame:
     """Remove every byte covered by a string of ``width`` bytes that also starts in a row with a smaller id.
 
     Returns the id, ``n_bytes``, ``starts`` and ``ends`` of the removed runs, ``kept`` and the columns
@@ -428,6 +434,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     if not 24 <= width <= 4000:
         raise ValueError("width must be from 24 to 4000")
     spark, path = docs.sparkSession, folder(docs.sparkSession)
+    hot_rows = most_rows(width, HOT_ROWS) if hot_rows is None else hot_rows
     extra = keep or []
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"x_{c}") for c in extra))
@@ -458,7 +465,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         unsettled = unsettled.join(hot, "anchor", "left_anti")
     around = with_keys(unsettled).mapInArrow(_surroundings(width), schema(("anchor", long), ("key", long), ("id", id_type), ("left", integer), ("bytes", T.BinaryType())))
     around = around.repartition("anchor").sortWithinPartitions("anchor")
-    settled.append(around.mapInArrow(_last_digits(width), schema(("id", id_type), ("key", long), ("range", integer))))
+    settled.append(around.mapInArrow(_last_digits(width, most_rows(width, 50_000)), schema(("id", id_type), ("key", long), ("range", integer))))
     strings = written(reduce(DataFrame.unionByName, settled), f"{path}/strings")
     lists = strings.groupBy("id").agg(F.collect_list(F.struct("key", "range")).alias("l")).select("id", "l.key", "l.range")
     joined = rows.join(lists, "id", "left").select("id", "text", "key", "range", *(f"x_{c}" for c in extra))

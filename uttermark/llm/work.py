@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_MADE: dict[str, list[str]] = {}  #: folders of each Spark application
 BROADCAST_ROWS = 500_000  #: most narrow rows that are sent to all executors
 
 
@@ -20,7 +21,22 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='uttermark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{uuid.uuid4().hex}"
+    path = f"{base}/{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove all intermediate tables of this application, and return how many folders went.
+
+    For when the results have been written: rows that a query has returned are still read from these tables.
+    """
+    found = _MADE.pop(spark.sparkContext.applicationId, [])
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for folder_name in found:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder_name)
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
