@@ -78,6 +78,13 @@ def _first_of(rb: pa.RecordBatch, keys: list[str]) -> tuple[pa.Array, pa.Array]:
     return pa.array(first), pa.array(inverse.astype(np.int64))
 
 
+def _lists(column: pa.Array) -> pa.Array:
+    """Word lists of a column of lists, or of texts whose words stand between single spaces."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        return column
+    return pc.split_pattern(pc.if_else(pc.equal(column, ""), pa.scalar(None, column.type), column), " ")
+
+
 def _added(rows: DataFrame, made: dict[str, str], make: Callable[[pa.RecordBatch], list[pa.Array]], keys: list[str]) -> DataFrame:
     """``rows`` with columns (name to type) made of whole Arrow batches, once for each set of ``keys`` in a batch."""
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in made.items())])
@@ -102,7 +109,7 @@ def aligned(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", keys: list[str]
 def aligned_with_sounds(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", keys: list[str] | None = None, distance: tuple[str, str] | None = None) -> DataFrame:
     """As ``aligned``, where both sides have words. Substitutions also say whether their first words sound alike (``similar``), and
     have the codes of both sides, word by word (``ref_sound``, ``hyp_sound``). A task codes each word once. With ``distance``, two further
-    word lists, their edit distance is added as ``word_distance`` in the same pass."""
+    columns of word lists or normalised texts, their edit distance is added as ``word_distance`` in the same pass."""
     known: dict[str, tuple[str, str]] = {}
 
     def code(word: str) -> tuple[str, str]:
@@ -131,7 +138,7 @@ def aligned_with_sounds(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", key
         more = {"similar": pa.array(alike, pa.bool_())} | {k: pa.array(v, pa.string()) for k, v in zip(("ref_sound", "hyp_sound"), sounds, strict=True)}
         found = [_ranges(ends, kind, ranges, more)]
         if distance:
-            found.append(pa.array(alignment.distances(*map(rb.column, distance)).astype(np.int32)))
+            found.append(pa.array(alignment.distances(*(_lists(rb.column(c)) for c in distance)).astype(np.int32)))
         return found
 
     made = {"chunks": f"{RAW[:-2]},similar:boolean,ref_sound:string,hyp_sound:string>>"}

@@ -14,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from uttermark.keys import CURVE, HIGH_WER, cap_wer, is_clean
 
-#: cell, batch, places of the cell's rows in it, their weights by replicate, first replicate -> a sum by replicate
-More = Callable[[tuple, pd.DataFrame, np.ndarray, np.ndarray, int], np.ndarray]
+#: cell, batch and places of the cell's rows in it -> their weights by replicate and the first replicate -> a sum by replicate
+More = Callable[[tuple, pd.DataFrame, np.ndarray], Callable[[np.ndarray, int], np.ndarray]]
 CURVES = "asr string, llm string, a double, b double, n_clean long, n_clean_at_high_wer long, p_at_zero double, refused string"
 
 
@@ -88,7 +88,7 @@ FAN = 64  #: rows of one key that meet in the first level of adding are at most
 
 def replicate_parts(rows: DataFrame, cell: list[str], values: list[str], replicates: int, seed: int, cluster: str = "slurp_id", more: dict[str, More] | None = None) -> DataFrame:
     """Weighted sums of ``values`` by cell from each task: ``cell``, ``block`` (of replicates), ``value`` (its name) and ``sums``, an array
-    over the block's replicates. ``more``: further sums by name, from the cell, its rows of a batch and their weights."""
+    over the block's replicates. ``more``: further sums by name, from the cell, its rows of a batch and then their weights."""
     schema = T.StructType([*(rows.schema[c] for c in cell), *T._parse_datatype_string("block int, value string, sums array<double>").fields])
     kinds = [to_arrow_type(rows.schema[c].dataType) for c in cell]
     starts = range(0, replicates, REPLICATE_BLOCK)
@@ -117,6 +117,7 @@ def replicate_parts(rows: DataFrame, cell: list[str], values: list[str], replica
             for key in own_keys:
                 if key not in total:
                     total[key] = np.zeros((len(names), replicates))
+            made = [[f(key, pdf, order[ends[i] : ends[i + 1]]) for f in (more or {}).values()] for i, key in enumerate(own_keys)]
             for s in starts:
                 e = min(s + REPLICATE_BLOCK, replicates)
                 weight = poisson_weights(ids, e - s, seed, s).astype(float)[inverse]
@@ -126,8 +127,8 @@ def replicate_parts(rows: DataFrame, cell: list[str], values: list[str], replica
                     at = slice(ends[i], ends[i + 1])
                     part = total[key]
                     part[: len(values), s:e] += np.stack([x[i] for x in sums]) if few else v[at].T @ weight[at]
-                    for j, f in enumerate((more or {}).values(), len(values)):
-                        part[j, s:e] += f(key, pdf, order[at], weight[at], s)
+                    for j, f in enumerate(made[i], len(values)):
+                        part[j, s:e] += f(weight[at], s)
             if sum(x.nbytes for x in total.values()) > HELD_BYTES:
                 yield handed_on(total)
                 total = {}
@@ -328,15 +329,20 @@ def _cell_parts(rows: DataFrame, curves: dict, replicates: int, seed: int) -> Da
     """Sums of ``CELL_VALUES`` by cell and replicate, of what the replicate's curve predicts for degraded rows, and the number of rows."""
     unknown = np.full(replicates, np.nan)
 
-    def predicted(key: tuple, pdf: pd.DataFrame, at: np.ndarray, weight: np.ndarray, first: int) -> np.ndarray:
-        a, b = (x[first : first + weight.shape[1]] for x in curves.get((key[0], key[3]), (unknown, unknown)))
+    def predicted(key: tuple, pdf: pd.DataFrame, at: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+        curve = curves.get((key[0], key[3]), (unknown, unknown))
         rates, of = np.unique(pdf["w"].to_numpy(float)[at], return_inverse=True)
         hot = (of[None, :] == np.arange(len(rates))[:, None]) * pdf["degraded"].to_numpy(float)[at]
-        with np.errstate(over="ignore"):
-            return ((hot @ weight) / (1 + np.exp(-(a + b * rates[:, None])))).sum(0)
 
-    def count(key: tuple, pdf: pd.DataFrame, at: np.ndarray, weight: np.ndarray, first: int) -> np.ndarray:
-        return np.full(weight.shape[1], len(at), float)
+        def add(weight: np.ndarray, first: int) -> np.ndarray:
+            a, b = (x[first : first + weight.shape[1]] for x in curve)
+            with np.errstate(over="ignore"):
+                return ((hot @ weight) / (1 + np.exp(-(a + b * rates[:, None])))).sum(0)
+
+        return add
+
+    def count(key: tuple, pdf: pd.DataFrame, at: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+        return lambda weight, first: np.full(weight.shape[1], len(at), float)
 
     return replicate_parts(rows, ["asr", "degradation", "snr_db", "llm"], CELL_VALUES, replicates, seed, more={"predicted": predicted, "n": count})
 
