@@ -27,11 +27,13 @@ def exploratory_cells(table: DataFrame) -> DataFrame:
 def annotation_summary(rows: DataFrame) -> DataFrame:
     """Chunks by subtype or type, by position, and rows with any."""
     kind = F.coalesce("c.error_subtype", F.col("c.type"))
-    e = exploded(rows)
-    one = e.groupBy(F.lit("kind").alias("by"), kind.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    two = e.groupBy(F.lit("position").alias("by"), F.col("c.slot_position").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    some = rows.agg(F.lit("rows").alias("by"), F.lit("with_errors").alias("value"), F.count(F.when(F.size("error_categories") > 0, 1)).alias("n"))
-    return one.unionByName(two).unionByName(some)
+    # one pass: a row's empty outer chunk counts nothing, its first one counts the row
+    chunk = rows.select(F.posexplode_outer("error_categories").alias("at", "c"))
+    n = chunk.groupBy(kind.alias("kind"), F.col("c.slot_position").alias("position")).agg(F.count("at").alias("n"), F.count(F.when(F.col("at") == 0, 1)).alias("rows"))
+    level = lambda by, value, n: F.struct(F.lit(by).alias("by"), value.alias("value"), n.alias("n"))
+    three = F.array(level("kind", F.col("kind"), F.col("n")), level("position", F.col("position"), F.col("n")), level("rows", F.lit("with_errors"), F.col("rows")))
+    long = n.select(F.explode(three).alias("x"), (F.col("n") > 0).alias("some")).where("some or x.by = 'rows'")
+    return long.groupBy("x.by", "x.value").agg(F.sum("x.n").alias("n"))
 
 
 def failure_tallies(rows: DataFrame) -> DataFrame:
