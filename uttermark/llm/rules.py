@@ -1,7 +1,7 @@
 """Quality rules: text statistics, and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word unigrams and bigrams are counted: one over all texts, one over
-the texts of a trusted target, of which a bounded number of labelled rows is drawn. A text's score is the mean of log(target / raw) over its n-grams, and it
+all texts of a trusted target. A text's score is the mean of log(target / raw) over its n-grams, and it
 is kept at a fixed threshold, with no random choice. Counting adds up one vector per task before
 the shuffle; the ratio table has a fixed number of entries, so it is sent to all tasks.
 """
@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uttermark.llm import text as X
-from uttermark.llm.work import drawn
+from uttermark.llm.work import small
 
 BUCKETS = 1 << 15
 #: between the classes of sf0.1's labels: of texts that the base rules pass, all 3,330 of label 1 lie above it (the lowest hundredth
 #: at -0.009), and 98 % of label 0 below (their median at -0.41)
 THRESHOLD = -0.12
-TRUSTED_ROWS = 20_000  #: most labelled rows from which the trusted multinomial is fitted
 SIGNS = np.zeros(256, bool)
 SIGNS[list(b"#*$%&|<>")] = True
 
@@ -64,11 +63,11 @@ def log_ratio(raw: DataFrame, target: DataFrame, text_col: str = "text") -> np.n
     return np.log(p[1]) - np.log(p[0])
 
 
-def trusted_texts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Texts of at most ``sample_rows`` trusted ids, drawn by a hash of the id; only these ids, a bounded
-    number, are sent to the tasks that read the texts."""
-    ids = drawn(trusted.select(id_col).where(F.col(id_col).isNotNull()).distinct(), id_col, sample_rows)
-    return docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi").select(text_col)
+def trusted_texts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts of all trusted ids; a null id is none. Ids go to the tasks that read the texts where a count shows that
+    they are few (``work.small``), else both sides are joined by a shuffle."""
+    ids = trusted.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    return docs.select(id_col, text_col).join(small(ids), id_col, "left_semi").select(text_col)
 
 
 def statistics(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
