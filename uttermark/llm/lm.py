@@ -6,7 +6,9 @@ the end of a text is learned from the training texts. A text is the words in it,
 it, then the end. Pieces do not cross words, so the probability of a text, summed over all its
 segmentations, is the product of its words' sums, each found by a forward recursion in log space over the
 word's bytes. A second score uses weights adapted to the corpus: expectation maximisation over its
-word counts, which starts from the vocabulary's weights.
+word counts, which starts from the vocabulary's weights. A third has the training words themselves as units beside a
+lattice fitted to their spellings, each word once: (c + D q) / (N + D) for a word seen c times of N, with the lattice's q and
+as much weight for new words as there were distinct ones, D (Witten and Bell).
 
 Every distinct word of the corpus is counted and scored once, in a table that grows with the corpus.
 The most frequent words (a fixed number) are sent to the tasks that read the texts; all others are
@@ -35,6 +37,7 @@ FLUSH = 150_000  #: distinct words that a task holds before it hands them on
 LONG = 48  #: longer words are taken one by one, in segments
 SEGMENT = 1 << 16
 ROUNDS = 1
+SPELLING_ROUNDS = 4  #: of the lattice for new words
 _LN10 = float(np.log(10))
 
 
@@ -304,7 +307,8 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
     Tokens are the words (A-Z lower-cased) and one end for each text. Returns the id, ``n_tokens``,
     ``n_known`` (tokens seen in training), ``train_tokens``, ``base_score`` (sum of
     log10((c + 1) / (N + V + 1))), ``score`` (log10 probability of the text in the lattice model) and
-    ``adapted_score`` (the same with weights adapted to the training texts by ``rounds`` rounds).
+    ``adapted_score`` (the same with weights adapted to the training texts by ``rounds`` rounds) and ``mixed_score`` (log10
+    probability by the training words' counts, with a lattice of their spellings for new words).
     A null or empty text is its end alone. A null ``train`` counts as false. Repeated rows and null ids are
     scored row by row; without training texts all counts are 0. Other columns are ignored.
     """
@@ -318,7 +322,15 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
     total, distinct = of["n"] + texts, of["v"] + (texts > 0)
     given = vocabulary(vocabulary_path)
     adapted = train_units(given, words, texts, rounds)
+    spelling = train_units(given, words.withColumn("n", F.least("n", F.lit(1))), 0, SPELLING_ROUNDS)
     given = with_end(given, texts, total)
+    new = log(distinct + 1)  # one more, so that there is a model without training texts
+
+    def mixed(n: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        """log10 of (n + (D + 1) q) / (N + D + 1); logs throughout, since the q of a long word is below any double."""
+        with np.errstate(divide="ignore"):
+            return (np.logaddexp(np.log(np.asarray(n, float)), new + lattice) - np.log(total + distinct + 1.0)) / _LN10
+
     smooth = np.log10(total + distinct + 1)
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,15 +341,16 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
                 buf = np.frombuffer(b"".join(word), np.uint8)
                 h = X.span_hashes(buf, e - [len(w) for w in word], e, X.SAME)
                 lat = [pa.array(_in_parts(u, word)[0] / _LN10) for u in (given, adapted)]
+                lat.append(pa.array(mixed(n, _in_parts(spelling, word)[0])))
                 cols = [pa.array(h.view(np.int64)), pa.array(n), pa.array(np.log10(n + 1.0) - smooth), *lat]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "base", "lattice", "adapted"])
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "base", "lattice", "adapted", "mixed"])
 
-    values = written(words.mapInArrow(value, "h long, n long, base double, lattice double, adapted double"), f"{path}/values")
+    values = written(words.mapInArrow(value, "h long, n long, base double, lattice double, adapted double, mixed double"), f"{path}/values")
     head = frequent(values).toArrow().sort_by("h")  # HEAD rows at most
     head_h = head["h"].to_numpy()
-    head_n, head_base, head_lattice, head_adapted = (head[c].to_numpy() for c in ("n", "base", "lattice", "adapted"))
+    head_n, head_base, head_lattice, head_adapted, head_mixed = (head[c].to_numpy() for c in ("n", "base", "lattice", "adapted", "mixed"))
     end_base, end_known = float(np.log10(texts + 1.0) - smooth), int(texts > 0)
-    end_lattice, end_adapted = given.end / _LN10, adapted.end / _LN10
+    end_lattice, end_adapted, end_mixed = given.end / _LN10, adapted.end / _LN10, float(mixed(np.array(texts), spelling.end))
 
     schema = T.StructType(
         [
@@ -347,6 +360,7 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
             T.StructField("base", T.DoubleType()),
             T.StructField("lattice", T.DoubleType()),
             T.StructField("adapted", T.DoubleType()),
+            T.StructField("mixed", T.DoubleType()),
             T.StructField("rare", T.ArrayType(T.LongType())),
         ]
     )
@@ -361,21 +375,21 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
                 at = np.minimum(np.searchsorted(head_h, key), max(len(head_h) - 1, 0))
                 hit = head_h[at] == key if len(head_h) else np.zeros(len(key), bool)
                 pick = lambda v: np.where(hit, v[at], 0) if len(head_h) else np.zeros(len(key))
-                known, base, lat, ada = (pick(v) for v in ((head_n > 0).astype(float), head_base, head_lattice, head_adapted))
+                known, base, lat, ada, mix = (pick(v) for v in ((head_n > 0).astype(float), head_base, head_lattice, head_adapted, head_mixed))
                 n = b - a
                 add = lambda v: np.bincount(row, weights=v[inverse], minlength=n)
                 rare = ~hit[inverse]
                 rare_rows = np.searchsorted(row[rare], np.arange(n + 1))
                 lists = pa.ListArray.from_arrays(pa.array(rare_rows.astype(np.int32)), pa.array(h.view(np.int64)[rare]))
                 cols = [rb.column(0).slice(a, n), pa.array(np.bincount(row, minlength=n) + 1), pa.array(add(known).astype(np.int64) + end_known)]
-                cols += [pa.array(add(base) + end_base), pa.array(add(lat) + end_lattice), pa.array(add(ada) + end_adapted), lists]
+                cols += [pa.array(add(base) + end_base), pa.array(add(lat) + end_lattice), pa.array(add(ada) + end_adapted), pa.array(add(mix) + end_mixed), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     scored = rows.select("id", "text").mapInArrow(tokens, schema).withColumn("row", F.monotonically_increasing_id())
     scored = written(scored, f"{path}/scored")
     rare = scored.select("row", F.explode("rare").alias("h")).join(values, "h")
     rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("lattice").alias("rare_lattice"), F.sum("adapted").alias("rare_adapted")
+        F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("lattice").alias("rare_lattice"), F.sum("adapted").alias("rare_adapted"), F.sum("mixed").alias("rare_mixed")
     )
     out = scored.drop("rare").join(rare, "row", "left")
     zero = F.lit(0)
@@ -387,4 +401,5 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "d
         (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
         (F.col("lattice") + F.coalesce("rare_lattice", zero)).alias("score"),
         (F.col("adapted") + F.coalesce("rare_adapted", zero)).alias("adapted_score"),
+        (F.col("mixed") + F.coalesce("rare_mixed", zero)).alias("mixed_score"),
     )

@@ -93,7 +93,7 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = lm.score(docs, public_tokenizers.path(VOCABULARY), _remainder(7) != 2)
     held_out = (_remainder(7) == 2).alias("held_out")
-    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "adapted_score")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", F.col("mixed_score").alias("score"), F.col("score").alias("lattice_score"), "adapted_score")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
