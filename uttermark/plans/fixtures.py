@@ -90,6 +90,12 @@ for _sql, _whole in (
 ):
     assert _sql in SPARK_EVAL
     SPARK_EVAL = SPARK_EVAL.replace(_sql, _whole)
+# errors and thresholds pass a generator of one row: a filter on what is made of them stays behind it, and is not pushed into the cross join
+# as one expression that repeats the arithmetic for every mention of a column
+_KEPT = "id, cond, n_ref, asr, llm, degradation, snr_db"
+_once = f"once as (select {_KEPT}, v.e, v.h2, v.thr from t lateral view inline(array(named_struct('e', e, 'h2', h2, 'thr', thr))) v as e, h2, thr)"
+assert SPARK_EVAL.count("\nr as (") == 1 and SPARK_EVAL.count("pf from t)") == 1
+SPARK_EVAL = SPARK_EVAL.replace("\nr as (", f"\n{_once},\nr as (").replace("pf from t)", "pf from once)")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
