@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from uttermark.functions.errors import error_flags
@@ -175,19 +175,24 @@ def absorption_table(rows: DataFrame, curves: DataFrame, outcome: str = "ees", o
 def report_cells(rows: DataFrame) -> DataFrame:
     """Means per cell with the upper of the middle error rates as median.
 
-    The percentiles are exact over counts of distinct rates, so no array of a cell's rows is made. With an even number
-    of rates the interpolated median lies between the middle two, and the upper one is what it lacks to twice itself.
+    Rows are first counted and summed by cell and distinct rate, in hash tables: percentiles over the rows themselves would sort them all
+    where there are more than some hundred cells. The median is the first rate that over half of a cell's rates don't lie above.
     """
-    w = cap_wer()
-    out = rows.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.avg(c).alias(f"mean_{c}") for c in OUTCOMES),
-        F.avg(w).alias("mean_wer"),
-        F.count(F.when(F.col("wer") > 1, 1)).alias("n_collapse"),
-        F.expr("percentile_disc(0.5) within group (order by case when wer is not null then least(wer, 1.0D) end)").alias("__lower"),
-        F.percentile(w, 0.5).alias("__middle"),
+    count = lambda c: F.count(F.when(c, 1))
+    sums = {f"__{c}": F.sum(F.col(c).cast("double")) for c in OUTCOMES} | {f"__n_{c}": F.count(c) for c in OUTCOMES}
+    made = {"__n": F.count(F.lit(1)), "__collapse": count(F.col("wer") > 1), **sums}
+    rates = rows.groupBy(*CELL, cap_wer().alias("__w")).agg(*(v.alias(k) for k, v in made.items()))
+    rated = F.when(F.col("__w").isNotNull(), F.col("__n"))
+    cell = Window.partitionBy(*CELL)
+    upto = cell.orderBy("__w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rates = rates.withColumns({"__upto": F.sum(rated).over(upto), "__all": F.sum(rated).over(cell)})
+    return rates.groupBy(*CELL).agg(
+        F.sum("__n").alias("n"),
+        *(F.try_divide(F.sum(f"__{c}"), F.sum(f"__n_{c}")).alias(f"mean_{c}") for c in OUTCOMES),
+        F.try_divide(F.sum(F.col("__w") * F.col("__n")), F.sum(rated)).alias("mean_wer"),
+        F.sum("__collapse").alias("n_collapse"),
+        F.min(F.when(2 * F.col("__upto") > F.col("__all"), F.col("__w"))).alias("median_upper"),
     )
-    return out.withColumn("median_upper", 2 * F.col("__middle") - F.col("__lower")).drop("__lower", "__middle")
 
 
 def dose_response(rows: DataFrame) -> DataFrame:
