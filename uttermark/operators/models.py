@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,9 +84,40 @@ def poisson_weights(ids: np.ndarray, replicates: int, seed: int, first: int = 0)
 
 REPLICATE_BLOCK = 250  #: replicates of one row of sums
 HELD_BYTES = 1 << 28  #: sums that a task holds before it hands them on; those of 209 cells, 22 values and 2,000 replicates take 74 MB
+DENSE = 64  #: sums by cell and cluster are made first where they are at most so many times a batch's rows
+TOGETHER = 100_000  #: rows whose sums are made at once, where no further sums need the weights of every row
 FAN = 64  #: rows of one key that meet in the first level of adding are at most a FANth of the tasks
 
 
+def _together(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``least`` rows; empty ones are left out."""
+    held: list[pa.RecordBatch] = []
+    for rb in batches:
+        if rb.num_rows:
+            held.append(rb)
+        if sum(x.num_rows for x in held) >= max(least, 1):
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _cut(rb: pa.RecordBatch, cluster: str) -> list[pa.RecordBatch]:
+    """The batch, cut into smaller ones where it has so many clusters that their weights would take much memory."""
+    most = 10_000
+    return [rb] if rb.num_rows <= most or pc.count_distinct(rb.column(cluster)).as_py() <= most // 4 else [rb.slice(s, most) for s in range(0, rb.num_rows, most)]
+
+
+def _codes(rb: pa.RecordBatch, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its values of ``columns``, and for each number its first row."""
+    code = np.zeros(rb.num_rows, np.int64)
+    for c in columns:
+        own = rb.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        _, code = np.unique(code * (int(own.max(initial=0)) + 1) + own, return_inverse=True)
+    _, first = np.unique(code, return_index=True)
+    return code, first
+
+
 def replicate_parts(rows: DataFrame, cell: list[str], values: list[str], replicates: int, seed: int, cluster: str = "slurp_id", more: dict[str, More] | None = None) -> DataFrame:
     """Weighted sums of ``values`` by cell from each task: ``cell``, ``block`` (of replicates), ``value`` (its name) and ``sums``, an array
     over the block's replicates. ``more``: further sums by name, from the cell, its rows of a batch and then their weights."""
@@ -94,46 +126,54 @@ def replicate_parts(rows: DataFrame, cell: list[str], values: list[str], replica
     starts = range(0, replicates, REPLICATE_BLOCK)
     names = [*values, *(more or {})]
 
-    def handed_on(total: dict[tuple, np.ndarray]) -> pa.RecordBatch:
-        keys = [(*key, i // len(names), names[i % len(names)]) for key in total for i in range(len(starts) * len(names))]
-        cols = [pa.array([k[j] for k in keys], kind) for j, kind in enumerate([*kinds, pa.int32(), pa.string()])]
-        sums = [part[v, s : s + REPLICATE_BLOCK] for part in total.values() for s in starts for v in range(len(names))]
+    def handed_on(keys: list[tuple], total: np.ndarray) -> pa.RecordBatch:
+        every = [(*key, i // len(names), names[i % len(names)]) for key in keys for i in range(len(starts) * len(names))]
+        cols = [pa.array([k[j] for k in every], kind) for j, kind in enumerate([*kinds, pa.int32(), pa.string()])]
+        sums = [part[v, s : s + REPLICATE_BLOCK] for part in total[: len(keys)] for s in starts for v in range(len(names))]
         ends = np.cumsum([0, *map(len, sums)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sums)))], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, np.ndarray] = {}
-        for rb in batches:
-            pdf = rb.to_pandas()
-            if not len(pdf):
-                continue
-            codes, keys = pd.factorize(pd.MultiIndex.from_frame(pdf[cell].astype(object).where(pdf[cell].notna(), None)))
-            order = np.argsort(codes, kind="stable")
-            ends = np.searchsorted(codes[order], np.arange(len(keys) + 1))
-            v = pdf[values].to_numpy(float)[order]
-            ids, inverse = np.unique(pdf[cluster].to_numpy(), return_inverse=True)
-            inverse = inverse[order]
-            own_keys = [tuple(None if x != x else x for x in key) for key in keys]
-            for key in own_keys:
-                if key not in total:
-                    total[key] = np.zeros((len(names), replicates))
-            made = [[f(key, pdf, order[ends[i] : ends[i + 1]]) for f in (more or {}).values()] for i, key in enumerate(own_keys)]
+        slots: dict[tuple, int] = {}  # the place in ``total`` of every cell
+        total = np.zeros((0, len(names), replicates))
+        for rb in (part for whole in _together(batches, 0 if more else TOGETHER) for part in _cut(whole, cluster)):
+            code, first = _codes(rb, cell)
+            ids, of = np.unique(rb.column(cluster).to_numpy(zero_copy_only=False), return_inverse=True)
+            # rows of one cluster stand together, so that cells x clusters are mostly few: their sums first, then one product with the weights
+            dense = len(first) * len(ids) <= DENSE * len(code)
+            keys = [tuple(None if x != x else x for x in key) for key in zip(*(rb.column(c).take(pa.array(first)).to_pylist() for c in cell), strict=True)]
+            place = np.array([slots.setdefault(key, len(slots)) for key in keys])
+            if len(set(keys)) < len(keys):  # values that differ in their bits only
+                place, code = np.unique(place[code], return_inverse=True)
+                keys = [list(slots)[i] for i in place]
+            if len(slots) > len(total):
+                total = np.concatenate([total, np.zeros((max(len(slots) * 3 // 2 - len(total), 1), len(names), replicates))])
+            v = np.stack([pc.fill_null(rb.column(c).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in values], 1)
+            if dense:
+                at = code * len(ids) + of
+                each = [np.bincount(at, v[:, i], len(keys) * len(ids)).reshape(len(keys), -1) for i in range(len(values))]
+            if more or not dense:
+                order = np.argsort(code, kind="stable")
+                ends = np.searchsorted(code[order], np.arange(len(keys) + 1))
+                sorted_of, sorted_v = of[order], v[order]
+            if more:
+                pdf = rb.to_pandas()
+                made = [[f(key, pdf, order[ends[i] : ends[i + 1]]) for f in more.values()] for i, key in enumerate(keys)]
             for s in starts:
                 e = min(s + REPLICATE_BLOCK, replicates)
-                weight = poisson_weights(ids, e - s, seed, s).astype(float)[inverse]
-                few = len(keys) > len(v) / 4
-                sums = [np.add.reduceat(v[:, [i]] * weight, ends[:-1]) for i in range(len(values))] if few else None
-                for i, key in enumerate(own_keys):
-                    at = slice(ends[i], ends[i + 1])
-                    part = total[key]
-                    part[: len(values), s:e] += np.stack([x[i] for x in sums]) if few else v[at].T @ weight[at]
-                    for j, f in enumerate(made[i], len(values)):
-                        part[j, s:e] += f(weight[at], s)
-            if sum(x.nbytes for x in total.values()) > HELD_BYTES:
-                yield handed_on(total)
-                total = {}
-        if total:
-            yield handed_on(total)
+                drawn = poisson_weights(ids, e - s, seed, s).astype(float)
+                weight = drawn[sorted_of] if more or not dense else None
+                for i in range(len(values)):
+                    total[place, i, s:e] += each[i] @ drawn if dense else np.add.reduceat(sorted_v[:, [i]] * weight, ends[:-1])
+                if more:
+                    for i in range(len(keys)):
+                        for j, f in enumerate(made[i], len(values)):
+                            total[place[i], j, s:e] += f(weight[ends[i] : ends[i + 1]], s)
+            if len(slots) * total[:1].nbytes > HELD_BYTES:
+                yield handed_on(list(slots), total)
+                slots, total = {}, total[:0]
+        if slots:
+            yield handed_on(list(slots), total)
 
     return rows.mapInArrow(run, schema)
 
