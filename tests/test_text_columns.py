@@ -1,5 +1,7 @@
 """Word lists and texts of the same words."""
 
+import pyarrow as pa
+
 from uttermark.functions import errors
 from uttermark.plans import evaluation
 
@@ -16,3 +18,8 @@ def test_alignment_takes_texts(spark):
 def test_texts_are_not_joined_for_each_chunk(spark):
     plan = evaluation.QUERIES["f21_align_words"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" in plan and "array_join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_words_of_a_slice():
+    texts = pa.array(["a b", "", "c", "d e f", "", "g h", "a b"])
+    assert errors._lists(texts.slice(4, 3)).to_pylist() == [None, ["g", "h"], ["a", "b"]]
