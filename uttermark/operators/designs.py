@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttermark.functions.errors import has_critical_substitution
+from uttermark.keys import cap_wer
 from uttermark.operators import gee
-from uttermark.operators.cells import thin_levels
-from uttermark.operators.rows import build_frame, reference_rows
+from uttermark.operators.rows import build_frame, frame_reason, reference_rows, snr_dummies
 
 
 @dataclass
@@ -33,7 +33,20 @@ def _cascade(rows: DataFrame) -> DataFrame:
 
 
 def _with_distance(rows: DataFrame) -> DataFrame:
-    return _cascade(rows).where(F.col("phonetic_distance").isNotNull() & has_critical_substitution(F.col("error_categories")))
+    critical = F.col("critical_substitution") if "critical_substitution" in rows.columns else has_critical_substitution(F.col("error_categories"))
+    return _cascade(rows).where(F.col("phonetic_distance").isNotNull() & critical)
+
+
+USED = [
+    "slurp_id", "pathway", "model_family", "asr", "llm", "degradation", "snr_db", "wer", "tsa", "ees", "pf", "has_critical_error", "has_function_error",
+    "phonetic_distance", "critical_substitution",
+]
+
+
+def narrowed(rows: DataFrame) -> DataFrame:
+    """Only what the designs read, for rows that are held while they are fitted: of the error chunks, whether a critical substitution is
+    among them."""
+    return rows.withColumn("critical_substitution", has_critical_substitution(F.col("error_categories"))).select(*USED)
 
 
 NOISE = ["snr_20", "snr_10"]
@@ -84,6 +97,11 @@ def flags_of(frame: DataFrame, design: Design) -> tuple[dict[str, Column], list[
     seen = frame.agg(*once, *plain).first()
     terms = [t for t in design.terms if seen[f"t_{t}"]["lo"] != seen[f"t_{t}"]["hi"]]
     levels = {c: sorted(seen[c]) for c in design.factors}
+    flags = _flags(design, levels)
+    return flags, [*terms, *flags], levels
+
+
+def _flags(design: Design, levels: dict[str, list[str]]) -> dict[str, Column]:
     flags: dict[str, Column] = {}
     own: dict[str, list[tuple[str, Column]]] = {}
     for c, reference in design.factors.items():
@@ -93,41 +111,84 @@ def flags_of(frame: DataFrame, design: Design) -> tuple[dict[str, Column], list[
     if design.interact:
         a, b = design.interact
         flags |= {f"{x}:{y}": u * v for x, u in own[a] for y, v in own[b]}
-    return flags, [*terms, *flags], levels
+    return flags
+
+
+@dataclass
+class Survey:
+    """What one pass over a design's rows says: rows dropped by reason, rows left, terms that vary, those of them that are 0 or 1, each
+    factor's levels, and the conditions that each level covers."""
+
+    dropped: dict[str, int]
+    n: int
+    terms: list[str]
+    marks: list[str]
+    levels: dict[str, list[str]]
+    coverage: dict[str, dict[str | None, int]]
+
+    def thin(self, factor: str, least: float) -> list[str]:
+        """Levels that cover less than a share of what the fullest level covers."""
+        most = max(self.coverage[factor].values())
+        return [f"{factor} {level} covers {n} of {most} conditions" for level, n in self.coverage[factor].items() if n < least * most]
+
+
+def surveyed(rows: DataFrame, design: Design, outcome: str) -> tuple[DataFrame, Survey]:
+    """The design's frame and its survey: a row for each reason, condition and combination of levels comes to the driver."""
+    own = design.rows(rows)
+    if not design.needs_wer:
+        own = own.withColumn("wer", F.coalesce("wer", F.lit(0.0)))
+    s20, s10 = snr_dummies(F.col("snr_db"))
+    marked = own.withColumn("drop_reason", frame_reason(outcome)).withColumns({"wer": cap_wer(), "snr_20": s20, "snr_10": s10})
+    kinds = {f.name: f.dataType.simpleString() for f in marked.schema}
+    keys = ["drop_reason", *(F.col(c).cast("string").alias(f"l_{c}") for c in design.factors), F.col("degradation").alias("at"), F.col("snr_db").alias("at_db")]
+    ends = [f(t).alias(f"{n}_{t}") for t in design.terms for n, f in (("lo", F.min), ("hi", F.max))]
+    seen = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends).collect()
+    dropped: dict[str, int] = {}
+    for r in seen:
+        if r["drop_reason"]:
+            dropped[r["drop_reason"]] = dropped.get(r["drop_reason"], 0) + r["n"]
+    left = [r for r in seen if not r["drop_reason"]]
+    ends = {t: [f((r[f"{n}_{t}"] for r in left if r[f"{n}_{t}"] is not None), default=None) for n, f in (("lo", min), ("hi", max))] for t in design.terms}
+    terms = [t for t in design.terms if ends[t][0] != ends[t][1]]
+    marks = [t for t in terms if kinds[t] in ("int", "boolean") and int(ends[t][0]) >= 0 and int(ends[t][1]) <= 1]
+    levels = {c: sorted({r[f"l_{c}"] for r in left} - {None}) for c in design.factors}
+    met = {c: {(r[f"l_{c}"], r["at"], r["at_db"]) for r in left} for c in design.factors}
+    coverage = {c: {x: sum(y == x for y, *_ in met[c]) for x in sorted({y for y, *_ in met[c]}, key=lambda v: (v is not None, v))} for c in design.factors}
+    return marked.where("drop_reason is null").drop("drop_reason"), Survey(dropped, sum(r["n"] for r in left), terms, marks, levels, coverage)
 
 
 def run_model(rows: DataFrame, name: str, design: Design, outcome: str | None = None, least_coverage: float = 0.5, cluster: str = "slurp_id") -> Outcome:
     """Fit one design. Nothing is fitted without rows, without variation in what the hypothesis is about, or where a level of a
-    required factor covers less than a share of the conditions of the fullest; other thin levels are warnings."""
+    required factor covers less than a share of the conditions of the fullest; other thin levels are warnings. Rows are read twice: for
+    their survey, and for the fit, which holds them packed."""
     out = Outcome(name)
     try:
-        frame, out.dropped = frame_of(rows, design, outcome)
-        frame = frame.persist()
-        try:
-            if frame.isEmpty():
-                raise gee.Refused("no rows are left")
-            flags, terms, levels = flags_of(frame, design)
-            still = [r for r in design.required if r not in terms and len(levels.get(r, [])) < 2]
-            if still:
-                raise gee.Refused(f"no variation in {', '.join(still)}")
-            for c in design.factors:
-                if c == "degradation":
-                    continue
-                for t in thin_levels(frame, c, ["degradation", "snr_db"], least_coverage).collect():  # a few levels
-                    text = f"{c} {t[c]} covers {t['n_cells']} of {t['most']} conditions"
-                    if c in design.required:
-                        raise gee.Refused(text)
-                    out.warnings.append(text)
-            fit = gee.fit(frame.withColumns({f"f{i}": c for i, c in enumerate(flags.values())}), outcome or design.outcome, [f"f{list(flags).index(t)}" if t in flags else t for t in terms], cluster)
-            fit.terms = ["intercept", *terms]
-            out.table, out.n = fit.table(), fit.n
-            if design.contrast:
-                out.contrast = fit.contrast(*design.contrast)
-            crossed = [t for t in terms if ":" in t]
-            if crossed:
-                out.joint = fit.joint(crossed)
-        finally:
-            frame.unpersist()
+        frame, seen = surveyed(rows, design, outcome or design.outcome)
+        out.dropped = seen.dropped
+        if not seen.n:
+            raise gee.Refused("no rows are left")
+        flags = _flags(design, seen.levels)
+        terms = [*seen.terms, *flags]
+        still = [r for r in design.required if r not in terms and len(seen.levels.get(r, [])) < 2]
+        if still:
+            raise gee.Refused(f"no variation in {', '.join(still)}")
+        for c in design.factors:
+            if c == "degradation":
+                continue
+            for text in seen.thin(c, least_coverage):
+                if c in design.required:
+                    raise gee.Refused(text)
+                out.warnings.append(text)
+        short = {t: f"f{i}" for i, t in enumerate(flags)}
+        held = frame.withColumns({short[t]: c for t, c in flags.items()})
+        fit = gee.fit(held, outcome or design.outcome, [short.get(t, t) for t in terms], cluster, flags=[*seen.marks, *short.values()])
+        fit.terms = ["intercept", *terms]
+        out.table, out.n = fit.table(), fit.n
+        if design.contrast:
+            out.contrast = fit.contrast(*design.contrast)
+        crossed = [t for t in terms if ":" in t]
+        if crossed:
+            out.joint = fit.joint(crossed)
     except gee.Refused as e:
         out.refused = str(e)
     return out

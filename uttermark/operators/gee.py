@@ -6,7 +6,7 @@ inverse of the exchangeable correlation has a closed form, and a cluster adds
     (sum z r - c (sum z)(sum r)) / (1 - rho)        to the score and
     (sum z z' - c (sum z)(sum z)') / (1 - rho)      to the information.
 
-So every step is one pass over rows that are partitioned by cluster once; only sums of p x p numbers leave a
+So every step is one pass over rows that are partitioned by cluster and packed once; only sums of p x p numbers leave a
 partition, and the p x p system is solved on the driver. Outcomes between 0 and 1 are allowed.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uttermark.operators.models import _codes, _together
+
 
 class Refused(ValueError):
     """A fit that would give a number without meaning."""
@@ -91,9 +94,51 @@ def chi2_tail(x: float, df: int) -> float:
     return front * h
 
 
-def _sums(rows: DataFrame, p: int, beta: np.ndarray, rho: float) -> dict[str, np.ndarray]:
-    """All sums of one step. Each task takes its rows, sorted by cluster, as a stream, with one batch and the sums of one open cluster
-    in memory."""
+PACKED = 1 << 15  #: rows that are packed together
+BITS = 62  #: flags in one number
+
+
+def _words(flags: list[str]) -> list[list[str]]:
+    return [flags[i : i + BITS] for i in range(0, len(flags), BITS)]
+
+
+def packed(rows: DataFrame, terms: list[str], flags: list[str]) -> DataFrame:
+    """Rows (``cluster``, ``y``, ``terms``) by cluster, sorted, in packs: the distinct rows of ``y`` and terms as ``patterns``, each row's
+    pattern (``codes``), and the clusters with their numbers of rows (``ids``, ``sizes``). Terms that are 0 or 1 (``flags``) share numbers, so
+    little is moved and held of rows that have many."""
+    plain = [t for t in terms if t not in flags]
+    words = _words(flags)
+    bits = [reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.col(t) == 1, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(w))) for w in words]
+    own = rows.select("cluster", "y", *(b.alias(f"b{i}") for i, b in enumerate(bits)), *(F.col(t).cast("double").alias(f"v{i}") for i, t in enumerate(plain)))
+    own = own.repartition("cluster").sortWithinPartitions("cluster")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in _together(batches, PACKED):
+            code, first = _codes(rb, rb.schema.names[1:])
+            some = rb.take(pa.array(first))
+            # numbers of flags keep their bits among doubles
+            patterns = np.stack([c.to_numpy().view(np.float64) for c in some.columns[1:]], 1)
+            cluster = rb.column(0).to_numpy()
+            start = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
+            parts = (patterns, code.astype(np.uint16 if len(first) <= 1 << 16 else np.uint32), cluster[start], np.diff(np.append(start, len(cluster))))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["patterns", "codes", "ids", "sizes"])
+
+    return own.mapInArrow(run, "patterns binary, codes binary, ids binary, sizes binary")
+
+
+def _design(patterns: np.ndarray, terms: list[str], words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Outcome and design rows, with the intercept, of the patterns of a pack."""
+    y, bits = patterns[:, 0], np.ascontiguousarray(patterns[:, 1 : 1 + len(words)]).view(np.int64)
+    place = {t: (i, j) for i, w in enumerate(words) for j, t in enumerate(w)}
+    plain = iter(range(1 + len(words), patterns.shape[1]))
+    cols = [((bits[:, place[t][0]] >> place[t][1]) & 1).astype(float) if t in place else patterns[:, next(plain)] for t in terms]
+    return y, np.stack([np.ones(len(y)), *cols], 1)
+
+
+def _sums(rows: DataFrame, terms: list[str], flags: list[str], beta: np.ndarray, rho: float) -> dict[str, np.ndarray]:
+    """All sums of one step over ``packed`` rows. Each task takes its packs as a stream, with one pack and the sums of one open cluster in
+    memory; what depends on the pattern alone is made once for each pattern of a pack."""
+    p, words = len(beta), _words(flags)
     size = {"score": p, "info": p * p, "meat": p * p, "xx": p * p, "r2": 1, "rr": 1, "pairs": 1, "n": 1, "clusters": 1, "edge": 1}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,27 +157,30 @@ def _sums(rows: DataFrame, p: int, beta: np.ndarray, rho: float) -> dict[str, np
             out["pairs"] += (m * (m - 1) / 2).sum()
             out["clusters"] += len(each)
 
-        for rb in batches:
-            if not rb.num_rows:
-                continue
+        for patterns, codes, ids, sizes in ((x.as_py() for x in pack) for rb in batches for pack in zip(*rb.columns, strict=True)):
             met = True
-            cluster, y, x = rb.column(0).to_numpy(), rb.column(1).to_numpy(), np.asarray(rb.column(2).flatten()).reshape(-1, p)
+            cluster, sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+            n = int(sizes.sum())
+            code = np.frombuffer(codes, np.uint16 if len(codes) == 2 * n else np.uint32).astype(np.int64)
+            k = int(code.max()) + 1
+            y, x = _design(np.frombuffer(patterns, np.float64).reshape(k, -1), terms, words)
             mu = 0.5 * (1 + np.tanh(x @ beta / 2))
             s = np.sqrt(np.maximum(mu * (1 - mu), 1e-300))
             z, r = x * s[:, None], (y - mu) / s
-            first = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
-            each = np.add.reduceat(np.concatenate([np.ones((len(y), 1)), r[:, None], (r * r)[:, None], z, z * r[:, None]], 1), first)
+            row = np.concatenate([np.ones((k, 1)), r[:, None], (r * r)[:, None], z, z * r[:, None]], 1)
+            each = np.add.reduceat(row[code], np.cumsum(sizes) - sizes)
             if open_id == cluster[0]:
                 each[0] += open_sums
             elif open_id is not None:
                 close(open_sums[None])
             close(each[:-1])
             open_id, open_sums = cluster[-1], each[-1]
-            out["info"] += (z.T @ z) / (1 - rho)
-            out["xx"] += (x.T @ x)
-            out["r2"] += (r * r).sum()
-            out["n"] += len(y)
-            out["edge"] += float((np.minimum(mu, 1 - mu) < 1e-10).sum())
+            of = np.bincount(code, minlength=k).astype(float)
+            out["info"] += ((z * of[:, None]).T @ z) / (1 - rho)
+            out["xx"] += ((x * of[:, None]).T @ x)
+            out["r2"] += (of * r * r).sum()
+            out["n"] += n
+            out["edge"] += float(of[np.minimum(mu, 1 - mu) < 1e-10].sum())
         if met:
             close(open_sums[None])
             flat = np.concatenate([np.ravel(out[n]) for n in size]).astype(float)
@@ -152,19 +200,19 @@ def rank_report(xx: np.ndarray) -> tuple[int, int, float]:
     return int((singular > singular.max() * len(xx) * 1e-12**0.5).sum()), len(xx), float(singular.min())
 
 
-def fit(frame: DataFrame, outcome: str, terms: list[str], cluster: str = "slurp_id", most: int = 60, tol: float = 1e-8) -> Fit:
+def fit(frame: DataFrame, outcome: str, terms: list[str], cluster: str = "slurp_id", most: int = 60, tol: float = 1e-8, flags: list[str] | None = None) -> Fit:
     """Fit an intercept and ``terms`` (numeric columns). Raises ``Refused`` for a rank-deficient design, separated
-    outcomes, no convergence or standard errors that are not finite. Rows with a null are left out."""
+    outcomes, no convergence or standard errors that are not finite. Rows with a null are left out. ``flags``: terms that are 0 or 1."""
     names = ["intercept", *terms]
     p = len(names)
-    x = F.array(F.lit(1.0), *(F.col(t).cast("double") for t in terms))
-    rows = frame.select(F.col(cluster).cast("long").alias("cluster"), F.col(outcome).cast("double").alias("y"), x.alias("x"))
-    rows = rows.where(F.col("cluster").isNotNull() & F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-    rows = rows.repartition("cluster").sortWithinPartitions("cluster").persist(StorageLevel.DISK_ONLY)
+    flags = [t for t in terms if t in (flags or [])]
+    rows = frame.select(F.col(cluster).cast("long").alias("cluster"), F.col(outcome).cast("double").alias("y"), *terms)
+    rows = rows.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in rows.columns)))
+    rows = packed(rows, terms, flags).persist(StorageLevel.DISK_ONLY)
     try:
         beta, rho = np.zeros(p), 0.0
         for step in range(1, most + 1):
-            s = _sums(rows, p, beta, rho)
+            s = _sums(rows, terms, flags, beta, rho)
             if s["n"][0] <= p:
                 raise Refused("too few rows")
             if step == 1 and rank_report(s["xx"])[0] < p:
