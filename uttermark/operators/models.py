@@ -15,8 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from uttermark.keys import CURVE, HIGH_WER, cap_wer, is_clean
 
-#: cell, batch and places of the cell's rows in it -> their weights by replicate and the first replicate -> a sum by replicate
-More = Callable[[tuple, pd.DataFrame, np.ndarray], Callable[[np.ndarray, int], np.ndarray]]
+#: cells and their numbers in a batch's rows, the batch, and the rows' numbers of utterances -> weights of the utterances by replicate and the
+#: first replicate -> a sum for each cell by replicate
+More = Callable[[list[tuple], np.ndarray, pa.RecordBatch, np.ndarray], Callable[[np.ndarray, int], np.ndarray]]
 CURVES = "asr string, llm string, a double, b double, n_clean long, n_clean_at_high_wer long, p_at_zero double, refused string"
 
 
@@ -69,23 +70,36 @@ def clean_calibration(rows: DataFrame, outcome: str = "ees") -> DataFrame:
     return histogram.groupBy(*CURVE).applyInPandas(_curve, CURVES)
 
 
+_LIMITS = np.cumsum([np.exp(-1) / np.prod(range(1, i + 1)) for i in range(12)])
+_BINS = np.searchsorted(_LIMITS, np.arange(1 << 12) / (1 << 12))  #: weight at the lower end of each of 4096 equal parts of 0 to 1
+_BINS = np.where(_BINS == np.searchsorted(_LIMITS, np.arange(1, (1 << 12) + 1) / (1 << 12)), _BINS, -1)  #: -1: not all of the part has it
+
+
 def poisson_weights(ids: np.ndarray, replicates: int, seed: int, first: int = 0) -> np.ndarray:
     """Poisson(1) weights (id x replicate, from the replicate ``first`` on) from a hash of seed, replicate and id: the same in every
-    partition."""
+    partition. Mostly the leading bits of the hash say which."""
     x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(first + 1, first + replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
-    x = x + np.uint64(seed)
+    x += np.uint64(seed)
+    shifted = np.empty_like(x)
     with np.errstate(over="ignore"):
         for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(m)
-    u = (x ^ (x >> np.uint64(31))) / 2.0**64
-    limits = np.cumsum([np.exp(-1) / np.prod(range(1, i + 1)) for i in range(12)])
-    return np.searchsorted(limits, u)
+            np.right_shift(x, np.uint64(shift), out=shifted)
+            x ^= shifted
+            x *= np.uint64(m)
+    np.right_shift(x, np.uint64(31), out=shifted)
+    x ^= shifted
+    np.right_shift(x, np.uint64(52), out=shifted)
+    found = _BINS[shifted.view(np.int64)]
+    open_ = np.nonzero(found < 0)
+    found[open_] = np.searchsorted(_LIMITS, x[open_] / 2.0**64)
+    return found
 
 
 REPLICATE_BLOCK = 250  #: replicates of one row of sums
 HELD_BYTES = 1 << 28  #: sums that a task holds before it hands them on; those of 209 cells, 22 values and 2,000 replicates take 74 MB
 DENSE = 64  #: sums by cell and cluster are made first where they are at most so many times a batch's rows
-TOGETHER = 100_000  #: rows whose sums are made at once, where no further sums need the weights of every row
+TOGETHER = 100_000  #: rows whose sums are made at once
+GROUPS = 1024  #: rates of cells whose rows are counted at once
 FAN = 64  #: rows of one key that meet in the first level of adding are at most a FANth of the tasks
 
 
@@ -120,7 +134,7 @@ def _codes(rb: pa.RecordBatch, columns: list[str]) -> tuple[np.ndarray, np.ndarr
 
 def replicate_parts(rows: DataFrame, cell: list[str], values: list[str], replicates: int, seed: int, cluster: str = "slurp_id", more: dict[str, More] | None = None) -> DataFrame:
     """Weighted sums of ``values`` by cell from each task: ``cell``, ``block`` (of replicates), ``value`` (its name) and ``sums``, an array
-    over the block's replicates. ``more``: further sums by name, from the cell, its rows of a batch and then their weights."""
+    over the block's replicates. ``more``: further sums by name, from the cells, the rows of a batch and then the utterances' weights."""
     schema = T.StructType([*(rows.schema[c] for c in cell), *T._parse_datatype_string("block int, value string, sums array<double>").fields])
     kinds = [to_arrow_type(rows.schema[c].dataType) for c in cell]
     starts = range(0, replicates, REPLICATE_BLOCK)
@@ -136,7 +150,7 @@ def replicate_parts(rows: DataFrame, cell: list[str], values: list[str], replica
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots: dict[tuple, int] = {}  # the place in ``total`` of every cell
         total = np.zeros((0, len(names), replicates))
-        for rb in (part for whole in _together(batches, 0 if more else TOGETHER) for part in _cut(whole, cluster)):
+        for rb in (part for whole in _together(batches, TOGETHER) for part in _cut(whole, cluster)):
             code, first = _codes(rb, cell)
             ids, of = np.unique(rb.column(cluster).to_numpy(zero_copy_only=False), return_inverse=True)
             # rows of one cluster stand together, so that cells x clusters are mostly few: their sums first, then one product with the weights
@@ -151,24 +165,23 @@ def replicate_parts(rows: DataFrame, cell: list[str], values: list[str], replica
             v = np.stack([pc.fill_null(rb.column(c).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in values], 1)
             if dense:
                 at = code * len(ids) + of
-                each = [np.bincount(at, v[:, i], len(keys) * len(ids)).reshape(len(keys), -1) for i in range(len(values))]
-            if more or not dense:
+                each = np.concatenate([np.bincount(at, v[:, i], len(keys) * len(ids)).reshape(len(keys), -1) for i in range(len(values))])
+            else:
                 order = np.argsort(code, kind="stable")
                 ends = np.searchsorted(code[order], np.arange(len(keys) + 1))
                 sorted_of, sorted_v = of[order], v[order]
-            if more:
-                pdf = rb.to_pandas()
-                made = [[f(key, pdf, order[ends[i] : ends[i + 1]]) for f in more.values()] for i, key in enumerate(keys)]
+            made = [f(keys, code, rb, of) for f in (more or {}).values()]
             for s in starts:
                 e = min(s + REPLICATE_BLOCK, replicates)
                 drawn = poisson_weights(ids, e - s, seed, s).astype(float)
-                weight = drawn[sorted_of] if more or not dense else None
-                for i in range(len(values)):
-                    total[place, i, s:e] += each[i] @ drawn if dense else np.add.reduceat(sorted_v[:, [i]] * weight, ends[:-1])
-                if more:
-                    for i in range(len(keys)):
-                        for j, f in enumerate(made[i], len(values)):
-                            total[place[i], j, s:e] += f(weight[ends[i] : ends[i + 1]], s)
+                if dense:
+                    total[place, : len(values), s:e] += (each @ drawn).reshape(len(values), len(keys), -1).transpose(1, 0, 2)
+                else:
+                    weight = drawn[sorted_of]
+                    for i in range(len(values)):
+                        total[place, i, s:e] += np.add.reduceat(sorted_v[:, [i]] * weight, ends[:-1])
+                for j, f in enumerate(made, len(values)):
+                    total[place, j, s:e] += f(drawn, s)
             if len(slots) * total[:1].nbytes > HELD_BYTES:
                 yield handed_on(list(slots), total)
                 slots, total = {}, total[:0]
@@ -310,7 +323,7 @@ def bootstrap_cells(rows: DataFrame, outcome: str = "ees", replicates: int = 200
     a critical error and of rows with other errors only, and their difference, are among the metrics. A metric that no
     replicate has is null.
     """
-    from uttermark.operators.pairs import with_anchor
+    from uttermark.operators.pairs import together_with_anchor
 
     curves = replicate_curves(rows, outcome, replicates, seed)
     flags = {"has_critical_error", "has_function_error"} <= set(rows.columns)
@@ -327,8 +340,9 @@ def bootstrap_cells(rows: DataFrame, outcome: str = "ees", replicates: int = 200
         base, _, of = name.partition("_")
         v = marks[base].cast("double")
         values[name] = v * {"": F.lit(1.0), "w": w, "y": y}[of]
-    d = with_anchor(rows, outcome, order, rated=False)
     cell = ["asr", "degradation", "snr_db", "llm"]
+    flagged = ["has_critical_error", "has_function_error"] if flags else []
+    d = together_with_anchor(rows, [*cell, "wer", outcome, *flagged], outcome, order)
     d = d.select("slurp_id", *cell, w.alias("w"), *(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in values.items()))
     # every task gives sums of all cells, so there are no more tasks than run at once
     d = d.coalesce(max(d.sparkSession.sparkContext.defaultParallelism, 8))
@@ -371,20 +385,37 @@ def _cell_parts(rows: DataFrame, curves: dict, replicates: int, seed: int) -> Da
     """Sums of ``CELL_VALUES`` by cell and replicate, of what the replicate's curve predicts for degraded rows, and the number of rows."""
     unknown = np.full(replicates, np.nan)
 
-    def predicted(key: tuple, pdf: pd.DataFrame, at: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
-        curve = curves.get((key[0], key[3]), (unknown, unknown))
-        rates, of = np.unique(pdf["w"].to_numpy(float)[at], return_inverse=True)
-        hot = (of[None, :] == np.arange(len(rates))[:, None]) * pdf["degraded"].to_numpy(float)[at]
+    def predicted(keys: list[tuple], code: np.ndarray, rb: pa.RecordBatch, of: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+        """Degraded rows are counted by cell, rate and utterance; whole numbers of that size are exact in single precision."""
+        some = np.flatnonzero(rb.column("degraded").to_numpy())
+        rates, rate = np.unique(rb.column("w").to_numpy()[some], return_inverse=True)
+        group, number = np.unique(code[some] * max(len(rates), 1) + rate, return_inverse=True)
+        cell, rate = group // max(len(rates), 1), group % max(len(rates), 1)
+        ids = int(of.max()) + 1
+        steps = range(0, len(group), GROUPS)
+        order = np.argsort(number, kind="stable")
+        cut = np.searchsorted(number[order], [*steps, len(group)])
+        curve = [curves.get((key[0], key[3]), (unknown, unknown)) for key in keys]
 
         def add(weight: np.ndarray, first: int) -> np.ndarray:
-            a, b = (x[first : first + weight.shape[1]] for x in curve)
-            with np.errstate(over="ignore"):
-                return ((hot @ weight) / (1 + np.exp(-(a + b * rates[:, None])))).sum(0)
+            out, weight = np.zeros((len(keys), weight.shape[1])), weight.astype(np.float32)
+            a, b = (np.stack([c[i][first : first + weight.shape[1]] for c in curve]) for i in (0, 1))
+            for k, lo in enumerate(steps):
+                at = order[cut[k] : cut[k + 1]]
+                own = slice(lo, min(lo + GROUPS, len(group)))
+                n = own.stop - lo
+                hot = np.bincount((number[at] - lo) * ids + of[some[at]], minlength=n * ids).astype(np.float32).reshape(n, ids)
+                with np.errstate(over="ignore"):
+                    made = (hot @ weight) / (1 + np.exp(-(a[cell[own]] + b[cell[own]] * rates[rate[own], None])))
+                first_of = np.flatnonzero(np.append(True, np.diff(cell[own]) > 0))
+                out[cell[own][first_of]] += np.add.reduceat(made, first_of)
+            return out
 
         return add
 
-    def count(key: tuple, pdf: pd.DataFrame, at: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
-        return lambda weight, first: np.full(weight.shape[1], len(at), float)
+    def count(keys: list[tuple], code: np.ndarray, rb: pa.RecordBatch, of: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+        n = np.bincount(code, minlength=len(keys)).astype(float)[:, None]
+        return lambda weight, first: np.repeat(n, weight.shape[1], 1)
 
     return replicate_parts(rows, ["asr", "degradation", "snr_db", "llm"], CELL_VALUES, replicates, seed, more={"predicted": predicted, "n": count})
 

@@ -29,11 +29,16 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str], last: bool
 SOURCE = ["file", "block", "line"]  #: where a row was read, as ``sources.read_rows`` gives it
 
 
+def _anchor_value(rows: DataFrame, outcome: str, order: list[str] | None) -> Column:
+    """What is least in an item's anchor of all its clean rows."""
+    by = order if order is not None else [c for c in SOURCE if c in rows.columns]
+    return F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(by)), F.col(outcome).alias("y"), F.col("wer").alias("w"))
+
+
 def anchors(rows: DataFrame, outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
     """One clean row for each item: its outcome and error rate. Of repeated rows, the first by ``order``, which is
     the rows' place in their files unless given. Rows without a place are taken by outcome and error rate."""
-    by = order if order is not None else [c for c in SOURCE if c in rows.columns]
-    value = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(by)), F.col(outcome).alias("y"), F.col("wer").alias("w"))
+    value = _anchor_value(rows, outcome, order)
     clean = rows.where(is_clean()).groupBy(*ITEM).agg(F.min(value).alias("v"))
     return clean.select(*ITEM, F.col("v.y").alias("clean_outcome"), F.col("v.w").alias("clean_wer"), F.lit(True).alias("has_anchor"))
 
@@ -46,6 +51,15 @@ def with_anchor(rows: DataFrame, outcome: str = "ees", order: list[str] | None =
     return joined.withColumn("has_anchor", F.coalesce("has_anchor", F.lit(False)))
 
 
+def together_with_anchor(rows: DataFrame, columns: list[str], outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
+    """``columns`` of all rows and their item's ``clean_outcome``, as ``with_anchor`` gives it, with all rows of an utterance in one task
+    and side by side: they are moved once, by the utterance, and an item's anchor is found among its neighbours."""
+    own = rows.select(*dict.fromkeys([*ITEM, *columns]), F.when(is_clean(), _anchor_value(rows, outcome, order)).alias("__anchor"))
+    own = own.repartition("slurp_id").sortWithinPartitions(*ITEM)
+    found = F.min("__anchor").over(W.partitionBy(*ITEM))["y"]
+    return own.withColumn("clean_outcome", F.when(F.col("slurp_id").isNotNull(), found)).drop("__anchor")
+
+
 def paired_rows(rows: DataFrame, outcome: str = "ees", order: list[str] | None = None) -> DataFrame:
     """Degraded rows with an error whose clean row succeeded."""
     d = with_anchor(rows, outcome, order)
