@@ -32,3 +32,14 @@ def test_further_sums_share_one_draw(spark, monkeypatch):
     for level in {r["level"] for r in rows}:
         want = sum(draw(np.array([r["slurp_id"]]), 200, 42)[0] for r in rows if r["level"] == level)
         assert np.array_equal(sums[level, "n"], want)
+
+
+def test_pairs_of_an_utterance_come_together(spark, monkeypatch):
+    """Not by the clip they were joined on, which drew an utterance's weights again for most of its clips."""
+    from uttermark.plans import evaluation
+
+    seen, whole = [], M.replicate_parts
+    monkeypatch.setattr(M, "replicate_parts", lambda rows, *a, **k: seen.append(rows) or whole(rows, *a, **k))
+    evaluation.QUERIES["m3_pathway_bootstrap"](spark, "/root/testdata/sf0.001")
+    at = {(r["slurp_id"], r["at"]) for r in seen[0].select("slurp_id", F.spark_partition_id().alias("at")).collect()}
+    assert len(at) == len({i for i, _ in at}) > 100

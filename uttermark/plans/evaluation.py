@@ -506,6 +506,8 @@ def _(s, d):
 def _(s, d):
     p = J.pathway_pairs(cells(s, d), "asr-0").withColumns({"one": F.lit(1.0), "gain": F.col("yo") - F.col("yc")})
     cell = ["omni_llm", "cascade_llm", "degradation", "snr_db"]
+    # pairs were joined by clip; all pairs of an utterance come together, so that its weights are drawn in one batch
+    p = p.select("slurp_id", *cell, "one", "gain").repartition("slurp_id").sortWithinPartitions("slurp_id")
     return M.interval(M.replicate_sums(p, cell, ["one", "gain"], 2000), cell, F.col("gain") / F.col("one"), "gain_")
 
 
